@@ -36,7 +36,7 @@ _SIGNED = "doc long, n_shingles long, low long, high long, signature array<long>
 
 def matches_for(percent: int) -> int:
     """Agreeing coordinates that make a candidate: the most for which a pair at ``percent`` percent is
-    missed with a probability of at most MISS (of 64, 40 at 85 % and 36 at 80 %)."""
+    missed with a probability of at most MISS (of 64, 40 at 85 % and 35 at 80 %)."""
     p, missed = percent / 100, 0.0
     for m in range(COORDINATES + 1):
         missed += math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
