@@ -137,7 +137,8 @@ def _confirmed(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     dealt = placed.select("doc", "grp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select(
         "doc", "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
-    texts = docs.join(dealt, "doc").select("grp", "i", "j", "doc", "text")
+    # The dealt documents grow with the input, so they are never broadcast, at no size.
+    texts = docs.join(dealt.hint("merge"), "doc").select("grp", "i", "j", "doc", "text")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_block = texts.repartition(partitions, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     return by_block.mapInArrow(lambda it: _linked(it, percent), "a long, b long")
