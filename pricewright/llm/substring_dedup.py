@@ -47,7 +47,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"),
-        F.xxhash64(text_col).alias("key"),
+        F.xxhash64(text_col).bitwiseAND(2**32 - 1).alias("key"),  # tells rows with one id apart
         F.col(text_col).cast("string").alias("text"),
     )
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -138,7 +138,17 @@ def _one_space(words: tw.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _codec() -> pa.Codec:
-    return pa.Codec("zstd", compression_level=3)
+    return pa.Codec("zstd", compression_level=5)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second bytes and so on, which packs better."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: type, n: int, at: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T.copy().view(kind)[:, 0]
 
 
 def _blobs(waiting: list[tuple[np.ndarray, ...]], strings: list[list[bytes]]) -> pa.RecordBatch:
@@ -150,7 +160,8 @@ def _blobs(waiting: list[tuple[np.ndarray, ...]], strings: list[list[bytes]]) ->
     codec, ids, blobs = _codec(), [], []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         own = order[a:b]
-        raw = b"".join([x[own].tobytes() for x in (doc, key, start, length)] + [flat[i] for i in own.tolist()])
+        numbers = [_planes(x[own]) for x in (doc, key.astype(np.uint32), start, length)]
+        raw = b"".join(numbers + [flat[i] for i in own.tolist()])
         ids.append(int(bucket[own[0]]))
         blobs.append(np.array([b - a, len(raw)], np.int64).tobytes() + codec.compress(raw, asbytes=True))
     none = pa.nulls(len(ids), pa.int64())
@@ -161,9 +172,9 @@ def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     """Document, text key and start of each super-k-mer; its length; all bytes."""
     n, size = np.frombuffer(blob, np.int64, 2).tolist()
     raw = _codec().decompress(memoryview(blob)[16:], size, asbytes=True)
-    doc, key = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n)
-    start, length = np.frombuffer(raw, np.int32, n, 16 * n), np.frombuffer(raw, np.int32, n, 20 * n)
-    return doc, key, start, length, np.frombuffer(raw, np.uint8, offset=24 * n)
+    doc, key = _from_planes(raw, np.int64, n, 0), _from_planes(raw, np.uint32, n, 8 * n).astype(np.int64)
+    start, length = _from_planes(raw, np.int32, n, 12 * n), _from_planes(raw, np.int32, n, 16 * n)
+    return doc, key, start, length, np.frombuffer(raw, np.uint8, offset=20 * n)
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
