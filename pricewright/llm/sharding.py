@@ -20,6 +20,8 @@ from pricewright.llm.scratch import new_path
 
 #: Aimed file size, rows of an arrival shard at most, shards that make a run worth merging.
 TARGET_BYTES, ARRIVAL_ROWS, FANOUT = 64 * 1024 * 1024, 2_000, 4
+#: Manifest rows that may be broadcast.
+MAX_BROADCAST_SHARDS = 100_000
 #: Shards whose sizes are within this factor are of one tier.
 TIER_FACTOR = 4
 
@@ -115,18 +117,21 @@ class ShardStore:
         plan = {r["shard"]: r["run"] for r in self.plan(target_bytes, fanout).toLocalIterator()}  # a row per shard
         if not plan:
             return False
+        number = {run: i for i, run in enumerate(sorted(set(plan.values())))}
         run_column = "run"
         while run_column.lower() in (n.lower() for n in self.schema.names):
             run_column += "_"
-        runs = self.spark.createDataFrame(list(plan.items()), f"shard string, {run_column} string")
+        runs = self.spark.createDataFrame([(s, number[r]) for s, r in plan.items()], f"shard string, {run_column} int")
+        # Manifest rows are about 200 bytes; beyond the bound Spark joins by shuffle.
+        side = F.broadcast(runs) if len(plan) <= MAX_BROADCAST_SHARDS else runs
         rows = self._rows(sorted(plan))
         at = F.regexp_extract(F.col("_metadata.file_path"), "/(data/[^/]+/.*)$", 1)
         names = [F.col(f"r.`{n}`") for n in self.schema.names]
-        named = rows.select("*", at.alias("shard__")).alias("r").join(runs.alias("p"), F.col("r.shard__") == F.col("p.shard"))
+        named = rows.select("*", at.alias("shard__")).alias("r").join(side.alias("p"), F.col("r.shard__") == F.col("p.shard"))
         folder = f"data/{uuid.uuid4().hex}"
         (
             named.select(*names, f"p.{run_column}")
-            .repartition(len(set(plan.values())), run_column)
+            .repartitionById(len(number), F.col(run_column))  # one task and one file for each run
             .write.partitionBy(run_column)
             .option("compression", "zstd")
             .parquet(f"{self.path}/{folder}")
