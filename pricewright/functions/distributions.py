@@ -60,10 +60,16 @@ def total_values() -> Column:
     return F.sequence(F.lit(TOTAL_RANGE[0]), F.lit(TOTAL_RANGE[1]))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` applied to a value that is computed once, however often it is referred to."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _array(values: Column, weight) -> Column:
     raw = F.transform(values, lambda v: F.struct(v.alias("value"), weight(v).alias("w")))
-    total = F.aggregate(raw, F.lit(0.0), lambda s, x: s + x["w"])
-    return F.transform(raw, lambda x: F.struct(x["value"].alias("value"), (x["w"] / total).alias("probability")))
+    total = lambda rows: F.aggregate(rows, F.lit(0.0), lambda s, x: s + x["w"])
+    share = lambda t: lambda x: F.struct(x["value"].alias("value"), (x["w"] / t).alias("probability"))
+    return _bound(raw, lambda rows: _bound(total(rows), lambda t: F.transform(rows, share(t))))
 
 
 def margin_distribution(mu: Column, sigma: Column) -> Column:

@@ -163,12 +163,13 @@ def max_drawdown(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     return drawdown_curve(curve, keys).groupBy(*keys).agg((F.max(-F.col("drawdown_pct")) / 100).alias("max_drawdown"))
 
 
-def global_running_sum(df: DataFrame, order: str, value: str, name: str, ranges: int = 200) -> DataFrame:
+def global_running_sum(df: DataFrame, order: str, value: str, name: str, ranges: int | None = None) -> DataFrame:
     """Running sum over a whole table without one task seeing all rows.
 
     Rows are dealt into ranges of the order; sums of the ranges before are added to the sums
     inside each one.  Only the per-range totals meet in one place.
     """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = written(df.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy("_range").agg(F.sum(value).alias("_total"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

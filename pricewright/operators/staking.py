@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewright.functions.odds import full_kelly, round_cents
@@ -46,22 +46,23 @@ def stake_input_errors(uncertainty: Column, quality: Column, calibration: Column
     return F.array_compact(F.array(*bad, F.when(~F.coalesce(bankroll >= 0, F.lit(False)), "bankroll")))
 
 
-def stake_breakdown(
-    p: Column, american: Column, push: Column, bankroll: Column, controls: RiskControls,
+def with_stake(
+    df: DataFrame, p: Column, american: Column, push: Column, bankroll: Column, controls: RiskControls,
     uncertainty: Column | float = 0.85, quality: Column | float = 1.0, calibration: Column | float = 0.9,
-    game: Column | float = 0.0, team: Column | float = 0.0, cluster: Column | float = 0.0, weekly: Column | float = 0.0,
-) -> Column:
-    """struct of every stage, the final fraction and amount, and what bound it.
+    game: Column | float = 0.0, team: Column | float = 0.0, cluster: Column | float = 0.0, weekly: Column | float = 0.0, name: str = "stake",
+) -> DataFrame:
+    """Adds a struct of every stage, the final fraction and amount, and what bound it.
 
     The minimum is taken over structs (fraction, order, label), so the first of equals wins.
-    Exposures are fractions of the bankroll.  Invalid odds or probabilities give NULL.
+    Exposures are fractions of the bankroll.  Invalid odds or probabilities give NULL.  The
+    steps are columns of their own, so that each is computed once per row.
     """
     column = lambda x: x if isinstance(x, Column) else F.lit(float(x))
-    kelly = full_kelly(p, american, push)
-    stages = [kelly, kelly * controls.kelly_fraction]
-    for factor in (uncertainty, quality, calibration):
-        stages.append(stages[-1] * column(factor))
     room = lambda cap, used: F.greatest(F.lit(0.0), cap - F.coalesce(column(used), F.lit(0.0)))
+    rows = df.withColumns({"_kelly": full_kelly(p, american, push), "_factors": F.array(*map(column, (uncertainty, quality, calibration)))})
+    stages = [F.col("_kelly"), F.col("_kelly") * controls.kelly_fraction]
+    for i in range(3):
+        stages.append(stages[-1] * F.col("_factors")[i])
     limits = [
         stages[-1],
         F.lit(controls.per_bet),
@@ -71,11 +72,11 @@ def stake_breakdown(
         room(controls.weekly, weekly),
     ]
     options = [F.struct(x.alias("pct"), F.lit(i).alias("rank"), F.lit(BOUNDS[i]).alias("label")) for i, x in enumerate(limits)]
-    least = F.array_min(F.array(*options))
-    pct = F.greatest(F.lit(0.0), least["pct"])
-    bound = F.when((pct == 0) & (stages[-1] == 0), NO_STAKE).otherwise(least["label"])
+    rows = rows.withColumn("_least", F.array_min(F.array(*options)))
+    pct = F.greatest(F.lit(0.0), F.col("_least.pct"))
+    bound = F.when((pct == 0) & (stages[-1] == 0), NO_STAKE).otherwise(F.col("_least.label"))
     names = ("full_kelly", "fraction_kelly", "after_uncertainty", "after_quality", "after_calibration")
     fields = [x.alias(n) for x, n in zip(stages, names, strict=True)]
     amount = round_cents(bankroll * pct)
     whole = F.struct(*fields, F.lit(controls.per_bet).alias("per_bet_cap"), pct.alias("pct"), amount.alias("amount"), bound.alias("bound"))
-    return F.when(kelly.isNotNull(), whole)
+    return rows.withColumn(name, F.when(F.col("_kelly").isNotNull(), whole)).drop("_kelly", "_factors", "_least")

@@ -217,7 +217,7 @@ def candidates(t: Tables) -> DataFrame:
 
 @query
 def best_candidate(t: Tables) -> DataFrame:
-    rows = plan.best_candidate(plan.candidates(t.quotes, t.predictions, t.manual_prices, now()))
+    rows = plan.best_candidates(t.quotes, t.predictions, t.manual_prices, now())
     return rows.select("game_id", "market", "selection", r6("edge").alias("edge"))
 
 
@@ -247,7 +247,7 @@ def slate_rows(t: Tables) -> DataFrame:
 
 def _slate(t: Tables) -> DataFrame:
     board = plan.board(t.quotes, now()).select("game_id", F.col("spread.line").alias("consensus_spread"), (F.col("total_quote.line") + plan.TOTAL_BASE).alias("consensus_total"))
-    best = plan.best_candidate(plan.candidates(t.quotes, t.predictions, t.manual_prices, now())).select("game_id", F.concat_ws(" ", "market", "selection").alias("best_market"), "edge")
+    best = plan.best_candidates(t.quotes, t.predictions, t.manual_prices, now()).select("game_id", F.concat_ws(" ", "market", "selection").alias("best_market"), "edge")
     rows = t.games.join(t.predictions, "game_id", "left")
     for side in (board, best, slate.availability_summary(t.availability, ["game_id"]), pit.latest_snapshot(t.weather, ["game_id"]).select("game_id", "severity")):
         rows = rows.join(side, "game_id", "left")
@@ -264,12 +264,12 @@ def _slate(t: Tables) -> DataFrame:
 @query
 def stake_breakdown(t: Tables) -> DataFrame:
     key = F.col("seq")
-    stake = staking.stake_breakdown(
-        F.col("p"), F.col("american"), F.lit(0.0), F.lit(START), staking.RiskControls(), 0.85, 0.95, 0.9,
-        game=(key % 5) / 400, team=(key % 7) / 500, cluster=(key % 3) / 200, weekly=(key % 11) / 250,
+    rows = staking.with_stake(
+        t.forecasts, F.col("p"), F.col("american"), F.lit(0.0), F.lit(START), staking.RiskControls(), 0.85, 0.95, 0.9,
+        game=(key % 5) / 400, team=(key % 7) / 500, cluster=(key % 3) / 200, weekly=(key % 11) / 250, name="new",
     )
     names = ("full_kelly", "fraction_kelly", "after_uncertainty", "after_quality", "after_calibration", "pct", "amount")
-    return t.forecasts.select("seq", stake.alias("s")).select("seq", *(r6(f"s.{n}").alias(n) for n in names), F.col("s.bound").alias("bound"))
+    return rows.select("seq", *(r6(f"new.{n}").alias(n) for n in names), F.col("new.bound").alias("bound"))
 
 
 @query
@@ -588,7 +588,7 @@ def recorded_not_live(t: Tables) -> DataFrame:
 
 @query
 def correlated_positions(t: Tables) -> DataFrame:
-    recs = plan.best_candidate(plan.candidates(t.quotes, t.predictions, t.manual_prices, now())).select("game_id", "market")
+    recs = plan.best_candidates(t.quotes, t.predictions, t.manual_prices, now()).select("game_id", "market")
     return lookups.correlated_positions(recs, t.positions.where("result = 'PENDING'"))
 
 

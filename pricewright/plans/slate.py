@@ -1,8 +1,8 @@
 """The decision plan: from quotes and predictions to a recommendation with its stake.
 
-All of it is keyed by game.  Quotes are reduced to one row per game in a single aggregate,
-outcome probabilities come from one hash aggregate over exploded outcomes, and every side
-input is one row per game before it is joined, so no join multiplies rows.
+All of it is keyed by game.  Quotes and manual prices are each reduced to one row per game in a
+single aggregate, candidates are priced inside that row, and every side input is one row per
+game before it is joined, so no join multiplies rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pricewright.functions.text import format_percent
 from pricewright.functions.times import age_minutes
 from pricewright.operators import pointintime as pit
 from pricewright.operators import rules, slate
-from pricewright.operators.staking import RiskControls, stake_breakdown
+from pricewright.operators.staking import RiskControls, with_stake
 from pricewright.sources.tables import BANKROLL, Tables, now
 
 MARKETS = ("SPREAD", "TOTAL", "MONEYLINE")
@@ -48,114 +48,148 @@ def board(quotes: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def outcome_probabilities(games: DataFrame) -> DataFrame:
-    """Cover and push at the spread, over and push at the total; needs mu, sd, total, total_sd, spread_line, total_line."""
-    v = F.col("value")
-    margins = dist.outcome_sums(
-        games.select("game_id", "mu", "sd", "spread_line"), ["game_id"],
-        dist.normal_pdf(v, F.col("mu"), F.col("sd")) * dist.key_boost(v), dist.margin_values(),
-        {"cover": v + F.col("spread_line") > dist.PUSH_TOLERANCE, "spread_push": F.abs(v + F.col("spread_line")) < dist.PUSH_TOLERANCE},
-    )
-    totals = dist.outcome_sums(
-        games.select("game_id", "total", "total_sd", "total_line"), ["game_id"],
-        dist.normal_pdf(v, F.col("total"), F.col("total_sd")), dist.total_values(),
-        {"over": v - F.col("total_line") > dist.PUSH_TOLERANCE, "total_push": F.abs(v - F.col("total_line")) < dist.PUSH_TOLERANCE},
-    )
-    return margins.join(totals, "game_id")
+    """cover, spread_push, over and total_push of each game, in one hash aggregate over exploded outcomes.
 
+    Needs mu, sd, total, total_sd, spread_line and total_line.  A missing line gives NULLs.
+    """
+    outcome = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    outcomes = F.concat(F.transform(dist.margin_values(), outcome("margin")), F.transform(dist.total_values(), outcome("total")))
+    rows = games.select("game_id", "mu", "sd", "total", "total_sd", "spread_line", "total_line", F.explode(outcomes).alias("o"))
+    v, margin = F.col("o.value"), F.col("o.kind") == "margin"
+    weight = F.when(margin, dist.normal_pdf(v, F.col("mu"), F.col("sd")) * dist.key_boost(v)).otherwise(dist.normal_pdf(v, F.col("total"), F.col("total_sd")))
+    rows = rows.select("game_id", margin.alias("margin"), weight.alias("w"), F.when(margin, v + F.col("spread_line")).otherwise(v - F.col("total_line")).alias("by"))
+    part = lambda of, c: F.sum(F.when(of & c, F.col("w")).otherwise(F.when(F.col("by").isNotNull() & of, 0.0))) / F.sum(F.when(of, F.col("w")))
+    wins, ties = F.col("by") > dist.PUSH_TOLERANCE, F.abs("by") < dist.PUSH_TOLERANCE
+    of_margin, of_total = F.col("margin"), ~F.col("margin")
+    return rows.groupBy("game_id").agg(
+        part(of_margin, wins).alias("cover"), part(of_margin, ties).alias("spread_push"), part(of_total, wins).alias("over"), part(of_total, ties).alias("total_push")
+    )
 
-def candidates(quotes: DataFrame, predictions: DataFrame, manual: DataFrame, cutoff: Column) -> DataFrame:
-    """Up to six priced candidates per game.  A total line is the quoted one plus TOTAL_BASE."""
+
+def priced_slate(quotes: DataFrame, predictions: DataFrame, manual: DataFrame, cutoff: Column) -> DataFrame:
+    """One row per quoted game with its board and ``candidates``: up to six priced structs, in order.
+
+    A total line is the quoted one plus TOTAL_BASE.  Manual prices are reduced to one row per
+    game before the join.
+    """
+    entered = [
+        F.max_by(F.when(side, F.struct(F.col("american").cast("long").alias("american"), "entered_at", "seq")), F.when(side, F.struct("entered_at", "seq"))).alias(_manual(m, x))
+        for m, x, _ in CANDIDATES
+        for side in [(F.col("market") == m) & (F.col("selection") == x)]
+    ]
+    latest = pit.filter_to_cutoff(manual.where("confirmed"), cutoff, "entered_at").groupBy("game_id").agg(*entered)
     rows = board(quotes, cutoff).join(predictions, "game_id")
-    rows = rows.withColumn("spread_line", F.col("spread.line")).withColumn("total_line", F.col("total_quote.line") + TOTAL_BASE)
-    rows = rows.join(outcome_probabilities(rows), "game_id")
-    structs = []
-    for market, selection, rank in CANDIDATES:
-        quote = F.col(QUOTE[market])
-        home, away = odds.no_vig(quote["home_american"], quote["away_american"])
-        first = selection in ("HOME", "OVER")
-        rest = lambda a, b: F.greatest(F.lit(0.0), 1 - F.col(a) - F.col(b))
-        line, model, push = {
-            "SPREAD": (F.col("spread_line") if first else -F.col("spread_line"), F.col("cover") if first else rest("cover", "spread_push"), F.col("spread_push")),
-            "TOTAL": (F.col("total_line"), F.col("over") if first else rest("over", "total_push"), F.col("total_push")),
-            "MONEYLINE": (F.lit(None).cast("double"), F.col("home_win") if first else 1 - F.col("home_win"), F.lit(0.0)),
-        }[market]
-        fields = {
-            "market": F.lit(market), "selection": F.lit(selection), "rank": F.lit(rank), "line": line.cast("double"),
-            "quoted": (quote["home_american"] if first else quote["away_american"]).cast("long"),
-            "model_p": model, "market_p": home if first else away, "push_p": push,
-        }
-        structs.append(F.when(quote.isNotNull(), F.struct(*(c.alias(n) for n, c in fields.items()))))
-    spread = rows.select("game_id", F.explode(F.array_compact(F.array(*structs))).alias("c")).select("game_id", "c.*")
-    latest = pit.latest_manual_price(manual, cutoff).select(
-        "game_id", "market", "selection", F.col("american").cast("long").alias("manual_american"), F.col("entered_at").alias("manual_at"), F.col("seq").alias("manual_id")
-    )
-    priced = spread.join(latest, ["game_id", "market", "selection"], "left").withColumn("american", F.coalesce("manual_american", "quoted"))
-    conservative = odds.conservative_probability(F.col("model_p"), F.col("market_p"))
-    priced = priced.withColumn("conservative_p", conservative).withColumn("break_even_p", odds.break_even(F.col("american"), F.col("push_p")))
-    return priced.select(
-        "game_id", "market", "selection", "rank", "line", "american", "manual_id", "manual_at", "model_p", "conservative_p", "market_p", "break_even_p", "push_p",
-        (F.col("conservative_p") - F.col("break_even_p")).alias("edge"),
-        odds.expected_value(F.col("conservative_p"), F.col("american"), F.col("push_p")).alias("ev"),
-        odds.fair_american(odds.clamped(F.col("conservative_p"))).alias("fair_american"),
-    )
+    rows = rows.withColumns({"spread_line": F.col("spread.line"), "total_line": F.col("total_quote.line") + TOTAL_BASE})
+    rows = rows.join(outcome_probabilities(rows), "game_id").join(latest, "game_id", "left")
+    rows = rows.withColumn("open", F.array(*(_candidate(m, x, rank) for m, x, rank in CANDIDATES)))
+    return rows.withColumn("candidates", F.transform(F.array_compact("open"), _priced)).drop("open")
+
+
+def _manual(market: str, selection: str) -> str:
+    return f"manual_{market}_{selection}".lower()
+
+
+def _rest(won: str, push: str) -> Column:
+    return F.greatest(F.lit(0.0), 1 - F.col(won) - F.col(push))
+
 
+def _candidate(market: str, selection: str, rank: int) -> Column:
+    """What is known of one candidate before pricing; NULL without a quote of its market."""
+    quote, entered = F.col(QUOTE[market]), F.col(_manual(market, selection))
+    home, away = odds.no_vig(quote["home_american"], quote["away_american"])
+    first = selection in ("HOME", "OVER")
+    if market == "SPREAD":
+        line = F.col("spread_line") if first else -F.col("spread_line")
+        model, push = F.col("cover") if first else _rest("cover", "spread_push"), F.col("spread_push")
+    elif market == "TOTAL":
+        line, model, push = F.col("total_line"), F.col("over") if first else _rest("over", "total_push"), F.col("total_push")
+    else:
+        line, model, push = F.lit(None).cast("double"), F.col("home_win") if first else 1 - F.col("home_win"), F.lit(0.0)
+    fields = {
+        "market": F.lit(market), "selection": F.lit(selection), "rank": F.lit(rank), "line": line,
+        "american": F.coalesce(entered["american"], (quote["home_american"] if first else quote["away_american"]).cast("long")),
+        "manual_id": entered["seq"], "manual_at": entered["entered_at"], "model_p": model, "market_p": home if first else away, "push_p": push,
+    }
+    return F.when(quote.isNotNull(), F.struct(*(c.alias(n) for n, c in fields.items())))
 
-def best_candidate(rows: DataFrame) -> DataFrame:
-    """The candidate with the largest edge of each game; of equal ones the first in order."""
-    return pit.latest_by(rows, ["game_id"], ["edge", -F.col("rank")])
+
+def _priced(c: Column) -> Column:
+    conservative = odds.conservative_probability(c["model_p"], c["market_p"])
+    break_even = odds.break_even(c["american"], c["push_p"])
+    more = {
+        "conservative_p": conservative, "break_even_p": break_even, "edge": conservative - break_even,
+        "ev": odds.expected_value(conservative, c["american"], c["push_p"]), "fair_american": odds.fair_american(odds.clamped(conservative)),
+    }
+    names = ("market", "selection", "rank", "line", "american", "manual_id", "manual_at", "model_p", "market_p", "push_p")
+    return F.struct(*(c[n].alias(n) for n in names), *(x.alias(n) for n, x in more.items()))
+
+
+def candidates(quotes: DataFrame, predictions: DataFrame, manual: DataFrame, cutoff: Column) -> DataFrame:
+    """One row per candidate."""
+    rows = priced_slate(quotes, predictions, manual, cutoff)
+    return rows.select("game_id", F.explode("candidates").alias("c")).select("game_id", "c.*")
+
+
+def best_of(candidates_: Column) -> Column:
+    """The candidate with the largest edge; of equal ones the first in order."""
+    ordered = F.transform(candidates_, lambda c: F.struct(c["edge"].alias("edge"), (-c["rank"]).alias("order"), c.alias("c")))
+    return F.array_max(ordered)["c"]
+
+
+def best_candidates(quotes: DataFrame, predictions: DataFrame, manual: DataFrame, cutoff: Column) -> DataFrame:
+    rows = priced_slate(quotes, predictions, manual, cutoff)
+    return rows.select("game_id", best_of(F.col("candidates")).alias("c")).select("game_id", "c.*")
+
+
+def movement(market: str) -> Column:
+    """struct<market, toward_first, toward_second, line_move> of a board row: moves since opening."""
+    latest, opening = F.col(QUOTE[market]), F.col(QUOTE[market] + "_open")
+    if market == "MONEYLINE":
+        new, old = odds.no_vig(latest["home_american"], latest["away_american"]), odds.no_vig(opening["home_american"], opening["away_american"])
+        first, second = (new[i] < old[i] - 0.003 for i in (0, 1))
+    else:
+        change = latest["line"] - opening["line"]
+        up, down = change >= 0.5, change <= -0.5
+        first, second = (up, down) if market == "SPREAD" else (down, up)
+    differs = latest["seq"] != opening["seq"]
+    return F.struct(
+        F.lit(market).alias("market"),
+        F.coalesce(differs & first, F.lit(False)).alias("toward_first"),
+        F.coalesce(differs & second, F.lit(False)).alias("toward_second"),
+        (latest["line"] - opening["line"]).alias("line_move"),
+    )
 
 
 def moving_toward(quotes: DataFrame, cutoff: Column) -> DataFrame:
     """Per game and market whether the market has moved toward each side since opening."""
-    rows = board(quotes, cutoff)
-    parts = []
-    for m in MARKETS:
-        latest, opening = F.col(QUOTE[m]), F.col(QUOTE[m] + "_open")
-        if m == "MONEYLINE":
-            new, old = odds.no_vig(latest["home_american"], latest["away_american"]), odds.no_vig(opening["home_american"], opening["away_american"])
-            first, second = (new[i] < old[i] - 0.003 for i in (0, 1))
-        else:
-            change = latest["line"] - opening["line"]
-            up, down = change >= 0.5, change <= -0.5
-            first, second = (up, down) if m == "SPREAD" else (down, up)
-        differs = latest["seq"] != opening["seq"]
-        parts.append(
-            F.struct(
-                F.lit(m).alias("market"),
-                F.coalesce(differs & first, F.lit(False)).alias("toward_first"),
-                F.coalesce(differs & second, F.lit(False)).alias("toward_second"),
-                (latest["line"] - opening["line"]).alias("line_move"),
-            )
-        )
-    return rows.select("game_id", F.explode(F.array(*parts)).alias("m")).select("game_id", "m.*")
+    return board(quotes, cutoff).select("game_id", F.explode(F.array(*map(movement, MARKETS))).alias("m")).select("game_id", "m.*")
 
 
 def evaluate(t: Tables, controls: RiskControls | None = None, bankroll: float = BANKROLL, weekly_open: float = 0.01, price_minutes: float = 8 * 60) -> DataFrame:
     """One recommendation per game of the slate, at the frozen clock."""
     controls = controls or RiskControls()
     clock = now()
-    quotes, games = t.quotes, t.games
-    predictions = t.predictions
-    all_candidates = candidates(quotes, predictions, t.manual_prices, clock)
-    best = best_candidate(all_candidates)
-    spread_at = board(quotes, clock).select("game_id", F.col("spread.observed_at").alias("spread_at"))
+    quotes = t.quotes
+    priced = priced_slate(quotes, t.predictions, t.manual_prices, clock)
+    moves = F.element_at(F.map_from_entries(F.array(*(F.struct(F.lit(m), movement(m)) for m in MARKETS))), F.col("best.market"))
+    priced = priced.withColumn("best", best_of(F.col("candidates"))).select("game_id", "best.*", F.col("spread.observed_at").alias("spread_at"), moves.alias("move"))
     late = _violations(clock, quotes, t.weather, t.injury_reports, t.availability)
     available = slate.availability_summary(pit.filter_to_cutoff(t.availability, clock), ["game_id"])
     weather = pit.latest_snapshot(t.weather, ["game_id"], clock).select("game_id", "severity", "wind")
-    moved = moving_toward(quotes, clock).drop("line_move")
     awaiting = t.injury_reports.where((F.col("practice_fri") == "NO_DATA") & (F.col("designation") == "QUESTIONABLE")).select("game_id").distinct().withColumn("awaiting", F.lit(True))
     failed = t.failures.withColumn("failed", F.lit(True))
     open_ = t.positions.where(F.col("result") == "PENDING")
     by_game = open_.groupBy("game_id").agg(F.sum("stake").cast("double").alias("game_open"))
     by_team = open_.groupBy(F.col("team").alias("backed_team")).agg(F.sum("stake").cast("double").alias("team_open"))
-    rows = games.join(predictions, "game_id", "left").join(best, "game_id", "left")
-    for side in (spread_at, late, available, weather, awaiting, failed, by_game):
+    predictions = t.predictions.select("game_id", "model_id", "mu", "sd", "completeness")
+    models = t.models.select("model_id", F.col("status").alias("model_status"), "approved_at")
+    rows = t.games
+    for side in (predictions, priced, late, available, weather, awaiting, failed, by_game):
         rows = rows.join(side, "game_id", "left")
-    rows = rows.join(moved, ["game_id", "market"], "left").join(t.models.select("model_id", F.col("status").alias("model_status"), "approved_at"), "model_id", "left")
     backed = F.when(F.col("selection") == "HOME", F.col("home_team")).when(F.col("selection") == "AWAY", F.col("away_team"))
-    rows = rows.withColumn("backed_team", backed).join(by_team, "backed_team", "left")
+    rows = rows.withColumn("backed_team", backed).join(by_team, "backed_team", "left").join(models, "model_id", "left")
     share = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / bankroll if bankroll > 0 else F.lit(0.0)
-    rows = rows.withColumn("game_pct", share("game_open")).withColumn("team_pct", share("team_open"))
+    rows = rows.withColumns({"game_pct": share("game_open"), "team_pct": share("team_open")})
     return _decided(rows, controls, bankroll, weekly_open, clock, price_minutes)
 
 
@@ -190,7 +224,7 @@ def _decided(rows: DataFrame, rc: RiskControls, bankroll: float, weekly: float,
         "exposure_exceeded": (F.lit(weekly) >= rc.weekly) | (F.col("game_pct") >= rc.per_game) | (F.col("team_pct") >= rc.per_team) | (F.col("game_pct") >= rc.per_cluster),
         "aligned": F.when(F.col("edge").isNotNull(), F.abs("edge") < 0.005).otherwise(True),
     }
-    toward = F.when(F.col("selection").isin("HOME", "OVER"), F.col("toward_first")).otherwise(F.col("toward_second"))
+    toward = F.when(F.col("selection").isin("HOME", "OVER"), F.col("move.toward_first")).otherwise(F.col("move.toward_second"))
     watch = {
         "better_price": (edge >= rc.min_edge * 0.6) & (edge < rc.min_edge),
         "injury_uncertain": flag("injury_uncertain"),
@@ -204,13 +238,12 @@ def _decided(rows: DataFrame, rc: RiskControls, bankroll: float, weekly: float,
     decision = F.when(flag("violation"), integrity).otherwise(decision)
     fresh = F.coalesce(manual_age <= rc.max_price_age, false)
     rows = rows.withColumn("decision", rules.downgrade_without_manual_price(decision, fresh))
-    stake = stake_breakdown(
-        F.col("conservative_p"), F.col("american"), F.col("push_p"), F.lit(bankroll), rc, 0.85, F.col("completeness"), 0.9,
+    rows = with_stake(
+        rows, F.col("conservative_p"), F.col("american"), F.col("push_p"), F.lit(bankroll), rc, 0.85, F.col("completeness"), 0.9,
         F.col("game_pct"), F.col("team_pct"), F.col("game_pct"), weekly,
     )
-    rows = rows.withColumn("stake", F.when(F.col("decision.status") == "BET", stake))
-    rows = rows.withColumn("decision", rules.pass_below_minimum(F.col("decision"), F.col("stake")))
-    rows = rows.withColumn("stake", F.when(F.col("decision.status") == "BET", F.col("stake")))
+    bet = F.col("decision.status") == "BET"
+    rows = rows.withColumn("decision", rules.pass_below_minimum(F.col("decision"), F.col("stake"))).withColumn("stake", F.when(bet, F.col("stake")))
     return rows.select(
         "game_id",
         F.col("decision.status").alias("status"),

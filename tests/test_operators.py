@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricewright.operators import guards, ledger, lookups, metrics, rules, slate
 from pricewright.operators import pointintime as pit
-from pricewright.operators.staking import RiskControls, stake_breakdown, stake_input_errors
+from pricewright.operators.staking import RiskControls, stake_input_errors, with_stake
 
 TS = "cast('2024-01-{:02d} 00:00:00' as timestamp)"
 
@@ -64,8 +64,7 @@ def test_opening_is_first_in_input_order(spark):
 
 def stake(spark, p=0.56, **more):
     given = {"uncertainty": 1.0, "quality": 1.0, "calibration": 1.0} | more
-    column = stake_breakdown(F.lit(p), F.lit(-110), F.lit(0.0), F.lit(10000.0), RiskControls(), **given)
-    return spark.range(1).select(column.alias("s")).first()["s"]
+    return with_stake(spark.range(1), F.lit(p), F.lit(-110), F.lit(0.0), F.lit(10000.0), RiskControls(), **given).first()["stake"]
 
 
 def test_stake_is_the_tightest_cap_and_names_it(spark):
