@@ -1,14 +1,16 @@
 """WARC writer and salvage reader.
 
-Records are written by Spark's text writer (its commit protocol survives lost executors): a
-record's closing blank lines are the line separator.  The reader takes plain files and files
-of gzip members.  After a failed check it searches for the next gzip member or version line
+Records are written by Spark's text writer, whose commit protocol survives lost executors.  In
+plain files a record's closing blank lines are the line separator; in compressed files every
+record is a gzip member of its own, separated by an empty member, so that damage stays local.
+The reader takes both.  After a failed check it searches for the next gzip member or version line
 that starts a valid record, goes on from there, and logs the bytes between as a quarantined gap.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.scratch import new_path, staged
+from pricewright.llm.scratch import bound_arrow_batches, new_path, staged
 
 #: Aimed size of one archive file before compression.
 ARCHIVE_BYTES = 16 * 1024 * 1024
@@ -27,6 +29,8 @@ REVISIT_BYTES = 0
 #: Fixed values.  What the archive format prescribes.
 VERSION, END, MEMBER = b"WARC/1.", b"\r\n\r\n", b"\x1f\x8b\x08"
 DATE = "1970-01-01T00:00:00Z"
+#: A gzip member without content.
+EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
 
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _OUT = "file string, offset long, length long, kind string, reason string, headers map<string,string>, payload_bytes long, payload_digest string, payload binary"
@@ -60,10 +64,11 @@ def capture_records(df: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
 
 
-def write_warc(records: DataFrame, path: str, compression: str = "gzip", archive_bytes: int = ARCHIVE_BYTES) -> str:
+def write_warc(records: DataFrame, path: str, compression: str = "gzip", archive_bytes: int = ARCHIVE_BYTES, mean_bytes: float = 4096) -> str:
     """Writes records of ``capture_records`` as archive files below ``path``.
 
     A revisit has no body; its digest and length headers are those of the full payload.
+    ``mean_bytes``, the mean payload, sets how many records make a file of ``archive_bytes``.
     """
     revisit = F.col("refers_to").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -82,14 +87,25 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip", archive
         F.lit("\r\n"),
     )
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string"))
-    # The text writer puts the separator behind each row, which completes the record.
+    # The text writer puts the separator behind each row, which completes a plain record.
     text = records.select(F.concat(head, body).alias("value"))
-    per_file = max(1, archive_bytes // 4096)
-    writer = text.write.option("lineSep", END.decode()).option("compression", compression).option("maxRecordsPerFile", per_file)
+    separator = END
+    if compression == "gzip":
+        text = text.mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
+        separator = EMPTY_MEMBER
+    per_file = max(1, int(archive_bytes / (max(mean_bytes, 1) + 512)))
+    writer = text.write.option("lineSep", separator.decode("iso-8859-1")).option("encoding", "iso-8859-1").option("maxRecordsPerFile", per_file)
     writer.text(path)
     return path
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member."""
+    for batch in batches:
+        values = (gzip.compress(v.as_py().encode() + END, mtime=0) for v in batch.column("value"))
+        yield pa.record_batch([pa.array(list(values), pa.binary())], names=["value"])
+
+
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Rows of kind ``record`` and ``gap``: file, offset, length, kind, reason, headers and payload.
 
@@ -152,12 +168,14 @@ def _inflated(data: memoryview, at: int) -> tuple[bytes, int] | None:
     """Content and compressed length of the gzip member at ``at`` if it is whole and its checksum holds."""
     if bytes(data[at : at + 3]) != MEMBER:
         return None
-    engine = zlib.decompressobj(31)
+    engine, parts, to = zlib.decompressobj(31), [], at
     try:
-        content = engine.decompress(data[at:])
+        while not engine.eof and to < len(data):
+            parts.append(engine.decompress(data[to : to + 16384]))
+            to = min(to + 16384, len(data))
     except zlib.error:
         return None
-    return (content, len(data) - at - len(engine.unused_data)) if engine.eof else None
+    return (b"".join(parts), to - at - len(engine.unused_data)) if engine.eof else None
 
 
 def _find(data: memoryview, what: bytes, at: int) -> int:
@@ -227,7 +245,9 @@ def archive_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     payload_digest, record_type, refers_to.  An empty table gives an empty result."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType
-    path = write_warc(capture_records(df, id_col, url_col, html_col), new_path(spark, "warc"))
+    bound_arrow_batches(spark)
+    mean = df.agg(F.avg(F.coalesce(F.octet_length(html_col), F.lit(0)))).first()[0] or 0
+    path = write_warc(capture_records(df, id_col, url_col, html_col), new_path(spark, "warc"), mean_bytes=mean)
     records = read_warc(spark, path, with_payload=False).where(F.col("kind") == "record")
     header = lambda name: F.element_at("headers", name)
     number = lambda c: F.nullif(F.regexp_extract(c, "<urn:page:(.*)>", 1), F.lit("")).cast(kind)

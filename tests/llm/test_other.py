@@ -141,9 +141,10 @@ def test_warc_round_trip(spark, tmp_path, compression):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
-def test_warc_reader_logs_gaps_of_damaged_files(spark, tmp_path):
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc_reader_logs_gaps_of_damaged_files(spark, tmp_path, compression):
     pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1)
-    path = warc.write_warc(warc.capture_records(pages), f"{tmp_path}/w", "none")
+    path = warc.write_warc(warc.capture_records(pages), f"{tmp_path}/w", compression)
     file = next(p for p in Path(path).iterdir() if p.name.startswith("part-"))
     data = bytearray(file.read_bytes())
     data[len(data) // 2 : len(data) // 2 + 30] = b"#" * 30
