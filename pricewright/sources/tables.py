@@ -6,10 +6,11 @@ positions, so that every operator can run and be checked on them.  The clock is
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from pricewright.functions.distributions import margin_to_win_probability, weather_severity
@@ -42,9 +43,14 @@ class Tables:
 
     spark: SparkSession
     folder: str
+    schemas: dict[str, StructType] = field(default_factory=dict, compare=False)
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A base table; its schema is read from the files once."""
+        path = f"{self.folder}/{name}.parquet"
+        if name not in self.schemas:
+            self.schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self.schemas[name]).parquet(path)
 
     @property
     def quotes(self) -> DataFrame:
