@@ -110,18 +110,20 @@ def _summed(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return gram, np.bincount(where, weights=np.concatenate([n for _, n in some])).astype(np.int64)
 
 
-def identify(df: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to every row, from the text alone.
+def identify(
+    df: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Adds lang_pred and score (or other ``names``) to every row, from the text alone.
 
     ``score`` is 1 less the out-of-place distance as a part of the largest possible one.  Null
     texts and texts without a letter are ``und`` with score 0, as are all texts if there is no
     profile.  Of equally near languages the first in code-point order is chosen.  The result
-    has the columns of ``df``, with lang_pred and score in place of any of those names.
+    has the columns of ``df``, with the new ones in place of any of their names.
     """
     bound_arrow_batches(df.sparkSession)
     languages = sorted(profiles)
     sent = df.sparkSession.sparkContext.broadcast([profiles[x] for x in languages])
-    kept = df.drop("lang_pred", "score")
+    kept = df.drop(*names)
     text_at = kept.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +135,9 @@ def identify(df: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "te
                 best, distance = _nearest(text.as_py(), gram, rank, size)
                 lang.append(languages[best] if best >= 0 else UNDETERMINED)
                 score.append(distance)
-            yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *names])
 
-    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*kept.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     return kept.mapInArrow(predict, schema)
 
 

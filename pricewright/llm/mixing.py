@@ -34,7 +34,7 @@ def document_hash(doc_id: Column) -> Column:
 def mix_sources(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target (its source's), taken.
+    """One row per input row: doc_id, size, source_size, target (its source's), taken, source.
 
     ``size`` is the number of words (null text: 0).  Null sources form one source, last in
     order.  Targets share all words by weight and stop at MAX_COPIES times a source's size;
@@ -55,7 +55,7 @@ def mix_sources(
     joined = sizes.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")), "left")
     copies = F.col("p.copies") + F.when(F.col("d.hash") < F.col("p.threshold"), 1).otherwise(0)
     return joined.select(
-        "d.doc_id", "d.size", "p.source_size", "p.target", (F.col("d.size") * copies).cast("long").alias("taken")
+        "d.doc_id", "d.size", "p.source_size", "p.target", (F.col("d.size") * copies).cast("long").alias("taken"), "d.source"
     )
 
 

@@ -270,7 +270,7 @@ def test_mixing(spark):
     want, taken = brute_targets(sizes), dict.fromkeys(sizes, 0)
     for i, r in got.items():
         s = rows[i]["source"]
-        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s])
+        assert r["source"] == s and r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s])
         assert r["taken"] % max(1, r["size"]) == 0 and r["taken"] <= 3 * r["size"]
         taken[s] += r["taken"]
     for s in sizes:
@@ -370,3 +370,19 @@ def test_pipeline(spark, tmp_path):
     assert set(mixed) <= set(results["benchmark decontamination"]) and max(mixed.count(i) for i in set(mixed)) <= 3
     assert results["sharding"] == mixed
     assert corpus_pipeline.run(spark, f"{DATA}/sf0.001").select("doc_id").count() == len(mixed)
+
+
+def test_pipeline_stages_on_messy_rows(spark, tmp_path):
+    """Nulls, repeats and clashing columns at every stage; an empty table at every stage."""
+    folder = f"{DATA}/sf0.001"
+    docs = documents(spark).withColumn("judged", F.lit(1)).withColumn("mixed", F.lit(2))
+    docs = docs.unionByName(docs.where("doc_id < 5")).unionByName(docs.where("doc_id between 40 and 42").withColumn("doc_id", F.lit(None).cast("long")))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert stage(spark, docs.limit(0), folder).count() == 0
+        if name != "sharding":
+            assert out.columns == docs.columns
+            values = {(r["doc_id"], r["text"], r["score"], r["keep_id"], r["source"]) for r in out.collect()}
+            assert values <= {(r["doc_id"], r["text"], r["score"], r["keep_id"], r["source"]) for r in docs.collect()} and values
+        if name == "language ID":
+            assert out.count() == sum(any(c.isalpha() for c in r["text"] or "") for r in docs.collect())
