@@ -16,30 +16,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rejects documents whose language cannot be told: no text, or no letter in it."""
     rows = docs.select("doc_id", "text", "lang")
     profiles = language_id.learn_profiles(rows.where(~language_id.held_out(F.col("doc_id"))))
-    return language_id.identify(docs, profiles).where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    judged = language_id.identify(docs, profiles, names=("judged_language", "judged_score"))
+    return judged.where(F.col("judged_language") != language_id.UNDETERMINED).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest document of every group of near-duplicates."""
-    kept = minhash_dedup.near_dedup(docs, percent=NEAR_PERCENT).where("kept").select("doc_id")
-    return _having(docs, kept)
+    dropped = minhash_dedup.near_dedup(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select("doc_id")
+    return _without(docs, dropped)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    kept = decontaminate.decontaminate(docs, benchmark).where(~F.col("contaminated")).select("doc_id")
-    return _having(docs, kept)
+    dropped = decontaminate.decontaminate(docs, benchmark).where("contaminated").select("doc_id")
+    return _without(docs, dropped)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources come near their target weights."""
     mixed = mixing.mix_sources(docs).where(F.col("taken") > 0)
-    copies = mixed.select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("copies")).distinct()
-    repeated = docs.alias("d").join(copies.alias("c"), F.col("d.doc_id") == F.col("c.doc_id"))
-    return repeated.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("mixed_copy")).drop(
-        "mixed_copy"
-    )
+    copies = mixed.select("doc_id", "source", (F.col("taken") / F.col("size")).cast("int").alias("copies")).distinct().alias("c")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
+    times = F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("mixed_copy")
+    return docs.alias("d").join(copies, same).select(*(F.col(f"d.`{c}`") for c in docs.columns), times).drop("mixed_copy")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-def _having(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids`` (null ids match)."""
-    kept = ids.distinct().withColumnRenamed("doc_id", "kept_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``ids``; rows with one id, or with none, share a fate."""
+    dropped = ids.distinct().withColumnRenamed("doc_id", "dropped_id")
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
