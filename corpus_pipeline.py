@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.llm import decontaminate, language_id, minhash_dedup, mixing, sharding
@@ -21,16 +23,35 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of every group of near-duplicates."""
-    dropped = minhash_dedup.near_dedup(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select("doc_id")
-    return _without(docs, dropped)
+    """Keeps one row of every group of near-duplicates, the one with the smallest id (null: largest).
+
+    Rows are told apart by a number given once, so rows with one id, or with none, are judged each
+    for itself.  Of rows with the smallest id the one with the smallest text hash stays.
+    """
+    row = next(c for c in _names("row_number") if c not in docs.columns)
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    judged = minhash_dedup.near_dedup(numbered, id_col=row, percent=NEAR_PERCENT).where(F.col("n_shingles") > 0)
+    # Only ids are grouped and joined, and only of groups with several rows.
+    member = judged.select(F.col("doc_id").alias("member"), F.col("component_id").alias("grp"))
+    several = member.groupBy("grp").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).select("grp")
+    member = staged(member.join(several, "grp"), "members")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(row)).alias("rank")
+    ranked = staged(numbered.select(F.col(row).alias("member"), rank).join(member, "member"), "ranked")
+    kept = ranked.groupBy("grp").agg(F.min("rank").alias("least"))
+    dropped = ranked.join(kept, "grp").where(F.col("rank") != F.col("least")).select("member")
+    return _without(numbered, F.col(row), dropped).drop(row)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item.
+
+    The verdict hangs on the text alone, so it is carried over by the text's digest, never by the id.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    dropped = decontaminate.decontaminate(docs, benchmark).where("contaminated").select("doc_id")
-    return _without(docs, dropped)
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    texts = docs.select(digest.alias("digest"), "text")
+    dropped = decontaminate.decontaminate(texts, benchmark, id_col="digest").where("contaminated").select("doc_id")
+    return _without(docs, digest, dropped)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +90,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``ids``; rows with one id, or with none, share a fate."""
-    dropped = ids.distinct().withColumnRenamed("doc_id", "dropped_id")
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+def _without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``key``, never null, is not in the one column of ``dropped``."""
+    gone = next(c for c in _names("dropped") if c not in docs.columns)
+    return docs.join(dropped.distinct().toDF(gone), key == F.col(gone), "left_anti")
+
+
+def _names(stem: str) -> Iterator[str]:
+    """Column names to choose from: ``stem``, then longer ones."""
+    while True:
+        yield stem
+        stem += "_"
