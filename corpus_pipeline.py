@@ -15,11 +15,11 @@ NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language cannot be told: no text, or no letter in it."""
+    """Rejects documents without a text or a letter in it; one that no profile can judge is kept."""
     rows = docs.select("doc_id", "text", "lang")
-    profiles = language_id.learn_profiles(rows.where(~language_id.held_out(F.col("doc_id"))))
-    judged = language_id.identify(docs, profiles, names=("judged_language", "judged_score"))
-    return judged.where(F.col("judged_language") != language_id.UNDETERMINED).select(*(F.col(f"`{c}`") for c in docs.columns))
+    profiles = language_id.ranked_profiles(rows.where(~language_id.held_out(F.col("doc_id"))))
+    judged = language_id.identify_ranked(docs, profiles, names=("judged_language", "judged_score"), letters="judged_letters")
+    return judged.where("judged_letters").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

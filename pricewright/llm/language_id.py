@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from pricewright.llm import textwords as tw
@@ -21,7 +21,7 @@ from pricewright.llm.scratch import bound_arrow_batches, staged
 
 #: N-grams kept of a language and of a text.
 PROFILE_SIZE = 400
-#: Most languages that a model may have (its profiles are broadcast); more raise an error.
+#: Most languages whose profiles are broadcast at once; more are compared block by block.
 MAX_LANGUAGES = 2_000
 #: Characters handled at once, so that very long texts need no more memory than that.
 PIECE = 1 << 20
@@ -76,7 +76,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE_SIZE) -> dict[str, np.ndarray]:
-    """Profiles by language, from all rows with text and language."""
+    """Profiles by language, from all rows with text and language; all of them come to the driver."""
+    return _collected(ranked_profiles(df, text_col, lang_col, size))
+
+
+def ranked_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE_SIZE) -> DataFrame:
+    """The same profiles as a written table: lang, gram, rank (from 1)."""
     bound_arrow_batches(df.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,9 +103,10 @@ def learn_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    ranked = staged(counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size), "profiles")
-    if ranked.where(F.col("rank") == 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    return staged(counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size), "profiles")
+
+
+def _collected(ranked: DataFrame) -> dict[str, np.ndarray]:
     found = ranked.select("lang", "gram", "rank").toArrow().to_pandas().sort_values(["lang", "rank"])
     return {lang: own["gram"].to_numpy() for lang, own in found.groupby("lang")}
 
@@ -111,36 +117,80 @@ def _summed(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def identify(
-    df: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")
+    df: DataFrame,
+    profiles: dict[str, np.ndarray],
+    text_col: str = "text",
+    names: tuple[str, str] = ("lang_pred", "score"),
+    letters: str | None = None,
 ) -> DataFrame:
     """Adds lang_pred and score (or other ``names``) to every row, from the text alone.
 
     ``score`` is 1 less the out-of-place distance as a part of the largest possible one.  Null
     texts and texts without a letter are ``und`` with score 0, as are all texts if there is no
     profile.  Of equally near languages the first in code-point order is chosen.  The result
-    has the columns of ``df``, with the new ones in place of any of their names.
+    has the columns of ``df``, with the new ones in place of any of their names.  ``letters``
+    names one more column: whether the text has a letter, which needs no profile.
     """
     bound_arrow_batches(df.sparkSession)
     languages = sorted(profiles)
     sent = df.sparkSession.sparkContext.broadcast([profiles[x] for x in languages])
-    kept = df.drop(*names)
+    added = [*names, *([letters] if letters else [])]
+    kept = df.drop(*added)
     text_at = kept.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = max([PROFILE_SIZE, *map(len, sent.value)])
         gram, rank = _by_gram(sent.value, size)
         for batch in batches:
-            lang, score = [], []
+            lang, score, lettered = [], [], []
             for text in batch.column(text_at):
-                best, distance = _nearest(text.as_py(), gram, rank, size)
+                best, near, some = _nearest(text.as_py(), gram, rank, size)
                 lang.append(languages[best] if best >= 0 else UNDETERMINED)
-                score.append(distance)
-            yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *names])
+                score.append(near)
+                lettered.append(some)
+            columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lettered, pa.bool_())][: len(added)]
+            yield pa.record_batch([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
-    schema = StructType([*kept.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    fields = [StructField(n, t) for n, t in zip(added, (StringType(), DoubleType(), BooleanType()), strict=False)]
+    schema = StructType([*kept.schema.fields, *fields])
     return kept.mapInArrow(predict, schema)
 
 
+def identify_ranked(
+    df: DataFrame,
+    ranked: DataFrame,
+    text_col: str = "text",
+    names: tuple[str, str] = ("lang_pred", "score"),
+    letters: str | None = None,
+    max_languages: int = MAX_LANGUAGES,
+) -> DataFrame:
+    """``identify`` with the profiles of ``ranked_profiles``, however many languages there are.
+
+    Beyond ``max_languages`` every block of languages is compared with all texts; rows are told
+    apart by a number given once, and each takes the best that any block found.
+    """
+    blocks = max(1, -(-ranked.where(F.col("rank") == 1).count() // max_languages))
+    if blocks == 1:
+        return identify(df, _collected(ranked), text_col, names, letters)
+    kept = df.drop(*names, *([letters] if letters else []))
+    row = "row"
+    while row in kept.columns:
+        row += "_"
+    numbered = staged(kept.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(row).alias("number"), F.col(text_col).alias("text"))
+    found = None
+    for b in range(blocks):
+        own = _collected(ranked.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == b))
+        part = identify(texts, own, names=("language", "near"), letters="lettered").drop("text")
+        # A block without profiles says und with score 0, which must not win over a language.
+        part = staged(part.withColumn("none", F.lit(not own)), "block")
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("number").agg(F.min(F.struct("none", (-F.col("near")).alias("far"), "language", "lettered")).alias("b"))
+    added = [F.col("b.language").alias(names[0]), (-F.col("b.far")).alias(names[1])]
+    added += [F.col("b.lettered").alias(letters)] if letters else []
+    return numbered.join(best, F.col(row) == F.col("number")).select(*(F.col(f"`{c}`") for c in kept.columns), *added)
+
+
 def _by_gram(profiles: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
     """All n-grams of the profiles, sorted, and their rank in each one (absent: -1)."""
     gram = np.unique(np.concatenate([*profiles, np.zeros(0, np.int64)]))
@@ -150,19 +200,18 @@ def _by_gram(profiles: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndar
     return gram, rank
 
 
-def _nearest(text: str | None, gram: np.ndarray, rank: np.ndarray, size: int) -> tuple[int, float]:
-    if text is None or not rank.size:
-        return -1, 0.0
-    own = top(*ngrams(text))
-    if not len(own):
-        return -1, 0.0
+def _nearest(text: str | None, gram: np.ndarray, rank: np.ndarray, size: int) -> tuple[int, float, bool]:
+    """Number of the nearest profile (none: -1), its score, and whether the text has a letter."""
+    own = top(*ngrams(text or ""))
+    if not len(own) or not rank.size:
+        return -1, 0.0, len(own) > 0
     at = np.searchsorted(gram, own)
     at[at == len(gram)] = 0
     there = np.where((gram[at] == own)[:, None], rank[at], -1)
     apart = np.where(there >= 0, np.abs(there - np.arange(len(own))[:, None]), size)
     distance = np.minimum(apart, size).sum(axis=0)
     best = int(np.argmin(distance))
-    return best, 1.0 - float(distance[best]) / (size * len(own))
+    return best, 1.0 - float(distance[best]) / (size * len(own)), True
 
 
 def language_id(
@@ -170,6 +219,6 @@ def language_id(
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learns from the rows that aren't held out, predicts all."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    profiles = learn_profiles(rows.where(~held_out(F.col("doc_id"))))
-    predicted = identify(rows.select("doc_id", "text"), profiles)
+    profiles = ranked_profiles(rows.where(~held_out(F.col("doc_id"))))
+    predicted = identify_ranked(rows.select("doc_id", "text"), profiles)
     return predicted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

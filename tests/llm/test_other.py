@@ -178,6 +178,31 @@ def test_language_id_messy(spark):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_language_id_beyond_one_block_of_languages(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text", F.concat("lang", (F.col("doc_id") % 5).cast("string")).alias("lang"), F.lit(1).alias("row"))
+    ranked = li.ranked_profiles(docs)
+    whole = li.identify(docs, li.learn_profiles(docs), letters="letters")
+    blocks = li.identify_ranked(docs, ranked, letters="letters", max_languages=3)
+    assert blocks.columns == whole.columns and by_id(blocks) == by_id(whole)
+    assert whole.select("lang_pred").distinct().count() > 3
+
+
+def test_language_id_takes_more_than_max_languages(spark):
+    docs = spark.createDataFrame([(i, f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} text", f"l{i}") for i in range(4 * li.MAX_LANGUAGES // 3 + 200)], "doc_id long, text string, lang string")
+    assert li.ranked_profiles(docs).select("lang").distinct().count() > li.MAX_LANGUAGES
+    got = by_id(li.identify_ranked(docs, li.ranked_profiles(docs)))
+    assert all(got[i]["lang_pred"] == f"l{i}" for i in range(0, len(got), 50))
+
+
+def test_language_stage_keeps_texts_that_no_profile_judges(spark):
+    """Languages null throughout, or known only of held-out rows: only texts without a letter go."""
+    docs = documents(spark)
+    lettered = sorted(i for i, t in enumerate(texts()) if any(c.isalpha() for c in t or ""))
+    for lang in (F.lit(None).cast("string"), F.when(li.held_out(F.col("doc_id")), F.lit("en"))):
+        kept = corpus_pipeline.identify_language(spark, docs.withColumn("lang", lang), "")
+        assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == lettered
+
+
 def brute_ngrams(text):
     words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
     out = {}
