@@ -68,7 +68,7 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip", archive
     """Writes records of ``capture_records`` as archive files below ``path``.
 
     A revisit has no body; its digest and length headers are those of the full payload.
-    ``mean_bytes``, the mean payload, sets how many records make a file of ``archive_bytes``.
+    ``mean_bytes``, the mean of payload and url, sets how many records make a file of ``archive_bytes``.
     """
     revisit = F.col("refers_to").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -212,12 +212,25 @@ def _salvage_records(data: memoryview, base: int) -> Iterator[tuple]:
         yield (base + bad, len(data) - bad, "gap", reason, None, None, None, None)
 
 
+def _head_end(data: memoryview, at: int) -> int:
+    """End of the header at ``at``, of any length; -1 if another version line or the end comes first."""
+    step = 4096
+    while True:
+        part = bytes(data[at : at + step])
+        end, other = part.find(END), part.find(b"\r\n" + VERSION)
+        if end >= 0 and not 0 <= other < end:
+            return at + end
+        if other >= 0 or at + step >= len(data):
+            return -1
+        step *= 4
+
+
 def _parsed(data: memoryview, at: int) -> tuple[dict[str, str], int, bytes, str] | str:
     """The record at ``at``: headers, length, payload and its digest; or why there is none."""
     if bytes(data[at : at + len(VERSION)]) != VERSION:
         return "no version line"
-    head_end = _find(data[: at + 65536], END, at)
-    if head_end >= min(len(data), at + 65536):
+    head_end = _head_end(data, at)
+    if head_end < 0:
         return "header doesn't end"
     head = bytes(data[at:head_end]).decode("utf-8", "replace").split("\r\n")
     headers = {}
@@ -246,7 +259,8 @@ def archive_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = df.sparkSession
     kind = df.schema[id_col].dataType
     bound_arrow_batches(spark)
-    mean = df.agg(F.avg(F.coalesce(F.octet_length(html_col), F.lit(0)))).first()[0] or 0
+    written = F.coalesce(F.octet_length(html_col), F.lit(0)) + F.coalesce(F.octet_length(url_col), F.lit(0)).cast("long")
+    mean = df.agg(F.avg(written)).first()[0] or 0
     path = write_warc(capture_records(df, id_col, url_col, html_col), new_path(spark, "warc"), mean_bytes=mean)
     records = read_warc(spark, path, with_payload=False).where(F.col("kind") == "record")
     header = lambda name: F.element_at("headers", name)

@@ -155,6 +155,22 @@ def test_warc_reader_logs_gaps_of_damaged_files(spark, tmp_path, compression):
     assert kinds["gap"] == 1 and kinds["record"] in (18, 19)
 
 
+def test_warc_keeps_pages_with_very_long_urls(spark):
+    long = "data:text/html," + "a" * 200_000
+    pages = spark.createDataFrame([(1, long, "same"), (2, "http://h/2", "same"), (3, long + "b", "same"), (4, long, "other")], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(pages).collect()}
+    assert got == {1: (4, "revisit", 3), 2: (4, "revisit", 3), 3: (4, "response", None), 4: (5, "response", None)}
+
+
+def test_salvage_takes_long_headers_and_stops_at_the_next_record():
+    long = record(b"payload", "x" * 200_000)
+    for data in (long + record(b"b"), gzip.compress(long) + gzip.compress(record(b"b"))):
+        good, gaps, _ = read(data)
+        assert good == [b"payload", b"b"] and not gaps
+    good, gaps, _ = read(b"WARC/1.1\r\nWARC-Type: response\r\n" + record(b"b"))
+    assert good == [b"b"] and [g[2] for g in gaps] == ["header doesn't end"]
+
+
 # Language ID -------------------------------------------------------------------------------
 
 
