@@ -1,7 +1,7 @@
 """URL filter: gradient-boosted trees on lexical features, below an explicit rule list.
 
 URLs that a rule decides are the labelled ones.  Suffix statistics are counted over all URLs;
-the trees are fitted on a bounded sample of labelled URLs and judge the URLs without a rule.
+the trees are fitted on a bounded sample of the URLs of either label and judge the URLs without a rule.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from pricewright.llm.scratch import staged
 
-#: Most labelled URLs that the trees are fitted on; of more, those with the smallest URL hashes.
+#: Most distinct labelled URLs that the trees are fitted on: half of each verdict, more if the other
+#: has fewer; of more, those with the smallest URL hashes.
 MAX_TRAINING_ROWS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values.  Rules of the query: host, path, verdict.
@@ -89,14 +90,22 @@ def suffix_statistics(df: DataFrame) -> DataFrame:
 def fit_url_trees(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> GBTClassificationModel | None:
     """Trees for rows with FEATURES and label (1 block, 0 allow); None without both labels.
 
-    At most ``max_rows`` rows are used; that sample is one partition, so that fits repeat.
-    Both labels get equal weight.
+    At most ``max_rows`` distinct URLs are used: up to half of each label, and what one label
+    leaves over goes to the other.  That sample is one partition, so that fits repeat.  Both
+    labels get equal weight.
     """
-    sample = labelled.orderBy(F.xxhash64("url"), "url", *FEATURES).limit(max_rows).select("label", *FEATURES).coalesce(1)
-    sample = staged(sample, "urlsample").coalesce(1)
-    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    if len(sizes) < 2:
+    order = [F.xxhash64("url"), F.col("url"), *map(F.col, FEATURES)]
+    distinct = labelled.select("label", "url", *FEATURES).distinct()
+    first = [distinct.where(F.col("label") == label).orderBy(*order).limit(max_rows) for label in (0, 1)]
+    sample = staged(first[0].unionByName(first[1]), "urlfirst")
+    found = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(found) < 2:
         return None
+    half = max(1, max_rows // 2)
+    sizes = {label: min(found[label], max(half, max_rows - found[1 - label])) for label in (0, 1)}
+    parts = [sample.where(F.col("label") == label).orderBy(*order).limit(sizes[label]) for label in (0, 1)]
+    sample = parts[0].unionByName(parts[1]).orderBy(*order, "label").select("label", *FEATURES).coalesce(1)
+    sample = staged(sample, "urlsample").coalesce(1)
     weight = F.when(F.col("label") == 1, 1.0 / sizes[1]).otherwise(1.0 / sizes[0]) * sum(sizes.values()) / 2
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample).withColumn("weight", weight)
     trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, maxBins=32, seed=7, weightCol="weight")

@@ -381,6 +381,20 @@ def test_url_trees_held_out_accuracy(spark):
     assert url_filter.fit_url_trees(train.where("label = 1")) is None
 
 
+def test_url_trees_sample_holds_both_labels_and_distinct_urls(spark):
+    """One allow among many blocks, and one hot URL: neither may keep the other label out of the sample."""
+    rows = [(f"http://h{i}.com/{'9' * 20}{i}", 1) for i in range(400)] + [("http://hot.com/1", 1)] * 400 + [(f"http://ok.net/about{k}", 0) for k in range(2)]
+    df = spark.createDataFrame(rows, "url string, label int")
+    full = url_filter.with_lexical_features(url_filter.with_parts(df, F.col("url")), F.col("url"))
+    full = full.join(url_filter.suffix_statistics(full), "suffix")
+    features = url_filter.VectorAssembler(inputCols=list(url_filter.FEATURES), outputCol="features")
+    for max_rows in (2, 20):
+        model = url_filter.fit_url_trees(full, max_rows=max_rows)
+        assert model is not None
+    out = model.transform(features.transform(full)).where("label = 0")
+    assert {r["prediction"] for r in out.collect()} == {0.0}
+
+
 # Pipeline ----------------------------------------------------------------------------------
 
 
