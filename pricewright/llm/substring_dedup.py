@@ -47,7 +47,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"),
-        F.xxhash64(text_col).bitwiseAND(2**32 - 1).alias("key"),  # tells rows with one id apart
+        F.xxhash64(text_col).alias("key"),  # tells rows with one id apart
         F.col(text_col).cast("string").alias("text"),
     )
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -160,7 +160,7 @@ def _blobs(waiting: list[tuple[np.ndarray, ...]], strings: list[list[bytes]]) ->
     codec, ids, blobs = _codec(), [], []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         own = order[a:b]
-        numbers = [_planes(x[own]) for x in (doc, key.astype(np.uint32), start, length)]
+        numbers = [_planes(x[own]) for x in (doc, key, start, length)]
         raw = b"".join(numbers + [flat[i] for i in own.tolist()])
         ids.append(int(bucket[own[0]]))
         blobs.append(np.array([b - a, len(raw)], np.int64).tobytes() + codec.compress(raw, asbytes=True))
@@ -172,9 +172,9 @@ def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     """Document, text key and start of each super-k-mer; its length; all bytes."""
     n, size = np.frombuffer(blob, np.int64, 2).tolist()
     raw = _codec().decompress(memoryview(blob)[16:], size, asbytes=True)
-    doc, key = _from_planes(raw, np.int64, n, 0), _from_planes(raw, np.uint32, n, 8 * n).astype(np.int64)
-    start, length = _from_planes(raw, np.int32, n, 12 * n), _from_planes(raw, np.int32, n, 16 * n)
-    return doc, key, start, length, np.frombuffer(raw, np.uint8, offset=20 * n)
+    doc, key = _from_planes(raw, np.int64, n, 0), _from_planes(raw, np.int64, n, 8 * n)
+    start, length = _from_planes(raw, np.int32, n, 16 * n), _from_planes(raw, np.int32, n, 20 * n)
+    return doc, key, start, length, np.frombuffer(raw, np.uint8, offset=24 * n)
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,8 +244,10 @@ def _applied(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.
             for i, blobs in enumerate(part.column("runs").to_pylist()):
                 if blobs:
                     runs = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 2).astype(np.int64)
-                    begin.append(words.first[i] + runs[:, 0])
-                    end.append(begin[-1] + runs[:, 1] + WINDOW - 1)
+                    # No run reaches beyond its own text, whatever it says.
+                    last = words.first[i + 1]
+                    begin.append(np.minimum(words.first[i] + runs[:, 0], last))
+                    end.append(np.minimum(words.first[i] + runs[:, 0] + runs[:, 1] + WINDOW - 1, last))
             gone = tw.covered(len(words.start), np.concatenate(begin), np.concatenate(end))
             kept = tw.Words(words.data, words.start[~gone], words.end[~gone], np.r_[0, np.cumsum(~gone)][words.first])
             length = np.r_[0, np.cumsum(kept.end - kept.start + 1)]

@@ -152,6 +152,25 @@ def test_substring_repeated_and_null_ids(spark):
     assert rows == sorted([(2, 0), (2, 0), (2, 20), (None, 20), (None, 20), (1, 0)], key=str)
 
 
+def test_substring_texts_of_one_id_whose_hashes_share_32_bits(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, text), (None, f"18501 {text}"), (None, "135821 tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert df.where("doc_id is null").select(F.xxhash64("text").bitwiseAND(2**32 - 1)).distinct().count() == 1
+    got = sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in sd.substring_dedup(df.coalesce(1)).collect())
+    assert got == [(2, 0, sha("135821 tail")), (20, 0, sha(text)), (21, 20, sha("18501"))]
+
+
+def test_substring_runs_stay_inside_their_text():
+    import numpy as np
+    import pyarrow as pa
+
+    run = np.array([[1, 3]], np.int32).tobytes()
+    part = pa.record_batch([pa.array([1, 2]), pa.array(["a b", "c d e"]), pa.array([[run], None], pa.list_(pa.binary()))], names=["doc_id", "text", "runs"])
+    got = [(r["doc_id"], r["n_removed"]) for b in sd._applied(iter([part]), False) for r in b.to_pylist()]
+    assert got == [(1, 1), (2, 0)]
+
+
 def benchmark(spark):
     found = texts()
     items = [(10, found[30].upper()), (2, " ".join(found[80].split()[5:28])), (3, "one"), (3, "one"), (4, None), (5, "?!"), (None, "changed"), (7, "no such words here at all " * 3)]
