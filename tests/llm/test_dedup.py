@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -78,7 +79,8 @@ def test_near(spark, percent):
 
 def test_near_chains_through_blocks(spark, monkeypatch):
     """A large group of copies that each differ a little, in blocks far smaller than the group."""
-    monkeypatch.setattr(mh, "BLOCK_DOCUMENTS", 8)
+    monkeypatch.setattr(mh, "TILE_DOCUMENTS", 8)
+    monkeypatch.setattr(mh, "HEAD_PARTNERS", 4)
     words = [f"w{i}" for i in range(200)]
     rows = [" ".join([*words[:k], *(f"z{k}" for _ in range(1)), *words[k + 1 :]]) for k in range(0, 200, 3)]
     rows += [" ".join(words[:90] + [f"q{k}{i}" for i in range(110)]) for k in range(20)]
@@ -93,6 +95,34 @@ def test_near_null_ids(spark):
     assert rows == sorted([(None, 3, False), (3, 3, True), (None, None, True), (None, None, True)], key=str)
 
 
+def test_near_null_id_copy_leaves_other_null_ids_alone(spark):
+    """A copy without an id neither drops another row without an id nor another row of its id."""
+    a, y = "a b c d e f g h", "quite other words are in here"
+    for other in (None, 5):
+        df = spark.createDataFrame([(1, a), (other, a), (other, y), (other, a + "")], "doc_id long, text string")
+        rows = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in mh.near_dedup(df).collect()), key=str)
+        assert rows == sorted([(1, 1, True), (other, 1, False), (other, 1, False), (other, other, True)], key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_templates_that_hardly_differ(spark, monkeypatch, seed):
+    """Groups around the threshold: some pairs are links, some almost, in tiles of a few documents."""
+    monkeypatch.setattr(mh, "TILE_DOCUMENTS", 5)
+    monkeypatch.setattr(mh, "HEAD_PARTNERS", 3)
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for _ in range(60):
+        own = list(words)
+        for _ in range(r.choice([1, 1, 2, 3])):
+            own[r.randrange(120)] = f"c{r.randrange(1000)}"
+        rows.append(" ".join(own))
+    got = by_id(mh.near_dedup(documents(spark, rows, extra=False)))
+    _, label = components(rows, 85)
+    assert 1 < len(set(label)) < 60
+    assert {i: x["component_id"] for i, x in got.items()} == dict(enumerate(label))
+
+
 def brute_substring(found, ids=None):
     ids = list(range(len(found))) if ids is None else ids
     words = [SPACED.findall(t or "") for t in found]
