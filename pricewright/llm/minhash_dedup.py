@@ -30,8 +30,10 @@ from pricewright.llm.scratch import bound_arrow_batches, staged
 SHINGLE, PERCENT = 5, 85
 #: Signature length, and the highest chance to miss a pair that is just similar enough.
 COORDINATES, MISS = 64, 3e-6
-#: Partners of a head that one task row group holds; documents and shingles of one side of a tile.
-HEAD_PARTNERS, TILE_DOCUMENTS, TILE_SHINGLES = 64, 128, 150_000
+#: Partners that are confirmed together with their head; documents and shingles of one side of a tile.
+HEAD_PARTNERS, TILE_DOCUMENTS, TILE_SHINGLES = 64, 1024, 500_000
+#: Parts into which the documents of one component are dealt when they learn its smallest id.
+SALTS = 8
 
 _U = np.uint64
 _MULTIPLIERS = np.random.default_rng(64).integers(0, 2**63, 4 * COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
@@ -85,7 +87,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     # Smallest id of each component, then of each set.
     known = nodes.select("low", "high", "node", "rep.none", "rep.doc").join(found, "node", "left")
     least = known.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("none", "doc")).alias("least"))
-    ids = known.join(least, "component", "left").select(
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    known = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    ids = known.join(least.select("component", "least", salts), ["component", "salt"], "left").select(
         "low", "high", F.when(F.col("least").isNotNull(), F.col("least.doc")).otherwise(F.col("doc")).alias("least_doc")
     )
     joined = signed.select("doc", "n_shingles", "low", "high").join(ids, ["low", "high"], "left")
@@ -304,10 +308,9 @@ def _forest(sets: dict[int, np.ndarray], partners: list[tuple[int, np.ndarray]],
     a = np.searchsorted(ids, np.repeat([n for n, _ in partners], [len(p) for _, p in partners]))
     b = np.searchsorted(ids, np.concatenate([p for _, p in partners]))
     size = np.array([len(s) for s in own], np.int64)
-    if len(a) <= 4 * len(ids):
+    both = _overlaps(own, size)[a, b] if len(a) > 4 * len(ids) else None
+    if both is None:
         both = np.array([_overlap(own[x], own[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
-    else:
-        both = _overlaps(own, size)[a, b]
     linked = 100 * both >= percent * (size[a] + size[b] - both)
     a, b = a[linked], b[linked]
     # A link between documents joined already adds nothing.
