@@ -44,21 +44,25 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     Letters are lower-cased; runs of anything else are one word boundary, coded 0.  An n-gram
     holds 21 bits for each character; 2- and 3-grams may begin or end at a boundary.
     """
+    text = text.lower()
     found, counted = [], []
+    carried = np.zeros(1, np.int64)  # the last two codes before the piece; a boundary before the text
     for at in range(0, max(len(text), 1), PIECE):
-        code = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        code = np.where(_letters()[code], code, 0)
-        code = np.r_[0, code, 0]
+        code = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code = np.r_[carried, np.where(_letters()[code], code, 0), np.zeros(int(at + PIECE >= len(text)), np.int64)]
+        old = len(carried)
         code = code[np.r_[True, (code[1:] != 0) | (code[:-1] != 0)]]
-        two = (code[:-1] << 21) | code[1:]
+        two = (code[old - 1 : -1] << 21) | code[old:]
         two = two[two != 0]
-        three = (code[:-2] << 42) | (code[1:-1] << 21) | code[2:]
-        three = three[(code[1:-1] != 0)]
-        grams = np.concatenate([code[code != 0], -two, three])  # 2-grams below 0 stay apart from 3-grams
+        last, middle = code[max(old, 2) :], code[max(old, 2) - 1 : -1]
+        three = ((code[max(old, 2) - 2 : -2] << 42) | (middle << 21) | last)[middle != 0]
+        one = code[old:]
+        grams = np.concatenate([one[one != 0], -two, three])  # 2-grams below 0 stay apart from 3-grams
         grams.sort()
         edge = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, int)
         found.append(grams[edge])
         counted.append(np.diff(np.r_[edge, len(grams)]))
+        carried = code[-2:]
     if len(found) == 1:
         return found[0], counted[0]
     gram, where = np.unique(np.concatenate(found), return_inverse=True)

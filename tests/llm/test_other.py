@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import random
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -174,6 +175,49 @@ def test_salvage_takes_long_headers_and_stops_at_the_next_record():
 # Language ID -------------------------------------------------------------------------------
 
 
+def coded_ngrams(text):
+    """Counts of 1- to 3-grams with 0 as the boundary, from a list of codes."""
+    codes = [0]
+    for c in text.lower():
+        code = ord(c) if c.isalpha() else 0
+        if code or codes[-1]:
+            codes.append(code)
+    if codes[-1]:
+        codes.append(0)
+    grams = [c for c in codes if c]
+    grams += [-((a << 21) | b) for a, b in zip(codes, codes[1:], strict=False)]
+    grams += [(a << 42) | (b << 21) | c for a, b, c in zip(codes, codes[1:], codes[2:], strict=False) if b]
+    return Counter(grams)
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 5, 1 << 20])
+def test_ngrams_do_not_depend_on_pieces(monkeypatch, piece):
+    monkeypatch.setattr(li, "PIECE", piece)
+    for text in ("", "a", "  a  ", "abcdefghi " * 3, "Ünï, cödé!  x\u0000y ΑΣ ΣΑ", "--", "ab--cd"):
+        grams, counts = li.ngrams(text)
+        assert dict(zip(grams.tolist(), counts.tolist(), strict=True)) == coded_ngrams(text)
+
+
+def test_learned_profiles_and_predictions_against_brute_force(spark):
+    docs = documents(spark).where("doc_id < 70")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    learned = {}
+    for r in rows:
+        if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            learned.setdefault(r["lang"], Counter()).update(coded_ngrams(r["text"]))
+    ranked = {lang: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: li.PROFILE_SIZE]] for lang, c in learned.items()}
+    got = by_id(li.language_id(docs))
+    for r in rows:
+        own = [g for g, _ in sorted(coded_ngrams(r["text"] or "").items(), key=lambda x: (-x[1], x[0]))[: li.PROFILE_SIZE]]
+        if not own:
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        far = {lang: sum(min(abs(p.index(g) - i), li.PROFILE_SIZE) if g in p else li.PROFILE_SIZE for i, g in enumerate(own)) for lang, p in ranked.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[r["doc_id"]]["lang_pred"] == best
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 - far[best] / (li.PROFILE_SIZE * len(own)))
+
+
 def test_language_id_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     got = li.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
