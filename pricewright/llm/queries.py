@@ -209,6 +209,42 @@ FROM q
 """
 
 
+def _op8() -> str:
+    text = lambda words: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+    rows = [f"('{label}', TRUE, {text(key)}, {text(key)})" for label, key in license_scan.BASE_TEMPLATES]
+    rows += [f"('{label}', FALSE, {text(key)}, {text(whole)})" for label, key, whole in license_scan.MORE_TEMPLATES]
+    return _OP8.replace("TEMPLATES", ",\n  ".join(rows)).replace("MIN_SHARE", str(license_scan.MIN_SHARE))
+
+
+_OP8 = r"""
+WITH t(label, base, k, txt) AS (VALUES
+  TEMPLATES
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), first AS (
+  SELECT doc_id, x, i FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE x IN (SELECT k[1] FROM t)
+), stands AS (
+  SELECT doc_id, label, base, txt, w, i, i - (SELECT min(j) FROM unnest(range(1, len(txt) - len(k) + 2)) AS u(j) WHERE txt[j:j + len(k) - 1] = k) AS before
+  FROM first JOIN d USING (doc_id) JOIN t ON x = k[1] AND w[i:i + len(k) - 1] = k
+), place AS (
+  SELECT doc_id, label, base, i - 1 AS start,
+         len(list_filter(range(1, len(txt) + 1), lambda j: before + j >= 1 AND coalesce(w[greatest(before + j, 1)] = txt[j], FALSE))) / len(txt) AS share
+  FROM stands
+), kept AS (
+  SELECT * FROM place WHERE share >= MIN_SHARE
+), found AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+         max(share) AS score
+  FROM kept GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": _OP1,
@@ -216,5 +252,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": _OP4,
         "op5_minhash_dedup": _OP5,
         "op6_exact_dedup": _OP6,
+        "op8_license_scan": _op8(),
         "op9_mix_sources": _OP9,
     }
