@@ -1,17 +1,19 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
 A window is ``WINDOW`` consecutive words of an item (an item with fewer words is one window).
-Its set is its shingles.  Only exact containment counts, so one prefix token is necessary:
-the window's rarest shingle, by counts over all documents.  Documents are probed with their
-shingles; a hit at an offset bounds where the window would have to start and end, and the
-window is verified there word by word.
+Its set is its shingles.  Only exact containment counts, so one prefix token is necessary: the
+window's rarest shingle, by counts over all documents; a window with a shingle that no
+document holds is dropped.  Documents send where they hold a prefix token, with the words
+around, to the join with the distinct windows.  The token's offset bounds where the window has to start and
+end, and the window is verified there word by word, as text.
+
+Nothing but two bit filters of a fixed size is broadcast.  They keep words that can't match off the
+shuffle; a benchmark too large for them makes the shuffle larger, not the result different.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,21 +24,12 @@ from pricewright.llm import textwords as tw
 from pricewright.llm.scratch import bound_arrow_batches, staged
 
 WINDOW, SHINGLE = 10, 3
-#: Most windows that are broadcast at once; a larger benchmark is joined block by block.
-BLOCK_WINDOWS = 250_000
+#: The filters hold 2 to this power bits (1 MB).
+FILTER_BITS = 23
+#: Shingle counts that a task gathers before it sends them.
+FLUSH_COUNTS = 1_000_000
 
-
-@dataclass
-class WindowIndex:
-    """Windows of one length, in order of their prefix token."""
-
-    length: int
-    shingle: int
-    token: np.ndarray  # sorted hashes of the prefix shingles
-    offset: np.ndarray  # where in its window the prefix shingle stands
-    words: np.ndarray  # (windows, length) word hashes
-    item: np.ndarray  # position in the sorted item ids, -1 for a null id
-    probe: np.ndarray  # one bit of every token's low bits, to pass over most words
+_U = np.uint64
 
 
 def decontaminate(
@@ -46,7 +39,6 @@ def decontaminate(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -56,210 +48,169 @@ def decontaminate(
     give a row each; empty tables give no rows or no hits; other columns are ignored.
     """
     bound_arrow_batches(df.sparkSession)
-    kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
-    windows = staged(items.distinct().mapInArrow(_item_windows, "block long, item_id string, words binary"), "windows")
-    n_windows = windows.count()
-    blocks = max(1, -(-n_windows // block_windows))
-    if blocks == 1:
-        found = _probe(docs, windows, kind)
-    else:
-        # Each block is joined with all documents; rows are told apart by a number given once.
-        docs = staged(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-        parts = [
-            _probe(docs, windows.where(F.pmod(F.col("block"), F.lit(blocks)) == b), kind, "row long, ")
-            for b in range(blocks)
-        ]
-        found = _merged(parts)
-    return found.select(
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    found = staged(items.distinct().mapInArrow(_item_windows, "item_id string, words array<string>, tokens array<long>"), "itemwindows")
+    windows = staged(found.groupBy("words").agg(F.first("tokens").alias("tokens")).withColumn("window", F.monotonically_increasing_id()), "windows")
+    prefix = staged(_prefix_tokens(docs, windows), "prefix")
+    rows = staged(_with_places(docs, prefix), "places")
+    hits = staged(_verified(rows, prefix), "windowhits")
+    words = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")).select("row", _covered().alias("n_hit"))
+    owners = found.select("item_id", "words").distinct().join(windows.select("words", "window"), "words").select("window", "item_id")
+    listed = hits.select("row", "window").distinct().join(owners, "window").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    hit, names = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    return rows.drop("places").join(words, "row", "left").join(listed, "row", "left").select(
         "doc_id",
         "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        hit.alias("n_hit"),
+        F.size(names).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
     )
 
 
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """Joins what the blocks found: hit words as bits, items as sets."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    union = every.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.collect_list("hits").alias("hits"),
-    )
+def _split(part: pa.RecordBatch) -> tw.Words:
+    return tw.split_words(*tw.text_bytes(part.column("text")), tw.ALNUM, lower=True)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = []
-            for bits in batch.column("hits").to_pylist():
-                total = np.zeros(0, np.uint8)
-                for b in bits:
-                    one = np.frombuffer(b, np.uint8)
-                    total = one | total if len(total) else one
-                hit.append(int(np.unpackbits(total).sum()))
-            at = batch.schema.get_field_index("hits")
-            yield batch.set_column(at, "n_hit", pa.array(hit, pa.int64()))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in union.schema).replace("hits array<binary>", "n_hit long")
-    return union.mapInArrow(count, schema)
+def _strings(words: tw.Words, a: int, b: int) -> list[bytes]:
+    data = words.data
+    return [data[s:e].tobytes() for s, e in zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True)]
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every item's windows as word hashes."""
+    """Every item's windows: their words, and the hash of the shingle at each place."""
     for batch in batches:
-        rows = []
         for part in tw.chunks(batch, "text"):
-            words = tw.split_words(*tw.text_bytes(part.column("text")), tw.ALNUM, lower=True)
+            words, item, texts, tokens = _split(part), [], [], []
             h = words.hashes()
-            for i, item in enumerate(part.column("item_id").to_pylist()):
-                own = h[words.first[i] : words.first[i + 1]]
-                size = min(WINDOW, len(own))
-                rows += [(item, own[k : k + size].tobytes()) for k in range(len(own) - size + 1) if size]
-        block = [int.from_bytes(hashlib.blake2b(w, digest_size=7).digest(), "little") for _, w in rows]
-        yield pa.record_batch(
-            [pa.array(block, pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())],
-            names=["block", "item_id", "words"],
-        )
-
-
-def _probe(docs: DataFrame, windows: DataFrame, kind: str, more: str = "") -> DataFrame:
-    """Documents against the windows of one block, which is broadcast."""
-    spark = docs.sparkSession
-    rows = windows.select("item_id", "words").distinct().toArrow()  # at most BLOCK_WINDOWS, about 100 bytes each
-    ids = sorted({i for i in rows.column("item_id").to_pylist() if i is not None})
-    names = {item: k for k, item in enumerate(ids)}
-    by_length: dict[int, tuple[list[bytes], list[int]]] = {}
-    for item, words in zip(rows.column("item_id").to_pylist(), rows.column("words").to_pylist(), strict=True):
-        packed, owner = by_length.setdefault(len(words) // 8, ([], []))
-        packed.append(words)
-        owner.append(names.get(item, -1))
-    plain = {
-        n: (np.frombuffer(b"".join(packed), np.uint64).reshape(-1, n), np.array(owner, np.int32))
-        for n, (packed, owner) in by_length.items()
-    }
-    sent = spark.sparkContext.broadcast((_indexes(docs, plain), ids))
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes, item_ids = sent.value
-        for batch in batches:
-            for part in tw.chunks(batch, "text"):
-                yield _probed(part, indexes, item_ids, bool(more))
-
-    out = f"doc_id {kind}, {more}n_words long, n_hit long, items array<string>"
-    return docs.mapInArrow(probe, out + ", hits binary" if more else out)
-
-
-def _tokens(windows: np.ndarray, shingle: int) -> np.ndarray:
-    """(windows, places) hashes of every window's shingles."""
-    places = windows.shape[1] - shingle + 1
-    return np.stack([tw.window_hashes(windows[:, k : k + shingle].reshape(-1), shingle)[::shingle] for k in range(places)], 1)
-
-
-def _indexes(docs: DataFrame, plain: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[WindowIndex]:
-    """Chooses every window's rarest shingle by counts over all documents."""
-    tokens = {n: _tokens(w, min(SHINGLE, n)) for n, (w, _) in plain.items()}
-    counts = _shingle_counts(docs, {s: np.unique(np.concatenate([t.ravel() for n, t in tokens.items() if min(SHINGLE, n) == s])) for s in {min(SHINGLE, n) for n in tokens}})
-    out = []
-    for n, (windows, owner) in plain.items():
-        shingle, token = min(SHINGLE, n), tokens[n]
-        known, number = counts[shingle]
-        often = number[np.searchsorted(known, token)]
-        offset = np.argmin(often, axis=1)
-        prefix = token[np.arange(len(token)), offset]
-        order = np.argsort(prefix, kind="stable")
-        probe = np.zeros(1 << 20, bool)
-        probe[prefix & np.uint64((1 << 20) - 1)] = True
-        out.append(WindowIndex(n, shingle, prefix[order], offset[order], windows[order], owner[order], probe))
+            for i, name in enumerate(part.column("item_id").to_pylist()):
+                a, b = words.first[i : i + 2].tolist()
+                size = min(WINDOW, b - a)
+                if not size:
+                    continue
+                own, hashed = _strings(words, a, b), _tokens(h[a:b], min(SHINGLE, size))
+                places = size - min(SHINGLE, size) + 1
+                item += [name] * (b - a - size + 1)
+                texts += [own[k : k + size] for k in range(b - a - size + 1)]
+                tokens += [hashed[k : k + places].view(np.int64) for k in range(b - a - size + 1)]
+            strings = pa.array(texts, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+            yield pa.record_batch([pa.array(item, pa.string()), strings, pa.array(tokens, pa.list_(pa.int64()))], names=["item_id", "words", "tokens"])
+
+
+def _tokens(h: np.ndarray, shingle: int) -> np.ndarray:
+    """Hashes of all shingles of a size; those of two sizes never agree but by chance."""
+    return tw.window_hashes(h, shingle, shingle - 1)
+
+
+def _filter(tokens: DataFrame) -> np.ndarray:
+    """One bit for the low bits of every token of a column ``token``; at most 2**(FILTER_BITS - 6) rows come here."""
+    bit = F.col("token").bitwiseAND((1 << FILTER_BITS) - 1).alias("bit")
+    words = tokens.select(bit).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits"))
+    got = words.toArrow()
+    out = np.zeros(max(1, 1 << (FILTER_BITS - 6)), np.int64)
+    out[got.column("at").to_numpy()] = got.column("bits").to_numpy()
     return out
 
 
-def _shingle_counts(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """How often each shingle of the benchmark block occurs in all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+class _Sent:
+    """A broadcast filter with the shingle sizes to look for."""
+
+    def __init__(self, df: DataFrame, tokens: DataFrame, sizes: list[int]) -> None:
+        self.sizes, self.mask = sizes, (1 << FILTER_BITS) - 1
+        self.bits = df.sparkSession.sparkContext.broadcast(_filter(tokens))
+
+    def probe(self) -> np.ndarray:
+        return np.unpackbits(self.bits.value.view(np.uint8), bitorder="little").view(bool)
+
+    def found(self, words: tw.Words, h: np.ndarray, probe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each shingle size the words where a shingle that passes starts, and its hash."""
+        for size in self.sizes:
+            hashed = _tokens(h, size)
+            at = np.flatnonzero(probe[(hashed & _U(self.mask)).astype(np.int64)])
+            at = at[words.left[at] >= size]
+            yield at, hashed[at]
+
+
+def _prefix_tokens(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """token, offset, window, words: of every window that can occur its rarest shingle, ties by place."""
+    places = windows.select("window", F.posexplode("tokens").alias("offset", "token"))
+    size = F.least(F.size("words"), F.lit(SHINGLE))
+    sizes = sorted(r[0] for r in windows.select(size).distinct().collect())  # at most SHINGLE
+    sent = _Sent(docs, places.select("token"), sizes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {s: np.zeros(len(t), np.int64) for s, t in sent.value.items()}
-        probes = {s: np.zeros(1 << 20, bool) for s in totals}
-        for s, t in sent.value.items():
-            probes[s][t & np.uint64((1 << 20) - 1)] = True
-        for batch in batches:
-            for part in tw.chunks(batch, "text"):
-                words = tw.split_words(*tw.text_bytes(part.column("text")), tw.ALNUM, lower=True)
-                h = words.hashes()
-                for s, t in sent.value.items():
-                    at, _ = _lookup(h, words, s, t, probes[s])
-                    totals[s] += np.bincount(at, minlength=len(t))
-        for s, n in totals.items():
-            some = np.flatnonzero(n)
-            yield pa.record_batch([pa.array(np.full(len(some), s, np.int32)), pa.array(some), pa.array(n[some])], names=["s", "i", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "s int, i long, n long").groupBy("s", "i").agg(F.sum("n").alias("n")).toArrow()
-    out = {s: (t, np.zeros(len(t), np.int64)) for s, t in wanted.items()}
-    for s in wanted:
-        own = rows.filter(pa.compute.equal(rows.column("s"), s))
-        out[s][1][own.column("i").to_numpy()] = own.column("n").to_numpy()
-    return out
+        probe, waiting, size = sent.probe(), [], 0
 
+        def summed() -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate([*waiting, np.zeros(0, _U)]), return_counts=True)
+            return pa.record_batch([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
 
-def _lookup(h: np.ndarray, words: tw.Words, shingle: int, sorted_tokens: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes into the distinct sorted tokens, and the words where these shingles stand."""
-    hashed = tw.window_hashes(h, shingle)
-    at = np.flatnonzero(probe[hashed & np.uint64((1 << 20) - 1)])
-    place = np.searchsorted(sorted_tokens, hashed[at])
-    place[place == len(sorted_tokens)] = 0
-    good = sorted_tokens[place] == hashed[at] if len(sorted_tokens) else np.zeros(0, bool)
-    at, place = at[good], place[good]
-    inside = words.left[at] >= shingle
-    return place[inside], at[inside]
-
-
-def _probed(part: pa.RecordBatch, indexes: list[WindowIndex], item_ids: list[str], bits: bool) -> pa.RecordBatch:
-    words = tw.split_words(*tw.text_bytes(part.column("text")), tw.ALNUM, lower=True)
-    h, n = words.hashes(), len(words.start)
-    starts, ends, found_text, found_item = [], [], [], []
-    text_of = words.text_of
-    for x in indexes:
-        low, at = _lookup(h, words, x.shingle, x.token, x.probe)
-        high = np.searchsorted(x.token, x.token[low], "right")
-        many = high - low
-        which = np.repeat(low, many) + _ramp(many)  # all windows with that prefix token
-        start = np.repeat(at, many) - x.offset[which]
-        text = text_of[np.repeat(at, many)]
-        fits = (start >= words.first[text]) & (start + x.length <= words.first[text + 1])
-        which, start, text = which[fits], start[fits], text[fits]
-        same = np.ones(len(which), bool)
-        for k in range(x.length):
-            same &= h[start + k] == x.words[which, k]
-        starts.append(start[same])
-        ends.append(start[same] + x.length)
-        found_text.append(text[same])
-        found_item.append(x.item[which[same]])
-    hit = tw.covered(n, np.concatenate([*starts, np.zeros(0, int)]), np.concatenate([*ends, np.zeros(0, int)]))
-    total = np.concatenate([[0], np.cumsum(hit)])
-    items: list[list[str]] = [[] for _ in range(part.num_rows)]
-    pairs = np.unique(np.stack([np.concatenate([*found_text, np.zeros(0, int)]), np.concatenate([*found_item, np.zeros(0, int)])]), axis=1)
-    for text, item in pairs.T.tolist():
-        if item >= 0:
-            items[text].append(item_ids[item])
-    columns = [part.column("doc_id")] + ([part.column("row")] if bits else [])
-    columns += [
-        pa.array(np.diff(words.first), pa.int64()),
-        pa.array(total[words.first[1:]] - total[words.first[:-1]], pa.int64()),
-        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-    ]
-    names = ["doc_id", *["row"] * bits, "n_words", "n_hit", "items"]
-    if bits:
-        columns.append(pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)], pa.binary()))
-        names.append("hits")
-    return pa.record_batch(columns, names=names)
-
-
-def _ramp(lengths: np.ndarray) -> np.ndarray:
-    """0 .. n-1 for each length n, one after the other."""
-    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        for batch in batches:
+            for part in tw.chunks(batch, "text"):
+                words = _split(part)
+                for _, hashed in sent.found(words, words.hashes(), probe):
+                    waiting.append(hashed)
+                    size += len(hashed)
+                if size >= FLUSH_COUNTS:
+                    yield summed()
+                    waiting, size = [], 0
+        yield summed()
+
+    counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    often = places.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = often.groupBy("window").agg(F.min(F.struct("n", "offset", "token")).alias("least")).where(F.col("least.n") > 0)
+    return rarest.join(windows.select("window", "words"), "window").select("least.token", "least.offset", "window", "words")
+
+
+def _with_places(docs: DataFrame, prefix: DataFrame) -> DataFrame:
+    """row, doc_id, n_words, places: where a prefix token may stand, with the words around it."""
+    size = F.least(F.size("words"), F.lit(SHINGLE))
+    sizes = sorted(r[0] for r in prefix.select(size).distinct().collect())  # at most SHINGLE
+    sent = _Sent(docs, prefix.select("token"), sizes)
+    around = [("token", pa.int64()), ("at", pa.int64()), ("back", pa.int64()), ("words", pa.list_(pa.binary()))]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probe = sent.probe()
+        for batch in batches:
+            for part in tw.chunks(batch, "text"):
+                words = _split(part)
+                found = [[] for _ in range(part.num_rows)]
+                text_of = words.text_of
+                for at, hashed in sent.found(words, words.hashes(), probe):
+                    for k, token in zip(at.tolist(), hashed.view(np.int64).tolist(), strict=True):
+                        text = int(text_of[k])
+                        first, last = int(words.first[text]), int(words.first[text + 1])
+                        a = max(first, k - WINDOW + 1)
+                        found[text].append((token, k - first, k - a, _strings(words, a, min(last, k + WINDOW))))
+                flat = [p for some in found for p in some]
+                fields = [pa.array([p[j] for p in flat], kind) for j, (_, kind) in enumerate(around)]
+                fields[3] = fields[3].cast(pa.list_(pa.string()))
+                edges = np.r_[0, np.cumsum([len(some) for some in found])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(fields, [n for n, _ in around]))
+                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(words.first), pa.int64()), lists], names=["doc_id", "n_words", "places"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_words long, places array<struct<token:long,at:long,back:long,words:array<string>>>"
+    return docs.mapInArrow(place, schema).withColumn("row", F.monotonically_increasing_id())
+
+
+def _verified(rows: DataFrame, prefix: DataFrame) -> DataFrame:
+    """row, window, start, end of every occurrence: bounded by offset and length, then compared as text."""
+    places = rows.select("row", "n_words", F.explode("places").alias("p")).select("row", "n_words", "p.token", "p.at", "p.back", F.col("p.words").alias("around"))
+    met = places.join(prefix, "token")
+    start, length = F.col("at") - F.col("offset"), F.size("words")
+    met = met.where((start >= 0) & (start + length <= F.col("n_words")))
+    same = F.slice("around", (F.col("back") - F.col("offset") + 1).cast("int"), length) == F.col("words")
+    return met.where(same).select("row", "window", start.alias("start"), (start + length).alias("end"))
+
+
+def _covered():
+    """Words in the union of the sorted spans."""
+    begin = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc, s):
+        new = F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(acc["upto"], s["start"]))
+        return F.struct(F.greatest(acc["upto"], s["end"]).alias("upto"), (acc["n"] + new).alias("n"))
+
+    return F.aggregate("spans", begin, step, lambda acc: acc["n"])

@@ -225,11 +225,14 @@ def brute_contamination(found, items):
     return out
 
 
-@pytest.mark.parametrize("block", [250_000, 5])
-def test_decontaminate(spark, block):
+@pytest.mark.parametrize("bits", [de.FILTER_BITS, 6])
+def test_decontaminate(spark, monkeypatch, bits):
+    """Also with a filter so small that it lets nearly everything pass."""
+    monkeypatch.setattr(de, "FILTER_BITS", bits)
+    monkeypatch.setattr(de, "FLUSH_COUNTS", 100)
     found = texts()
     items, table = benchmark(spark)
-    got = by_id(de.decontaminate(documents(spark), table, block_windows=block))
+    got = by_id(de.decontaminate(documents(spark), table))
     for i, want in enumerate(brute_contamination(found, items)):
         assert tuple(got[i][c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == want
 
