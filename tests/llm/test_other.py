@@ -58,6 +58,46 @@ def test_compaction_versions_and_conflicts(spark, tmp_path):
     assert store.read().count() == docs.count()
 
 
+def test_columns_with_the_names_of_steps(spark):
+    names = ("_metadata", "shard__", "shard_of_row", "run", "Run_", "shard", "version", "shard_rows", "c0", "file_path")
+    docs = documents(spark, extra=False).select("doc_id", "text", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    out = sharding.shard_documents(docs, arrival_rows=7, target_bytes=60_000)
+    columns = ["doc_id", "text", "_metadata", "shard__", "shard_of_row", "run", "Run_", "c0", "file_path"]
+    assert rows_of(out, columns) == rows_of(docs, columns)
+    assert out.where("version > 1").count() == docs.count()
+
+
+def test_commits_are_whole_or_not_there(spark, tmp_path):
+    docs = documents(spark)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", docs.schema)
+    store.append(docs)
+    # A writer lost before its rename leaves no version behind, and the next one can commit.
+    (tmp_path / "s/manifest/v2-lost.waiting").write_bytes(b"")
+    assert store.version() == 1 and store.read().count() == docs.count()
+    assert store.append(docs.limit(2)) == 2
+    with pytest.raises(sharding.ConcurrentCommit):
+        store.commit(store.manifest(), after=1)
+    assert store.version() == 2 and store.read().count() == docs.count() + 2
+    assert sorted(p.name for p in (tmp_path / "s/manifest").glob("*.commit")) == ["v1.commit", "v2.commit"]
+
+
+def test_runs_of_many_ranges(spark, tmp_path, monkeypatch):
+    """Every planned run holds similar shards and no more than fits; numbers have no gaps."""
+    monkeypatch.setattr(sharding, "RANGE_RUNS", 2)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", documents(spark).schema)
+    r = random.Random(5)
+    sizes = [(f"data/x/{i}", 1, r.choice([10, 12, 15, 70, 90, 400, 600])) for i in range(300)]
+    store.commit(spark.createDataFrame(sizes, "shard string, shard_rows long, shard_bytes long"), 0)
+    of = {s: b for s, _, b in sizes}
+    runs = {}
+    for row in store.plan(1000, fanout=3).collect():
+        runs.setdefault(row["run"], []).append(of[row["shard"]])
+    assert sorted(runs) == list(range(len(runs))) and len(runs) > 10
+    for own in runs.values():
+        assert len(own) > 1 and (len(own) >= 3 or sum(own) >= 500)
+        assert sum(own) - max(own) < 1000 and max(own) < 500 and max(own) <= 4 * min(own)
+
+
 def test_only_similar_sizes_merge(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", documents(spark).schema)
     sizes = [("data/x/a", 1, 10), ("data/x/b", 1, 12), ("data/x/c", 1, 900), ("data/x/d", 1, 5000)]
