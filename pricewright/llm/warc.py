@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pricewright.llm.scratch import bound_arrow_batches, new_path, staged
 
-#: Aimed size of one archive file before compression.
+#: An archive file is closed once it holds so many bytes; the reader takes a file at a time, of at most 2 GB.
 ARCHIVE_BYTES = 16 * 1024 * 1024
 #: Payloads of at least so many bytes are stored once; later copies revisit the first.
 REVISIT_BYTES = 0
@@ -32,6 +33,7 @@ DATE = "1970-01-01T00:00:00Z"
 #: A gzip member without content.
 EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
 
+_LOG = logging.getLogger(__name__)
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _OUT = "file string, offset long, length long, kind string, reason string, headers map<string,string>, payload_bytes long, payload_digest string, payload binary"
 
@@ -64,46 +66,62 @@ def capture_records(df: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
 
 
-def write_warc(records: DataFrame, path: str, compression: str = "gzip", archive_bytes: int = ARCHIVE_BYTES, mean_bytes: float = 4096) -> str:
+def page_urn(page_id: Column) -> Column:
+    """Record id of a page, its id percent-encoded; a null id has no third part."""
+    encoded = F.concat(F.lit("<urn:page:"), F.url_encode(page_id.cast("string")), F.lit(">"))
+    return F.when(page_id.isNull(), F.lit("<urn:page>")).otherwise(encoded)
+
+
+def page_of_urn(urn: Column) -> Column:
+    return F.when(urn != "<urn:page>", F.url_decode(F.regexp_extract(urn, "^<urn:page:(.*)>$", 1)))
+
+
+def write_warc(records: DataFrame, path: str, compression: str = "gzip", archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Writes records of ``capture_records`` as archive files below ``path``.
 
-    A revisit has no body; its digest and length headers are those of the full payload.
-    ``mean_bytes``, the mean of payload and url, sets how many records make a file of ``archive_bytes``.
+    A revisit has no body; its digest and length headers are those of the full payload.  Each task
+    starts another file once its last one holds ``archive_bytes``, so a file is larger only by
+    its last record.
     """
     revisit = F.col("refers_to").isNotNull()
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     clean = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", urn(F.col("page_id"))),
+        line("WARC-Record-ID", page_urn(F.col("page_id"))),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", clean),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
         line("X-Payload-Length", F.col("payload_bytes").cast("string")),
-        F.when(revisit, line("WARC-Refers-To", urn(F.col("refers_to")))).otherwise(""),
+        F.when(revisit, line("WARC-Refers-To", page_urn(F.col("refers_to")))).otherwise(""),
         line("Content-Length", F.when(revisit, "0").otherwise(F.col("payload_bytes").cast("string"))),
         F.lit("\r\n"),
     )
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string"))
     # The text writer puts the separator behind each row, which completes a plain record.
+    compressed = compression == "gzip"
     text = records.select(F.concat(head, body).alias("value"))
-    separator = END
-    if compression == "gzip":
-        text = text.mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
-        separator = EMPTY_MEMBER
-    per_file = max(1, int(archive_bytes / (max(mean_bytes, 1) + 512)))
-    writer = text.write.option("lineSep", separator.decode("iso-8859-1")).option("encoding", "iso-8859-1").option("maxRecordsPerFile", per_file)
-    writer.text(path)
+    dealt = text.mapInArrow(lambda it: _members(it, compressed, archive_bytes), "value binary, part int")
+    separator = (EMPTY_MEMBER if compressed else END).decode("iso-8859-1")
+    dealt = dealt.select(F.col("value").cast("string"), "part")
+    dealt.write.partitionBy("part").option("lineSep", separator).option("encoding", "iso-8859-1").text(path)
     return path
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each record as a gzip member."""
+def _members(batches: Iterator[pa.RecordBatch], compressed: bool, archive_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Each record, as a gzip member if compressed, with the number of the task's file it goes to."""
+    part, size = 0, 0
     for batch in batches:
-        values = (gzip.compress(v.as_py().encode() + END, mtime=0) for v in batch.column("value"))
-        yield pa.record_batch([pa.array(list(values), pa.binary())], names=["value"])
+        values, parts = [], []
+        for v in batch.column("value"):
+            value = v.as_py().encode()
+            values.append(gzip.compress(value + END, mtime=0) if compressed else value)
+            parts.append(part)
+            size += len(values[-1])
+            if size >= archive_bytes:
+                part, size = part + 1, 0
+        yield pa.record_batch([pa.array(values, pa.binary()), pa.array(parts, pa.int32())], names=["value", "part"])
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -253,23 +271,42 @@ def _parsed(data: memoryview, at: int) -> tuple[dict[str, str], int, bytes, str]
     return headers, end + len(END) - at, payload, digest
 
 
+class LostRecords(RuntimeError):
+    """The archives don't give back what was written to them."""
+
+
 def archive_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes a record per page and reads the archives back: page_id, payload_bytes,
-    payload_digest, record_type, refers_to.  An empty table gives an empty result."""
+    payload_digest, record_type, refers_to.
+
+    What the reader finds is written as a table, gaps included; if there is a gap, or if there are more
+    or fewer records than pages, they are logged and LostRecords is raised.  Ids of any type and
+    content come back as they were.  An empty table gives an empty result.
+    """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType
     bound_arrow_batches(spark)
-    written = F.coalesce(F.octet_length(html_col), F.lit(0)) + F.coalesce(F.octet_length(url_col), F.lit(0)).cast("long")
-    mean = df.agg(F.avg(written)).first()[0] or 0
-    path = write_warc(capture_records(df, id_col, url_col, html_col), new_path(spark, "warc"), mean_bytes=mean)
-    records = read_warc(spark, path, with_payload=False).where(F.col("kind") == "record")
-    header = lambda name: F.element_at("headers", name)
-    number = lambda c: F.nullif(F.regexp_extract(c, "<urn:page:(.*)>", 1), F.lit("")).cast(kind)
+    path = write_warc(capture_records(df, id_col, url_col, html_col), new_path(spark, "warc"))
+    rows = staged(read_warc(spark, path, with_payload=False), "warcrows")
+    check_whole(rows, df.count())
+    header = lambda name: F.try_element_at("headers", F.lit(name))
+    number = lambda c: page_of_urn(c).cast(kind)
     revisit = header("warc-type") == "revisit"
-    return records.select(
+    return rows.where(F.col("kind") == "record").select(
         number(header("warc-record-id")).alias("page_id"),
         F.when(revisit, header("x-payload-length").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.regexp_replace(header("warc-payload-digest"), "^sha1:", "")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         header("warc-type").alias("record_type"),
         F.when(revisit, number(header("warc-refers-to"))).alias("refers_to"),
     )
+
+
+def check_whole(rows: DataFrame, expected: int) -> None:
+    """Raises LostRecords unless ``rows`` of ``read_warc`` are ``expected`` records and no gap."""
+    kinds = {r["kind"]: r for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).collect()}
+    found, gaps = kinds["record"]["n"] if "record" in kinds else 0, kinds.get("gap")
+    if gaps:
+        for r in rows.where(F.col("kind") == "gap").select("file", "offset", "length", "reason").limit(20).collect():
+            _LOG.error("quarantined %s bytes at %s of %s: %s", r["length"], r["offset"], r["file"], r["reason"])
+    if gaps or found != expected:
+        raise LostRecords(f"{found} of {expected} records read back, {gaps['n'] if gaps else 0} gaps of {gaps['bytes'] if gaps else 0} bytes")

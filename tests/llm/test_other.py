@@ -186,7 +186,7 @@ def test_warc_round_trip(spark, tmp_path, compression):
 def test_warc_reader_logs_gaps_of_damaged_files(spark, tmp_path, compression):
     pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1)
     path = warc.write_warc(warc.capture_records(pages), f"{tmp_path}/w", compression)
-    file = next(p for p in Path(path).iterdir() if p.name.startswith("part-"))
+    file = next(p for p in Path(path).rglob("part-*") if p.is_file())
     data = bytearray(file.read_bytes())
     data[len(data) // 2 : len(data) // 2 + 30] = b"#" * 30
     crc = file.with_name(f".{file.name}.crc")
@@ -203,6 +203,25 @@ def test_warc_keeps_pages_with_very_long_urls(spark):
     assert got == {1: (4, "revisit", 3), 2: (4, "revisit", 3), 3: (4, "response", None), 4: (5, "response", None)}
 
 
+def test_warc_ids_of_any_content(spark):
+    ids = ["a\r\nWARC-Type: revisit", "a", "", "<urn:page:1>", "x y+z%41", "é>", None]
+    pages = spark.createDataFrame([(i, "u", "same") for i in ids], "page_id string, url string, html string")
+    got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(pages).collect()]
+    assert sorted(got, key=str) == sorted([(i, "response" if i == "é>" else "revisit", None if i == "é>" else "é>") for i in ids], key=str)
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc_files_are_cut_by_bytes(spark, tmp_path, compression):
+    r = random.Random(1)
+    pages = spark.createDataFrame([(i, "u", r.randbytes(r.choice([10, 3000])).hex()) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    path = warc.write_warc(warc.capture_records(pages), f"{tmp_path}/w", compression, archive_bytes=20_000)
+    sizes = [p.stat().st_size for p in Path(path).rglob("part-*") if p.is_file()]
+    assert len(sizes) > 3 and max(sizes) < 20_000 + 7_000
+    warc.check_whole(warc.read_warc(spark, path), 60)
+    with pytest.raises(warc.LostRecords):
+        warc.check_whole(warc.read_warc(spark, path), 61)
+
+
 def test_salvage_takes_long_headers_and_stops_at_the_next_record():
     long = record(b"payload", "x" * 200_000)
     for data in (long + record(b"b"), gzip.compress(long) + gzip.compress(record(b"b"))):
