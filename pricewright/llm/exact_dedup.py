@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pricewright.llm.scratch import staged
 
@@ -44,13 +43,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
     hot = _hot_groups(digests)
     marked = digests.join(F.broadcast(hot), "digest", "left")
-    group = Window.partitionBy("digest")
-    rest = marked.where(F.col("group_size").isNull()).select(
-        "doc_id",
-        "digest",
-        F.min("doc_id").over(group).alias("keep_id"),
-        F.count(F.lit(1)).over(group).alias("group_size"),
-    )
+    # Partial sums before the shuffle and a join of one row per digest: no task holds a whole group.
+    plain = marked.where(F.col("group_size").isNull()).select("doc_id", "digest")
+    groups = plain.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    rest = plain.join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size")
     decided = marked.where(F.col("group_size").isNotNull()).select(*rest.columns)
     return decided.unionByName(rest).select(
         "doc_id",

@@ -1,7 +1,9 @@
 """URL filter: gradient-boosted trees on lexical features, below an explicit rule list.
 
-URLs that a rule decides are the labelled ones.  Suffix statistics are counted over all URLs;
-the trees are fitted on a bounded sample of the URLs of either label and judge the URLs without a rule.
+URLs that a rule decides are the labelled ones.  Suffix statistics are counted over all URLs; a
+labelled URL that the trees learn from gets its suffix's rate from the other folds, so that it
+never meets its own label as a feature.  The trees are fitted on a bounded sample of the URLs of
+either label and judge the URLs without a rule.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pricewright.llm.scratch import staged
 #: has fewer; of more, those with the smallest URL hashes.
 MAX_TRAINING_ROWS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Folds of labelled URLs, by URL hash.
+FOLDS = 5
 #: Fixed values.  Rules of the query: host, path, verdict.
 RULES = (
     ("com", "/en/", "block"),
@@ -77,16 +81,34 @@ def with_lexical_features(df: DataFrame, url: Column) -> DataFrame:
     )
 
 
+def fold_of(url: Column) -> Column:
+    """Fold of a URL, equal URLs in one."""
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
+
+
 def suffix_statistics(df: DataFrame) -> DataFrame:
-    """Of every suffix, its share of all URLs and its smoothed rate of blocked labelled ones."""
-    total = df.count()
-    blocked, labelled = F.count_if(F.col("label") == 1), F.count("label")
+    """Of every suffix its share of all URLs, and the smoothed rates of blocked among labelled URLs:
+    of all (suffix_block_rate), and of all but each fold (other_folds)."""
+    total, fold = df.count(), fold_of(F.col("url"))
+    rate = lambda among: (F.count_if(among & (F.col("label") == 1)) + 1.0) / (F.count_if(among & F.col("label").isNotNull()) + 2.0)
     return df.groupBy("suffix").agg(
         (F.count(F.lit(1)) / F.lit(max(total, 1))).alias("suffix_share"),
-        ((blocked + 1.0) / (labelled + 2.0)).alias("suffix_block_rate"),
+        rate(F.lit(True)).alias("suffix_block_rate"),
+        F.array(*(rate(fold != k) for k in range(FOLDS))).alias("other_folds"),
     )
 
 
+def with_suffix_statistics(df: DataFrame, statistics: DataFrame, learning: bool = False) -> DataFrame:
+    """Adds suffix_share and suffix_block_rate, for rows to learn from the rate outside their fold.
+
+    A suffix without statistics has share 0 and rate 0.5.
+    """
+    rate = F.element_at("other_folds", fold_of(F.col("url")) + 1) if learning else F.col("suffix_block_rate")
+    chosen = statistics.select("suffix", "other_folds", "suffix_block_rate", F.col("suffix_share").alias("share"))
+    joined = df.join(chosen, "suffix", "left").withColumn("rate", rate)
+    return joined.select(*df.columns, F.coalesce("share", F.lit(0.0)).alias("suffix_share"), F.coalesce("rate", F.lit(0.5)).alias("suffix_block_rate"))
+
+
 def fit_url_trees(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> GBTClassificationModel | None:
     """Trees for rows with FEATURES and label (1 block, 0 allow); None without both labels.
 
@@ -127,8 +149,9 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
         "label", F.when(F.col("rule").isNotNull(), (F.col("rule_verdict") == "block").cast("int"))
     )
     rows = staged(rows, "urls")
-    rows = rows.join(staged(suffix_statistics(rows), "suffixes"), "suffix")
-    model = fit_url_trees(rows.where(F.col("label").isNotNull()))
+    statistics = staged(suffix_statistics(rows), "suffixes")
+    model = fit_url_trees(with_suffix_statistics(rows.where(F.col("label").isNotNull()), statistics, learning=True))
+    rows = with_suffix_statistics(rows, statistics)
     if model is None:
         only = rows.agg(F.max("label")).first()[0]
         scored = rows.withColumn("score", F.lit(float(only or 0)))
