@@ -6,8 +6,11 @@ they travel as one packed string to the minimiser's bucket.  There the windows a
 again, sorted and counted, and each window in a document other than the smallest one is
 reported back to its document, which then drops the covered words.
 
-Windows that a smaller document of the same chunk also holds are decided before the shuffle
-and don't travel, so a passage in a third of all documents travels once per chunk.
+Windows that a smaller document also holds are decided before the shuffle where the task has seen
+that: within a chunk of texts, and for windows that repeated in a chunk (``_Hot``) within the
+whole task.  They don't travel, so a passage in a third of all documents travels about once per task,
+not once per document.  A bucket is counted piece by piece; of a window's occurrences only those in the
+smallest document so far are held, so memory grows with distinct windows and not with copies.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pricewright.llm.scratch import bound_arrow_batches
 WINDOW, MINIMISER = 13, 3
 #: Buckets per shuffle partition, and packed bytes that a task gathers before it sends them.
 BUCKETS_PER_PARTITION, FLUSH_BYTES = 4, 24 * 1024 * 1024
+#: Repeated windows that a task remembers (the latest; those forgotten travel), and windows of a bucket counted at once.
+HOT_WINDOWS, COUNTED_AT_ONCE = 500_000, 2_000_000
 
 _NO_ID = 2**63 - 1
 _ROWS = "bucket int, doc long, key long, packed binary"
@@ -64,7 +69,7 @@ def _packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
     """Super-k-mers by bucket, and verdicts that the chunk alone can give (bucket -1)."""
     waiting: list[tuple[np.ndarray, ...]] = []
     strings: list[list[bytes]] = []
-    size = 0
+    size, hot = 0, _Hot()
     for batch in batches:
         for part in tw.chunks(batch, "text"):
             doc, key = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "key"))
@@ -73,7 +78,7 @@ def _packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             if not len(at):
                 continue
             h, text = words.hashes(), words.text_of[at]
-            later = _repeated_in_chunk(h, at, doc[text])
+            later = _repeated(tw.window_hashes(h, WINDOW)[at], tw.window_hashes(words.hashes(1), WINDOW, 1)[at], doc[text], hot)
             if later.any():
                 yield _verdict_rows(doc[text[later]], key[text[later]], (at - words.first[text])[later])
             at, text = at[~later], text[~later]
@@ -97,23 +102,50 @@ def _packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         yield _blobs(waiting, strings)
 
 
-def _repeated_in_chunk(h: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Windows that also start in a smaller document of the chunk, compared word by word."""
-    hashed = tw.window_hashes(h, WINDOW)[at]
-    order = np.argsort(hashed, kind="stable")
-    ranked, new = doc[order], np.r_[True, np.diff(hashed[order]) != 0]
-    group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+class _Hot:
+    """Windows that repeated in some chunk of the task, each with the smallest document that held it."""
+
+    def __init__(self) -> None:
+        self.first, self.second, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def smallest(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """For each window the smallest document known to hold it, or the largest number."""
+        if not len(self.first):
+            return np.full(len(first), _NO_ID, np.int64)
+        at = np.searchsorted(self.first, first)
+        at[at == len(self.first)] = 0
+        known = (self.first[at] == first) & (self.second[at] == second)
+        return np.where(known, self.doc[at], _NO_ID)
+
+    def remember(self, first: np.ndarray, second: np.ndarray, doc: np.ndarray) -> None:
+        first, second, doc = (np.r_[new, old][:HOT_WINDOWS] for new, old in ((first, self.first), (second, self.second), (doc, self.doc)))
+        order = np.lexsort((doc, second, first))
+        first, second, doc = first[order], second[order], doc[order]
+        new = np.r_[True, first[1:] != first[:-1]]  # one window for each first hash is enough
+        self.first, self.second, self.doc = first[new], second[new], doc[new]
+
+
+def _groups(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by both hashes, and where in it a new window begins."""
+    order = np.argsort(first, kind="stable")
+    if ((np.diff(first[order]) == 0) & (np.diff(second[order]) != 0)).any():
+        order = np.lexsort((second, first))
+    return order, np.r_[True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)]
+
+
+def _repeated(first: np.ndarray, second: np.ndarray, doc: np.ndarray, hot: _Hot) -> np.ndarray:
+    """Windows of a chunk that also start in a smaller document of the chunk, or of the task if hot."""
+    order, new = _groups(first, second)
+    ranked, heads = doc[order], np.flatnonzero(new)
+    group = np.cumsum(new) - 1
     smallest = np.minimum.reduceat(ranked, heads)
-    is_least = np.flatnonzero(ranked == smallest[group])
-    model = np.empty(len(heads), np.int64)
-    model[group[is_least][::-1]] = order[is_least][::-1]  # a window of the smallest document
-    found = np.flatnonzero(ranked > smallest[group])
-    mine, other = at[order[found]], at[model[group[found]]]
-    same = np.ones(len(found), bool)
-    for k in range(WINDOW):
-        same &= h[mine + k] == h[other + k]
-    out = np.zeros(len(at), bool)
-    out[order[found[same]]] = True
+    several = np.maximum.reduceat(ranked, heads) > smallest
+    at = order[heads]
+    smallest = np.minimum(smallest, hot.smallest(first[at], second[at]))
+    if several.any():
+        hot.remember(first[at[several]], second[at[several]], smallest[several])
+    out = np.zeros(len(first), bool)
+    out[order] = ranked > smallest[group]
     return out
 
 
@@ -179,45 +211,52 @@ def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts the windows of one bucket after the other; rows come sorted by bucket."""
-    current, windows = None, []
+    current, waiting, size, enough = None, [], 0, COUNTED_AT_ONCE
     for batch in batches:
         decided = pc.less(batch.column("bucket"), 0)
         yield batch.filter(decided)
         batch = batch.filter(pc.invert(decided))
         for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("packed"), strict=True):
-            if bucket != current and windows:
-                yield from _counted(windows)
-                windows = []
+            if waiting and (bucket != current or size >= enough):
+                verdicts, held = _counted(waiting)
+                yield from verdicts
+                # A bucket goes on with what may still be the smallest document of its window.
+                waiting = [held] if bucket == current else []
+                size, enough = 0, max(COUNTED_AT_ONCE, len(held[0]) if bucket == current else 0)
             current = bucket
-            windows.append(_unpacked(blob.as_py()))
-    if windows:
-        yield from _counted(windows)
+            waiting.append(_unpacked(blob.as_py()))
+            size += len(waiting[-1][0])
+    if waiting:
+        yield from _counted(waiting)[0]
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     """Hash pair, document, text key and start of every window of a blob's super-k-mers."""
     doc, key, start, length, data = _opened(blob)
     words = tw.split_words(data, np.r_[0, np.cumsum(length)], tw.SPACED)
-    h, at = words.hashes(), tw.starts_of_windows(words, WINDOW)
+    at = tw.starts_of_windows(words, WINDOW)
     owner = words.text_of[at]
     return (
-        tw.window_hashes(h, WINDOW)[at], tw.window_hashes(h, WINDOW, 1)[at], doc[owner], key[owner],
+        tw.window_hashes(words.hashes(), WINDOW)[at], tw.window_hashes(words.hashes(1), WINDOW, 1)[at], doc[owner], key[owner],
         (start[owner] + at - words.first[owner]).astype(np.int32),
     )
 
 
-def _counted(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Sorts the windows of a bucket; reports those that a smaller document also holds."""
-    hashed, second, doc, key, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(hashed, kind="stable")
-    if ((np.diff(hashed[order]) == 0) & (np.diff(second[order]) != 0)).any():
-        order = np.lexsort((second, hashed))
-    new = np.r_[True, (np.diff(hashed[order]) != 0) | (np.diff(second[order]) != 0)]
+def _counted(parts: list[tuple[np.ndarray, ...]]) -> tuple[list[pa.RecordBatch], tuple[np.ndarray, ...]]:
+    """Sorts windows; reports those that a smaller document also holds, and keeps the others.
+
+    Windows are told apart by two sums over independent 64-bit hashes of their words.
+    """
+    every = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    first, second, doc, key, start = every
+    if not len(first):
+        return [], tuple(every)
+    order, new = _groups(first, second)
     ranked = doc[order]
     smallest = np.minimum.reduceat(ranked, np.flatnonzero(new))
-    later = order[ranked > smallest[np.cumsum(new) - 1]]
-    if len(later):
-        yield _verdict_rows(doc[later], key[later], start[later])
+    is_later = ranked > smallest[np.cumsum(new) - 1]
+    later, held = order[is_later], order[~is_later]
+    return [_verdict_rows(doc[later], key[later], start[later])] if len(later) else [], tuple(x[held] for x in every)
 
 
 def _verdict_rows(doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> pa.RecordBatch:

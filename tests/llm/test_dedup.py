@@ -150,8 +150,11 @@ def test_substring(spark, partitions):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"], got[i]["kept_text"]) == (n, gone, digest, kept)
 
 
-def test_substring_many_chunks_and_flushes(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 20, 500_000])
+def test_substring_many_chunks_and_flushes(monkeypatch, hot):
     monkeypatch.setattr(sd, "FLUSH_BYTES", 2000)
+    monkeypatch.setattr(sd, "COUNTED_AT_ONCE", 50)
+    monkeypatch.setattr(sd, "HOT_WINDOWS", hot)
     monkeypatch.setattr(sd.tw, "chunks", lambda batch, column, n=300, real=sd.tw.chunks: real(batch, column, n))
     found = texts(seed=3)
     rows = list(zip(range(len(found)), found, strict=True))
