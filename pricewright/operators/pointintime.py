@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Fixed value: what every lookahead error ends with.
+LOOKAHEAD = "Future information must never enter a historical prediction."
+
 
 def usable_at(observed_at: Column, cutoff: Column) -> Column:
     """Observed no later than the cutoff (inclusive); a missing time is not usable."""
@@ -62,8 +65,8 @@ def latest_snapshot(df: DataFrame, keys: Sequence[str], cutoff: Column | None =
 
 
 def opening_snapshot(df: DataFrame, keys: Sequence[str], cutoff: Column | None = None, at: str = "observed_at", seq: str = "seq") -> DataFrame:
-    """First row in input order that is flagged as opening."""
-    opening = df.where("is_opening")
+    """First row in input order, of the rows flagged ``is_opening`` where there is such a flag."""
+    opening = df.where("is_opening") if "is_opening" in df.columns else df
     return first_by(opening if cutoff is None else filter_to_cutoff(opening, cutoff, at), keys, [seq])
 
 
@@ -78,12 +81,25 @@ def lookahead_violations(df: DataFrame, cutoff: Column, at: str = "observed_at")
     return df.where(F.col(at) > cutoff)
 
 
+def first_violation(cutoff: Column, at: Column, seq: Column, within: Column | bool = True) -> Column:
+    """Aggregate: time of the first row in input order (of those ``within``) that is after the cutoff; else NULL."""
+    late = (at > cutoff) & (within if isinstance(within, Column) else F.lit(within))
+    return F.min_by(F.when(late, at), F.when(late, seq))
+
+
+def violation_message(context: Column | str, key: Column, at: Column, cutoff: Column) -> Column:
+    """What a lookahead error says; NULL if ``at`` is.  Times are shown as UTC to the millisecond."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    context = context if isinstance(context, Column) else F.lit(context)
+    text = F.concat(context, F.lit(" for "), key.cast("string"), F.lit(": record observed at "), iso(at), F.lit(" is after prediction cutoff "), iso(cutoff), F.lit(". " + LOOKAHEAD))
+    return F.when(at.isNotNull(), text)
+
+
 def lookahead_by_key(df: DataFrame, keys: Sequence[str], cutoff: Column, context: str, at: str = "observed_at", seq: str = "seq") -> DataFrame:
     """For each key with a violation, its first one in input order and a message."""
-    first = F.min_by(F.col(at), F.col(seq)).alias("first_at")
     name = F.concat_ws("/", *(F.col(k).cast("string") for k in keys))
-    message = F.concat(F.lit(f"{context} for "), name, F.lit(": observed after the cutoff"))
-    return lookahead_violations(df, cutoff, at).groupBy(*keys).agg(first, F.count(F.lit(1)).alias("violations")).withColumn("message", message)
+    late = lookahead_violations(df, cutoff, at).groupBy(*keys).agg(F.min_by(F.col(at), F.col(seq)).alias("first_at"), F.count(F.lit(1)).alias("violations"))
+    return late.withColumn("message", violation_message(context, name, F.col("first_at"), cutoff))
 
 
 def assert_no_lookahead(df: DataFrame, cutoff: Column, context: str, at: str = "observed_at") -> DataFrame:

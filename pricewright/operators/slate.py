@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewright.operators.metrics import edge_tier
+from pricewright.operators.pointintime import first_violation
 
 OFFENSIVE_LINE = ("LT", "LG", "C", "RG", "RT")
 DEGRADED = ("MISSING", "STALE", "CONFLICTING")
@@ -15,18 +16,27 @@ def injury_severity(impact: Column) -> Column:
     return F.when(impact > 2.5, "HIGH").when(impact > 1, "MODERATE").when(impact > 0, "LOW").otherwise("NONE")
 
 
-def availability_summary(availability: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: worst loss and its severity, summed impact of doubtful players, uncertainty flags."""
-    p, impact = F.col("active_probability"), F.col("impact")
+def availability_summary(availability: DataFrame, keys: list[str], cutoff: Column | None = None) -> DataFrame:
+    """Per key: worst loss and its severity, summed impact of doubtful players, uncertainty flags.
+
+    With a cutoff only rows observed by then count, and ``late_at`` is the first later one, all in one aggregate.
+    """
+    usable = F.lit(True) if cutoff is None else F.coalesce(F.col("observed_at") <= cutoff, F.lit(False))
+    p, impact = F.when(usable, F.col("active_probability")), F.col("impact")
     quarterback = (F.col("position") == "QB") & (p > 0.15) & (p < 0.85)
     uncertain = (p > 0.2) & (p < 0.9) & (impact >= 1.5)
     worst = F.greatest(F.coalesce(F.max((1 - p) * impact), F.lit(0.0)), F.lit(0.0))
+    more = []
+    if cutoff is not None:
+        doubtful = F.struct(F.col("player_id"), F.col("position"), p.alias("active_probability"))
+        more = [F.min_by(F.when(p < 0.9, doubtful), F.when(p < 0.9, F.col("seq"))).alias("doubtful"), first_violation(cutoff, F.col("observed_at"), F.col("seq")).alias("late_at")]
     return availability.groupBy(*keys).agg(
         worst.alias("worst_impact"),
         injury_severity(worst).alias("injury_severity"),
         F.coalesce(F.sum(F.when(p < 0.9, impact * (1 - p) * 0.4)), F.lit(0.0)).alias("availability_impact"),
         F.coalesce(F.bool_or(quarterback), F.lit(False)).alias("quarterback_unresolved"),
         F.coalesce(F.bool_or(uncertain), F.lit(False)).alias("injury_uncertain"),
+        *more,
     )
 
 

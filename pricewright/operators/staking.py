@@ -54,12 +54,14 @@ def with_stake(
     """Adds a struct of every stage, the final fraction and amount, and what bound it.
 
     The minimum is taken over structs (fraction, order, label), so the first of equals wins.
-    Exposures are fractions of the bankroll.  Invalid odds or probabilities give NULL.  The
+    Exposures are fractions of the bankroll.  Invalid odds, probabilities, multipliers or
+    bankrolls (``stake_input_errors`` names them) give NULL, so that one row doesn't stop a batch.  The
     steps are columns of their own, so that each is computed once per row.
     """
     column = lambda x: x if isinstance(x, Column) else F.lit(float(x))
     room = lambda cap, used: F.greatest(F.lit(0.0), cap - F.coalesce(column(used), F.lit(0.0)))
-    rows = df.withColumns({"_kelly": full_kelly(p, american, push), "_factors": F.array(*map(column, (uncertainty, quality, calibration)))})
+    valid = F.size(stake_input_errors(column(uncertainty), column(quality), column(calibration), bankroll)) == 0
+    rows = df.withColumns({"_kelly": F.when(valid, full_kelly(p, american, push)), "_factors": F.array(*map(column, (uncertainty, quality, calibration)))})
     stages = [F.col("_kelly"), F.col("_kelly") * controls.kelly_fraction]
     for i in range(3):
         stages.append(stages[-1] * F.col("_factors")[i])

@@ -224,7 +224,18 @@ def best_candidate(t: Tables) -> DataFrame:
 @query
 def recommendations(t: Tables) -> DataFrame:
     rows = plan.evaluate(t, price_minutes=PRICE_MINUTES)
-    ratios = ("edge", "ev", "stake_pct")
+    return _displayed(rows)
+
+
+@query
+def recommendations_feed_outage(t: Tables) -> DataFrame:
+    """The same slate while the injury feed is missing."""
+    feeds = t.spark.createDataFrame([("injury", "MISSING"), ("odds", "CURRENT")], "feed string, status string")
+    return _displayed(plan.evaluate(t, price_minutes=PRICE_MINUTES, feeds=feeds)).select("game_id", "status", "reasons")
+
+
+def _displayed(rows: DataFrame) -> DataFrame:
+    ratios = ("model_p", "conservative_p", "market_p", "break_even_p", "edge", "ev", "push_p", "stake_pct")
     return rows.select(*(r6(c).alias(c) if c in ratios else F.col(c) for c in rows.columns))
 
 
@@ -234,7 +245,7 @@ def top_picks(t: Tables) -> DataFrame:
     rows = plan.evaluate(t, price_minutes=PRICE_MINUTES).where(F.col("status").isin("BET", "WATCH"))
     rows = lookups.top_k(rows, 10, F.col("edge").desc(), F.col("game_id"))
     return lookups.ranked(rows.withColumn("all", F.lit(1)), ["all"], F.col("edge").desc(), F.col("game_id")).select(
-        "rank", "game_id", text.pick_label(F.col("market"), F.col("selection"), F.col("game_id").cast("string"), F.col("line")).alias("label"), text.confidence_label(F.col("confidence")).alias("confidence")
+        "rank", "game_id", text.pick_label(F.col("market"), F.col("selection"), F.col("team"), F.col("line")).alias("label"), text.confidence_label(F.col("confidence")).alias("confidence")
     )
 
 
@@ -555,10 +566,7 @@ def availability_summary(t: Tables) -> DataFrame:
 
 @query
 def component_disagreement(t: Tables) -> DataFrame:
-    """Five weighted components per projection, one of them a placeholder."""
-    c = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w).alias("weight")) for i, w in enumerate((0.45, 0.11, 0.11, 0.11, 0.11, 0.0))))).alias("c")
-    rows = t.projection.select("part_id", "mu", c).select("part_id", F.col("c.weight").alias("weight"), (F.col("c.i") == 4).alias("placeholder"), (F.col("mu") + (F.col("part_id") * (F.col("c.i") + 1)) % 9).alias("margin"))
-    return slate.components_disagree(rows, "part_id")
+    return slate.components_disagree(t.components, "game_id").withColumnRenamed("game_id", "part_id")
 
 
 @query

@@ -7,6 +7,8 @@ Spark plan: correlated subqueries, windows, ASOF joins and recursive sums instea
 
 from __future__ import annotations
 
+from pricewright.sources.reference import TEAMS
+
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 _CUT = "TIMESTAMP '2024-01-16 00:00:00'"
 
@@ -88,11 +90,11 @@ _VIEWS = {
              TIMESTAMP '2024-01-31 00:00:00' - to_minutes(o_orderkey % 240) AS entered_at, o_orderstatus <> 'P' AS confirmed
       FROM orders""",
     "availability": """
-      SELECT l_partkey AS game_id, ['QB', 'LT', 'C', 'WR', 'RB', 'TE', 'CB'][l_linenumber] AS position,
+      SELECT l_partkey AS game_id, l_orderkey * 10 + l_linenumber AS seq, l_suppkey AS player_id, ['QB', 'LT', 'C', 'WR', 'RB', 'TE', 'CB'][l_linenumber] AS position,
              CASE WHEN l_quantity > 49 THEN 1 - l_discount * 9 ELSE 1.0::DOUBLE END AS p, l_quantity / 10 AS impact
       FROM lineitem""",
     "weather": f"""
-      SELECT s_suppkey AS game_id,
+      SELECT s_suppkey AS game_id, floor(abs(s_acctbal) / 400) AS wind,
              CASE WHEN floor(abs(s_acctbal) / 400) >= 18 THEN 'HIGH'
                   WHEN floor(abs(s_acctbal) / 400) >= 12 OR (s_suppkey % 10) / 10.0::DOUBLE > 0.4 THEN 'MODERATE' ELSE 'LOW' END AS severity
       FROM supplier""",
@@ -125,7 +127,7 @@ _VIEWS = {
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game_id, market, selection ORDER BY entered_at DESC, seq DESC) AS rn
                      FROM manual WHERE confirmed AND entered_at <= {_NOW}) WHERE rn = 1""",
     "sides": f"""
-      SELECT l.game_id, l.market, s.selection, s.rank, CASE WHEN l.market = 'SPREAD' THEN l.line * s.direction WHEN l.market = 'TOTAL' THEN l.line + 45 END AS line,
+      SELECT l.game_id, l.market, s.selection, s.rank, CASE WHEN l.market = 'SPREAD' AND l.line = 0 THEN 0 WHEN l.market = 'SPREAD' THEN l.line * s.direction WHEN l.market = 'TOTAL' THEN l.line + 45 END AS line,
              (CASE WHEN s.first THEN l.home_american ELSE l.away_american END)::BIGINT AS quoted,
              CASE WHEN s.first THEN {_imp('l.home_american')} ELSE {_imp('l.away_american')} END / ({_imp('l.home_american')} + {_imp('l.away_american')}) AS market_p,
              CASE l.market WHEN 'MONEYLINE' THEN CASE WHEN s.first THEN home_win ELSE 1 - home_win END
@@ -140,7 +142,8 @@ _VIEWS = {
                       LATERAL (SELECT {_pdf('v', 'mu', 'sd')} * {_BOOST} AS w) GROUP BY q.game_id) m ON m.game_id = l.game_id
       LEFT JOIN (SELECT q.game_id, coalesce(sum(w) FILTER (v - q.line - 45 > 1e-9), 0) / sum(w) AS up, coalesce(sum(w) FILTER (abs(v - q.line - 45) < 1e-9), 0) / sum(w) AS at
                  FROM (SELECT game_id, unnest(range(10, 91)) AS v, total, total_sd FROM predictions) o JOIN latest q ON q.game_id = o.game_id AND q.market = 'TOTAL',
-                      LATERAL (SELECT {_pdf('v', 'total', 'total_sd')} AS w) GROUP BY q.game_id) t ON t.game_id = l.game_id""",
+                      LATERAL (SELECT {_pdf('v', 'total', 'total_sd')} AS w) GROUP BY q.game_id) t ON t.game_id = l.game_id
+      WHERE l.market = 'MONEYLINE' OR l.line IS NOT NULL""",
     "priced": f"""
       SELECT *, conservative_p - break_even_p AS edge, conservative_p * ({_dec('american')} - 1) - (1 - conservative_p - push_p) AS ev,
              {_fair('least(0.985, greatest(0.015, conservative_p))')} AS fair_american
@@ -198,25 +201,33 @@ _SEVERITY = "CASE WHEN {x} > 2.5 THEN 'HIGH' WHEN {x} > 1 THEN 'MODERATE' WHEN {
 _LOSS = "avg(-ln(CASE WHEN outcome = 1 THEN greatest(1e-12, least(1 - 1e-12, p)) ELSE 1 - greatest(1e-12, least(1 - 1e-12, p)) END))"
 _BIN = "(SELECT max(i) FROM range(0, 10) r(i) WHERE p >= i / 10.0::DOUBLE)"
 _RECS = f"""
-, spread_at AS (SELECT game_id, observed_at AS spread_at FROM latest WHERE market = 'SPREAD'),
+, spread_at AS (SELECT game_id, observed_at AS spread_at, line AS market_line FROM latest WHERE market = 'SPREAD'),
 open_game AS (SELECT game_id, sum(stake)::DOUBLE / 1e7 AS game_pct FROM positions WHERE result = 'PENDING' GROUP BY game_id),
 open_team AS (SELECT team, sum(stake)::DOUBLE / 1e7 AS team_pct FROM positions WHERE result = 'PENDING' GROUP BY team),
+component AS (SELECT part_id, mu + (part_id * (i + 1)) % 9 AS margin FROM projection, range(0, 4) r(i)),
+disagree AS (SELECT part_id FROM component GROUP BY part_id HAVING count(*) >= 2 AND max(margin) - min(margin) > 6.5),
+doubtful AS (SELECT DISTINCT ON (game_id) game_id, player_id, position, p FROM availability WHERE p < 0.9 ORDER BY game_id, seq),
+team_name(team, team_name) AS (VALUES TEAM_NAMES),
 facts AS (
-  SELECT g.game_id, g.roof, p.completeness, p.mu, p.sd, b.market, b.selection, b.line, b.american, b.edge, b.ev, b.conservative_p, b.break_even_p, b.push_p,
-         b.fair_american, b.manual_at, b.manual_id, w.severity, coalesce(og.game_pct, 0) AS game_pct, coalesce(ot.team_pct, 0) AS team_pct,
-         coalesce(s.quarterback_unresolved, false) AS qb, coalesce(s.injury_uncertain, false) AS uncertain, s.availability_impact,
+  SELECT g.game_id, g.roof, p.completeness, p.mu, p.sd, b.market, b.selection, b.line, b.american, b.edge, b.ev, b.conservative_p, b.break_even_p, b.push_p, b.model_p, b.market_p,
+         b.fair_american, b.manual_at, b.manual_id, w.severity, w.wind, coalesce(og.game_pct, 0) AS game_pct, coalesce(ot.team_pct, 0) AS team_pct,
+         coalesce(s.quarterback_unresolved, false) AS qb, coalesce(s.injury_uncertain, false) AS uncertain,
          coalesce({_age('sa.spread_at')} <= 7200, false) AS fresh, r.r_regionkey IS NOT NULL AND r.r_regionkey <> 4 AS approved,
-         f.game_id IS NOT NULL AS failed,
+         f.game_id IS NOT NULL AS failed, g.game_id IN (SELECT part_id FROM disagree) AS disagree,
          EXISTS (SELECT 1 FROM injuries i WHERE i.game_id = g.game_id AND i.value > 100 AND i.report_id % 2 = 0) AS awaiting,
-         coalesce(CASE WHEN b.selection IN ('HOME', 'OVER') THEN mv.toward_first ELSE mv.toward_second END, false) AS moving
+         coalesce(CASE WHEN b.selection IN ('HOME', 'OVER') THEN mv.toward_first ELSE mv.toward_second END, false) AS moving,
+         tn.team_name, sa.market_line, FEED_DOWN AS feed_down,
+         CASE WHEN d.game_id IS NOT NULL THEN 'Replacement-player concern: ' || coalesce(sp.s_name, 'starter') || ' (' || d.position || ') active probability ' || printf('%.0f%%', d.p * 100) END AS concern
   FROM games g LEFT JOIN predictions p USING (game_id) LEFT JOIN best b USING (game_id) LEFT JOIN weather w USING (game_id)
   LEFT JOIN summary s USING (game_id) LEFT JOIN spread_at sa USING (game_id) LEFT JOIN region r ON r.r_regionkey = p.model_id
   LEFT JOIN failures f ON f.game_id = g.game_id LEFT JOIN open_game og ON og.game_id = g.game_id
   LEFT JOIN open_team ot ON ot.team = CASE b.selection WHEN 'HOME' THEN g.home_team WHEN 'AWAY' THEN g.away_team END
+  LEFT JOIN team_name tn ON tn.team = CASE b.selection WHEN 'HOME' THEN g.home_team WHEN 'AWAY' THEN g.away_team END
   LEFT JOIN movement mv ON mv.game_id = g.game_id AND mv.market = b.market
+  LEFT JOIN doubtful d ON d.game_id = g.game_id LEFT JOIN supplier sp ON sp.s_suppkey = d.player_id
 ), reasons AS (
   SELECT *,
-    list_filter([CASE WHEN qb THEN 'Starting quarterback identity unresolved' END, CASE WHEN NOT fresh THEN 'Market price stale' END,
+    list_filter([CASE WHEN qb THEN 'Starting quarterback identity unresolved' END, CASE WHEN feed_down THEN 'Critical injury feed missing' END, CASE WHEN NOT fresh THEN 'Market price stale' END,
       CASE WHEN roof IN ('OUTDOOR', 'RETRACTABLE_OPEN') AND severity IS NULL THEN 'Weather unavailable for outdoor game' END,
       CASE WHEN NOT approved THEN 'Model version not approved' END, CASE WHEN mu IS NULL THEN 'Prediction timestamp missing' END,
       CASE WHEN mu IS NULL THEN 'Feature snapshot missing' END, CASE WHEN failed THEN 'Critical provider failure' END,
@@ -225,9 +236,10 @@ facts AS (
       CASE WHEN coalesce(edge, -1) < 0.02 THEN printf('Edge %.1f%% below required threshold 2.0%% (demo threshold)', coalesce(edge, -1) * 100) END,
       CASE WHEN coalesce(sd, 99) > 15.5 THEN 'Uncertainty too high' END,
       CASE WHEN game_pct >= 0.01 OR team_pct >= 0.015 OR game_pct >= 0.0125 THEN 'Portfolio exposure would exceed a limit' END,
-      CASE WHEN edge IS NULL OR abs(edge) < 0.005 THEN 'Model and market are effectively aligned' END], lambda x: x IS NOT NULL) AS pass,
+      CASE WHEN edge IS NULL OR abs(edge) < 0.005 THEN 'Model and market are effectively aligned' END,
+      CASE WHEN disagree THEN 'Model components materially disagree' END], lambda x: x IS NOT NULL) AS pass,
     list_filter([CASE WHEN edge >= 0.02 * 0.6 AND edge < 0.02 THEN 'Selection would qualify at a better price' END,
-      CASE WHEN uncertain THEN 'Injury uncertainty remains material' END, CASE WHEN severity = 'HIGH' THEN 'Weather uncertainty remains material' END,
+      CASE WHEN uncertain THEN 'Injury uncertainty remains material' END, CASE WHEN severity IN ('HIGH', 'CRITICAL') THEN 'Weather uncertainty remains material' END,
       CASE WHEN abs(edge - 0.02) < 0.005 THEN 'Line is close to the target threshold' END,
       CASE WHEN moving THEN 'Market moving toward an acceptable price' END, CASE WHEN awaiting THEN 'Required official update expected' END], lambda x: x IS NOT NULL) AS watch,
     ['All critical data complete', 'Manual price recently confirmed', 'Model approved', 'Edge exceeds demo threshold 2.0%',
@@ -261,7 +273,30 @@ facts AS (
   FROM final
 )
 """
-_REC_VIEWS = ("games", "best", "weather", "summary", "failures", "injuries", "positions", "movement_now")
+
+
+def _recs(down: bool = False) -> str:
+    names = ", ".join(f"({i}, '{line.split('|')[1]}')" for i, line in enumerate(TEAMS.split("\n")[1:-1]))
+    return _RECS.replace("TEAM_NAMES", names).replace("FEED_DOWN", str(down).lower())
+
+
+def _texts(*texts: str) -> str:
+    return "CASE WHEN market IS NULL THEN '' ELSE array_to_string(list_filter([" + ", ".join(texts) + "], lambda x: x IS NOT NULL), '; ') END"
+
+
+_SUPPORTING = _texts(
+    "CASE WHEN abs(mu) > 0.1 AND market = 'SPREAD' THEN 'Opponent-adjusted team strength favors ' || team_name || ' by ' || printf('%.1f', abs(mu)) || ' points vs market ' || replace(coalesce(market_line, 0)::DOUBLE::VARCHAR, '.0', '') END",
+    "CASE WHEN edge > 0.015 THEN 'Market disagreement: conservative probability ' || printf('%.1f%%', conservative_p * 100) || ' vs break-even ' || printf('%.1f%%', break_even_p * 100) END",
+)
+_OPPOSING = _texts(
+    "concern",
+    "CASE WHEN severity NOT IN ('LOW', 'NONE') THEN 'Weather risk: wind ' || wind::BIGINT || ' mph, severity ' || severity END",
+    "CASE WHEN manual_id IS NULL THEN 'Price is mock consensus, not a manually confirmed book price' END",
+    "CASE WHEN game_pct > 0 THEN 'Existing exposure on this game: ' || printf('%.2f%%', game_pct * 100) || ' of bankroll (cap 1.00%)' END",
+    "CASE WHEN team_pct > 0 AND team_name IS NOT NULL THEN 'Existing weekly exposure to ' || team_name || ': ' || printf('%.2f%%', team_pct * 100) || ' of bankroll (cap 1.50%)' END",
+    "'Demo thresholds are not historically validated'",
+)
+_REC_VIEWS = ("games", "best", "projection", "availability", "weather", "summary", "failures", "injuries", "positions", "movement_now")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -301,7 +336,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT e.event_id AS probe, e.user_id AS game_id, q.seq AS quote_seq, q.line FROM events e ASOF LEFT JOIN (SELECT * FROM quotes WHERE market = 'SPREAD') q "
             "ON q.game_id = e.user_id AND e.ts >= q.observed_at WHERE e.event_type = 'error'", "quotes"),
         "lookahead_violations": _sql(
-            f"SELECT game_id, count(*) AS violations, 'odds snapshots for ' || game_id || ': observed after the cutoff' AS message FROM quotes WHERE observed_at > {_CUT} GROUP BY game_id", "quotes"),
+            f"SELECT game_id, count(*) AS violations, 'odds snapshots for ' || game_id || ': record observed at ' || strftime(arg_min(observed_at, seq), '%Y-%m-%dT%H:%M:%S.%gZ') || ' is after prediction cutoff 2024-01-16T00:00:00.000Z. Future information must never enter a historical prediction.' AS message FROM quotes WHERE observed_at > {_CUT} GROUP BY game_id", "quotes"),
         "usable_forecasts": "SELECT p_partkey AS game_id, (p_partkey % 5 + 30) >= 15 AS model_ok, (p_partkey % 5 + 30) >= 30 AS forecast_ok, false AS result_ok, (p_partkey % 5 + 30) >= 30 AS as_of_ok FROM part",
         "line_movement": _sql("SELECT game_id, market, toward_first, toward_second, line_move FROM movement", "movement_cut"),
         "margin_distribution": _sql("SELECT part_id, v AS value, round(probability, 6) AS probability FROM margins", "margins"),
@@ -326,18 +361,23 @@ def oracle_sql() -> dict[str, str]:
         "candidates": _sql(
             "SELECT game_id, market, selection, line, american, manual_id, round(model_p, 6) AS model_p, round(conservative_p, 6) AS conservative_p, round(edge, 6) AS edge, round(ev, 6) AS ev, fair_american FROM priced", "priced"),
         "best_candidate": _sql("SELECT game_id, market, selection, round(edge, 6) AS edge FROM best", "best"),
-        "recommendations": _sql("", *_REC_VIEWS).rstrip() + _RECS + """
-SELECT game_id, status, reasons, coalesce(market, 'SPREAD') AS market, coalesce(selection, 'HOME') AS selection, line, coalesce(american, -110) AS american,
-       round(coalesce(edge, 0), 6) AS edge, round(coalesce(ev, 0), 6) AS ev,
+        "recommendations": _sql("", *_REC_VIEWS).rstrip() + _recs() + f"""
+SELECT game_id, CASE WHEN mu IS NULL THEN 'missing' ELSE 'pred_' || game_id END AS prediction_id, manual_id AS manual_price_id, status, reasons,
+       coalesce(market, 'SPREAD') AS market, coalesce(selection, 'HOME') AS selection, team_name AS team, line, coalesce(american, -110) AS american,
+       round(coalesce(model_p, 0), 6) AS model_p, round(coalesce(conservative_p, 0), 6) AS conservative_p, round(coalesce(market_p, 0), 6) AS market_p,
+       round(coalesce(break_even_p, 0), 6) AS break_even_p, round(coalesce(edge, 0), 6) AS edge, round(coalesce(ev, 0), 6) AS ev, round(coalesce(push_p, 0), 6) AS push_p,
+       coalesce(fair_american, 0) AS fair_american,
        CASE WHEN completeness > 0.92 AND edge > 0.03 THEN 'HIGH' WHEN edge > 0.015 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
        CASE WHEN status = 'BET' THEN round(s.pct, 6) END AS stake_pct, CASE WHEN status = 'BET' THEN amount END AS stake_amount, CASE WHEN status = 'BET' THEN s.l END AS stake_bound,
        greatest(fair_american, -125) AS target_price, american - 10 AS invalidation_price,
-       (abs(mu) > 0.1 AND coalesce(market, '') = 'SPREAD')::INT + coalesce(edge > 0.015, false)::INT AS n_supporting,
-       coalesce(availability_impact > 0, false)::INT + (coalesce(severity, 'LOW') <> 'LOW')::INT + (manual_id IS NULL)::INT + (game_pct > 0)::INT + (team_pct > 0)::INT + 1 AS n_opposing
+       {_SUPPORTING} AS supporting, {_OPPOSING} AS opposing, CASE WHEN status = 'PASS' THEN reasons ELSE '' END AS reasons_to_pass,
+       'Starting quarterback status changes; Line moves past ' || CASE WHEN market = 'TOTAL' THEN 'total' ELSE 'spread' END ||
+       ' target; Manual price confirmation older than 60 minutes at decision time; Any critical feed failure affecting this game' AS invalidation
 FROM decided""",
-        "top_picks": _sql("", *_REC_VIEWS).rstrip() + _RECS + """
+        "recommendations_feed_outage": _sql("", *_REC_VIEWS).rstrip() + _recs(down=True) + "SELECT game_id, status, reasons FROM decided",
+        "top_picks": _sql("", *_REC_VIEWS).rstrip() + _recs() + """
 SELECT row_number() OVER (ORDER BY edge DESC, game_id) AS rank, game_id,
-       CASE market WHEN 'MONEYLINE' THEN game_id || ' to win' WHEN 'SPREAD' THEN game_id || ' ' || CASE WHEN line = 0 THEN 'PK' WHEN line > 0 THEN '+' || replace(line::VARCHAR, '.0', '') ELSE replace(line::VARCHAR, '.0', '') END
+       CASE market WHEN 'MONEYLINE' THEN team_name || ' to win' WHEN 'SPREAD' THEN team_name || ' ' || CASE WHEN line = 0 THEN 'PK' WHEN line > 0 THEN '+' || replace(line::VARCHAR, '.0', '') ELSE replace(line::VARCHAR, '.0', '') END
          ELSE CASE selection WHEN 'OVER' THEN 'Over ' ELSE 'Under ' END || replace(line::VARCHAR, '.0', '') END AS label,
        CASE WHEN completeness > 0.92 AND edge > 0.03 THEN 'Strong pick' WHEN edge > 0.015 THEN 'Solid pick' ELSE 'Modest edge' END AS confidence
 FROM decided WHERE status IN ('BET', 'WATCH') ORDER BY edge DESC, game_id LIMIT 10""",
@@ -463,7 +503,5 @@ FROM decided WHERE status IN ('BET', 'WATCH') ORDER BY edge DESC, game_id LIMIT
 
 
 def _team_values() -> str:
-    from pricewright.sources.reference import TEAMS
-
     rows = [line.split("|") for line in TEAMS.split("\n")[1:-1]]
     return ", ".join(f"({i}, '{r[0]}', '{r[1]}')" for i, r in enumerate(rows))

@@ -11,10 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from pricewright.functions.distributions import margin_to_win_probability, weather_severity
 from pricewright.functions.odds import break_even, settlement_delta
+from pricewright.functions.times import FEED_THRESHOLDS, classify_freshness
 
 NOW = "2024-01-31 00:00:00"
 CUTOFF = "2024-01-16 00:00:00"
@@ -54,14 +54,14 @@ class Tables:
 
     @property
     def quotes(self) -> DataFrame:
-        """Two-way prices per game and market with input order ``seq`` and the opening flag."""
+        """Two-way prices per game and market with input order ``seq``; the first in that order is the opening."""
         events = self.base("events")
         market = F.when(F.col("event_type") == MARKET_OF_EVENT[0][0], MARKET_OF_EVENT[0][1])
         for kind, name in MARKET_OF_EVENT[1:]:
             market = market.when(F.col("event_type") == kind, name)
         k = F.get_json_object("props", "$.k").cast("int")
         price = lambda x: F.when(x < 50, -(100 + x)).otherwise(50 + x)
-        rows = events.select(
+        return events.select(
             F.col("user_id").alias("game_id"),
             market.alias("market"),
             F.col("ts").cast("timestamp").alias("observed_at"),
@@ -70,8 +70,6 @@ class Tables:
             price(k).alias("home_american"),
             price(99 - k).alias("away_american"),
         ).where(F.col("market").isNotNull())
-        first = F.min("seq").over(Window.partitionBy("game_id", "market"))
-        return rows.withColumn("is_opening", F.col("seq") == first)
 
     @property
     def feed_log(self) -> DataFrame:
@@ -146,6 +144,7 @@ class Tables:
         number = F.col("l_linenumber")
         doubtful = 1 - F.col("l_discount") * 9
         return self.base("lineitem").select(
+            (F.col("l_orderkey") * 10 + number).alias("seq"),
             F.col("l_partkey").alias("game_id"),
             F.col("l_suppkey").alias("player_id"),
             F.element_at(F.array(*map(F.lit, POSITIONS)), number).alias("position"),
@@ -154,6 +153,35 @@ class Tables:
             hours_before_now(F.col("l_quantity")).alias("observed_at"),
         )
 
+    @property
+    def players(self) -> DataFrame:
+        return self.base("supplier").select(F.col("s_suppkey").alias("player_id"), F.col("s_name").alias("player"), F.col("s_nationkey").alias("team_id"))
+
+    @property
+    def components(self) -> DataFrame:
+        """Six weighted components of every prediction; one is a placeholder, one has no weight."""
+        weights = enumerate((0.45, 0.11, 0.11, 0.11, 0.11, 0.0))
+        c = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w).alias("weight")) for i, w in weights))).alias("c")
+        return self.projection.select("part_id", "mu", c).select(
+            F.col("part_id").alias("game_id"), F.col("c.weight").alias("weight"), (F.col("c.i") == 4).alias("placeholder"),
+            (F.col("mu") + (F.col("part_id") * (F.col("c.i") + 1)) % 9).alias("margin"),
+        )
+
+    @property
+    def feed_statuses(self) -> DataFrame:
+        """One row per feed: the class of its latest record at the clock (MISSING without any)."""
+        at = F.max(F.when(F.col("observed_at") <= now(), F.col("observed_at"))).alias("at")
+        aging, stale = next((a, b) for feed, a, b in FEED_THRESHOLDS if feed == "injury")
+        status = classify_freshness(F.col("at"), now(), aging, stale)
+        return self.injury_reports.agg(at).select(F.lit("injury").alias("feed"), status.alias("status"))
+
+    @property
+    def incidents(self) -> DataFrame:
+        """Provider incidents with the games they touch."""
+        e = self.base("events").where(F.col("event_type") == "error")
+        resolution = F.when(F.col("value") > 200, "FAILED").otherwise("OPEN")
+        return e.select(F.col("event_id").alias("incident_id"), resolution.alias("resolution"), F.array("user_id", F.col("user_id") + 3).alias("impacted_game_ids"))
+
     @property
     def weather(self) -> DataFrame:
         wind = F.floor(F.abs("s_acctbal") / 400).cast("double")
