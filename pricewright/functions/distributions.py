@@ -1,14 +1,13 @@
 """Discretised outcome distributions.
 
-``long_*`` give one row per outcome, for bulk work: an explode and a hash aggregate keep the
-probabilities out of repeatedly evaluated arrays.  The array forms are for row-local display.
+All forms are local to a row: distributions are arrays, ``long_*`` explode them.  ``outcome_sums``
+is the bulk form for sums over outcomes of many rows: an explode and a hash aggregate.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Key-number boosts of the margin, ranges, rating scale, tolerance of a push.
 KEY_BOOST = ((3, 2.1), (7, 1.75), (6, 1.35), (10, 1.3), (4, 1.2), (14, 1.2), (17, 1.1))
@@ -99,19 +98,24 @@ def total_outcomes(dist: Column, line: Column) -> Column:
     return F.struct(over.alias("over"), push.alias("push"), F.greatest(F.lit(0.0), 1 - over - push).alias("under"))
 
 
-def long_margins(df: DataFrame, keys: list[str], mu: str, sigma: str) -> DataFrame:
-    """``df`` with value and probability, one row per margin.  ``keys`` identify a row."""
-    value = F.explode(margin_values())
-    return _long(df, keys, value, lambda v: normal_pdf(v, F.col(mu), F.col(sigma)) * key_boost(v))
+def long_margins(df: DataFrame, mu: str, sigma: str) -> DataFrame:
+    """``df`` with value and probability, one row per margin.  Weights are normalised inside the row, so nothing is shuffled."""
+    return _long(df, margin_distribution(F.col(mu), F.col(sigma)))
 
 
-def long_totals(df: DataFrame, keys: list[str], mu: str, sigma: str) -> DataFrame:
-    return _long(df, keys, F.explode(total_values()), lambda v: normal_pdf(v, F.col(mu), F.col(sigma)))
+def long_totals(df: DataFrame, mu: str, sigma: str) -> DataFrame:
+    return _long(df, total_distribution(F.col(mu), F.col(sigma)))
 
 
-def _long(df: DataFrame, keys: list[str], value: Column, weight) -> DataFrame:
-    rows = df.withColumn("value", value).withColumn("weight", weight(F.col("value")))
-    return rows.withColumn("probability", F.col("weight") / F.sum("weight").over(Window.partitionBy(*keys))).drop("weight")
+def _long(df: DataFrame, outcomes: Column) -> DataFrame:
+    columns = [c for c in df.columns if c not in ("value", "probability")]
+    return df.select(*columns, F.explode(outcomes).alias("_outcome")).select(*columns, "_outcome.value", "_outcome.probability")
+
+
+def ladder(dist: Column, lines: Column, result) -> Column:
+    """array<struct<line, result>>: ``result(dist, line)`` at every line, the distribution being computed once."""
+    at = lambda d: F.transform(lines, lambda x: F.struct(x.alias("line"), result(d, x).alias("result")))
+    return _bound(dist, at)
 
 
 def outcome_sums(df: DataFrame, keys: list[str], weight: Column, value: Column, conditions: dict[str, Column]) -> DataFrame:
@@ -126,15 +130,24 @@ def outcome_sums(df: DataFrame, keys: list[str], weight: Column, value: Column,
     )
 
 
-def central_interval(long: DataFrame, keys: list[str], mass: float = 0.8) -> DataFrame:
-    """low and high where the mass from either end first reaches the tail (1 - mass) / 2."""
+def central_interval(dist: Column, mass: float = 0.8) -> Column:
+    """struct<low, high>: where the mass from either end first reaches the tail (1 - mass) / 2; row-local."""
     tail = (1 - mass) / 2
-    up, down = Window.partitionBy(*keys).orderBy("value"), Window.partitionBy(*keys).orderBy(F.col("value").desc())
-    run = long.withColumn("below", F.sum("probability").over(up)).withColumn("above", F.sum("probability").over(down))
-    return run.groupBy(*keys).agg(
-        F.min(F.when(F.col("below") >= tail, F.col("value"))).alias("low"),
-        F.max(F.when(F.col("above") >= tail, F.col("value"))).alias("high"),
-    )
+    start = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("int").alias("at"))
+
+    def step(acc, x):
+        run = acc["run"] + x["probability"]
+        return F.struct(run.alias("run"), F.coalesce(acc["at"], F.when(run >= tail, x["value"])).alias("at"))
+
+    first = lambda rows: F.aggregate(rows, start, step, lambda acc: acc["at"])
+    ends = lambda d: F.struct(first(d).alias("low"), first(F.reverse(d)).alias("high"))
+    return _bound(F.array_sort(dist), ends)
+
+
+def chart_points(dist: Column, least: float = 0.0005) -> Column:
+    """array<struct<x, y>> for a chart: probabilities in percent, those below ``least`` left out."""
+    shown = F.filter(dist, lambda p: p["probability"] >= least)
+    return F.transform(shown, lambda p: F.struct(p["value"].alias("x"), (p["probability"] * 100).alias("y")))
 
 
 def scenario(

@@ -38,6 +38,14 @@ def classify_freshness(at: Column, now: Column, aging: Column | float, stale: Co
     )
 
 
+def feed_freshness(feed: Column, at: Column, now: Column) -> Column:
+    """Class of a feed's record by the feed's own thresholds; NULL for an unknown feed."""
+    out = F.lit(None).cast("string")
+    for name, aging, stale in FEED_THRESHOLDS:
+        out = F.when(feed == name, classify_freshness(at, now, aging, stale)).otherwise(out)
+    return out
+
+
 def severity(status: Column) -> Column:
     out = F.when(status == SEVERITY[0], 0)
     for i, s in enumerate(SEVERITY[1:], 1):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricewright.functions.odds import payout, settlement_delta
+from pricewright.functions.odds import closing_line_value, implied_probability, payout, settlement_delta
 from pricewright.functions.text import record_id
 
 MONEY = "decimal(18,2)"
@@ -45,19 +45,25 @@ def audit(events: DataFrame, action: str) -> DataFrame:
 def settle(bets: DataFrame, settlements: DataFrame) -> DataFrame:
     """Settles pending bets: result, delta, payout, event type; other settlements have an error.
 
-    ``bets``: bet_id, stake, american, result.  ``settlements``: bet_id, new_result, settled_at.
+    ``bets``: bet_id, stake, american, result.  ``settlements``: bet_id, new_result, settled_at, and
+    closing_american where a closing price is known, which gives ``clv`` in percentage points.
+    Of several settlements of one bet the first by settled_at, then by result, counts.
     """
-    joined = settlements.join(bets, "bet_id", "left")
+    nth = F.row_number().over(Window.partitionBy("bet_id").orderBy("settled_at", "new_result"))
+    closing = F.col("closing_american") if "closing_american" in settlements.columns else F.lit(None).cast("long")
+    joined = settlements.withColumns({"_nth": nth, "_closing": closing}).join(bets, "bet_id", "left")
     error = (
         F.when(F.col("result").isNull(), "unknown bet")
-        .when(F.col("result") != "PENDING", "already settled")
+        .when((F.col("result") != "PENDING") | (F.col("_nth") > 1), "already settled")
         .when(~F.coalesce(F.col("new_result").isin(*SETTLED), F.lit(False)), "invalid result")
     )
     stake, american, result = F.col("stake"), F.col("american"), F.col("new_result")
     ok = lambda c: F.when(F.col("error").isNull(), c)
+    taken, closed = implied_probability(american), implied_probability(F.col("_closing"))
     return joined.withColumn("error", error).select(
-        *joined.columns,
+        *(c for c in joined.columns if c not in ("_nth", "_closing")),
         "error",
+        ok(closing_line_value(taken, closed)).alias("clv"),
         ok(settlement_delta(stake, american, result)).cast(MONEY).alias("delta"),
         ok(payout(stake, american, result)).cast(MONEY).alias("payout"),
         ok(F.when(result == "VOID", "VOIDED").otherwise("SETTLED")).alias("event_type"),
@@ -109,19 +115,32 @@ def balances(state: DataFrame, keys: list[str], start: float) -> DataFrame:
     return state.groupBy(*keys).agg((total + F.lit(start).cast(MONEY)).cast(MONEY).alias("balance"))
 
 
-def vintage_conflicts(history: DataFrame, new: DataFrame) -> DataFrame:
-    """New predictions that must not be appended: a known id, or a known (game, vintage, model)."""
+def _checked_vintages(history: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` with ``conflict``: a known id, or a known (game, vintage, model); of rows of ``new`` that
+    clash with each other the first by id, model and game is no conflict."""
+    slot = ["game_id", "vintage", "model"]
     ids = history.select("prediction_id").distinct().withColumn("known_id", F.lit(True))
-    slots = history.select("game_id", "vintage", "model").distinct().withColumn("known_slot", F.lit(True))
-    joined = new.join(ids, "prediction_id", "left").join(slots, ["game_id", "vintage", "model"], "left")
-    conflict = F.when(F.col("known_id"), "prediction exists").when(F.col("known_slot"), "vintage exists")
-    return joined.withColumn("conflict", conflict).drop("known_id", "known_slot").where(F.col("conflict").isNotNull())
+    slots = history.select(*slot).distinct().withColumn("known_slot", F.lit(True))
+    joined = new.join(ids, "prediction_id", "left").join(slots, slot, "left")
+    known = F.coalesce("known_id", F.lit(False)) | F.coalesce("known_slot", F.lit(False))
+    same_id = F.row_number().over(Window.partitionBy(known, "prediction_id").orderBy("model", "game_id", "vintage"))
+    ranked = joined.withColumns({"known": known, "same_id": same_id})
+    first = ~F.col("known") & (F.col("same_id") == 1)
+    same_slot = F.row_number().over(Window.partitionBy(first, *slot).orderBy("prediction_id"))
+    conflict = (
+        F.when(F.col("known_id") | (~F.col("known") & (F.col("same_id") > 1)), "prediction exists")
+        .when(F.col("known_slot") | (first & (F.col("same_slot") > 1)), "vintage exists")
+    )
+    return ranked.withColumn("same_slot", same_slot).withColumn("conflict", conflict).select(*new.columns, "conflict")
+
+
+def vintage_conflicts(history: DataFrame, new: DataFrame) -> DataFrame:
+    """New predictions that must not be appended: the id, or the (game, vintage, model), is known or comes earlier in ``new``."""
+    return _checked_vintages(history, new).where(F.col("conflict").isNotNull())
 
 
 def append_vintages(history: DataFrame, new: DataFrame) -> DataFrame:
-    fresh = new.join(history.select("prediction_id").distinct(), "prediction_id", "left_anti")
-    fresh = fresh.join(history.select("game_id", "vintage", "model").distinct(), ["game_id", "vintage", "model"], "left_anti")
-    return history.unionByName(fresh)
+    return history.unionByName(_checked_vintages(history, new).where(F.col("conflict").isNull()).drop("conflict"))
 
 
 def invalidate(recs: DataFrame, games: DataFrame, reason: str, at: Column) -> DataFrame:

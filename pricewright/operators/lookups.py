@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +56,17 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def sorted_by(df: DataFrame, *columns: str, missing: Mapping[str, Column] | None = None) -> DataFrame:
+    """Rows in an order chosen by column names, descending where a name starts with ``-``; nulls last, or as ``missing`` says."""
+    missing = missing or {}
+    keys = []
+    for c in columns:
+        name = c.lstrip("-")
+        key = F.coalesce(F.col(name), missing[name]) if name in missing else F.col(name)
+        keys.append(key.desc_nulls_last() if c.startswith("-") else key.asc_nulls_last())
+    return df.orderBy(*keys)
+
+
 def ranked(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 

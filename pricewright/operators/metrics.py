@@ -6,7 +6,7 @@ dimension by left join, so empty ones are still shown.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pricewright.sources.scratch import written
 
 EPSILON = 1e-12
 #: Edge tiers with lower and upper bound.
-EDGE_TIERS = (("<1%", None, 0.01), ("1-3%", 0.01, 0.03), (">=3%", 0.03, None))
+EDGE_TIERS = (("<1%", None, 0.01), ("1–3%", 0.01, 0.03), ("≥3%", 0.03, None))
 STATUSES = ("BET", "WATCH", "PASS", "DATA INCOMPLETE")
 
 
@@ -138,23 +138,45 @@ def slice_tables(df: DataFrame) -> DataFrame:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, how=F.sum) -> DataFrame:
-    """Adds a running aggregate in a total order within each key."""
+    """Adds a running aggregate in a total order within each key, for keys of moderate size: one task sees a whole key."""
     rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, how(value).over(rows))
 
 
+def spread_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, tuple[str, Column]], ranges: int | None = None) -> DataFrame:
+    """Adds running sums and maxima (name: ("sum" or "max", value)) without one task seeing all rows of a key.
+
+    Rows are dealt into ranges of key and order; what the ranges before hold of a key is added
+    to (or compared with) the running value inside each one.  Only a row per range and key meets in one place.
+    """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    how = {"sum": F.sum, "max": F.max}
+    given = df.withColumns({f"_v_{n}": value for n, (_, value) in values.items()})
+    dealt = written(given.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_range", *keys).agg(*(how[h](f"_v_{n}").alias(f"_t_{n}") for n, (h, _) in values.items()))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col("_range").alias("_r"), *(F.col(k).alias(f"_k_{k}") for k in keys), *(how[h](f"_t_{n}").over(earlier).alias(f"_b_{n}") for n, (h, _) in values.items()))
+    inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumns({f"_i_{n}": how[h](f"_v_{n}").over(inside) for n, (h, _) in values.items()})
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = local.join(before, same)
+    both = {n: F.coalesce(F.col(f"_b_{n}") + F.col(f"_i_{n}"), f"_i_{n}", f"_b_{n}") if h == "sum" else F.greatest(f"_b_{n}", f"_i_{n}") for n, (h, _) in values.items()}
+    return joined.select(*df.columns, *(c.alias(n) for n, c in both.items()))
+
+
 def bankroll_curve(df: DataFrame, keys: Sequence[str], order: Sequence[str], profit: str, start: float) -> DataFrame:
     """Balance after each record (``balance``), with point 0 the starting balance of every key."""
-    at = Window.partitionBy(*keys).orderBy(*order)
-    points = running(df, keys, order, F.col(profit), "_sum").withColumn("point", F.row_number().over(at))
-    after = points.select(*keys, "point", (F.col("_sum") + start).cast("double").alias("balance"))
+    points = spread_running(df.select(*keys, *order, profit), keys, order, {"_sum": ("sum", F.col(profit)), "point": ("sum", F.lit(1))})
+    after = points.select(*keys, F.col("point").cast("int").alias("point"), (F.col("_sum") + start).cast("double").alias("balance"))
     origin = df.select(*keys).distinct().select(*keys, F.lit(0).alias("point"), F.lit(float(start)).alias("balance"))
     return origin.unionByName(after)
 
 
 def drawdown_curve(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds peak so far and drawdown in percent of it (0 without a positive peak)."""
-    peaks = running(curve, keys, ["point"], F.col("balance"), "peak", F.max)
+    peaks = spread_running(curve, keys, ["point"], {"peak": ("max", F.col("balance"))})
     down = (F.col("balance") - F.col("peak")) / F.when(F.col("peak") > 0, F.col("peak")) * 100
     return peaks.withColumn("drawdown_pct", F.coalesce(down, F.lit(0.0)))
 
@@ -163,19 +185,18 @@ def max_drawdown(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     return drawdown_curve(curve, keys).groupBy(*keys).agg((F.max(-F.col("drawdown_pct")) / 100).alias("max_drawdown"))
 
 
-def global_running_sum(df: DataFrame, order: str, value: str, name: str, ranges: int | None = None) -> DataFrame:
-    """Running sum over a whole table without one task seeing all rows.
+def full_bundle(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: float) -> DataFrame:
+    """``metric_bundle`` with the expected calibration error and the largest drawdown of each key."""
+    curve = bankroll_curve(df, keys, order, "profit", start)
+    out = metric_bundle(df, keys)
+    for side in (expected_calibration_error(df, keys), max_drawdown(curve, keys)):
+        out = out.join(side, list(keys), "left")
+    return out
 
-    Rows are dealt into ranges of the order; sums of the ranges before are added to the sums
-    inside each one.  Only the per-range totals meet in one place.
-    """
-    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(df.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()), "ranges")
-    totals = dealt.groupBy("_range").agg(F.sum(value).alias("_total"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = dealt.withColumn("_inside", F.sum(value).over(inside)).join(before.drop("_total"), "_range")
-    return joined.withColumn(name, F.col("_inside") + F.col("_before")).drop("_range", "_inside", "_before")
+
+def global_running_sum(df: DataFrame, order: str, value: str, name: str, ranges: int | None = None) -> DataFrame:
+    """Running sum over a whole table without one task seeing all rows."""
+    return spread_running(df, [], [order], {name: ("sum", F.col(value))}, ranges)
 
 
 def vintage_deltas(df: DataFrame, key: str, order: str, margin: str, probability: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricewright.operators.lookups import unnest
 from pricewright.operators.metrics import edge_tier
 from pricewright.operators.pointintime import first_violation
 
@@ -53,6 +54,21 @@ def injury_clusters(injuries: DataFrame, least: int = 2) -> DataFrame:
     )
 
 
+def game_conflicts(injuries: DataFrame) -> DataFrame:
+    """Per game whether any report warns of a conflict."""
+    return injuries.groupBy("game_id").agg(F.bool_or(F.col("conflict_warning").isNotNull()).alias("any_conflict"))
+
+
+def impacted_games(incidents: DataFrame) -> DataFrame:
+    """One row per incident and game that it touches; an incident without games stays, with a null game."""
+    return unnest(incidents, "impacted_game_ids", "game_id", outer=True).drop("impacted_game_ids")
+
+
+def touching(incidents: DataFrame, game: Column) -> DataFrame:
+    """Incidents that list a game."""
+    return incidents.where(F.array_contains("impacted_game_ids", game))
+
+
 def injury_highlights(rows: DataFrame) -> DataFrame:
     """0 to 4 highlight rows per injury, with a label each."""
     p = F.col("active_probability")

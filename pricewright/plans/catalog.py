@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,9 @@ from pricewright.functions import odds, text, times
 from pricewright.operators import guards, ledger, lookups, metrics, slate, staking
 from pricewright.operators import pointintime as pit
 from pricewright.plans import slate as plan
-from pricewright.sources.reference import teams
-from pricewright.sources.state import parsed_state
+from pricewright.sources.reference import stadiums, teams
+from pricewright.sources.scratch import shared_folder
+from pricewright.sources.state import parsed_state, read_prices, submit_prices
 from pricewright.sources.tables import BANKROLL, Tables, cutoff, now
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,11 +128,13 @@ def lookahead_violations(t: Tables) -> DataFrame:
 @query
 def usable_forecasts(t: Tables) -> DataFrame:
     """Model, forecast and result guards at the cutoff."""
-    m = t.predictions.join(t.models, "model_id").select("game_id", "approved_at", (F.col("approved_at") + F.make_dt_interval(days=F.lit(15))).alias("made_at"))
+    days = lambda n: F.col("approved_at") + F.make_dt_interval(days=F.lit(n))
+    ended = F.when(F.col("game_id") % 3 != 0, days(16)).alias("ended_at")
+    m = t.predictions.join(t.models, "model_id").select("game_id", "approved_at", days(17).alias("made_at"), ended)
     return m.select(
         "game_id", pit.model_usable(F.col("approved_at"), cutoff()).alias("model_ok"),
         pit.forecast_usable(F.col("made_at"), F.col("approved_at"), cutoff()).alias("forecast_ok"),
-        pit.result_usable(F.lit(None).cast("timestamp"), cutoff()).alias("result_ok"),
+        pit.result_usable(F.col("ended_at"), cutoff()).alias("result_ok"),
         pit.prediction_as_of_guard(F.col("made_at"), cutoff()).alias("as_of_ok"),
     )
 
@@ -145,7 +149,7 @@ def line_movement(t: Tables) -> DataFrame:
 
 @query
 def margin_distribution(t: Tables) -> DataFrame:
-    rows = dist.long_margins(t.projection.select("part_id", "mu", "sd"), ["part_id"], "mu", "sd")
+    rows = dist.long_margins(t.projection.select("part_id", "mu", "sd"), "mu", "sd")
     return rows.select("part_id", "value", r6("probability").alias("probability"))
 
 
@@ -180,19 +184,67 @@ def key_number_mass(t: Tables) -> DataFrame:
     return out.select("part_id", *(r6(c).alias(c) for c in ("home_win", *keys)))
 
 
+@query
+def total_distribution(t: Tables) -> DataFrame:
+    rows = dist.long_totals(t.projection.select("part_id", "total", "sd"), "total", "sd")
+    return rows.select("part_id", "value", r6("probability").alias("probability"))
+
+
 @query
 def central_interval(t: Tables) -> DataFrame:
-    return dist.central_interval(dist.long_margins(t.projection.select("part_id", "mu", "sd"), ["part_id"], "mu", "sd"), ["part_id"])
+    interval = dist.central_interval(dist.margin_distribution(F.col("mu"), F.col("sd"))).alias("i")
+    return t.projection.select("part_id", interval).select("part_id", "i.low", "i.high")
 
 
 @query
 def line_ladder(t: Tables) -> DataFrame:
     """Cover probability at fifteen candidate lines around each projection."""
-    ladder = t.projection.select("part_id", "mu", "sd", F.explode(F.sequence(F.lit(-7), F.lit(7))).alias("line"))
-    v = F.col("value")
-    weight = dist.normal_pdf(v, F.col("mu"), F.col("sd")) * dist.key_boost(v)
-    out = dist.outcome_sums(ladder, ["part_id", "line"], weight, dist.margin_values(), {"cover": v + F.col("line") > 1e-9})
-    return out.select("part_id", "line", r6("cover").alias("cover"))
+    d = dist.margin_distribution(F.col("mu"), F.col("sd"))
+    cover = lambda p, line: dist.probability_where(p, lambda v: v + line > dist.PUSH_TOLERANCE)
+    rows = t.projection.select("part_id", F.explode(dist.ladder(d, F.sequence(F.lit(-7), F.lit(7)), cover)).alias("x"))
+    return rows.select("part_id", "x.line", r6("x.result").alias("cover"))
+
+
+@query
+def total_ladder(t: Tables) -> DataFrame:
+    """Probability of the over at seventeen candidate totals."""
+    d = dist.total_distribution(F.col("total"), F.col("sd"))
+    over = lambda p, line: dist.probability_where(p, lambda v: v - line > dist.PUSH_TOLERANCE)
+    rows = t.projection.select("part_id", F.explode(dist.ladder(d, F.sequence(F.lit(37), F.lit(53)), over)).alias("x"))
+    return rows.select("part_id", "x.line", r6("x.result").alias("over"))
+
+
+@query
+def distribution_points(t: Tables) -> DataFrame:
+    """Chart points of the margin distribution."""
+    points = dist.chart_points(dist.margin_distribution(F.col("mu"), F.col("sd")), 0.01)
+    rows = t.projection.select("part_id", F.explode(points).alias("p"))
+    return rows.select("part_id", "p.x", F.round("p.y", 4).alias("y"))
+
+
+@query
+def scenario_interval(t: Tables) -> DataFrame:
+    """Text of the central 80 % of margin and total under a what-if."""
+    s = dist.scenario(
+        F.col("mu"), F.col("total"), F.col("sd"), F.col("sd"), qb_out=F.col("part_id") % 2 == 0, qb_restricted=F.lit(False), qb_impact=F.lit(None).cast("double"),
+        wind_delta=F.lit(5.0), roof_closed=F.lit(None).cast("boolean"), snap_share_delta=F.lit(0.0),
+    )
+    rows = t.projection.select("part_id", s.alias("s"))
+    margin = dist.central_interval(dist.margin_distribution(F.col("s.margin"), F.col("s.margin_std")))
+    total = dist.central_interval(dist.total_distribution(F.col("s.total"), F.col("s.total_std")))
+    rows = rows.select("part_id", margin.alias("m"), total.alias("t"))
+    return rows.select("part_id", F.format_string("80%% margin %d to %d, total %d to %d", "m.low", "m.high", "t.low", "t.high").alias("text"))
+
+
+@query
+def display_factors(t: Tables) -> DataFrame:
+    """Which side a projection favours, the adjustment for wind, and both prices of a two-way market."""
+    wind = (F.col("part_id") % 30).cast("double")
+    p = dist.margin_to_win_probability(F.col("mu"))
+    return t.projection.select(
+        "part_id", dist.favours(F.col("mu")).alias("favours"), r6(dist.weather_adjustment(wind)).alias("weather_adjustment"),
+        odds.with_vig(p, 0.02).alias("price"), odds.second_price(F.lit(-115) + F.col("part_id") % 11).alias("second_price"),
+    )
 
 
 @query
@@ -249,9 +301,23 @@ def top_picks(t: Tables) -> DataFrame:
     )
 
 
+@query
+def watch_list(t: Tables) -> DataFrame:
+    """Recommendations to watch, the largest edge first."""
+    rows = plan.evaluate(t, price_minutes=PRICE_MINUTES).where(F.col("status") == "WATCH")
+    return lookups.sorted_by(rows, "-edge", "game_id").select("game_id", "market", "selection", r6("edge").alias("edge"), "reasons")
+
+
+@query
+def slate_sorted(t: Tables) -> DataFrame:
+    """The slate by kickoff, then by edge downwards."""
+    rows = _slate(t)
+    return lookups.sorted_by(rows, "kickoff", "-edge", "game_id").select("game_id", "kickoff", "kickoff_window", r6("edge").alias("edge"))
+
+
 @query
 def slate_rows(t: Tables) -> DataFrame:
-    """Display rows of the slate that pass a filter: outdoor games of the early or prime-time windows."""
+    """Display rows of the slate that pass a filter: outdoor games with incomplete data."""
     rows = _slate(t).where(slate.slate_filter(roof="OUTDOOR", completeness="LOW"))
     return rows.select("game_id", "kickoff_window", "injury_severity", "weather_severity", r6("spread_diff").alias("spread_diff"), r6("total_diff").alias("total_diff"), "best_market")
 
@@ -263,7 +329,7 @@ def _slate(t: Tables) -> DataFrame:
     for side in (board, best, slate.availability_summary(t.availability, ["game_id"]), pit.latest_snapshot(t.weather, ["game_id"]).select("game_id", "severity")):
         rows = rows.join(side, "game_id", "left")
     return rows.select(
-        "game_id", "roof", "completeness", "consensus_spread", "best_market", "edge",
+        "game_id", "roof", "completeness", "consensus_spread", "best_market", "edge", "kickoff",
         times.kickoff_window(F.col("kickoff")).alias("kickoff_window"),
         F.coalesce("injury_severity", F.lit("NONE")).alias("injury_severity"),
         slate.weather_severity_for(F.col("roof"), F.col("severity")).alias("weather_severity"),
@@ -283,16 +349,79 @@ def stake_breakdown(t: Tables) -> DataFrame:
     return rows.select("seq", *(r6(f"new.{n}").alias(n) for n in names), F.col("new.bound").alias("bound"))
 
 
+#: Which feed each event type stands for.
+FEED_OF_EVENT = (("click", "odds"), ("view", "weather"), ("purchase", "manualPrice"), ("signup", "injury"), ("error", "schedule"))
+
+
 @query
 def freshness(t: Tables) -> DataFrame:
-    last = t.feed_log.groupBy("feed").agg(F.max("observed_at").alias("at"))
-    aging = F.when(F.col("feed") == "click", 30).otherwise(360)
+    last = t.feed_log.groupBy(F.col("feed").alias("event")).agg(F.max("observed_at").alias("at"))
+    names = F.create_map(*(F.lit(x) for pair in FEED_OF_EVENT for x in pair))
+    last = last.withColumn("feed", F.try_element_at(names, F.col("event")))
     return last.select(
-        "feed", r6(times.age_minutes(F.col("at"), now())).alias("age_minutes"),
-        times.classify_freshness(F.col("at"), now(), aging, aging * 4).alias("status"), times.format_utc(F.col("at")).alias("at_utc"), times.format_ago(F.col("at"), now()).alias("ago"),
+        "event", "feed", r6(times.age_minutes(F.col("at"), now())).alias("age_minutes"),
+        times.feed_freshness(F.col("feed"), F.col("at"), now()).alias("status"), times.format_utc(F.col("at")).alias("at_utc"), times.format_ago(F.col("at"), now()).alias("ago"),
     )
 
 
+@query
+def age_tiers(t: Tables) -> DataFrame:
+    """Age tiers of manual prices (45 and 60 minutes) and of the latest quotes (30 and 120 minutes)."""
+    manual = t.manual_prices.select(F.lit("manual").alias("kind"), "seq", times.age_tier(times.age_minutes(F.col("entered_at"), now()), 45, 60).alias("tier"))
+    latest = pit.latest_snapshot(t.quotes, ["game_id", "market"], now())
+    quotes = latest.select(F.lit("quote").alias("kind"), "seq", times.age_tier(times.age_minutes(F.col("observed_at"), now()), 30, 120).alias("tier"))
+    return manual.unionByName(quotes)
+
+
+@query
+def kickoff_labels(t: Tables) -> DataFrame:
+    return t.games.select("game_id", times.format_kickoff(F.col("kickoff"), "UTC").alias("label"), text.record_id("game", F.col("game_id"), F.col("home_team")).alias("id"))
+
+
+@query
+def feed_impact(t: Tables) -> DataFrame:
+    """Incidents per game that they touch, and whether one of them failed; games of the slate without one are shown too."""
+    per_game = slate.impacted_games(t.incidents).groupBy("game_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("resolution") == "FAILED").alias("failed"))
+    rows = t.games.select("game_id").join(per_game, "game_id", "left")
+    return rows.select("game_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("failed", F.lit(False)).alias("failed"))
+
+
+@query
+def incidents_of_game(t: Tables) -> DataFrame:
+    return slate.touching(t.incidents, F.lit(7).cast("long")).select("incident_id", "resolution")
+
+
+@query
+def game_factors(t: Tables) -> DataFrame:
+    """Games with crew and stadium; a game without either stays."""
+    crews = t.base("nation").select(F.col("n_nationkey").alias("crew_id"), F.col("n_name").alias("crew"))
+    rows = t.games.withColumn("crew_id", F.when(F.col("game_id") % 9 != 0, F.col("game_id") % 25))
+    rows = lookups.lookup(rows, crews, "crew_id", "crew_id", {"crew": "crew"}, {"crew": F.lit(text.MISSING)})
+    rows = lookups.lookup(rows, stadiums(t.spark), "home_team", "team_id", {"stadium": "stadium", "surface": "surface", "altitude": "altitude"})
+    return rows.select("game_id", "crew", "stadium", "surface", "altitude")
+
+
+@query
+def games_with_prior(t: Tables) -> DataFrame:
+    """Games of the slate first, earlier ones that it lacks after them; unknown teams have a placeholder."""
+    prior = t.base("part").select(F.col("p_partkey").alias("game_id"), (F.col("p_partkey") % 40).cast("int").alias("home_team"))
+    rows = lookups.with_prior_games(t.games.select("game_id", "home_team"), prior)
+    return lookups.lookup(rows, teams(t.spark), "home_team", "team_id", {"name": "home_name"}, {"home_name": F.lit("Unknown")}).select("game_id", "home_name")
+
+
+@query
+def bets_on_slate(t: Tables) -> DataFrame:
+    return lookups.in_set(t.positions.select("bet_id", "game_id"), t.games, ["game_id"])
+
+
+@query
+def picks_union(t: Tables) -> DataFrame:
+    """Live picks and recorded ones whose game is no longer live."""
+    live = plan.best_candidates(t.quotes, t.predictions, t.manual_prices, now()).select("game_id", "market", F.lit("live").alias("source"))
+    recorded = lookups.not_in_set(t.positions.select("game_id", "market"), live, ["game_id"])
+    return live.unionByName(recorded.withColumn("source", F.lit("recorded"))).groupBy("source", "market").agg(F.count(F.lit(1)).alias("n"), F.sum("game_id").alias("games"))
+
+
 @query
 def worst_feed(t: Tables) -> DataFrame:
     """The worst class per game over its latest record of every event type."""
@@ -332,14 +461,14 @@ def calibration_line(t: Tables) -> DataFrame:
 
 @query
 def metric_bundle(t: Tables) -> DataFrame:
-    rows = metrics.metric_bundle(t.forecasts, ["segment"])
+    rows = metrics.full_bundle(t.forecasts, ["segment"], ["seq"], START)
     counts = ("segment", "n_recs", "n_wagers")
     return rows.select(*(F.col(c) if c in counts else r6(c).alias(c) for c in rows.columns))
 
 
 @query
 def performance_filtered(t: Tables) -> DataFrame:
-    facets = slate.performance_filter(statuses=("BET", "WATCH"), market="SPREAD", venue="OUTDOOR", horizon=">=24h", data="HIGH")
+    facets = slate.performance_filter(statuses=("BET", "WATCH"), market="SPREAD", venue="OUTDOOR", horizon="≥24h", data="HIGH")
     rows = t.forecasts.where(facets)
     return rows.groupBy("week").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("edge")).alias("avg_edge"), F.sum("profit").cast("double").alias("profit"))
 
@@ -380,9 +509,9 @@ def drawdown_curve(t: Tables) -> DataFrame:
 @query
 def running_clv(t: Tables) -> DataFrame:
     tenths = F.round(F.col("clv") * 10).cast("long")  # whole numbers, so the order of summing cannot matter
-    rows = lookups.ranked(metrics.running(t.forecasts, ["segment"], ["seq"], tenths, "sum"), ["segment"], F.col("seq"))
-    mean = F.col("sum") / (F.col("rank") * 10)
-    return rows.select("segment", "seq", F.col("rank").alias("n"), (F.floor(mean * 1e6 + 0.5) / 1e6).alias("mean_clv"))
+    rows = metrics.spread_running(t.forecasts.select("segment", "seq", "clv"), ["segment"], ["seq"], {"sum": ("sum", tenths), "n": ("sum", F.lit(1))})
+    mean = F.col("sum") / (F.col("n") * 10)
+    return rows.select("segment", "seq", "n", (F.floor(mean * 1e6 + 0.5) / 1e6).alias("mean_clv"))
 
 
 @query
@@ -440,21 +569,62 @@ def _raw_bets(t: Tables) -> DataFrame:
 
 
 def _outcomes(t: Tables) -> DataFrame:
-    """Every second bet is settled."""
+    """A settlement of every bet; two of three have a closing price."""
     results = F.array(*map(F.lit, ledger.SETTLED))
-    return t.positions.where(F.col("bet_id") % 2 == 0).select("bet_id", F.element_at(results, (F.floor(F.col("bet_id") / 2) % 4 + 1).cast("int")).alias("new_result"))
+    return t.positions.select(
+        "bet_id", F.element_at(results, (F.floor(F.col("bet_id") / 2) % 4 + 1).cast("int")).alias("new_result"), "settled_at",
+        F.when(F.col("bet_id") % 3 != 0, F.col("american") - 5 + F.when(F.col("american") > 0, 10).otherwise(0)).alias("closing_american"),
+    )
 
 
 @query
 def settlement_ledger(t: Tables) -> DataFrame:
+    """Every bet is settled; every fifth a second time, which is refused."""
+    again = _outcomes(t).where(F.col("bet_id") % 5 == 0).withColumn("settled_at", F.col("settled_at") + F.make_dt_interval(days=F.lit(1)))
+    rows = ledger.settle(_raw_bets(t), _outcomes(t).unionByName(again))
+    return rows.select("bet_id", "new_result", "error", "event_type", F.col("delta").cast("double").alias("delta"), F.col("payout").cast("double").alias("payout"), r6("clv").alias("clv"))
+
+
+@query
+def mean_clv_settled(t: Tables) -> DataFrame:
+    """Mean closing line value by result, over the bets that have one."""
     rows = ledger.settle(_raw_bets(t), _outcomes(t))
-    return rows.select("bet_id", "new_result", "event_type", F.col("delta").cast("double").alias("delta"), F.col("payout").cast("double").alias("payout"))
+    return rows.groupBy("new_result").agg(F.count("clv").alias("n"), F.round(F.avg("clv"), 4).alias("mean_clv"))
+
+
+@query
+def events_newest(t: Tables) -> DataFrame:
+    """Settlements, the newest first."""
+    rows = t.positions.where(F.col("result") != "PENDING").select("bet_id", "result", "settled_at")
+    return lookups.sorted_by(rows, "-settled_at", "-bet_id")
+
+
+@query
+def placed_bets(t: Tables) -> DataFrame:
+    """Bets placed through the ledger: accepted ones with their event, rejected ones with reasons."""
+    side = F.when(F.col("market") == "TOTAL", "OVER").otherwise("HOME")
+    stake = F.when(F.col("bet_id") % 10 == 0, 0.0).otherwise(F.col("stake").cast("double"))
+    bets = t.positions.select(
+        F.col("bet_id").alias("seq"), "user_id", "game_id", "market", side.alias("selection"), "american", stake.alias("stake"),
+        F.lit("PAPER").alias("mode"), F.date_format("settled_at", "yyyy-MM-dd").alias("placed_at"),
+    )
+    good, events, _, bad = ledger.place_bets(bets, 300.0)
+    accepted = good.select("seq", "bet_id").join(events.select("bet_id", "event_id", "detail"), "bet_id").select("seq", "bet_id", "event_id", "detail")
+    none = F.lit(None).cast("string")
+    return accepted.unionByName(bad.select("seq", none.alias("bet_id"), none.alias("event_id"), F.concat_ws("; ", "errors").alias("detail")))
+
+
+@query
+def stake_inputs(t: Tables) -> DataFrame:
+    k = F.col("seq")
+    errors = staking.stake_input_errors((k % 13) / 10, F.col("p"), F.when(k % 4 != 0, 0.9), F.when(k % 7 == 0, -1.0).otherwise(START))
+    return t.forecasts.select("seq", F.concat_ws(",", errors).alias("errors"))
 
 
 @query
 def correction_fold(t: Tables) -> DataFrame:
     """Settlements, some of them corrected to a push; a correction to the same result does nothing."""
-    first = _outcomes(t).select("bet_id", F.lit(1).alias("seq"), F.when(F.col("new_result") == "VOID", "VOIDED").otherwise("SETTLED").alias("event_type"), F.col("new_result").alias("result"))
+    first = _outcomes(t).where(F.col("bet_id") % 2 == 0).select("bet_id", F.lit(1).alias("seq"), F.when(F.col("new_result") == "VOID", "VOIDED").otherwise("SETTLED").alias("event_type"), F.col("new_result").alias("result"))
     fix = first.where(F.col("bet_id") % 5 == 0).select("bet_id", F.lit(2).alias("seq"), F.lit("CORRECTED").alias("event_type"), F.lit("PUSH").alias("result"))
     rows = ledger.fold_results(_raw_bets(t), first.unionByName(fix))
     return rows.select("bet_id", "result", "corrections", F.col("delta").cast("double").alias("delta"), F.col("payout").cast("double").alias("payout"))
@@ -463,7 +633,7 @@ def correction_fold(t: Tables) -> DataFrame:
 @query
 def correction_amounts(t: Tables) -> DataFrame:
     settled = t.positions.select("bet_id", F.col("stake").cast("double").alias("stake"), "american", "result")
-    changes = t.positions.where(F.col("bet_id") % 3 == 0).select("bet_id", F.lit("PUSH").alias("new_result"))
+    changes = t.positions.select("bet_id", F.lit("PUSH").alias("new_result"))
     rows = ledger.corrections(settled, changes)
     return rows.select("bet_id", "error", F.col("reversal").cast("double").alias("reversal"), F.col("applied").cast("double").alias("applied"))
 
@@ -520,15 +690,26 @@ def key_report(t: Tables) -> DataFrame:
     return duplicates.unionByName(missing.groupBy(F.lit("orphan").alias("kind"), F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("n")))
 
 
-@query
-def price_form(t: Tables) -> DataFrame:
+def _price_form(t: Tables) -> DataFrame:
     k = F.col("seq")
-    form = t.quotes.select(
-        "seq", "game_id", F.when(k % 13 == 0, "other").otherwise("bet365").alias("book"), "market",
+    return t.quotes.select(
+        "seq", F.col("game_id").cast("string").alias("game_id"), F.when(k % 13 == 0, "other").otherwise("bet365").alias("book"), "market",
         F.when(k % 17 == 0, "MIDDLE").otherwise("HOME").alias("selection"), F.when(k % 5 == 0, F.col("line") + 0.25).otherwise(F.col("line")).alias("line"),
         F.when(k % 7 == 0, 50).otherwise(F.col("home_american")).alias("american"), (k % 300).alias("age_minutes"), (k % 3 != 0).alias("confirmed"),
     )
-    return guards.price_form_errors(form).select("seq", F.concat_ws(",", "errors").alias("errors"))
+
+
+@query
+def price_form(t: Tables) -> DataFrame:
+    return guards.price_form_errors(_price_form(t)).select("seq", F.concat_ws(",", "errors").alias("errors"))
+
+
+@query
+def submitted_prices(t: Tables) -> DataFrame:
+    """Prices submitted to a new folder of JSON lines, read back from it."""
+    path = f"{shared_folder(t.spark)}/prices-{uuid.uuid4().hex}"
+    submit_prices(_price_form(t), path)
+    return read_prices(t.spark, path).select("seq", "game_id", "market", "line", "american")
 
 
 @query
@@ -548,6 +729,29 @@ def mutation_audit(t: Tables) -> DataFrame:
     return guards.mutated_rows(before, after, "bet_id")
 
 
+@query
+def injury_conflicts(t: Tables) -> DataFrame:
+    return slate.game_conflicts(t.injury_reports)
+
+
+@query
+def injury_board(t: Tables) -> DataFrame:
+    """Injury reports with the player's availability in that game and name, the least available first; missing counts as 1."""
+    latest = pit.latest_by(t.availability.select("game_id", "player_id", "active_probability", "seq"), ["game_id", "player_id"], ["seq"])
+    reports = t.injury_reports.select("report_id", "game_id", "player_id", "designation")
+    rows = reports.join(latest.drop("seq"), ["game_id", "player_id"], "left").join(t.players.select("player_id", "player"), "player_id", "left")
+    rows = lookups.sorted_by(rows, "active_probability", "report_id", missing={"active_probability": F.lit(1.0)})
+    return rows.select("report_id", "game_id", "player", "designation", r6("active_probability").alias("active_probability"))
+
+
+@query
+def activity_windows(t: Tables) -> DataFrame:
+    """Quotes per market and day of event time with the last line: the batch twin of the stream."""
+    rows = t.quotes.groupBy(F.window("observed_at", "1 day").alias("w"), "market")
+    rows = rows.agg(F.count(F.lit(1)).alias("n"), F.max_by("line", F.struct("observed_at", "seq")).alias("last_line"))
+    return rows.select(F.col("w.start").alias("start"), "market", "n", "last_line")
+
+
 @query
 def injury_clusters(t: Tables) -> DataFrame:
     return slate.injury_clusters(t.injury_reports)

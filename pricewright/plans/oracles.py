@@ -7,7 +7,7 @@ Spark plan: correlated subqueries, windows, ASOF joins and recursive sums instea
 
 from __future__ import annotations
 
-from pricewright.sources.reference import TEAMS
+from pricewright.sources.reference import STADIUMS, TEAMS
 
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 _CUT = "TIMESTAMP '2024-01-16 00:00:00'"
@@ -302,12 +302,56 @@ _REC_VIEWS = ("games", "best", "projection", "availability", "weather", "summary
 def oracle_sql() -> dict[str, str]:
     ledger_pay = f"CASE WHEN result = 'WIN' THEN {_cents('cents + ' + _delta('cents', 'american', 'result'))} WHEN result IN ('PUSH', 'VOID') THEN {_cents('cents')} WHEN result = 'LOSS' THEN 0 END"
     settled = "SELECT bet_id, ['WIN', 'LOSS', 'PUSH', 'VOID'][(bet_id // 2) % 4 + 1] AS result, cents, american FROM positions WHERE bet_id % 2 = 0"
+    every_settled = "SELECT bet_id, ['WIN', 'LOSS', 'PUSH', 'VOID'][(bet_id // 2) % 4 + 1] AS result, cents, american, CASE WHEN bet_id % 3 <> 0 THEN american - 5 + CASE WHEN american > 0 THEN 10 ELSE 0 END END AS closing FROM positions"
     slices = f"count(f.seq) AS n, round({_LOSS}, 6) AS log_loss, round(avg((p - outcome) * (p - outcome)), 6) AS brier, round(avg(clv), 6) AS mean_clv, round(avg(edge), 6) AS avg_edge"
     status = lambda aging, stale: f"CASE WHEN {_age('last_at')} < 0 THEN 'CONFLICTING' WHEN {_age('last_at')} <= {aging} THEN 'CURRENT' WHEN {_age('last_at')} <= {stale} THEN 'AGING' ELSE 'STALE' END"
     ago = f"floor({_age('last_at')} + 0.5)::BIGINT"
     names = ("full_kelly", "fraction_kelly", "after_uncertainty", "after_quality", "after_calibration")
     kelly = f"greatest(0, (({_dec('american')} - 1) * p - (1 - p)) / ({_dec('american')} - 1))"
     return {
+        "watch_list": _sql("", *_REC_VIEWS).rstrip() + _recs() + "SELECT game_id, market, selection, round(edge, 6) AS edge, reasons FROM decided WHERE status = 'WATCH' ORDER BY edge DESC, game_id",
+        "slate_sorted": _sql(
+            "SELECT g.game_id, kickoff, CASE WHEN dayname(kickoff) IN ('Friday', 'Monday', 'Tuesday') THEN 'PRIMETIME' WHEN hour(kickoff) < 19 THEN 'SUN_EARLY' ELSE 'SUN_LATE' END AS kickoff_window, "
+            "round(edge, 6) AS edge FROM games g LEFT JOIN best USING (game_id)", "games", "best"),
+        "total_distribution": _sql("SELECT part_id, v AS value, round(probability, 6) AS probability FROM totals", "totals"),
+        "total_ladder": _sql("SELECT part_id, line::INT AS line, round(sum(CASE WHEN v > line THEN probability ELSE 0 END), 6) AS over FROM totals, range(37, 54) r(line) GROUP BY part_id, line", "totals"),
+        "distribution_points": _sql("SELECT part_id, v::INT AS x, round(probability * 100, 4) AS y FROM margins WHERE probability >= 0.01", "margins"),
+        "scenario_interval": f"""
+WITH s AS (SELECT p_partkey AS part_id, (p_size - 25) / 3.0::DOUBLE - CASE WHEN p_partkey % 2 = 0 THEN 4.5 ELSE 0 END AS mu, 10 + (p_retailprice - 900) / 20 AS sd,
+           38 + p_size / 3.0::DOUBLE - CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 0 END - 0.6 AS total FROM part),
+m AS (SELECT part_id, v, w / sum(w) OVER (PARTITION BY part_id) AS p FROM (SELECT part_id, v, {_pdf('v', 'mu', '(sd + 0.6)')} * {_BOOST} AS w FROM (SELECT *, unnest({_OUTCOMES}) AS v FROM s))),
+t AS (SELECT part_id, v, w / sum(w) OVER (PARTITION BY part_id) AS p FROM (SELECT part_id, v, {_pdf('v', 'total', '(sd + 0.5)')} AS w FROM (SELECT *, unnest(range(10, 91)) AS v FROM s))),
+mi AS (SELECT part_id, min(v) FILTER (up >= 0.1) AS lo, max(v) FILTER (down >= 0.1) AS hi FROM (SELECT *, sum(p) OVER (PARTITION BY part_id ORDER BY v) AS up, sum(p) OVER (PARTITION BY part_id ORDER BY v DESC) AS down FROM m) GROUP BY part_id),
+ti AS (SELECT part_id, min(v) FILTER (up >= 0.1) AS lo, max(v) FILTER (down >= 0.1) AS hi FROM (SELECT *, sum(p) OVER (PARTITION BY part_id ORDER BY v) AS up, sum(p) OVER (PARTITION BY part_id ORDER BY v DESC) AS down FROM t) GROUP BY part_id)
+SELECT part_id, '80% margin ' || mi.lo || ' to ' || mi.hi || ', total ' || ti.lo || ' to ' || ti.hi AS text FROM mi JOIN ti USING (part_id)""",
+        "display_factors": _sql(
+            "SELECT part_id, CASE WHEN mu > 0.3 THEN 'HOME' WHEN mu < -0.3 THEN 'AWAY' ELSE 'NEUTRAL' END AS favours, round(-(part_id % 30 - 8) * 0.12::DOUBLE, 6) AS weather_adjustment, "
+            f"{_fair('q')} AS price, -220 - (-115 + part_id % 11) AS second_price FROM (SELECT *, least(0.985, greatest(0.015, {_above_zero('mu', '13.2')} + 0.02)) AS q FROM projection)", "projection"),
+        "age_tiers": _sql(
+            f"SELECT 'manual' AS kind, seq, CASE WHEN {_age('entered_at')} <= 45 THEN 'ok' WHEN {_age('entered_at')} <= 60 THEN 'warn' ELSE 'bad' END AS tier FROM manual UNION ALL "
+            f"SELECT 'quote', seq, CASE WHEN {_age('observed_at')} <= 30 THEN 'ok' WHEN {_age('observed_at')} <= 120 THEN 'warn' ELSE 'bad' END FROM latest", "manual", "latest"),
+        "kickoff_labels": _sql("SELECT game_id, strftime(kickoff, '%a, %b %-d, %-I:%M %p') AS label, 'game_' || substr(sha256(game_id || '|' || home_team), 1, 16) AS id FROM games", "games"),
+        "feed_impact": _sql(
+            "SELECT game_id, count(i.g) AS n, coalesce(bool_or(value > 200), false) AS failed FROM games LEFT JOIN (SELECT value, unnest([user_id, user_id + 3]) AS g FROM events WHERE event_type = 'error') i ON i.g = game_id GROUP BY game_id", "games"),
+        "incidents_of_game": "SELECT event_id AS incident_id, CASE WHEN value > 200 THEN 'FAILED' ELSE 'OPEN' END AS resolution FROM events WHERE event_type = 'error' AND user_id IN (7, 4)",
+        "game_factors": _sql(
+            "SELECT game_id, coalesce(n_name, '—') AS crew, stadium, surface, altitude FROM games LEFT JOIN nation ON n_nationkey = game_id % 25 AND game_id % 9 <> 0 "
+            "LEFT JOIN (VALUES " + _stadium_values() + ") x(id, stadium, surface, altitude) ON x.id = home_team", "games"),
+        "games_with_prior": _sql(
+            "SELECT p_partkey AS game_id, coalesce(team_name, 'Unknown') AS home_name FROM part LEFT JOIN (VALUES " + _team_values() + ") x(id, abb, team_name) "
+            "ON x.id = CASE WHEN p_partkey IN (SELECT game_id FROM quotes) THEN p_partkey % 25 ELSE p_partkey % 40 END", "quotes"),
+        "bets_on_slate": _sql("SELECT bet_id, game_id FROM positions WHERE game_id IN (SELECT game_id FROM games)", "positions", "games"),
+        "picks_union": _sql(
+            "SELECT 'live' AS source, market, count(*) AS n, sum(game_id)::BIGINT AS games FROM best GROUP BY market UNION ALL "
+            "SELECT 'recorded', market, count(*), sum(game_id)::BIGINT FROM positions WHERE game_id NOT IN (SELECT game_id FROM best) GROUP BY market", "best", "positions"),
+        "submitted_prices": _sql(
+            "SELECT seq, game_id::VARCHAR AS game_id, market, line, home_american::DOUBLE AS american FROM quotes WHERE seq % 13 <> 0 AND seq % 17 <> 0 AND seq % 5 <> 0 AND seq % 7 <> 0 AND seq % 300 <= 240 AND seq % 3 <> 0", "quotes"),
+        "injury_conflicts": "SELECT user_id AS game_id, bool_or(event_id % 11 = 0) AS any_conflict FROM events WHERE event_type = 'signup' GROUP BY user_id",
+        "injury_board": _sql(
+            "SELECT report_id, i.game_id, s_name AS player, CASE WHEN report_id % 2 = 0 THEN 'QUESTIONABLE' ELSE 'OUT' END AS designation, round(a.p, 6) AS active_probability "
+            "FROM injuries i LEFT JOIN (SELECT game_id, player_id, arg_max(p, seq) AS p FROM availability GROUP BY ALL) a ON a.game_id = i.game_id AND a.player_id = report_id % 100 + 1 "
+            "LEFT JOIN supplier ON s_suppkey = report_id % 100 + 1", "injuries", "availability"),
+        "activity_windows": _sql("SELECT date_trunc('day', observed_at)::TIMESTAMP AS start, market, count(*) AS n, arg_max(line, (observed_at, seq)) AS last_line FROM quotes GROUP BY ALL", "quotes"),
         "pricing_convert": _sql(
             f"SELECT seq, round(d, 6) AS decimal, round(p, 6) AS implied, {_fair('p')} AS fair, CASE WHEN home_american = -100 THEN 100 ELSE home_american END::BIGINT AS american "
             f"FROM (SELECT *, {_dec('home_american')} AS d, {_imp('home_american')} AS p FROM quotes)", "quotes"),
@@ -337,7 +381,7 @@ def oracle_sql() -> dict[str, str]:
             "ON q.game_id = e.user_id AND e.ts >= q.observed_at WHERE e.event_type = 'error'", "quotes"),
         "lookahead_violations": _sql(
             f"SELECT game_id, count(*) AS violations, 'odds snapshots for ' || game_id || ': record observed at ' || strftime(arg_min(observed_at, seq), '%Y-%m-%dT%H:%M:%S.%gZ') || ' is after prediction cutoff 2024-01-16T00:00:00.000Z. Future information must never enter a historical prediction.' AS message FROM quotes WHERE observed_at > {_CUT} GROUP BY game_id", "quotes"),
-        "usable_forecasts": "SELECT p_partkey AS game_id, (p_partkey % 5 + 30) >= 15 AS model_ok, (p_partkey % 5 + 30) >= 30 AS forecast_ok, false AS result_ok, (p_partkey % 5 + 30) >= 30 AS as_of_ok FROM part",
+        "usable_forecasts": "SELECT p_partkey AS game_id, (p_partkey % 5 + 30) >= 15 AS model_ok, p_partkey % 5 >= 2 AS forecast_ok, p_partkey % 3 <> 0 AND p_partkey % 5 >= 1 AS result_ok, p_partkey % 5 >= 2 AS as_of_ok FROM part",
         "line_movement": _sql("SELECT game_id, market, toward_first, toward_second, line_move FROM movement", "movement_cut"),
         "margin_distribution": _sql("SELECT part_id, v AS value, round(probability, 6) AS probability FROM margins", "margins"),
         "spread_outcomes": _sql(
@@ -393,9 +437,10 @@ FROM decided WHERE status IN ('BET', 'WATCH') ORDER BY edge DESC, game_id LIMIT
             "{'v': k * 0.25 * 0.85 * 0.95 * 0.9, 'i': 0, 'l': 'Risk-adjusted Kelly'}, {'v': 0.005::DOUBLE, 'i': 1, 'l': 'Per-bet cap'}, {'v': greatest(0, 0.01::DOUBLE - (seq % 5) / 400.0::DOUBLE), 'i': 2, 'l': 'Same-game cap'}, "
             "{'v': greatest(0, 0.015::DOUBLE - (seq % 7) / 500.0::DOUBLE), 'i': 3, 'l': 'Team weekly cap'}, {'v': greatest(0, 0.0125::DOUBLE - (seq % 3) / 200.0::DOUBLE), 'i': 4, 'l': 'Correlated-cluster cap'}, "
             f"{{'v': greatest(0, 0.04::DOUBLE - (seq % 11) / 250.0::DOUBLE), 'i': 5, 'l': 'Weekly open-stake cap'}}])[1] AS s FROM (SELECT seq, {kelly} AS k FROM forecasts))", "forecasts"),
-        "freshness": f"SELECT feed, round({_age('last_at')}, 6) AS age_minutes, CASE feed WHEN 'click' THEN {status(30, 120)} ELSE {status(360, 1440)} END AS status, strftime(last_at, '%Y-%m-%d %H:%MZ') AS at_utc, "
+        "freshness": f"SELECT event, CASE event WHEN 'click' THEN 'odds' WHEN 'view' THEN 'weather' WHEN 'purchase' THEN 'manualPrice' WHEN 'signup' THEN 'injury' WHEN 'error' THEN 'schedule' END AS feed, round({_age('last_at')}, 6) AS age_minutes, "
+            f"CASE event WHEN 'click' THEN {status(30, 120)} WHEN 'view' THEN {status(180, 720)} WHEN 'purchase' THEN {status(30, 60)} WHEN 'signup' THEN {status(360, 1440)} WHEN 'error' THEN {status(1440, 4320)} END AS status, strftime(last_at, '%Y-%m-%d %H:%MZ') AS at_utc, "
             f"CASE WHEN {ago} < 1 THEN 'just now' WHEN {ago} < 60 THEN {ago} || 'm ago' WHEN {ago} // 60 < 48 THEN ({ago} // 60) || 'h ' || ({ago} % 60) || 'm ago' ELSE ({ago} // 1440) || 'd ago' END AS ago "
-            "FROM (SELECT event_type AS feed, max(ts) AS last_at FROM events GROUP BY event_type)",
+            "FROM (SELECT event_type AS event, max(ts) AS last_at FROM events GROUP BY event_type)",
         "worst_feed": f"SELECT game_id, ['CURRENT', 'AGING', 'STALE', 'CONFLICTING', 'MISSING'][max(list_position(['CURRENT', 'AGING', 'STALE', 'CONFLICTING', 'MISSING'], s))] AS worst, count(*) FILTER (s IN ('STALE', 'CONFLICTING', 'MISSING')) AS degraded "
             f"FROM (SELECT game_id, {status(1440, 7200)} AS s FROM (SELECT user_id AS game_id, event_type, max(ts) AS last_at FROM events GROUP BY ALL)) GROUP BY game_id",
         "log_loss_brier": _sql(f"SELECT segment, round({_LOSS}, 6) AS log_loss, round(avg((p - outcome) ** 2), 6) AS brier FROM forecasts GROUP BY segment", "forecasts"),
@@ -409,14 +454,16 @@ FROM decided WHERE status IN ('BET', 'WATCH') ORDER BY edge DESC, game_id LIMIT
             "SELECT segment, round(sxy / sxx, 6) AS slope, round(my - sxy / sxx * mp, 6) AS intercept FROM (SELECT segment, sum((p - mp) * (outcome - my)) AS sxy, sum((p - mp) ** 2) AS sxx, any_value(mp) AS mp, any_value(my) AS my FROM "
             "(SELECT *, avg(p) OVER (PARTITION BY segment) AS mp, avg(outcome) OVER (PARTITION BY segment) AS my FROM forecasts) GROUP BY segment)", "forecasts"),
         "metric_bundle": _sql(
-            f"SELECT segment, round({_LOSS}, 6) AS log_loss, round(avg((p - outcome) ** 2), 6) AS brier, round(regr_slope(outcome, p), 6) AS slope, round(regr_intercept(outcome, p), 6) AS intercept, round(avg(clv), 6) AS mean_clv, "
+            f"SELECT b.*, ece, max_drawdown FROM (SELECT segment, round({_LOSS}, 6) AS log_loss, round(avg((p - outcome) ** 2), 6) AS brier, round(regr_slope(outcome, p), 6) AS slope, round(regr_intercept(outcome, p), 6) AS intercept, round(avg(clv), 6) AS mean_clv, "
             "round(sum(profit)::DOUBLE / sum(stake)::DOUBLE, 6) AS roi, round(avg(outcome) FILTER (stake > 0 AND NOT push), 6) AS win_rate, round(avg(push::INT), 6) AS push_rate, round(avg(edge), 6) AS avg_edge, count(*) AS n_recs, "
-            "count(*) FILTER (stake > 0) AS n_wagers, round(sum(stake)::DOUBLE / count(*) FILTER (stake > 0), 6) AS avg_stake, round(avg(within80::INT), 6) AS coverage80 FROM forecasts GROUP BY segment", "forecasts"),
+            "count(*) FILTER (stake > 0) AS n_wagers, round(sum(stake)::DOUBLE / count(*) FILTER (stake > 0), 6) AS avg_stake, round(avg(within80::INT), 6) AS coverage80 FROM forecasts GROUP BY segment) b "
+            f"JOIN (SELECT segment, round(sum(n * abs(o - m)) / sum(n), 6) AS ece FROM (SELECT segment, {_BIN} AS b, count(*) AS n, avg(outcome) AS o, avg(p) AS m FROM forecasts GROUP BY ALL) GROUP BY segment) USING (segment) "
+            "JOIN (SELECT segment, round(max((peak - balance) / peak), 6) AS max_drawdown FROM (SELECT *, max(balance) OVER (PARTITION BY segment ORDER BY point) AS peak FROM curve) WHERE peak > 0 GROUP BY segment) USING (segment)", "curve"),
         "performance_filtered": _sql(
             "SELECT seq % 18 + 1 AS week, count(*) AS n, round(avg(edge), 6) AS avg_edge, sum(profit)::DOUBLE AS profit FROM forecasts WHERE status IN ('BET', 'WATCH') AND seq % 3 = 0 AND seq % 4 <> 0 AND seq % 72 >= 24 "
             "AND seq % 20 >= 10 GROUP BY week", "forecasts"),
         "edge_tier_slices": _sql(
-            f"SELECT 'edge' AS slice, d.name, {slices} FROM (VALUES ('<1%', -9, 0.01::DOUBLE), ('1-3%', 0.01::DOUBLE, 0.03::DOUBLE), ('>=3%', 0.03::DOUBLE, 9)) d(name, lo, hi) LEFT JOIN forecasts f ON edge >= lo AND edge < hi GROUP BY d.name "
+            f"SELECT 'edge' AS slice, d.name, {slices} FROM (VALUES ('<1%', -9, 0.01::DOUBLE), ('1–3%', 0.01::DOUBLE, 0.03::DOUBLE), ('≥3%', 0.03::DOUBLE, 9)) d(name, lo, hi) LEFT JOIN forecasts f ON edge >= lo AND edge < hi GROUP BY d.name "
             f"UNION ALL SELECT 'status', d.name, {slices} FROM (VALUES ('BET'), ('WATCH'), ('PASS'), ('DATA INCOMPLETE')) d(name) LEFT JOIN forecasts f ON status = d.name GROUP BY d.name", "forecasts"),
         "bankroll_curve": _sql("SELECT segment, point::INT AS point, round(balance, 2) AS balance FROM curve", "curve"),
         "settled_curve": _sql(
@@ -441,14 +488,26 @@ FROM decided WHERE status IN ('BET', 'WATCH') ORDER BY edge DESC, game_id LIMIT
         "realized_pnl": _sql("SELECT team, coalesce(sum(delta) FILTER (result <> 'PENDING'), 0)::DOUBLE AS realized, 1e7 - coalesce(sum(stake) FILTER (result = 'PENDING'), 0)::DOUBLE AS available FROM positions GROUP BY team", "positions"),
         "balance_reconciliation": _sql("SELECT user_id, (10000 + sum(delta))::DOUBLE AS balance FROM positions GROUP BY user_id", "positions"),
         "settlement_ledger": _sql(
-            f"SELECT bet_id, result AS new_result, CASE result WHEN 'VOID' THEN 'VOIDED' ELSE 'SETTLED' END AS event_type, {_delta('cents', 'american', 'result')}::DOUBLE AS delta, ({ledger_pay})::DOUBLE AS payout FROM ({settled})", "positions"),
+            f"SELECT bet_id, result AS new_result, error, CASE WHEN error IS NULL THEN CASE result WHEN 'VOID' THEN 'VOIDED' ELSE 'SETTLED' END END AS event_type, CASE WHEN error IS NULL THEN {_delta('cents', 'american', 'result')}::DOUBLE END AS delta, "
+            f"CASE WHEN error IS NULL THEN ({ledger_pay})::DOUBLE END AS payout, CASE WHEN error IS NULL THEN round(({_imp('closing')} - {_imp('american')}) * 100, 6) END AS clv "
+            f"FROM ({every_settled}), (VALUES (NULL), ('already settled')) e(error) WHERE error IS NULL OR bet_id % 5 = 0", "positions"),
+        "mean_clv_settled": _sql(f"SELECT result AS new_result, count(closing) AS n, round(avg(({_imp('closing')} - {_imp('american')}) * 100), 4) AS mean_clv FROM ({every_settled}) GROUP BY result", "positions"),
+        "events_newest": _sql("SELECT bet_id, result, settled_at FROM positions WHERE result <> 'PENDING' ORDER BY settled_at DESC, bet_id DESC", "positions"),
+        "placed_bets": _sql(
+            "SELECT seq, CASE WHEN ok THEN id END AS bet_id, CASE WHEN ok THEN 'bev_' || substr(sha256(id || '|PLACED'), 1, 16) END AS event_id, "
+            "CASE WHEN ok THEN printf('PAPER bet placed: %s %s @ %d, stake %.2f', side, market, american, v) WHEN v <= 0 THEN 'Stake must be positive.' ELSE 'Stake exceeds available bankroll.' END AS detail FROM ("
+            "SELECT *, v > 0 AND v <= 300 AS ok, 'bet_' || substr(sha256(concat_ws('|', user_id, game_id, market, side, strftime(settled_at, '%Y-%m-%d'), seq)), 1, 16) AS id FROM ("
+            "SELECT *, bet_id AS seq, CASE WHEN bet_id % 10 = 0 THEN 0 ELSE cents END AS v, CASE market WHEN 'TOTAL' THEN 'OVER' ELSE 'HOME' END AS side FROM positions))", "positions"),
+        "stake_inputs": _sql(
+            "SELECT seq, array_to_string(list_filter([CASE WHEN seq % 13 > 10 THEN 'uncertaintyMultiplier' END, CASE WHEN seq % 4 = 0 THEN 'calibrationMultiplier' END, "
+            "CASE WHEN seq % 7 = 0 THEN 'bankroll' END], lambda x: x IS NOT NULL), ',') AS errors FROM forecasts", "forecasts"),
         "correction_fold": _sql(
             f"SELECT bet_id, result, corrections, {_delta('cents', 'american', 'result')}::DOUBLE AS delta, ({ledger_pay})::DOUBLE AS payout FROM (SELECT p.bet_id, p.cents, p.american, "
             "CASE WHEN s.bet_id IS NULL THEN 'PENDING' WHEN p.bet_id % 5 = 0 THEN 'PUSH' ELSE s.result END AS result, (s.bet_id IS NOT NULL AND p.bet_id % 5 = 0 AND s.result <> 'PUSH')::BIGINT AS corrections "
             f"FROM positions p LEFT JOIN ({settled}) s USING (bet_id))", "positions"),
         "correction_amounts": _sql(
             f"SELECT bet_id, CASE result WHEN 'PENDING' THEN 'not settled' WHEN 'PUSH' THEN 'no change' END AS error, CASE WHEN result NOT IN ('PENDING', 'PUSH') THEN -{_delta('cents', 'american', 'result')} END AS reversal, "
-            "CASE WHEN result NOT IN ('PENDING', 'PUSH') THEN 0.0 END AS applied FROM positions WHERE bet_id % 3 = 0", "positions"),
+            "CASE WHEN result NOT IN ('PENDING', 'PUSH') THEN 0.0 END AS applied FROM positions", "positions"),
         "vintage_conflicts": "SELECT 'p' || (p_partkey * 2) AS prediction_id, p_partkey AS game_id, CASE WHEN p_partkey * 2 IN (SELECT p_partkey FROM part) THEN 'prediction exists' ELSE 'vintage exists' END AS conflict "
             "FROM part WHERE p_partkey * 2 IN (SELECT p_partkey FROM part) OR p_partkey % 4 = p_partkey % 5",
         "append_vintages": "SELECT model, count(*) AS n FROM (SELECT p_partkey % 5 AS model FROM part UNION ALL SELECT p_partkey % 4 FROM part WHERE p_partkey * 2 NOT IN (SELECT p_partkey FROM part) AND p_partkey % 4 <> p_partkey % 5) GROUP BY model",
@@ -502,6 +561,11 @@ FROM decided WHERE status IN ('BET', 'WATCH') ORDER BY edge DESC, game_id LIMIT
     }
 
 
+def _stadium_values() -> str:
+    rows = [line.replace("'", "''").split("|") for line in STADIUMS.split("\n")[1:-1]]
+    return ", ".join(f"({i}, '{r[1]}', '{r[4]}', {r[6]})" for i, r in enumerate(rows))
+
+
 def _team_values() -> str:
     rows = [line.split("|") for line in TEAMS.split("\n")[1:-1]]
     return ", ".join(f"({i}, '{r[0]}', '{r[1]}')" for i, r in enumerate(rows))

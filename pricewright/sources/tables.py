@@ -205,6 +205,7 @@ class Tables:
             F.col("event_id").alias("report_id"),
             F.col("user_id").alias("game_id"),
             (F.col("event_id") % 50).alias("team_id"),
+            (F.col("event_id") % 100 + 1).alias("player_id"),
             F.element_at(F.array(*map(F.lit, POSITIONS)), (F.col("event_id") % 7 + 1).cast("int")).alias("position"),
             (F.col("value") / 500).alias("active_probability"),
             F.when(F.col("event_id") % 11 == 0, "sources differ").alias("conflict_warning"),

@@ -142,7 +142,7 @@ def test_drawdown(spark):
 def test_slices_show_empty_ones(spark):
     df = spark.createDataFrame([(0.6, 1, 0.05, 0.0, "BET")], "p double, outcome int, edge double, clv double, status string")
     rows = {(r["slice"], r["name"]): r["n"] for r in metrics.slice_tables(df).collect()}
-    assert len(rows) == 7 and rows[("edge", ">=3%")] == 1 and rows[("status", "PASS")] == 0
+    assert len(rows) == 7 and rows[("edge", "≥3%")] == 1 and rows[("status", "PASS")] == 0
 
 
 def bets(spark):

@@ -46,7 +46,7 @@ def run(df, name, mode, spark):
 
 
 def test_streams_equal_batch(spark, tmp_path):
-    quotes = Tables(spark, f"{DATA}/sf0.001").quotes.drop("is_opening")
+    quotes = Tables(spark, f"{DATA}/sf0.001").quotes
     quotes.repartition(3).write.parquet(f"{tmp_path}/q")
     stream = lambda: spark.readStream.schema(quotes.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/q")
     got = run(streams.latest_quotes(stream()), "latest_q", "complete", spark).select("game_id", "market", "seq")
