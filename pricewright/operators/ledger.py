@@ -45,11 +45,12 @@ def audit(events: DataFrame, action: str) -> DataFrame:
 def settle(bets: DataFrame, settlements: DataFrame) -> DataFrame:
     """Settles pending bets: result, delta, payout, event type; other settlements have an error.
 
-    ``bets``: bet_id, stake, american, result.  ``settlements``: bet_id, new_result, settled_at, and
-    closing_american where a closing price is known, which gives ``clv`` in percentage points.
-    Of several settlements of one bet the first by settled_at, then by result, counts.
+    ``bets``: bet_id, stake, american, result.  ``settlements``: bet_id, new_result, and if known settled_at and
+    closing_american; the latter gives ``clv`` in percentage points.  Of several settlements of one bet the
+    first by settled_at, then by result, counts.
     """
-    nth = F.row_number().over(Window.partitionBy("bet_id").orderBy("settled_at", "new_result"))
+    order = [c for c in ("settled_at", "new_result") if c in settlements.columns]
+    nth = F.row_number().over(Window.partitionBy("bet_id").orderBy(*order))
     closing = F.col("closing_american") if "closing_american" in settlements.columns else F.lit(None).cast("long")
     joined = settlements.withColumns({"_nth": nth, "_closing": closing}).join(bets, "bet_id", "left")
     error = (

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pricewright.operators import guards, ledger, lookups, metrics, rules, slate
 from pricewright.operators import pointintime as pit
 from pricewright.operators.staking import RiskControls, stake_input_errors, with_stake
+from pricewright.plans.slate import evaluate
+from pricewright.sources.tables import Tables
+from tests.conftest import DATA
 
 TS = "cast('2024-01-{:02d} 00:00:00' as timestamp)"
 
@@ -57,6 +60,61 @@ def test_asof_join_carries_the_last_row_forward(spark):
     assert {r["probe"]: (r["r_seq"], r["r_v"]) for r in rows} == {1: (12, None), 2: (None, None), 3: (14, 5.0), 4: (None, None)}
 
 
+def test_new_vintages_may_not_clash_with_each_other(spark):
+    schema = "prediction_id string, game_id int, vintage string, model int"
+    history = spark.createDataFrame([("p0", 1, "OPEN", 1)], schema)
+    new = spark.createDataFrame([("p1", 2, "OPEN", 1), ("p1", 2, "OPEN", 1), ("p2", 2, "OPEN", 1), ("p3", 3, "OPEN", 1), ("p0", 3, "OPEN", 2), ("p4", 1, "OPEN", 1)], schema)
+    conflicts = sorted((r["prediction_id"], r["conflict"]) for r in ledger.vintage_conflicts(history, new).collect())
+    assert conflicts == [("p0", "prediction exists"), ("p1", "prediction exists"), ("p2", "vintage exists"), ("p4", "vintage exists")]
+    assert sorted(r["prediction_id"] for r in ledger.append_vintages(history, new).collect()) == ["p0", "p1", "p3"]
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 20])
+def test_running_values_over_ranges(spark, ranges):
+    data = [(None if i % 5 == 0 else "ab"[i % 2], i, None if i % 7 == 0 else (i * 37) % 11 - 5) for i in range(60)]
+    df = spark.createDataFrame(data, "k string, i int, v int")
+    got = {r["i"]: (r["s"], r["n"], r["m"]) for r in metrics.spread_running(df, ["k"], ["i"], {"s": ("sum", F.col("v")), "n": ("sum", F.lit(1)), "m": ("max", F.col("v"))}, ranges).collect()}
+    for k, i, _ in data:
+        before = [v for other, j, v in data if other == k and j <= i]
+        known = [v for v in before if v is not None]
+        assert got[i] == (sum(known) if known else None, len(before), max(known, default=None))
+
+
+class WithLateQuote(Tables):
+    """Two games have a quote after the clock."""
+
+    @property
+    def quotes(self):
+        rows = super().quotes
+        first = rows.groupBy("game_id").agg(F.min("seq").alias("seq")).orderBy("game_id").limit(2)
+        moved = rows.join(first, ["game_id", "seq"], "left_semi").withColumn("observed_at", F.lit("2024-02-01 10:00:00").cast("timestamp"))
+        return rows.join(first, ["game_id", "seq"], "left_anti").unionByName(moved)
+
+
+def test_games_with_late_records_are_reset_and_the_others_priced(spark):
+    usual = {r["game_id"]: r for r in evaluate(Tables(spark, f"{DATA}/sf0.001")).collect()}
+    got = {r["game_id"]: r for r in evaluate(WithLateQuote(spark, f"{DATA}/sf0.001")).collect()}
+    late = {g: r for g, r in got.items() if "integrity" in r["reasons"]}
+    assert 1 <= len(late) <= 2 and set(got) == set(usual)
+    for g, r in late.items():
+        assert r["reasons"] == (
+            f"Point-in-time integrity violation: odds snapshots for {g}: record observed at 2024-02-01T10:00:00.000Z "
+            "is after prediction cutoff 2024-01-31T00:00:00.000Z. Future information must never enter a historical prediction."
+        )
+        assert (r["status"], r["market"], r["selection"], r["american"], r["edge"], r["ev"]) == ("DATA INCOMPLETE", "SPREAD", "HOME", -110, 0.0, 0.0)
+        assert r["stake_pct"] is None and r["target_price"] is None and r["line"] is None and not r["supporting"] and not r["opposing"] and not r["invalidation"]
+    assert all(got[g] == usual[g] for g in got if g not in late)
+
+
+def test_exposure_is_told(spark):
+    rows = evaluate(Tables(spark, f"{DATA}/sf0.001"), bankroll=1000.0).where("opposing LIKE '%Existing exposure on this game%'").collect()
+    assert rows and all("Portfolio exposure would exceed a limit" in r["reasons"] or r["status"] == "DATA INCOMPLETE" for r in rows if "cap 1.00%" in r["opposing"] and r["status"] != "WATCH")
+
+
+def test_invalid_stake_inputs_give_no_stake(spark):
+    assert stake(spark, uncertainty=1.5) is None and stake(spark, quality=-0.1) is None and stake(spark) is not None
+
+
 def test_opening_is_first_in_input_order(spark):
     df = spark.createDataFrame([("g", 2, True), ("g", 1, True), ("g", 0, False)], "k string, seq long, is_opening boolean").withColumn("observed_at", at(1))
     assert pit.opening_snapshot(df, ["k"]).first()["seq"] == 1
@@ -156,6 +214,15 @@ def test_settlement(spark):
     assert [rows[i]["error"] for i in (2, 9, 3)] == ["already settled", "unknown bet", "invalid result"]
 
 
+def test_a_bet_settles_once_in_a_batch(spark):
+    schema = "bet_id int, new_result string, settled_at string, closing_american int"
+    todo = spark.createDataFrame([(1, "WIN", "b", 120), (1, "WIN", "a", 120), (3, "LOSS", "a", None)], schema)
+    rows = {(r["bet_id"], r["settled_at"]): r for r in ledger.settle(bets(spark), todo).collect()}
+    assert rows[(1, "b")]["error"] == "already settled" and rows[(1, "b")]["delta"] is None
+    assert float(rows[(1, "a")]["delta"]) == 150.0 and rows[(1, "a")]["clv"] == pytest.approx((100 / 220 - 100 / 250) * 100)
+    assert rows[(3, "a")]["clv"] is None
+
+
 def test_fold_takes_the_last_valid_result(spark):
     events = spark.createDataFrame(
         [(1, 1, "SETTLED", "WIN"), (1, 2, "CORRECTED", "WIN"), (1, 3, "CORRECTED", "PUSH"), (3, 1, "CORRECTED", "WIN")], "bet_id int, seq int, event_type string, result string"
