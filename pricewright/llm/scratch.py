@@ -31,9 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/pricewright-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses, below one folder per application."""
+    return f"{_session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all that this application has staged.
+
+    Results are lazy and read what was staged for them, so call this once they are written; default stores
+    of ``shard_documents`` and archives of ``archive_pages`` go with it.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -45,5 +59,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def bound_arrow_batches(spark: SparkSession) -> None:
-    """Limit the bytes of a batch sent to Python workers, so that long texts fit in memory."""
+    """Limit the bytes of a batch sent to Python workers, so that long texts fit in memory.
+
+    Results are lazy, so the setting has to outlast the call; a smaller one of the session is kept.
+    """
+    given = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if given and given.isdigit() and 0 < int(given) < _ARROW_BATCH_BYTES:
+        return
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_ARROW_BATCH_BYTES))

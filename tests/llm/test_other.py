@@ -531,6 +531,26 @@ def test_url_trees_sample_holds_both_labels_and_distinct_urls(spark):
     assert {r["prediction"] for r in out.collect()} == {0.0}
 
 
+def test_staged_tables_can_be_deleted(tmp_path):
+    from pricewright.llm import scratch
+
+    class Conf:
+        def get(self, name, default=None):
+            return f"file://{tmp_path}"
+
+    from pyspark.sql import SparkSession
+
+    class Session:
+        def __init__(self, real):
+            self.conf, self.sparkContext, self._jvm, self._jsc = Conf(), real.sparkContext, real._jvm, real._jsc
+
+    session = Session(SparkSession.active())
+    path = Path(scratch.new_path(session, "x").removeprefix("file://"))
+    path.mkdir(parents=True)
+    scratch.clean_up(session)
+    assert tmp_path.is_dir() and not path.exists() and not list(tmp_path.iterdir())
+
+
 # Pipeline ----------------------------------------------------------------------------------
 
 
