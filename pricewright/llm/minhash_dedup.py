@@ -256,17 +256,20 @@ def _collided(batches: Iterator[pa.RecordBatch], matches: int, percent: int) ->
             x, y = np.nonzero(~same & (100 * short >= percent * long))
             if not crossed:
                 x, y = x[x < y], y[x < y]
+            found = []
             for at in range(0, len(x), 1 << 14):
                 p, q = left[x[at : at + (1 << 14)]], right[y[at : at + (1 << 14)]]
                 agree = marks[p] == marks[q]
                 both = ((posted[p] & posted[q])[:, None] >> np.arange(COORDINATES)) & 1
                 here = np.argmax(agree & (both > 0), axis=1) == coordinate[p]
                 hit = here & (agree.sum(axis=1) >= matches)
-                p, q = p[hit], q[hit]
-                order = np.argsort(p, kind="stable")
-                heads = np.flatnonzero(np.r_[True, np.diff(p[order]) != 0]) if len(p) else np.zeros(0, int)
-                out += [(a, int(p[order[h]]), node[q[own]]) for h, own in zip(heads, np.split(order, heads[1:]), strict=False)]
-                out += [(a, int(r), node[:0]) for r in np.unique(q)]
+                found.append((p[hit], q[hit]))
+            p, q = (np.concatenate([f[k] for f in found]) if found else x for k in (0, 1))
+            # A row for every node of a matching pair: the first of a pair carries the second.
+            order = np.argsort(p, kind="stable")
+            heads = np.flatnonzero(np.r_[True, np.diff(p[order]) != 0]) if len(p) else np.zeros(0, int)
+            out += [(a, int(p[order[h]]), node[q[own]]) for h, own in zip(heads, np.split(order, heads[1:]), strict=False)]
+            out += [(a, int(r), node[:0]) for r in np.setdiff1d(q, p)]
         if out:
             tile = pa.array([t for t, _, _ in out], pa.int64())
             keys = [rows.column(c).take(tile) for c in _TILE]
