@@ -81,6 +81,16 @@ def game_label(away: Column, home: Column, game_id: Column) -> Column:
     return F.coalesce(F.concat(away, F.lit(" @ "), home), game_id.cast("string"))
 
 
+def long_game_label(away: Column, home: Column, game_id: Column) -> Column:
+    """Of full team names; the id of an unknown game."""
+    return F.coalesce(F.concat(away, F.lit(" at "), home), game_id.cast("string"))
+
+
+def model_label(name: Column, version: Column, model_id: Column) -> Column:
+    """Name and version; the id of an unregistered model, a dash without one."""
+    return F.coalesce(F.concat(name, F.lit(" "), version), model_id.cast("string"), F.lit(MISSING))
+
+
 def pick_label(market: Column, selection: Column, team: Column, line: Column) -> Column:
     side = F.when(selection == "OVER", "Over").otherwise("Under")
     return (

@@ -94,9 +94,10 @@ def orphans(df: DataFrame, parents: DataFrame, key: str, parent_key: str) -> Dat
 
 
 def real_mode_errors(loss_budget: Column, acknowledged: Column) -> Column:
+    """What is missing before real tracking, the first of which is shown."""
     return F.array_compact(
         F.array(
-            F.when(~F.coalesce(loss_budget > 0, F.lit(False)), "Monthly loss budget required"),
-            F.when(~F.coalesce(acknowledged, F.lit(False)), "Acknowledgement required"),
+            F.when(~F.coalesce(loss_budget > 0, F.lit(False)), "Set a positive monthly loss budget before enabling real tracking."),
+            F.when(~F.coalesce(acknowledged, F.lit(False)), "You must acknowledge the risk statement."),
         )
     )

@@ -73,12 +73,20 @@ def breakeven_ev_kelly(t: Tables) -> DataFrame:
 @query
 def slate_games(t: Tables) -> DataFrame:
     """Games of a slate with labels: two lookups of the team dimension, one of models."""
+    rows = _labelled(t, t.games.join(t.predictions.select("game_id", "model_id"), "game_id", "left"))
+    return rows.select(
+        "game_id", text.game_label(F.col("away"), F.col("home"), F.col("game_id")).alias("label"),
+        text.long_game_label(F.col("away_name"), F.col("home_name"), F.col("game_id")).alias("long_label"), "home_name", text.roof_label(F.col("roof")).alias("roof_label"), "model",
+    )
+
+
+def _labelled(t: Tables, rows: DataFrame) -> DataFrame:
+    """``rows`` with short and full names of both teams, and the model's label and time of approval."""
     d = teams(t.spark)
-    rows = lookups.lookup(t.games, d, "home_team", "team_id", {"abbreviation": "home", "name": "home_name"})
-    rows = lookups.lookup(rows, d, "away_team", "team_id", {"abbreviation": "away"})
-    rows = rows.join(t.predictions.select("game_id", "model_id"), "game_id", "left")
-    rows = lookups.lookup(rows, t.models, "model_id", "model_id", {"name": "model"}, {"model": F.lit(text.MISSING)})
-    return rows.select("game_id", text.game_label(F.col("away"), F.col("home"), F.col("game_id")).alias("label"), "home_name", text.roof_label(F.col("roof")).alias("roof_label"), "model")
+    rows = lookups.lookup(rows, d, "home_team", "team_id", {"abbreviation": "home", "name": "home_name"})
+    rows = lookups.lookup(rows, d, "away_team", "team_id", {"abbreviation": "away", "name": "away_name"})
+    rows = lookups.lookup(rows, t.models, "model_id", "model_id", {"name": "model_name", "version": "version", "approved_at": "approved_at"})
+    return rows.withColumn("model", text.model_label(F.col("model_name"), F.col("version"), F.col("model_id"))).drop("model_name", "version")
 
 
 # Point in time ---------------------------------------------------------------------------
@@ -322,19 +330,48 @@ def slate_rows(t: Tables) -> DataFrame:
     return rows.select("game_id", "kickoff_window", "injury_severity", "weather_severity", r6("spread_diff").alias("spread_diff"), r6("total_diff").alias("total_diff"), "best_market")
 
 
+@query
+def slate_board(t: Tables) -> DataFrame:
+    """The whole slate, with what is highlighted: differences from 1.5 and 2 points, an edge above 2 %."""
+    rows = _slate(t)
+    ratios = ("model_spread", "spread_diff", "model_total", "total_diff", "home_win", "edge")
+    return rows.select(
+        *(r6(c).alias(c) if c in ratios else F.col(c) for c in rows.columns),
+        (F.abs("spread_diff") >= 1.5).alias("spread_stands_out"), (F.abs("total_diff") >= 2).alias("total_stands_out"), (F.col("edge") > 0.02).alias("edge_stands_out"),
+    )
+
+
+#: One choice for every facet of the slate.
+FACETS = (
+    {"status": "WATCH"}, {"market": "SPREAD"}, {"min_edge_pct": 1.0}, {"completeness": "HIGH"}, {"injury": "HIGH"}, {"weather": "MISSING"},
+    {"window": "SUN_LATE"}, {"roof": "INDOOR"}, {"side": "FAVORITES"}, {"market": "TOTAL", "roof": "OUTDOOR", "side": "UNDERDOGS"},
+)
+
+
+@query
+def slate_facets(t: Tables) -> DataFrame:
+    """Games that pass each facet alone, and three of them together."""
+    rows = _slate(t)
+    return rows.agg(*(F.count_if(slate.slate_filter(**facet)).alias("_".join(facet)) for facet in FACETS))
+
+
 def _slate(t: Tables) -> DataFrame:
+    """Display row of every game; market, edge and status are those of its recommendation."""
     board = plan.board(t.quotes, now()).select("game_id", F.col("spread.line").alias("consensus_spread"), (F.col("total_quote.line") + plan.TOTAL_BASE).alias("consensus_total"))
-    best = plan.best_candidates(t.quotes, t.predictions, t.manual_prices, now()).select("game_id", F.concat_ws(" ", "market", "selection").alias("best_market"), "edge")
-    rows = t.games.join(t.predictions, "game_id", "left")
+    best = plan.evaluate(t, price_minutes=PRICE_MINUTES).select("game_id", F.concat_ws(" ", "market", "selection").alias("best_market"), "edge", "status")
+    rows = _labelled(t, t.games.join(t.predictions, "game_id", "left"))
+    rows = lookups.lookup(rows, stadiums(t.spark), "home_team", "team_id", {"stadium": "stadium"}, {"stadium": F.lit(text.MISSING)})
     for side in (board, best, slate.availability_summary(t.availability, ["game_id"]), pit.latest_snapshot(t.weather, ["game_id"]).select("game_id", "severity")):
         rows = rows.join(side, "game_id", "left")
+    model_spread = 0 - F.col("mu")
     return rows.select(
-        "game_id", "roof", "completeness", "consensus_spread", "best_market", "edge", "kickoff",
-        times.kickoff_window(F.col("kickoff")).alias("kickoff_window"),
+        "game_id", "kickoff", times.kickoff_window(F.col("kickoff")).alias("kickoff_window"), "away", "home", "stadium", "roof",
+        "consensus_spread", model_spread.alias("model_spread"), F.coalesce(model_spread - F.col("consensus_spread"), F.lit(0.0)).alias("spread_diff"),
+        "consensus_total", F.col("total").alias("model_total"), F.coalesce(F.col("total") - F.col("consensus_total"), F.lit(0.0)).alias("total_diff"),
+        "home_win", "best_market", "edge", "status",
         F.coalesce("injury_severity", F.lit("NONE")).alias("injury_severity"),
         slate.weather_severity_for(F.col("roof"), F.col("severity")).alias("weather_severity"),
-        F.coalesce(-F.col("mu") - F.col("consensus_spread"), F.lit(0.0)).alias("spread_diff"),
-        F.coalesce(F.col("total") - F.col("consensus_total"), F.lit(0.0)).alias("total_diff"),
+        "completeness", (F.col("approved_at") + F.make_dt_interval(days=F.lit(17))).alias("prediction_at"), "model",
     )
 
 
@@ -811,6 +848,29 @@ def odds_board(t: Tables) -> DataFrame:
     return b.select("game_id", *columns, F.col("moneyline.home_american").alias("moneyline"))
 
 
+@query
+def market_monitor(t: Tables) -> DataFrame:
+    """Opening and current prices of every game, moves to a tenth, and what a recommendation to watch waits for.
+
+    ``shown_spread`` and ``shown_total`` fall back to 0 and 45 where a market has no line.
+    """
+    recs = plan.evaluate(t, price_minutes=PRICE_MINUTES).select("game_id", "status", "target_price", "invalidation_price")
+    rows = _labelled(t, t.games.withColumn("model_id", F.lit(None).cast("int"))).join(plan.board(t.quotes, now()), "game_id", "left").join(recs, "game_id", "left")
+    rows = rows.withColumns({f"{m}_move": F.coalesce(F.col(f"{m}.line") - F.col(f"{m}_open.line"), F.lit(0.0)) for m in ("spread", "total_quote")})
+    tenth = lambda c: F.floor(F.col(c) * 10 + 0.5) / 10
+    shown = lambda c: F.coalesce(text.format_odds(F.col(c)), F.lit(text.MISSING))
+    band = F.concat(F.lit("qualify ≥ "), text.format_odds(F.coalesce("target_price", F.lit(-110))), F.lit("; pass ≤ "), text.format_odds(F.coalesce("invalidation_price", F.lit(-125))))
+    return rows.select(
+        "game_id", text.game_label(F.col("away"), F.col("home"), F.col("game_id")).alias("label"),
+        F.col("spread_open.line").alias("spread_open"), F.col("spread.line").alias("spread"), tenth("spread_move").alias("spread_move"), (F.abs("spread_move") >= 1).alias("spread_moved"),
+        (F.col("total_quote_open.line") + plan.TOTAL_BASE).alias("total_open"), (F.col("total_quote.line") + plan.TOTAL_BASE).alias("total"), tenth("total_quote_move").alias("total_move"),
+        (F.abs("total_quote_move") >= 1).alias("total_moved"),
+        F.when(F.col("moneyline").isNotNull(), F.concat(shown("moneyline.away_american"), F.lit(" / "), shown("moneyline.home_american"))).otherwise(text.MISSING).alias("moneyline"),
+        shown("target_price").alias("target"), F.when(F.col("status") == "WATCH", band).otherwise(text.MISSING).alias("watch_band"),
+        F.coalesce("spread.line", F.lit(0.0)).alias("shown_spread"), F.coalesce(F.col("total_quote.line") + plan.TOTAL_BASE, F.lit(float(plan.TOTAL_BASE))).alias("shown_total"),
+    )
+
+
 @query
 def kickoff_window(t: Tables) -> DataFrame:
     rows = t.feed_log.withColumn("window", times.kickoff_window(F.col("observed_at")))
@@ -838,3 +898,22 @@ def json_state(t: Tables) -> DataFrame:
     broken = F.when(F.col("event_id") % 7 == 0, F.lit("{oops")).otherwise(F.col("props"))
     state = parsed_state(broken, "k int, mode string", {"k": F.lit(-1), "mode": F.lit("PAPER")})
     return t.base("events").select("event_id", state.alias("s")).select("event_id", "s.k", "s.mode")
+
+
+@query
+def nested_state(t: Tables) -> DataFrame:
+    """State with settings in it, of which any part may be absent or the whole text corrupt."""
+    k = F.col("event_id")
+    json = F.when(k % 7 == 0, "{oops").when(k % 5 == 0, '{"version": 3}').when(k % 3 == 0, F.format_string('{"settings": {"unit": %d}}', k % 4))
+    json = json.otherwise(F.format_string('{"settings": {"risk": {"per_bet": 0.%d}}}', k % 9 + 1))
+    risk = {"per_bet": F.lit(0.005), "per_game": F.lit(0.01)}
+    state = parsed_state(json, "version int, settings struct<unit int, risk struct<per_bet double, per_game double>>", {"version": F.lit(-1), "settings": {"unit": F.lit(25), "risk": risk}})
+    return t.base("events").select("event_id", state.alias("s")).select("event_id", "s.version", "s.settings.unit", "s.settings.risk.per_bet", "s.settings.risk.per_game")
+
+
+@query
+def mode_gate(t: Tables) -> DataFrame:
+    """What keeps each record from real tracking: no positive loss budget, or no acknowledgement."""
+    k = F.col("seq")
+    errors = guards.real_mode_errors(F.when(k % 11 != 0, (k % 5 - 1) * 100), F.when(k % 13 != 0, k % 3 != 0))
+    return t.forecasts.select("seq", F.concat_ws("; ", errors).alias("errors"))

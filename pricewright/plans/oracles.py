@@ -310,9 +310,7 @@ def oracle_sql() -> dict[str, str]:
     kelly = f"greatest(0, (({_dec('american')} - 1) * p - (1 - p)) / ({_dec('american')} - 1))"
     return {
         "watch_list": _sql("", *_REC_VIEWS).rstrip() + _recs() + "SELECT game_id, market, selection, round(edge, 6) AS edge, reasons FROM decided WHERE status = 'WATCH' ORDER BY edge DESC, game_id",
-        "slate_sorted": _sql(
-            "SELECT g.game_id, kickoff, CASE WHEN dayname(kickoff) IN ('Friday', 'Monday', 'Tuesday') THEN 'PRIMETIME' WHEN hour(kickoff) < 19 THEN 'SUN_EARLY' ELSE 'SUN_LATE' END AS kickoff_window, "
-            "round(edge, 6) AS edge FROM games g LEFT JOIN best USING (game_id)", "games", "best"),
+        "slate_sorted": _slate_sql("SELECT game_id, kickoff, kickoff_window, round(edge, 6) AS edge FROM slate"),
         "total_distribution": _sql("SELECT part_id, v AS value, round(probability, 6) AS probability FROM totals", "totals"),
         "total_ladder": _sql("SELECT part_id, line::INT AS line, round(sum(CASE WHEN v > line THEN probability ELSE 0 END), 6) AS over FROM totals, range(37, 54) r(line) GROUP BY part_id, line", "totals"),
         "distribution_points": _sql("SELECT part_id, v::INT AS x, round(probability * 100, 4) AS y FROM margins WHERE probability >= 0.01", "margins"),
@@ -364,9 +362,9 @@ SELECT part_id, '80% margin ' || mi.lo || ' to ' || mi.hi || ', total ' || ti.lo
             "greatest(0, ((d - 1) * (p / (1 - q)) - (1 - p / (1 - q))) / (d - 1)) AS k "
             f"FROM (SELECT seq, p, CASE WHEN push THEN 0.05::DOUBLE ELSE 0 END AS q, {_dec('american')} AS d FROM forecasts))", "forecasts"),
         "slate_games": _sql(
-            "SELECT game_id, t2.abb || ' @ ' || t1.abb AS label, t1.team_name AS home_name, "
+            "SELECT game_id, t2.abb || ' @ ' || t1.abb AS label, t2.team_name || ' at ' || t1.team_name AS long_label, t1.team_name AS home_name, "
             "CASE roof WHEN 'OUTDOOR' THEN 'Outdoor' WHEN 'DOME' THEN 'Dome' WHEN 'RETRACTABLE_OPEN' THEN 'Retractable (open)' ELSE 'Retractable (closed)' END AS roof_label, "
-            "lower(r_name) AS model FROM games JOIN (VALUES " + _team_values() + ") t1(id, abb, team_name) ON t1.id = home_team "
+            "lower(r_name) || ' 0.' || r_regionkey || '.0-demo' AS model FROM games JOIN (VALUES " + _team_values() + ") t1(id, abb, team_name) ON t1.id = home_team "
             "JOIN (VALUES " + _team_values() + ") t2(id, abb, team_name) ON t2.id = away_team JOIN region ON r_regionkey = game_id % 5", "games"),
         "asof_filter": _sql("SELECT seq, game_id, market, line FROM upto_cut", "upto_cut"),
         "latest_quote": _sql(
@@ -425,12 +423,35 @@ SELECT row_number() OVER (ORDER BY edge DESC, game_id) AS rank, game_id,
          ELSE CASE selection WHEN 'OVER' THEN 'Over ' ELSE 'Under ' END || replace(line::VARCHAR, '.0', '') END AS label,
        CASE WHEN completeness > 0.92 AND edge > 0.03 THEN 'Strong pick' WHEN edge > 0.015 THEN 'Solid pick' ELSE 'Modest edge' END AS confidence
 FROM decided WHERE status IN ('BET', 'WATCH') ORDER BY edge DESC, game_id LIMIT 10""",
-        "slate_rows": _sql(
-            "SELECT g.game_id, CASE WHEN dayname(kickoff) IN ('Friday', 'Monday', 'Tuesday') THEN 'PRIMETIME' WHEN hour(kickoff) < 19 THEN 'SUN_EARLY' ELSE 'SUN_LATE' END AS kickoff_window, "
-            + _SEVERITY.replace("{x}", "s.worst_impact") + " AS injury_severity, coalesce(severity, 'MISSING') AS weather_severity, round(coalesce(-mu - a.line, 0), 6) AS spread_diff, "
-            "round(coalesce(total - (b.line + 45), 0), 6) AS total_diff, best.market || ' ' || best.selection AS best_market FROM games g JOIN predictions p USING (game_id) LEFT JOIN best USING (game_id) "
-            "LEFT JOIN summary s USING (game_id) LEFT JOIN weather w USING (game_id) LEFT JOIN latest a ON a.game_id = g.game_id AND a.market = 'SPREAD' "
-            "LEFT JOIN latest b ON b.game_id = g.game_id AND b.market = 'TOTAL' WHERE roof IN ('OUTDOOR', 'RETRACTABLE_OPEN') AND completeness < 0.9", "games", "best", "summary", "weather"),
+        "slate_rows": _slate_sql(
+            "SELECT game_id, kickoff_window, injury_severity, weather_severity, round(spread_diff, 6) AS spread_diff, round(total_diff, 6) AS total_diff, best_market FROM slate "
+            "WHERE roof IN ('OUTDOOR', 'RETRACTABLE_OPEN') AND completeness < 0.9"),
+        "slate_board": _slate_sql(
+            "SELECT * REPLACE (round(model_spread, 6) AS model_spread, round(spread_diff, 6) AS spread_diff, round(model_total, 6) AS model_total, round(total_diff, 6) AS total_diff, "
+            "round(home_win, 6) AS home_win, round(edge, 6) AS edge), spread_diff NOT BETWEEN -1.4999999 AND 1.4999999 AS spread_stands_out, "
+            "total_diff NOT BETWEEN -1.9999999 AND 1.9999999 AS total_stands_out, edge > 0.02 AS edge_stands_out FROM slate"),
+        "slate_facets": _slate_sql(
+            "SELECT count(*) FILTER (status = 'WATCH') AS status, count(*) FILTER (best_market IN ('SPREAD HOME', 'SPREAD AWAY')) AS market, count(*) FILTER (edge * 100 >= 1) AS min_edge_pct, "
+            "count(*) FILTER (completeness >= 0.9) AS completeness, count(*) FILTER (injury_severity = 'HIGH') AS injury, count(*) FILTER (weather_severity = 'MISSING') AS weather, "
+            "count(*) FILTER (kickoff_window = 'SUN_LATE') AS \"window\", count(*) FILTER (roof LIKE '%D%' AND roof NOT LIKE '%OUT%' AND roof NOT LIKE '%OPEN') AS roof, "
+            "count(*) FILTER (coalesce(consensus_spread, 0) <= 0) AS side, "
+            "count(*) FILTER (best_market LIKE 'TOTAL%' AND roof IN ('OUTDOOR', 'RETRACTABLE_OPEN') AND consensus_spread > 0) AS market_roof_side FROM slate"),
+        "market_monitor": _sql("", *_REC_VIEWS, "upto_now").rstrip() + _recs() + """
+, price AS (
+  SELECT game_id, max(line) FILTER (market = 'SPREAD' AND is_opening) AS so, max(line) FILTER (market = 'SPREAD' AND newest) AS s, 45 + max(line) FILTER (market = 'TOTAL' AND is_opening) AS o,
+         45 + max(line) FILTER (market = 'TOTAL' AND newest) AS c, max(home_american) FILTER (market = 'MONEYLINE' AND newest) AS h, max(away_american) FILTER (market = 'MONEYLINE' AND newest) AS a
+  FROM (SELECT *, row_number() OVER (PARTITION BY game_id, market ORDER BY observed_at DESC, seq DESC) = 1 AS newest FROM upto_now) GROUP BY game_id)
+SELECT g.game_id, t2.abb || ' @ ' || t1.abb AS label, so AS spread_open, s AS spread, coalesce(round(s - so, 1), 0) AS spread_move, coalesce(abs(s - so) >= 1, false) AS spread_moved,
+       o AS total_open, c AS total, coalesce(round(c - o, 1), 0) AS total_move, coalesce(abs(c - o) >= 1, false) AS total_moved, coalesce(printf('%s / %s', AWAY, HOME), '—') AS moneyline,
+       coalesce(TARGET, '—') AS target, CASE WHEN d.status = 'WATCH' THEN 'qualify ≥ ' || TARGET || '; pass ≤ ' || PASS ELSE '—' END AS watch_band, coalesce(s, 0) AS shown_spread, coalesce(c, 45) AS shown_total
+FROM games g LEFT JOIN price USING (game_id) LEFT JOIN (SELECT game_id, status, CASE WHEN fair_american IS NOT NULL THEN greatest(fair_american, -125) END AS target, american - 10 AS stop FROM decided) d USING (game_id)
+JOIN (VALUES TEAMS) t1(id, abb, full_name) ON t1.id = home_team JOIN (VALUES TEAMS) t2(id, abb, full_name) ON t2.id = away_team""".replace("TEAMS", _team_values()).replace("AWAY", _signed("a"))
+        .replace("HOME", _signed("h")).replace("TARGET", _signed("d.target")).replace("PASS", _signed("d.stop")),
+        "nested_state": "SELECT event_id, CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 0 THEN 3 ELSE -1 END AS version, "
+            "CASE WHEN event_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 3 = 0 THEN event_id % 4 ELSE 25 END::INT AS unit, "
+            "CASE WHEN event_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 3 <> 0 THEN ('0.' || (event_id % 9 + 1))::DOUBLE ELSE 0.005 END AS per_bet, 0.01::DOUBLE AS per_game FROM events",
+        "mode_gate": "SELECT o_orderkey AS seq, concat_ws('; ', CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 5 < 2 THEN 'Set a positive monthly loss budget before enabling real tracking.' END, "
+            "CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 3 = 0 THEN 'You must acknowledge the risk statement.' END) AS errors FROM orders",
         "stake_breakdown": _sql(
             "SELECT seq, " + ", ".join(f"round({c}, 6) AS {n}" for c, n in zip(("k", "k * 0.25", "k * 0.25 * 0.85", "k * 0.25 * 0.85 * 0.95", "k * 0.25 * 0.85 * 0.95 * 0.9"), names, strict=True))
             + f", round(s.v, 6) AS pct, round({_cents('10000 * s.v')}, 6) AS amount, CASE WHEN s.v = 0 AND k = 0 THEN 'No positive Kelly stake' ELSE s.l END AS bound FROM (SELECT *, list_sort(["
@@ -561,6 +582,27 @@ FROM decided WHERE status IN ('BET', 'WATCH') ORDER BY edge DESC, game_id LIMIT
     }
 
 
+def _signed(a: str) -> str:
+    return f"(CASE WHEN {a} > 0 THEN '+' ELSE '' END || {a})"
+
+
+def _slate_sql(body: str) -> str:
+    """``body`` over the display rows of the slate."""
+    return _sql("", *_REC_VIEWS).rstrip() + _recs() + f"""
+, slate AS (
+  SELECT g.game_id, kickoff, CASE WHEN dayname(kickoff) IN ('Friday', 'Monday', 'Tuesday') THEN 'PRIMETIME' WHEN hour(kickoff) < 19 THEN 'SUN_EARLY' ELSE 'SUN_LATE' END AS kickoff_window,
+         t2.abb AS away, t1.abb AS home, st.stadium, g.roof, a.line AS consensus_spread, 0 - p.mu AS model_spread, coalesce(0 - p.mu - a.line, 0) AS spread_diff,
+         b.line + 45 AS consensus_total, p.total AS model_total, coalesce(p.total - (b.line + 45), 0) AS total_diff, p.home_win,
+         coalesce(d.market, 'SPREAD') || ' ' || coalesce(d.selection, 'HOME') AS best_market, coalesce(d.edge, 0) AS edge, d.status,
+         {_SEVERITY.replace("{x}", "s.worst_impact")} AS injury_severity, CASE WHEN g.roof IN ('DOME', 'RETRACTABLE_CLOSED') THEN 'NONE' ELSE coalesce(w.severity, 'MISSING') END AS weather_severity,
+         p.completeness, {_NOW} - to_days((p.model_id + 13)::INT) AS prediction_at, lower(r.r_name) || ' 0.' || r.r_regionkey || '.0-demo' AS model
+  FROM games g JOIN predictions p USING (game_id) JOIN decided d USING (game_id) LEFT JOIN summary s USING (game_id) LEFT JOIN weather w USING (game_id)
+  LEFT JOIN latest a ON a.game_id = g.game_id AND a.market = 'SPREAD' LEFT JOIN latest b ON b.game_id = g.game_id AND b.market = 'TOTAL' LEFT JOIN region r ON r.r_regionkey = p.model_id
+  LEFT JOIN (VALUES {_team_values()}) t1(id, abb, full_name) ON t1.id = g.home_team LEFT JOIN (VALUES {_team_values()}) t2(id, abb, full_name) ON t2.id = g.away_team
+  LEFT JOIN (VALUES {_stadium_values()}) st(id, stadium, surface, altitude) ON st.id = g.home_team)
+""" + body
+
+
 def _stadium_values() -> str:
     rows = [line.replace("'", "''").split("|") for line in STADIUMS.split("\n")[1:-1]]
     return ", ".join(f"({i}, '{r[1]}', '{r[4]}', {r[6]})" for i, r in enumerate(rows))

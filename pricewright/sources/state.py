@@ -32,10 +32,17 @@ def submit_prices(rows: DataFrame, path: str) -> DataFrame:
     return bad
 
 
-def parsed_state(json: Column, schema: StructType | str, defaults: Mapping[str, Column]) -> Column:
-    """A struct from a JSON column; absent fields, and all of a corrupt text, take their defaults."""
-    state = F.from_json(json, schema)
-    return F.struct(*(F.coalesce(state[name], value).alias(name) for name, value in defaults.items()))
+def parsed_state(json: Column, schema: StructType | str, defaults: Mapping[str, Column | Mapping]) -> Column:
+    """A struct from a JSON column; absent fields, and all of a corrupt text, take their defaults.
+
+    A default that is itself a mapping is merged field by field, at any depth.
+    """
+    return _with_defaults(F.from_json(json, schema), defaults)
+
+
+def _with_defaults(state: Column, defaults: Mapping[str, Column | Mapping]) -> Column:
+    value = lambda name, d: _with_defaults(state[name], d) if isinstance(d, Mapping) else F.coalesce(state[name], d)
+    return F.struct(*(value(name, d).alias(name) for name, d in defaults.items()))
 
 
 def export_state(tables: Mapping[str, DataFrame], path: str) -> None:

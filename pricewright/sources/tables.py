@@ -119,6 +119,7 @@ class Tables:
         return self.base("region").select(
             key.alias("model_id"),
             F.lower("r_name").alias("name"),
+            F.concat(F.lit("0."), key, F.lit(".0-demo")).alias("version"),
             F.when(key == 4, "RETIRED").otherwise("APPROVED_DEMO").alias("status"),
             hours_before_now((key + 30) * 24).alias("approved_at"),
         )

@@ -117,3 +117,9 @@ def test_formats(spark):
     ago = lambda m: one(spark, times.format_ago(times.minutes_before(now, m), now))
     assert [ago(0), ago(59), ago(61), ago(47 * 60), ago(72 * 60)] == ["just now", "59m ago", "1h 1m ago", "47h 0m ago", "3d ago"]
     assert one(spark, times.format_kickoff(L("2024-01-10 18:00:00").cast("timestamp"), "America/New_York")) == "Wed, Jan 10, 1:00 PM"
+
+
+def test_labels_of_unknown_games_and_models(spark):
+    df = spark.createDataFrame([("Sea", "Bay", 1, "m", "1.0", 4), (None, "Bay", 2, None, None, 4), (None, None, 3, None, None, None)], "a string, h string, g int, n string, v string, m int")
+    labels = df.select(text.long_game_label(F.col("a"), F.col("h"), F.col("g")), text.model_label(F.col("n"), F.col("v"), F.col("m"))).collect()
+    assert [tuple(r) for r in labels] == [("Sea at Bay", "m 1.0"), ("2", "4"), ("3", text.MISSING)]

@@ -75,3 +75,11 @@ def test_invalidations_and_balances(spark, tmp_path):
     assert {r["rec_id"] for r in hit.collect()} == {7}
     total = run(streams.balances(spark.readStream.schema(schema).parquet(f"{tmp_path}/e")), "totals", "complete", spark).first()
     assert total["change"] == 3.5 and total["settled"] == 2
+
+
+def test_nested_defaults(spark):
+    texts = ['{"a": {"b": {"c": 5}}}', '{"a": {"d": 2}}', '{"a": null}', "{", None]
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    defaults = {"a": {"b": {"c": F.lit(1)}, "d": F.lit(9)}}
+    rows = df.select(state.parsed_state(F.col("j"), "a struct<b struct<c int>, d int>", defaults).alias("s")).select("s.a.b.c", "s.a.d").collect()
+    assert [tuple(r) for r in rows] == [(5, 9), (1, 2), (1, 9), (1, 9), (1, 9)]
