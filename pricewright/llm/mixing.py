@@ -9,6 +9,8 @@ subset of what a larger one takes, as one hash decides.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,16 +21,17 @@ from pricewright.llm.scratch import staged
 LEVEL_BITS, LEVELS = 12, 4
 #: Weights dealt to sources in code-point order, and the most copies of a document.
 WEIGHTS, MAX_COPIES = (5, 2, 1), 3
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def document_hash(doc_id: Column) -> Column:
-    """48 bits of the id's MD5; a null id hashes as the empty string."""
-    text = F.coalesce(doc_id.cast("string"), F.lit(""))
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+def document_hash(doc_id: Column, text: Column) -> Column:
+    """48 bits of the id's MD5; of the text's where there is no id."""
+    named = F.coalesce(doc_id.cast("string"), text.cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("long")
 
 
 def mix_sources(
@@ -39,24 +42,56 @@ def mix_sources(
     ``size`` is the number of words (null text: 0).  Null sources form one source, last in
     order.  Targets share all words by weight and stop at MAX_COPIES times a source's size;
     the excess goes to the others by weight.  ``taken`` is a multiple of ``size``.  Equal ids
-    hash alike, so repeated rows are taken alike.  A source without words takes nothing; an
-    empty table gives an empty result.  Other columns of ``df`` are ignored.
+    hash alike, so repeated rows are taken alike; rows without an id are told apart by their
+    texts.  A source without words takes nothing; an empty table gives an empty result.
+    Other columns of ``df`` are ignored.
+    """
+    sizes = _sizes(df, id_col, text_col, source_col)
+    plan = _plan(sizes)
+    joined = sizes.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")), "left")
+    taken = (F.col("d.size") * _copies(F.col("d.hash"))).cast("long").alias("taken")
+    return joined.select("d.doc_id", "d.size", "p.source_size", "p.target", taken, "d.source")
+
+
+def mix_documents(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """The mix itself: every row of ``df``, with all its columns, as often as the mix takes it.
+
+    Takes what ``mix_sources`` tells, for the same input.  Rows without words are in no mix.  The
+    thresholds, one row per source, are joined by source; documents are not shuffled for it as
+    long as Spark finds that table small enough to broadcast.
     """
-    sizes = staged(
+    plan = _plan(_sizes(df, id_col, text_col, source_col)).alias("p")
+    own = lambda name: F.col(f"d.`{name}`")
+    copies = F.when(own(text_col).rlike(WORD), _copies(document_hash(own(id_col), own(text_col)))).otherwise(0)
+    repeat = next(name for n in count() if (name := f"repeat{n}") not in df.columns)
+    rows = df.alias("d").join(plan, own(source_col).cast("string").eqNullSafe(F.col("p.source")))
+    repeated = rows.select(*(own(c) for c in df.columns), F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias(repeat))
+    return repeated.drop(repeat)
+
+
+def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, size, hash of every row."""
+    return staged(
         df.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col)).alias("size"),
-            document_hash(F.col(id_col)).alias("hash"),
+            document_hash(F.col(id_col), F.col(text_col)).alias("hash"),
         ),
         "sizes",
     )
-    plan = staged(_with_thresholds(sizes, source_targets(sizes)), "mixplan")
-    joined = sizes.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")), "left")
-    copies = F.col("p.copies") + F.when(F.col("d.hash") < F.col("p.threshold"), 1).otherwise(0)
-    return joined.select(
-        "d.doc_id", "d.size", "p.source_size", "p.target", (F.col("d.size") * copies).cast("long").alias("taken"), "d.source"
-    )
+
+
+def _plan(sizes: DataFrame) -> DataFrame:
+    """source, source_size, target, copies, threshold: one row per source."""
+    return staged(_with_thresholds(sizes, source_targets(sizes)), "mixplan")
+
+
+def _copies(document: Column) -> Column:
+    """How often the plan ``p`` takes a document with that hash."""
+    return F.col("p.copies") + F.when(document < F.col("p.threshold"), 1).otherwise(0)
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:

@@ -439,6 +439,32 @@ def test_mixing_without_words(spark):
     assert {(r["size"], r["taken"], r["target"]) for r in mixing.mix_sources(df).collect()} == {(0, 0, 0.0)}
 
 
+def test_mixed_documents_are_those_taken(spark):
+    """Repeated and missing ids, columns with the names of steps: rows come as often as the mix takes them."""
+    docs = documents(spark, texts(seed=6, n=200)).withColumn("repeat0", F.lit(1)).withColumn("threshold", F.lit(2))
+    docs = docs.unionByName(docs.where("doc_id < 9"))
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    want, got = {}, {}
+    for r in mixing.mix_sources(docs).collect():
+        key = (r["doc_id"], r["source"], r["size"])
+        want[key] = want.get(key, 0) + r["taken"]
+    for r in mixed.collect():
+        key = (r["doc_id"], r["source"], len(SPACED.findall(r["text"])))
+        got[key] = got.get(key, 0) + key[2]
+    assert got == {k: n for k, n in want.items() if n}
+    assert mixing.mix_documents(docs.limit(0)).count() == 0
+
+
+def test_mixing_meets_targets_where_no_row_has_an_id(spark):
+    docs = documents(spark, texts(seed=7, n=300)).withColumn("doc_id", F.lit(None).cast("long"))
+    rows = mixing.mix_sources(docs).groupBy("source", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("most"))
+    for r in rows.collect():
+        # Equal texts are taken alike; no source holds more than four of one long text.
+        assert abs(r["taken"] - r["target"]) <= 2 * r["most"]
+
+
 # URL filter --------------------------------------------------------------------------------
 
 
