@@ -55,12 +55,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources come near their target weights."""
-    mixed = mixing.mix_sources(docs).where(F.col("taken") > 0)
-    copies = mixed.select("doc_id", "source", (F.col("taken") / F.col("size")).cast("int").alias("copies")).distinct().alias("c")
-    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
-    times = F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("mixed_copy")
-    return docs.alias("d").join(copies, same).select(*(F.col(f"d.`{c}`") for c in docs.columns), times).drop("mixed_copy")
+    """Repeats or leaves out documents so that sources come near their target weights; every row by itself."""
+    return mixing.mix_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
