@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pricewright.llm import (
     decontaminate,
@@ -13,6 +14,7 @@ from pricewright.llm import (
     license_scan,
     minhash_dedup,
     mixing,
+    periodic_runs,
     sharding,
     substring_dedup,
     url_filter,
@@ -64,6 +66,31 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).drop("score")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``documents`` with a periodic tail in a tenth of the texts, chosen and shaped by the crc32 of the id.
+
+    Of such a text with n words each word from the a-th on repeats the words a to a + p.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, 1, a), F.slice(tail, 1, n - a)), " "))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.transform(F.array(words), planted)[0]  # so that the words are taken once
+    return docs.withColumn("text", F.when(h % 10 == 0, text).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.collapse_runs(docs).drop("n_words", "runs")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_substring_dedup,
@@ -76,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_license_scan,
         op9_mix_sources,
         op10_url_filter,
+        op11_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
@@ -245,6 +273,47 @@ FROM d LEFT JOIN found USING (doc_id)
 """
 
 
+_OP11 = r"""
+WITH t AS (
+  SELECT doc_id, doc_id::VARCHAR AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), c AS (
+  SELECT doc_id, w, len(w) AS n,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(range(8 * len(id)), lambda k: CASE WHEN k % 8 = 0 THEN ascii(substr(id, k // 8 + 1, 1))::BIGINT ELSE 0 END),
+                         lambda x, byte: xor(xor(x, byte) >> 1, 3988292384 * (xor(x, byte) & 1))), 4294967295) AS h
+  FROM t
+), planted AS (
+  SELECT doc_id, w, n, h, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM c
+), period AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM planted
+), d AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w
+  FROM period
+), word AS (
+  SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM d
+), pair AS (
+  SELECT a.doc_id, a.i, b.i - a.i AS q FROM word a JOIN word b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i AND 4 * (b.i - a.i) <= a.n
+), part AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pair
+), stretch AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM part GROUP BY doc_id, q, island
+), run AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretch WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length
+), best AS (
+  SELECT doc_id, start, length, period FROM run
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM run GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+       (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": _OP1,
@@ -254,4 +323,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": _OP6,
         "op8_license_scan": _op8(),
         "op9_mix_sources": _OP9,
+        "op11_periodic_runs": _OP11,
     }
