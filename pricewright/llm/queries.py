@@ -14,6 +14,7 @@ from pricewright.llm import (
     license_scan,
     minhash_dedup,
     mixing,
+    mtree,
     periodic_runs,
     sharding,
     substring_dedup,
@@ -91,6 +92,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.collapse_runs(docs).drop("n_words", "runs")
 
 
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_substring_dedup,
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_mix_sources,
         op10_url_filter,
         op11_periodic_runs,
+        op13_exact_topk,
     )
     return {f.__name__: f for f in found}
 
@@ -314,6 +320,21 @@ FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN k
 """
 
 
+_WHOLE = """
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+
+_OP13 = f"""
+WITH e AS ({_WHOLE}), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": _OP1,
@@ -324,4 +345,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_license_scan": _op8(),
         "op9_mix_sources": _OP9,
         "op11_periodic_runs": _OP11,
+        "op13_exact_topk": _OP13,
     }
