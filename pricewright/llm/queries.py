@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pricewright.llm import (
     decontaminate,
     exact_dedup,
+    hard_negatives,
     language_id,
     license_scan,
     minhash_dedup,
@@ -92,6 +93,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.collapse_runs(docs).drop("n_words", "runs")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), lambda vec_id: vec_id % 50 == 0)
+
+
 def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -109,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_mix_sources,
         op10_url_filter,
         op11_periodic_runs,
+        op12_hard_negatives,
         op13_exact_topk,
     )
     return {f.__name__: f for f in found}
@@ -325,6 +333,23 @@ _WHOLE = """
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 """
 
+_OP12 = f"""
+WITH e AS ({_WHOLE}), m AS (
+  SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM e WHERE label IS NOT NULL
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM m a JOIN m c ON c.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 _OP13 = f"""
 WITH e AS ({_WHOLE}), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
@@ -345,5 +370,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_license_scan": _op8(),
         "op9_mix_sources": _OP9,
         "op11_periodic_runs": _OP11,
+        "op12_hard_negatives": _OP12,
         "op13_exact_topk": _OP13,
     }

@@ -23,6 +23,8 @@ from pricewright.llm.scratch import staged
 SCALE = 256
 #: Rows of a block, rows that one task packs, and pivots of the regions (documented bounds, not caps: more rows make more blocks).
 BLOCK_ROWS, GROUP_ROWS, MAX_PIVOTS = 4096, 32_768, 256
+#: Share of the extent that a gap must have for a cut there.
+WIDE_GAP = 0.2
 #: Scores of vectors with a smaller squared norm fit in 64 bits.
 MAX_SQUARED_NORM = float(2**62)
 _EXACT_IN_DOUBLE = float(2**53)
@@ -116,13 +118,21 @@ def scorer(a: Points, b: Points) -> Callable[[object, object], np.ndarray]:
 
 
 def halves(x: np.ndarray) -> np.ndarray:
-    """Which of the rows go to the second half: by their place between two rows that are far apart."""
+    """Which of the rows go to the second part, by their place between two rows that are far apart.
+
+    Cut at a wide gap, if there is one that leaves an eighth on either side, else in the middle.
+    """
     far = ((x - x.mean(0)) ** 2).sum(1).argmax()
     a = x[far]
     b = x[((x - a) ** 2).sum(1).argmax()]
     along = x @ (b - a)
-    second = np.zeros(len(x), bool)
-    second[np.argsort(along, kind="stable")[len(x) // 2 :]] = True
+    order, n = np.argsort(along, kind="stable"), len(x)
+    gap = np.diff(along[order])[max(n // 8 - 1, 0) : n - n // 8]
+    at = n // 2
+    if len(gap) and gap.max() > WIDE_GAP * (along[order[-1]] - along[order[0]]):
+        at = max(n // 8 - 1, 0) + int(gap.argmax()) + 1
+    second = np.zeros(n, bool)
+    second[order[at:]] = True
     return second
 
 

@@ -17,4 +17,4 @@ def test_query(spark, name):
 
 
 def test_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in q.queries()) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in q.queries()) == list(range(1, 14))
