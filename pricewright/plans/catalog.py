@@ -33,6 +33,8 @@ def query(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
 
 
 def queries() -> dict[str, Query]:
+    from pricewright.plans import live  # noqa: F401  registers its queries, and needs this module
+
     return dict(_QUERIES)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +25,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def arrivals(df: DataFrame, name: str, batches: int, *order: Column) -> str:
+    """Writes rows as a folder of files, a file for each of ``batches`` arrivals; rows are dealt by a hash of ``order``.
+
+    A stream that takes a file at a time thus sees them in an order that has nothing to do with time.
+    """
+    path = folder(df.sparkSession, name)
+    arrival = F.pmod(F.xxhash64(*order), F.lit(batches))
+    for n in range(batches):
+        df.where(arrival == n).coalesce(1).write.mode("append").parquet(path)
+    return path
