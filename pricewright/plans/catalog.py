@@ -286,17 +286,17 @@ def best_candidate(t: Tables) -> DataFrame:
 @query
 def recommendations(t: Tables) -> DataFrame:
     rows = plan.evaluate(t, price_minutes=PRICE_MINUTES)
-    return _displayed(rows)
+    return displayed(rows)
 
 
 @query
 def recommendations_feed_outage(t: Tables) -> DataFrame:
     """The same slate while the injury feed is missing."""
     feeds = t.spark.createDataFrame([("injury", "MISSING"), ("odds", "CURRENT")], "feed string, status string")
-    return _displayed(plan.evaluate(t, price_minutes=PRICE_MINUTES, feeds=feeds)).select("game_id", "status", "reasons")
+    return displayed(plan.evaluate(t, price_minutes=PRICE_MINUTES, feeds=feeds)).select("game_id", "status", "reasons")
 
 
-def _displayed(rows: DataFrame) -> DataFrame:
+def displayed(rows: DataFrame) -> DataFrame:
     ratios = ("model_p", "conservative_p", "market_p", "break_even_p", "edge", "ev", "push_p", "stake_pct")
     return rows.select(*(r6(c).alias(c) if c in ratios else F.col(c) for c in rows.columns))
 

@@ -9,19 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.plans.catalog import START, query
+from pricewright.plans.catalog import PRICE_MINUTES, START, displayed, query
 from pricewright.sources.scratch import arrivals, folder
 from pricewright.sources.tables import Tables
-from pricewright.streaming import bet_state
+from pricewright.streaming import bet_state, incremental
 
 #: Files, and so batches, in which rows arrive.
 BATCHES = 3
 
 
-def _stream(rows: DataFrame, name: str, *order: str) -> DataFrame:
+def _stream(rows: DataFrame, name: str, *order: str, batches: int = BATCHES) -> DataFrame:
     """A stream that takes the arrivals of ``rows`` one file after the other."""
     spark = rows.sparkSession
-    path = arrivals(rows, name, BATCHES, *(F.col(c) for c in order))
+    path = arrivals(rows, name, batches, *(F.col(c) for c in order))
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -60,3 +60,11 @@ def ledger_stream_balances(t: Tables) -> DataFrame:
     appended = t.spark.readStream.schema(changes.schema).parquet(path)
     bet_state.update_in(bet_state.user_balances(appended), balances, folder(t.spark, "checkpoint")).awaitTermination()
     return bet_state.current_balances(t.spark, balances, START).select("user_id", F.col("balance").cast("double").alias("balance"))
+
+
+@query
+def incremental_recommendations(t: Tables) -> DataFrame:
+    """The slate after several batches of events, each of which decided only the games it touched."""
+    kept = incremental.Recommendations(t, folder(t.spark, "recommendations"), PRICE_MINUTES)
+    kept.follow(_stream(t.base("events"), "events", "event_id", batches=2), folder(t.spark, "checkpoint")).awaitTermination()
+    return displayed(kept.current().drop("version"))

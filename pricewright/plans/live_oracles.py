@@ -10,7 +10,9 @@ def oracle_sql() -> dict[str, str]:
     bets = f"SELECT bet_id, user_id, cents, american, CASE WHEN bet_id % 2 = 1 THEN 'PENDING' WHEN bet_id % 10 = 0 THEN 'PUSH' ELSE {results} END AS result, {results} AS first FROM positions"
     delta = o._delta("cents", "american", "result")
     paid = f"CASE WHEN result = 'WIN' THEN {o._cents('cents + ' + delta)} WHEN result IN ('PUSH', 'VOID') THEN {o._cents('cents')} WHEN result = 'LOSS' THEN 0 END"
+    batch = o.batch_sql()
     return {
+        "incremental_recommendations": batch["recommendations"],
         "ledger_stream": o._sql(f"SELECT bet_id, result, (bet_id % 10 = 0 AND first <> 'PUSH')::INT AS corrections, {delta}::DOUBLE AS delta, ({paid})::DOUBLE AS payout FROM ({bets})", "positions"),
         "ledger_stream_balances": o._sql(f"SELECT user_id, (10000 + sum(({delta})::DECIMAL(18, 2)))::DOUBLE AS balance FROM ({bets}) GROUP BY user_id", "positions"),
     }

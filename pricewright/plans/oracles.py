@@ -303,10 +303,11 @@ def oracle_sql() -> dict[str, str]:
     """SQL of every query, those that run streams included."""
     from pricewright.plans import live_oracles  # needs this module
 
-    return _batch_sql() | live_oracles.oracle_sql()
+    return batch_sql() | live_oracles.oracle_sql()
 
 
-def _batch_sql() -> dict[str, str]:
+def batch_sql() -> dict[str, str]:
+    """SQL of the queries of the catalogue."""
     ledger_pay = f"CASE WHEN result = 'WIN' THEN {_cents('cents + ' + _delta('cents', 'american', 'result'))} WHEN result IN ('PUSH', 'VOID') THEN {_cents('cents')} WHEN result = 'LOSS' THEN 0 END"
     settled = "SELECT bet_id, ['WIN', 'LOSS', 'PUSH', 'VOID'][(bet_id // 2) % 4 + 1] AS result, cents, american FROM positions WHERE bet_id % 2 = 0"
     every_settled = "SELECT bet_id, ['WIN', 'LOSS', 'PUSH', 'VOID'][(bet_id // 2) % 4 + 1] AS result, cents, american, CASE WHEN bet_id % 3 <> 0 THEN american - 5 + CASE WHEN american > 0 THEN 10 ELSE 0 END END AS closing FROM positions"
