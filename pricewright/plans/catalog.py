@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pricewright.functions import distributions as dist
 from pricewright.functions import odds, text, times
-from pricewright.operators import guards, ledger, lookups, metrics, slate, staking
+from pricewright.operators import bitemporal, guards, ledger, lookups, metrics, slate, staking
 from pricewright.operators import pointintime as pit
 from pricewright.plans import slate as plan
 from pricewright.sources.reference import stadiums, teams
@@ -130,6 +130,34 @@ def asof_join_quotes(t: Tables) -> DataFrame:
     return pit.asof_join(probes, spreads, ["game_id"], "at", "observed_at", "probe", "seq").select("probe", "game_id", F.col("r_seq").alias("quote_seq"), F.col("r_line").alias("line"))
 
 
+def _probes(t: Tables) -> DataFrame:
+    return t.base("events").where("event_type = 'error'").select(F.col("user_id").alias("game_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("probe"))
+
+
+@query
+def asof_join_split(t: Tables) -> DataFrame:
+    """Each error event with the latest spread quote of its game, time lines cut into ranges of a thousand quotes."""
+    spreads = t.quotes.where("market = 'SPREAD'").select("game_id", "observed_at", "seq", "line")
+    cuts = bitemporal.time_cuts(spreads, "observed_at", 1000)
+    rows = bitemporal.asof_join_split(_probes(t), spreads, ["game_id"], "at", "observed_at", ["seq"], cuts=cuts)
+    return rows.select("probe", "game_id", F.col("r_seq").alias("quote_seq"), F.col("r_line").alias("line"))
+
+
+@query
+def bitemporal_quotes(t: Tables) -> DataFrame:
+    """Each error event with the quote of its market group that was valid latest, of those ingested by then.
+
+    A quote is ingested up to four days after it was observed; half of all quotes belong to one group.
+    """
+    group = lambda c: F.when(F.col(c) % 2 == 0, 0).otherwise(F.col(c) % 50)
+    late = F.timestamp_micros(F.unix_micros("observed_at") + F.col("seq") % 97 * 3_600_000_000)
+    quotes = t.quotes.select(group("game_id").alias("grp"), "observed_at", late.alias("ingested_at"), "seq", "line")
+    asks = _probes(t).select(group("game_id").alias("grp"), "at", F.col("at").alias("known_at"), "probe")
+    cuts = {"valid_cuts": bitemporal.time_cuts(quotes, "observed_at", 1000), "known_cuts": bitemporal.time_cuts(quotes, "ingested_at", 1000)}
+    rows = bitemporal.bitemporal_join(asks, quotes, ["grp"], "at", "known_at", "observed_at", "ingested_at", "probe", "seq", **cuts)
+    return rows.select("probe", "grp", F.col("r_seq").alias("quote_seq"), F.col("r_line").alias("line"))
+
+
 @query
 def lookahead_violations(t: Tables) -> DataFrame:
     return pit.lookahead_by_key(t.quotes, ["game_id"], cutoff(), "odds snapshots").select("game_id", "violations", "message")

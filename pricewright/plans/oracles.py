@@ -382,6 +382,14 @@ SELECT part_id, '80% margin ' || mi.lo || ' to ' || mi.hi || ', total ' || ti.lo
             f"WHERE x.event_type = e.event_type AND date_trunc('day', ts) <= {_CUT}) GROUP BY event_type",
         "opening_quote": _sql("SELECT game_id, market, seq, line FROM upto_cut WHERE is_opening", "upto_cut"),
         "manual_price_latest": _sql("SELECT game_id, market, selection, seq, american FROM latest_manual", "latest_manual"),
+        "asof_join_split": _sql(
+            "SELECT e.event_id AS probe, e.user_id AS game_id, arg_max(q.seq, (q.observed_at, q.seq)) AS quote_seq, arg_max(q.line, (q.observed_at, q.seq)) AS line FROM events e "
+            "LEFT JOIN quotes q ON q.game_id = e.user_id AND q.market = 'SPREAD' AND q.observed_at <= e.ts WHERE e.event_type = 'error' GROUP BY ALL", "quotes"),
+        "bitemporal_quotes": _sql(
+            "SELECT probe, e.grp, arg_max(q.seq, (q.observed_at, q.ingested_at, q.seq)) AS quote_seq, arg_max(q.line, (q.observed_at, q.ingested_at, q.seq)) AS line "
+            "FROM (SELECT event_id AS probe, CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id % 50 END AS grp, ts FROM events WHERE event_type = 'error') e LEFT JOIN "
+            "(SELECT CASE WHEN game_id % 2 = 0 THEN 0 ELSE game_id % 50 END AS grp, observed_at, observed_at + to_hours(seq % 97) AS ingested_at, seq, line FROM quotes) q "
+            "ON q.grp = e.grp AND q.observed_at <= e.ts AND q.ingested_at <= e.ts GROUP BY ALL", "quotes"),
         "asof_join_quotes": _sql(
             "SELECT e.event_id AS probe, e.user_id AS game_id, q.seq AS quote_seq, q.line FROM events e ASOF LEFT JOIN (SELECT * FROM quotes WHERE market = 'SPREAD') q "
             "ON q.game_id = e.user_id AND e.ts >= q.observed_at WHERE e.event_type = 'error'", "quotes"),
