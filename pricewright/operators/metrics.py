@@ -20,9 +20,14 @@ EDGE_TIERS = (("<1%", None, 0.01), ("1–3%", 0.01, 0.03), ("≥3%", 0.03, None)
 STATUSES = ("BET", "WATCH", "PASS", "DATA INCOMPLETE")
 
 
-def log_loss(p: Column, y: Column) -> Column:
+def log_loss_of(p: Column, y: Column) -> Column:
+    """Log loss of one record."""
     clamped = F.when(p.isNotNull(), F.least(F.lit(1 - EPSILON), F.greatest(F.lit(EPSILON), p)))
-    return F.avg(F.when(y == 1, -F.log(clamped)).otherwise(-F.log(1 - clamped)))
+    return F.when(y == 1, -F.log(clamped)).otherwise(-F.log(1 - clamped))
+
+
+def log_loss(p: Column, y: Column) -> Column:
+    return F.avg(log_loss_of(p, y))
 
 
 def brier(p: Column, y: Column) -> Column:
@@ -185,11 +190,36 @@ def max_drawdown(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     return drawdown_curve(curve, keys).groupBy(*keys).agg((F.max(-F.col("drawdown_pct")) / 100).alias("max_drawdown"))
 
 
+def folded_drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[str], profit: str, start: float, ranges: int | None = None) -> DataFrame:
+    """The largest drawdown of each key's balance, without its curve.
+
+    Records are dealt once into ranges of key and order.  A range is summed up by its total and its highest
+    running total; folded in order, these give the balance and the peak that every range starts from, and the
+    deepest fall below the peak is found inside the ranges.
+    """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = df.select(*keys, *order, F.coalesce(F.col(profit), F.lit(0)).alias("_v")).repartitionByRange(ranges, *keys, *order)
+    dealt = written(given.withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumn("_s", F.sum("_v").over(inside)).withColumn("_high", F.max("_s").over(inside))
+    totals = local.groupBy("_range", *keys).agg(F.sum("_v").alias("_total"), F.max("_s").alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("_from", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+    before = before.withColumn("_peak", F.greatest(F.lit(0), F.max(F.col("_from") + F.col("_top")).over(earlier)))
+    before = before.select(F.col("_range").alias("_r"), *(F.col(k).alias(f"_k_{k}") for k in keys), "_from", "_peak")
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    balance = (F.col("_from") + F.col("_s") + start).cast("double")
+    peak = (F.greatest("_peak", F.col("_from") + F.col("_high")) + start).cast("double")
+    fall = F.coalesce((peak - balance) / F.when(peak > 0, peak), F.lit(0.0))
+    return local.join(before, same).groupBy(*keys).agg(F.greatest(F.lit(0.0), F.max(fall)).alias("max_drawdown"))
+
+
 def full_bundle(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: float) -> DataFrame:
     """``metric_bundle`` with the expected calibration error and the largest drawdown of each key."""
-    curve = bankroll_curve(df, keys, order, "profit", start)
     out = metric_bundle(df, keys)
-    for side in (expected_calibration_error(df, keys), max_drawdown(curve, keys)):
+    for side in (expected_calibration_error(df, keys), folded_drawdown(df, keys, order, "profit", start)):
         out = out.join(side, list(keys), "left")
     return out
 

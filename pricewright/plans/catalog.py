@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pricewright.functions import distributions as dist
 from pricewright.functions import odds, text, times
-from pricewright.operators import bitemporal, guards, ledger, lookups, metrics, slate, staking
+from pricewright.operators import bitemporal, cube, guards, ledger, lookups, metrics, slate, staking
 from pricewright.operators import pointintime as pit
 from pricewright.plans import slate as plan
 from pricewright.sources.reference import stadiums, teams
@@ -540,6 +540,24 @@ def performance_filtered(t: Tables) -> DataFrame:
     return rows.groupBy("week").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("edge")).alias("avg_edge"), F.sum("profit").cast("double").alias("profit"))
 
 
+def _rounded_bundle(rows: DataFrame) -> DataFrame:
+    whole = ("facet", "value", "n_recs", "n_wagers")
+    return rows.select(*(F.col(c) if c in whole else r6(c).alias(c) for c in rows.columns))
+
+
+@query
+def performance_cube(t: Tables) -> DataFrame:
+    """Metric bundle of every value of the eight performance facets, all from one table of sums."""
+    return _rounded_bundle(cube.metrics_of(cube.by_facet(cube.cells(t.forecasts)), ["facet", "value"]))
+
+
+@query
+def performance_tier_side_week(t: Tables) -> DataFrame:
+    """Metric bundle under the filters for edge tier, side and week, from the sums."""
+    some = cube.cells(t.forecasts).where(cube.matching(tier="≥3%", side="FAVORITES", week=5))
+    return _rounded_bundle(cube.metrics_of(cube.merged(some, [])))
+
+
 @query
 def edge_tier_slices(t: Tables) -> DataFrame:
     rows = metrics.slice_tables(t.forecasts)
@@ -565,7 +583,7 @@ def settled_curve(t: Tables) -> DataFrame:
 
 @query
 def max_drawdown(t: Tables) -> DataFrame:
-    return metrics.max_drawdown(_curve(t), ["segment"]).select("segment", r6("max_drawdown").alias("max_drawdown"))
+    return metrics.folded_drawdown(t.forecasts, ["segment"], ["seq"], "profit", START).select("segment", r6("max_drawdown").alias("max_drawdown"))
 
 
 @query

@@ -499,6 +499,8 @@ JOIN (VALUES TEAMS) t1(id, abb, full_name) ON t1.id = home_team JOIN (VALUES TEA
         "performance_filtered": _sql(
             "SELECT seq % 18 + 1 AS week, count(*) AS n, round(avg(edge), 6) AS avg_edge, sum(profit)::DOUBLE AS profit FROM forecasts WHERE status IN ('BET', 'WATCH') AND seq % 3 = 0 AND seq % 4 <> 0 AND seq % 72 >= 24 "
             "AND seq % 20 >= 10 GROUP BY week", "forecasts"),
+        "performance_cube": _sql(" UNION ALL ".join(_bundle(f"'{facet}' AS facet, g::VARCHAR AS value", value) for facet, value in _FACETS.items()), "forecasts"),
+        "performance_tier_side_week": _sql(_bundle("", "1", "WHERE edge >= 0.03 AND seq % 2 = 0 AND seq % 18 + 1 = 5"), "forecasts"),
         "edge_tier_slices": _sql(
             f"SELECT 'edge' AS slice, d.name, {slices} FROM (VALUES ('<1%', -9, 0.01::DOUBLE), ('1–3%', 0.01::DOUBLE, 0.03::DOUBLE), ('≥3%', 0.03::DOUBLE, 9)) d(name, lo, hi) LEFT JOIN forecasts f ON edge >= lo AND edge < hi GROUP BY d.name "
             f"UNION ALL SELECT 'status', d.name, {slices} FROM (VALUES ('BET'), ('WATCH'), ('PASS'), ('DATA INCOMPLETE')) d(name) LEFT JOIN forecasts f ON status = d.name GROUP BY d.name", "forecasts"),
@@ -624,6 +626,26 @@ def _stadium_values() -> str:
     return ", ".join(f"({i}, '{r[1]}', '{r[4]}', {r[6]})" for i, r in enumerate(rows))
 
 
+_FACETS = {
+    "status": "status", "market": "['SPREAD', 'TOTAL', 'MONEYLINE'][seq % 3 + 1]", "tier": "CASE WHEN edge < 0.01 THEN '<1%' WHEN edge < 0.03 THEN '1–3%' ELSE '≥3%' END",
+    "venue": "CASE WHEN seq % 4 = 0 THEN 'INDOOR' ELSE 'OUTDOOR' END", "side": "CASE WHEN seq % 2 = 0 THEN 'FAVORITES' ELSE 'UNDERDOGS' END",
+    "horizon": "CASE WHEN seq % 72 < 24 THEN '<24h' ELSE '≥24h' END", "data": "CASE WHEN seq % 20 >= 10 THEN 'HIGH' ELSE 'LOW' END", "week": "(seq % 18 + 1)",
+}
+
+
+def _bundle(names: str, by: str, where: str = "") -> str:
+    """Metrics of the forecasts by an expression, straight from the rows."""
+    rows = f"SELECT *, {by} AS g FROM forecasts {where}"
+    return (
+        f"SELECT {names + ', ' if names else ''}log_loss, brier, ece, slope, intercept, mean_clv, roi, win_rate, push_rate, avg_edge, n_recs, n_wagers, avg_stake, coverage80 FROM ("
+        f"SELECT g, round({_LOSS}, 6) AS log_loss, round(avg((p - outcome) ** 2), 6) AS brier, "
+        "round(regr_slope(outcome, p), 6) AS slope, round(regr_intercept(outcome, p), 6) AS intercept, round(avg(clv), 6) AS mean_clv, round(sum(profit)::DOUBLE / sum(stake)::DOUBLE, 6) AS roi, "
+        "round(avg(outcome) FILTER (stake > 0 AND NOT push), 6) AS win_rate, round(avg(push::INT), 6) AS push_rate, round(avg(edge), 6) AS avg_edge, count(*) AS n_recs, count(*) FILTER (stake > 0) AS n_wagers, "
+        f"coalesce(round(sum(stake)::DOUBLE / count(*) FILTER (stake > 0), 6), 0) AS avg_stake, round(avg(within80::INT), 6) AS coverage80 FROM ({rows}) GROUP BY g) JOIN "
+        f"(SELECT g, round(sum(n * abs(o - m)) / sum(n), 6) AS ece FROM (SELECT g, {_BIN} AS b, count(*) AS n, avg(outcome) AS o, avg(p) AS m FROM ({rows}) GROUP BY ALL) GROUP BY g) USING (g)"
+    )
+
+
 def _team_values() -> str:
     rows = [line.split("|") for line in TEAMS.split("\n")[1:-1]]
     return ", ".join(f"({i}, '{r[0]}', '{r[1]}')" for i, r in enumerate(rows))
