@@ -112,10 +112,53 @@ def _long(df: DataFrame, outcomes: Column) -> DataFrame:
     return df.select(*columns, F.explode(outcomes).alias("_outcome")).select(*columns, "_outcome.value", "_outcome.probability")
 
 
+def cumulative(dist: Column) -> Column:
+    """struct<values, upto>: the values in order and the mass up to each of them, with a 0 in front.
+
+    One pass over the outcomes; lines and quantiles are then looked up by halving.
+    """
+    first = F.array(F.lit(0.0))
+    sums = lambda rows: F.aggregate(rows, first, lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x["probability"]))
+    return _bound(F.array_sort(dist), lambda rows: F.struct(F.transform(rows, lambda x: x["value"]).alias("values"), sums(rows).alias("upto")))
+
+
+def _count_where(items: Column, holds) -> Column:
+    """How many items at the start of the array satisfy ``holds``, which no later item does again; seven steps for up to 127 items."""
+    steps = F.array(*(F.lit(1 << k) for k in range(6, -1, -1)))
+    ahead = lambda n, step: F.coalesce(holds(F.get(items, n + step - 1)), F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(ahead(n, step), n + step).otherwise(n))
+
+
+def mass_upto(cdf: Column, x: Column) -> Column:
+    """Mass of the values that are at most ``x``."""
+    return F.get(cdf["upto"], _count_where(cdf["values"], lambda v: v <= x))
+
+
+def _outcomes_at(cdf: Column, at: Column, names: tuple[str, str, str]) -> Column:
+    """struct of the mass above, at and below a point."""
+    whole = F.element_at(cdf["upto"], -1)
+
+    def shares(upto: Column) -> Column:
+        above, tied = whole - upto, upto - mass_upto(cdf, at - PUSH_TOLERANCE)
+        return F.struct(above.alias(names[0]), tied.alias(names[1]), F.greatest(F.lit(0.0), 1 - above - tied).alias(names[2]))
+
+    return F.when(at.isNotNull(), _bound(mass_upto(cdf, at + PUSH_TOLERANCE), shares))
+
+
+def spread_outcomes_at(cdf: Column, line: Column) -> Column:
+    """``spread_outcomes`` from cumulative mass."""
+    return _outcomes_at(cdf, -line, ("cover", "push", "lose"))
+
+
+def total_outcomes_at(cdf: Column, line: Column) -> Column:
+    """``total_outcomes`` from cumulative mass."""
+    return _outcomes_at(cdf, line, ("over", "push", "under"))
+
+
 def ladder(dist: Column, lines: Column, result) -> Column:
-    """array<struct<line, result>>: ``result(dist, line)`` at every line, the distribution being computed once."""
+    """array<struct<line, result>>: ``result(cdf, line)`` at every line, the cumulative mass being computed once."""
     at = lambda d: F.transform(lines, lambda x: F.struct(x.alias("line"), result(d, x).alias("result")))
-    return _bound(dist, at)
+    return _bound(cumulative(dist), at)
 
 
 def outcome_sums(df: DataFrame, keys: list[str], weight: Column, value: Column, conditions: dict[str, Column]) -> DataFrame:
@@ -133,15 +176,14 @@ def outcome_sums(df: DataFrame, keys: list[str], weight: Column, value: Column,
 def central_interval(dist: Column, mass: float = 0.8) -> Column:
     """struct<low, high>: where the mass from either end first reaches the tail (1 - mass) / 2; row-local."""
     tail = (1 - mass) / 2
-    start = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("int").alias("at"))
 
-    def step(acc, x):
-        run = acc["run"] + x["probability"]
-        return F.struct(run.alias("run"), F.coalesce(acc["at"], F.when(run >= tail, x["value"])).alias("at"))
+    def ends(cdf: Column) -> Column:
+        whole = F.element_at(cdf["upto"], -1)
+        below = _count_where(F.slice(cdf["upto"], 2, F.size(cdf["values"])), lambda m: m < tail)  # values before the tail is reached
+        upto = _count_where(cdf["upto"], lambda m: whole - m >= tail)  # values from which the upper tail is still reached
+        return F.struct(F.get(cdf["values"], below).alias("low"), F.get(cdf["values"], upto - 1).alias("high"))
 
-    first = lambda rows: F.aggregate(rows, start, step, lambda acc: acc["at"])
-    ends = lambda d: F.struct(first(d).alias("low"), first(F.reverse(d)).alias("high"))
-    return _bound(F.array_sort(dist), ends)
+    return _bound(cumulative(dist), ends)
 
 
 def chart_points(dist: Column, least: float = 0.0005) -> Column:

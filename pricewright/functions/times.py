@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zoneinfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,18 +22,19 @@ SEVERITY = ("CURRENT", "AGING", "STALE", "CONFLICTING", "MISSING")
 
 
 def age_minutes(at: Column, now: Column) -> Column:
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    """Minutes from ``at`` to ``now``; NULL for a text that is no time."""
+    micros = lambda c: F.unix_micros(c.try_cast("timestamp"))
     return (micros(now) - micros(at)) / 6e7
 
 
 def classify_freshness(at: Column, now: Column, aging: Column | float, stale: Column | float, conflict: Column | bool = False) -> Column:
-    """A conflict or a time after now is CONFLICTING, no time is MISSING, else by age (bounds included)."""
+    """A conflict, an unreadable time or one after now is CONFLICTING, no time is MISSING, else by age (bounds included)."""
     age = age_minutes(at, now)
     conflict = conflict if isinstance(conflict, Column) else F.lit(conflict)
     return (
         F.when(F.coalesce(conflict, F.lit(False)), "CONFLICTING")
         .when(at.isNull(), "MISSING")
-        .when(age < 0, "CONFLICTING")
+        .when((age < 0) | at.try_cast("timestamp").isNull(), "CONFLICTING")
         .when(age <= aging, "CURRENT")
         .when(age <= stale, "AGING")
         .otherwise("STALE")
@@ -71,8 +74,15 @@ def format_utc(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd HH:mm'Z'")
 
 
-def format_kickoff(at: Column, zone: str) -> Column:
-    return F.date_format(F.from_utc_timestamp(at, zone), "EEE, MMM d, h:mm a")
+def known_zone(zone: Column) -> Column:
+    """The zone, or UTC if it is missing or no zone that the system knows."""
+    return F.when(zone.isin(*sorted(zoneinfo.available_timezones())), zone).otherwise("UTC")
+
+
+def format_kickoff(at: Column, zone: Column | str) -> Column:
+    """Local time in a zone; UTC in an unknown one."""
+    zone = zone if isinstance(zone, Column) else F.lit(zone)
+    return F.date_format(F.from_utc_timestamp(at, known_zone(zone)), "EEE, MMM d, h:mm a")
 
 
 def format_ago(at: Column, now: Column) -> Column:

@@ -167,3 +167,11 @@ def components_disagree(components: DataFrame, key: str, over: float = 6.5) -> D
     real = components.where((F.col("weight") > 0) & ~F.col("placeholder"))
     span = F.max("margin") - F.min("margin")
     return real.groupBy(key).agg((F.coalesce(span > over, F.lit(False)) & (F.count(F.lit(1)) >= 2)).alias("components_disagree"))
+
+
+def of_week(games: DataFrame, season: int | None = None, week: int | None = None, limit: int | None = None) -> DataFrame:
+    """Games of a season and week (None: of all), the earliest ``limit`` ones by kickoff, then id."""
+    for column, wanted in (("season", season), ("week", week)):
+        if wanted is not None:
+            games = games.where(F.col(column) == wanted)
+    return games if limit is None else games.orderBy("kickoff", "game_id").limit(limit)

@@ -117,6 +117,13 @@ def opening_quote(t: Tables) -> DataFrame:
     return pit.opening_snapshot(t.quotes, ["game_id", "market"], cutoff()).select("game_id", "market", "seq", "line")
 
 
+@query
+def opening_flagged(t: Tables) -> DataFrame:
+    """Opening quotes where the feed flags them: the first flagged one, never an earlier one without the flag."""
+    flagged = t.quotes.withColumn("is_opening", F.col("seq") % 4 == 1)
+    return pit.opening_snapshot(flagged, ["game_id", "market"], cutoff()).select("game_id", "market", "seq", "line")
+
+
 @query
 def manual_price_latest(t: Tables) -> DataFrame:
     return pit.latest_manual_price(t.manual_prices, now()).select("game_id", "market", "selection", "seq", "american")
@@ -238,7 +245,7 @@ def central_interval(t: Tables) -> DataFrame:
 def line_ladder(t: Tables) -> DataFrame:
     """Cover probability at fifteen candidate lines around each projection."""
     d = dist.margin_distribution(F.col("mu"), F.col("sd"))
-    cover = lambda p, line: dist.probability_where(p, lambda v: v + line > dist.PUSH_TOLERANCE)
+    cover = lambda cdf, line: dist.spread_outcomes_at(cdf, line)["cover"]
     rows = t.projection.select("part_id", F.explode(dist.ladder(d, F.sequence(F.lit(-7), F.lit(7)), cover)).alias("x"))
     return rows.select("part_id", "x.line", r6("x.result").alias("cover"))
 
@@ -247,7 +254,7 @@ def line_ladder(t: Tables) -> DataFrame:
 def total_ladder(t: Tables) -> DataFrame:
     """Probability of the over at seventeen candidate totals."""
     d = dist.total_distribution(F.col("total"), F.col("sd"))
-    over = lambda p, line: dist.probability_where(p, lambda v: v - line > dist.PUSH_TOLERANCE)
+    over = lambda cdf, line: dist.total_outcomes_at(cdf, line)["over"]
     rows = t.projection.select("part_id", F.explode(dist.ladder(d, F.sequence(F.lit(37), F.lit(53)), over)).alias("x"))
     return rows.select("part_id", "x.line", r6("x.result").alias("over"))
 
@@ -445,6 +452,29 @@ def kickoff_labels(t: Tables) -> DataFrame:
     return t.games.select("game_id", times.format_kickoff(F.col("kickoff"), "UTC").alias("label"), text.record_id("game", F.col("game_id"), F.col("home_team")).alias("id"))
 
 
+@query
+def kickoff_in_zones(t: Tables) -> DataFrame:
+    """Kickoff in each reader's zone; unknown and missing zones show UTC."""
+    zones = F.array(*map(F.lit, ("America/Phoenix", "Asia/Tokyo", "Mars/Base", None)))
+    zone = F.element_at(zones, (F.col("game_id") % 4 + 1).cast("int"))
+    return t.games.select("game_id", zone.alias("zone"), times.format_kickoff(F.col("kickoff"), zone).alias("label"))
+
+
+@query
+def freshness_of_texts(t: Tables) -> DataFrame:
+    """Freshness of records whose times are texts, some of them unreadable or missing."""
+    key = F.col("event_id")
+    at = F.when(key % 7 == 0, "soon").when(key % 11 == 0, F.lit(None).cast("string")).otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    rows = t.base("events").select("event_id", at.alias("at"))
+    return rows.select("event_id", times.classify_freshness(F.col("at"), now(), 1440, 14400).alias("status"))
+
+
+@query
+def games_of_week(t: Tables) -> DataFrame:
+    """One week of a season, the earliest twenty games."""
+    return slate.of_week(t.schedule, 2024, 5, 20).select("game_id", "season", "week", "kickoff")
+
+
 @query
 def feed_impact(t: Tables) -> DataFrame:
     """Incidents per game that they touch, and whether one of them failed; games of the slate without one are shown too."""

@@ -337,6 +337,11 @@ SELECT part_id, '80% margin ' || mi.lo || ' to ' || mi.hi || ', total ' || ti.lo
             f"SELECT 'manual' AS kind, seq, CASE WHEN {_age('entered_at')} <= 45 THEN 'ok' WHEN {_age('entered_at')} <= 60 THEN 'warn' ELSE 'bad' END AS tier FROM manual UNION ALL "
             f"SELECT 'quote', seq, CASE WHEN {_age('observed_at')} <= 30 THEN 'ok' WHEN {_age('observed_at')} <= 120 THEN 'warn' ELSE 'bad' END FROM latest", "manual", "latest"),
         "kickoff_labels": _sql("SELECT game_id, strftime(kickoff, '%a, %b %-d, %-I:%M %p') AS label, 'game_' || substr(sha256(game_id || '|' || home_team), 1, 16) AS id FROM games", "games"),
+        "kickoff_in_zones": _sql(
+            "SELECT game_id, ['America/Phoenix', 'Asia/Tokyo', 'Mars/Base', NULL][game_id % 4 + 1] AS zone, strftime(kickoff + to_hours([-7, 9, 0, 0][game_id % 4 + 1]), '%a, %b %-d, %-I:%M %p') AS label FROM games", "games"),
+        "freshness_of_texts": f"SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'CONFLICTING' WHEN event_id % 11 = 0 THEN 'MISSING' WHEN {_age('ts')} < 0 THEN 'CONFLICTING' WHEN {_age('ts')} <= 1440 THEN 'CURRENT' WHEN {_age('ts')} <= 14400 THEN 'AGING' ELSE 'STALE' END AS status FROM events",
+        "games_of_week": _sql("SELECT game_id, 2023 + game_id % 2 AS season, (game_id // 2) % 18 + 1 AS week, kickoff FROM games WHERE game_id % 2 = 1 AND (game_id // 2) % 18 = 4 ORDER BY kickoff, game_id LIMIT 20", "games"),
+        "opening_flagged": _sql("SELECT game_id, market, min(seq) AS seq, arg_min(line, seq) AS line FROM quotes WHERE seq % 4 = 1 AND observed_at <= TIMESTAMP '2024-01-16 00:00:00' GROUP BY game_id, market", "quotes"),
         "feed_impact": _sql(
             "SELECT game_id, count(i.g) AS n, coalesce(bool_or(value > 200), false) AS failed FROM games LEFT JOIN (SELECT value, unnest([user_id, user_id + 3]) AS g FROM events WHERE event_type = 'error') i ON i.g = game_id GROUP BY game_id", "games"),
         "incidents_of_game": "SELECT event_id AS incident_id, CASE WHEN value > 200 THEN 'FAILED' ELSE 'OPEN' END AS resolution FROM events WHERE event_type = 'error' AND user_id IN (7, 4)",

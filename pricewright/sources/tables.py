@@ -98,6 +98,13 @@ class Tables:
         )
         return games.join(quoted, "game_id", "left_semi")
 
+    @property
+    def schedule(self) -> DataFrame:
+        """Games with season and week."""
+        rows = self.games
+        key = F.col("game_id")
+        return rows.withColumns({"season": (2023 + key % 2).cast("int"), "week": (F.floor(key / 2) % 18 + 1).cast("int")})
+
     @property
     def predictions(self) -> DataFrame:
         p = self.projection
