@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.functions import distributions as dist
 from pricewright.functions import odds, text, times
-from pricewright.operators import bitemporal, cube, guards, ledger, lookups, metrics, slate, staking
+from pricewright.operators import bitemporal, cube, digests, guards, ledger, lookups, metrics, policies, slate, staking
 from pricewright.operators import pointintime as pit
 from pricewright.plans import slate as plan
 from pricewright.sources.reference import stadiums, teams
-from pricewright.sources.scratch import shared_folder
+from pricewright.sources.scratch import folder, shared_folder
 from pricewright.sources.state import parsed_state, read_prices, submit_prices
 from pricewright.sources.tables import BANKROLL, Tables, cutoff, now
 
@@ -844,6 +845,35 @@ def mutation_audit(t: Tables) -> DataFrame:
     return guards.mutated_rows(before, after, "bet_id")
 
 
+@query
+def mutation_audit_digests(t: Tables) -> DataFrame:
+    """The same audit by digests: rows are read of the buckets that differ only; a fifth of the keys is touched."""
+    before = t.positions.select("bet_id", "stake", "result")
+    touched = F.col("bet_id") % 5 == 0
+    after = before.where(~(touched & (F.col("bet_id") % 11 == 0))).withColumn("result", F.when(touched & (F.col("bet_id") % 13 == 0), "VOID").otherwise(F.col("result")))
+    paths = []
+    for rows, name in ((before, "before"), (after, "after")):
+        paths.append(folder(t.spark, name))
+        digests.write_snapshot(rows, "bet_id", paths[-1])
+    return digests.audit(t.spark, *paths, "bet_id")
+
+
+@query
+def policy_rows(t: Tables) -> DataFrame:
+    """How many rows of each table user 7 may see, and how many of an update of all bets are refused."""
+    bets = t.positions.select("bet_id", "user_id", "result")
+    events = t.positions.select("bet_id", F.lit("PLACED").alias("event_type"))
+    recs = t.positions.select(F.col("bet_id").alias("rec_id"), F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("user_id"))
+    prices = t.manual_prices.select("seq", F.col("game_id").alias("user_id"), "confirmed")
+    seen = {
+        "bets": policies.allowed(bets, "bets", 7), "bet_events": policies.allowed(events, "bet_events", 7, bets=bets), "recommendations": policies.allowed(recs, "recommendations", 7),
+        "odds_snapshots": policies.allowed(t.quotes, "odds_snapshots", 7), "nobody": policies.allowed(t.quotes, "odds_snapshots", None), "unknown": policies.allowed(bets, "secrets", 7),
+        "prices to insert": policies.allowed(prices, "manual_book_prices", 7, "insert", confirmed="confirmed"), "bets refused": policies.refused(bets, "bet_id", "bets", 7, "update"),
+    }
+    counted = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rows_of"), "n") for name, rows in seen.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query
 def injury_conflicts(t: Tables) -> DataFrame:
     return slate.game_conflicts(t.injury_reports)

@@ -341,6 +341,12 @@ SELECT part_id, '80% margin ' || mi.lo || ' to ' || mi.hi || ', total ' || ti.lo
             "SELECT game_id, ['America/Phoenix', 'Asia/Tokyo', 'Mars/Base', NULL][game_id % 4 + 1] AS zone, strftime(kickoff + to_hours([-7, 9, 0, 0][game_id % 4 + 1]), '%a, %b %-d, %-I:%M %p') AS label FROM games", "games"),
         "freshness_of_texts": f"SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'CONFLICTING' WHEN event_id % 11 = 0 THEN 'MISSING' WHEN {_age('ts')} < 0 THEN 'CONFLICTING' WHEN {_age('ts')} <= 1440 THEN 'CURRENT' WHEN {_age('ts')} <= 14400 THEN 'AGING' ELSE 'STALE' END AS status FROM events",
         "games_of_week": _sql("SELECT game_id, 2023 + game_id % 2 AS season, (game_id // 2) % 18 + 1 AS week, kickoff FROM games WHERE game_id % 2 = 1 AND (game_id // 2) % 18 = 4 ORDER BY kickoff, game_id LIMIT 20", "games"),
+        "mutation_audit_digests": _sql(
+            "SELECT bet_id, CASE WHEN bet_id % 11 = 0 THEN 'deleted' ELSE 'updated' END AS mutation FROM positions WHERE bet_id % 5 = 0 AND (bet_id % 11 = 0 OR bet_id % 13 = 0 AND result <> 'VOID')", "positions"),
+        "policy_rows": _sql(
+            "SELECT 'bets' AS rows_of, count(*) FILTER (user_id = 7) AS n FROM positions UNION ALL SELECT 'bet_events', count(*) FILTER (user_id = 7) FROM positions "
+            "UNION ALL SELECT 'recommendations', count(*) FILTER (user_id = 7 OR user_id % 10 = 0) FROM positions UNION ALL SELECT 'odds_snapshots', count(*) FROM quotes UNION ALL SELECT 'nobody', 0 UNION ALL SELECT 'unknown', 0 "
+            "UNION ALL SELECT 'prices to insert', count(*) FROM orders WHERE o_custkey = 7 AND o_orderstatus <> 'P' UNION ALL SELECT 'bets refused', count(*) FILTER (user_id <> 7) FROM positions", "positions", "quotes"),
         "opening_flagged": _sql("SELECT game_id, market, min(seq) AS seq, arg_min(line, seq) AS line FROM quotes WHERE seq % 4 = 1 AND observed_at <= TIMESTAMP '2024-01-16 00:00:00' GROUP BY game_id, market", "quotes"),
         "feed_impact": _sql(
             "SELECT game_id, count(i.g) AS n, coalesce(bool_or(value > 200), false) AS failed FROM games LEFT JOIN (SELECT value, unnest([user_id, user_id + 3]) AS g FROM events WHERE event_type = 'error') i ON i.g = game_id GROUP BY game_id", "games"),
