@@ -51,23 +51,20 @@ def board(quotes: DataFrame, cutoff: Column) -> DataFrame:
     return pit.filter_to_cutoff(quotes, cutoff).groupBy("game_id").agg(*board_columns())
 
 
-def game_facts(quotes: DataFrame, injuries: DataFrame, failures: DataFrame, clock: Column) -> DataFrame:
-    """The board of every game with what else is known of it from event feeds, in one aggregate.
+def game_facts(events: DataFrame, clock: Column) -> DataFrame:
+    """The board of every game with what else is known of it from event feeds, in one aggregate over one scan.
 
     ``late_quote_at`` and ``late_injury_at`` are the first records after the clock; ``awaiting``: an
-    official injury update is still to come; ``failed``: a provider failure touches the game.
+    official injury update is still to come; ``failed``: a provider failure touches the game; ``quoted``: there
+    is a quote of any time.
     """
     of = lambda kind: F.col("kind") == kind
-    rows = quotes.withColumn("kind", F.lit("quote"))
-    reports = injuries.select("game_id", "observed_at", F.col("report_id").alias("seq"), "practice_fri", "designation", F.lit("injury").alias("kind"))
-    rows = rows.unionByName(reports, allowMissingColumns=True)
-    rows = rows.unionByName(failures.select("game_id", F.lit("failure").alias("kind")), allowMissingColumns=True)
     awaiting = of("injury") & (F.col("practice_fri") == "NO_DATA") & (F.col("designation") == "QUESTIONABLE")
     late = lambda kind: pit.first_violation(clock, F.col("observed_at"), F.col("seq"), of(kind))
-    return rows.groupBy("game_id").agg(
+    return events.groupBy("game_id").agg(
         *board_columns(of("quote") & (F.col("observed_at") <= clock)),
         late("quote").alias("late_quote_at"), late("injury").alias("late_injury_at"),
-        F.bool_or(F.coalesce(awaiting, F.lit(False))).alias("awaiting"), F.bool_or(of("failure")).alias("failed"),
+        F.bool_or(F.coalesce(awaiting, F.lit(False))).alias("awaiting"), F.bool_or(of("failure")).alias("failed"), F.bool_or(of("quote")).alias("quoted"),
     )
 
 
@@ -201,7 +198,7 @@ def evaluate(
     """
     controls = controls or RiskControls()
     clock = now()
-    facts = priced_slate(game_facts(t.quotes, t.injury_reports, t.failures, clock), t.predictions, t.manual_prices, clock)
+    facts = priced_slate(game_facts(t.game_events, clock), t.predictions, t.manual_prices, clock)
     moves = F.element_at(F.map_from_entries(F.array(*(F.struct(F.lit(m), movement(m)) for m in MARKETS))), F.col("best.market"))
     facts = facts.withColumn("best", best_of(F.col("candidates"))).select(
         "game_id", "best.*", F.col("spread.observed_at").alias("spread_at"), F.col("spread.line").alias("market_line"), moves.alias("move"),

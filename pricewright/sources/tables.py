@@ -55,21 +55,14 @@ class Tables:
     @property
     def quotes(self) -> DataFrame:
         """Two-way prices per game and market with input order ``seq``; the first in that order is the opening."""
-        events = self.base("events")
-        market = F.when(F.col("event_type") == MARKET_OF_EVENT[0][0], MARKET_OF_EVENT[0][1])
-        for kind, name in MARKET_OF_EVENT[1:]:
-            market = market.when(F.col("event_type") == kind, name)
-        k = F.get_json_object("props", "$.k").cast("int")
-        price = lambda x: F.when(x < 50, -(100 + x)).otherwise(50 + x)
-        return events.select(
-            F.col("user_id").alias("game_id"),
-            market.alias("market"),
-            F.col("ts").cast("timestamp").alias("observed_at"),
-            F.col("event_id").alias("seq"),
-            (F.floor(F.col("value") / 10 * 2 + 0.5) / 2 - 10).alias("line"),
-            price(k).alias("home_american"),
-            price(99 - k).alias("away_american"),
-        ).where(F.col("market").isNotNull())
+        return self.base("events").where(F.col("event_type").isin(*(kind for kind, _ in MARKET_OF_EVENT))).select(*_quote_columns())
+
+    @property
+    def game_events(self) -> DataFrame:
+        """Quotes, injury reports and failures of games, told apart by ``kind``, from one scan."""
+        kind = F.when(F.col("event_type") == "signup", "injury").when(F.col("event_type") == "error", "failure").otherwise("quote")
+        telling = F.col("event_type").isin(*(kind for kind, _ in MARKET_OF_EVENT), "signup", "error") & ((F.col("event_type") != "error") | (F.col("value") > 200))
+        return self.base("events").where(telling).select(kind.alias("kind"), *_quote_columns(), _practice_friday().alias("practice_fri"), _designation().alias("designation"))
 
     @property
     def feed_log(self) -> DataFrame:
@@ -82,6 +75,7 @@ class Tables:
             ((F.col("p_size") - 25) / 3).alias("mu"),
             (10 + (F.col("p_retailprice") - 900) / 20).alias("sd"),
             (38 + F.col("p_size") / 3).alias("total"),
+            ((80 + F.col("p_size") % 20) / 100).alias("completeness"),
         )
 
     @property
@@ -107,16 +101,14 @@ class Tables:
 
     @property
     def predictions(self) -> DataFrame:
-        p = self.projection
-        size = self.base("part").select(F.col("p_partkey").alias("part_id"), "p_size")
-        return p.join(size, "part_id").select(
+        return self.projection.select(
             F.col("part_id").alias("game_id"),
             (F.col("part_id") % 5).cast("int").alias("model_id"),
             "mu",
             "sd",
             "total",
             (F.col("sd") * 0.75).alias("total_sd"),
-            ((80 + F.col("p_size") % 20) / 100).alias("completeness"),
+            "completeness",
             margin_to_win_probability(F.col("mu")).alias("home_win"),
         )
 
@@ -219,8 +211,8 @@ class Tables:
             F.when(F.col("event_id") % 11 == 0, "sources differ").alias("conflict_warning"),
             F.when(F.col("event_id") % 2 == 0, "FULL").otherwise("LIMITED").alias("practice_wed"),
             F.when(F.col("event_id") % 3 == 0, "DNP").otherwise("FULL").alias("practice_thu"),
-            F.when(F.col("value") > 100, "NO_DATA").otherwise("FULL").alias("practice_fri"),
-            F.when(F.col("event_id") % 2 == 0, "QUESTIONABLE").otherwise("OUT").alias("designation"),
+            _practice_friday().alias("practice_fri"),
+            _designation().alias("designation"),
             F.col("ts").cast("timestamp").alias("observed_at"),
         )
 
@@ -284,6 +276,31 @@ class Tables:
         return joined.select("doc_id", F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col("n_chars") / 35000)).alias("p"), F.col("quality").alias("outcome"))
 
 
+def _quote_columns() -> list[Column]:
+    market = F.when(F.col("event_type") == MARKET_OF_EVENT[0][0], MARKET_OF_EVENT[0][1])
+    for kind, name in MARKET_OF_EVENT[1:]:
+        market = market.when(F.col("event_type") == kind, name)
+    k = F.get_json_object("props", "$.k").cast("int")
+    price = lambda x: F.when(x < 50, -(100 + x)).otherwise(50 + x)
+    return [
+        F.col("user_id").alias("game_id"),
+        market.alias("market"),
+        F.col("ts").cast("timestamp").alias("observed_at"),
+        F.col("event_id").alias("seq"),
+        (F.floor(F.col("value") / 10 * 2 + 0.5) / 2 - 10).alias("line"),
+        price(k).alias("home_american"),
+        price(99 - k).alias("away_american"),
+    ]
+
+
+def _practice_friday() -> Column:
+    return F.when(F.col("value") > 100, "NO_DATA").otherwise("FULL")
+
+
+def _designation() -> Column:
+    return F.when(F.col("event_id") % 2 == 0, "QUESTIONABLE").otherwise("OUT")
+
+
 def order_american(key: Column) -> Column:
     return F.when(key % 2 == 0, -(100 + key % 60)).otherwise(100 + key % 60)
 

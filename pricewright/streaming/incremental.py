@@ -47,16 +47,8 @@ class TouchedTables(LoggedTables):
         return rows.join(games, F.col(key) == F.col("_touched"), "left_semi")
 
     @property
-    def quotes(self) -> DataFrame:
-        return self._of_touched(super().quotes)
-
-    @property
-    def injury_reports(self) -> DataFrame:
-        return self._of_touched(super().injury_reports)
-
-    @property
-    def failures(self) -> DataFrame:
-        return self._of_touched(super().failures)
+    def game_events(self) -> DataFrame:
+        return self._of_touched(super().game_events)
 
     @property
     def games(self) -> DataFrame:
