@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricewright.functions import times
+
 from pricewright.operators.lookups import unnest
 from pricewright.operators.metrics import edge_tier
 from pricewright.operators.pointintime import first_violation
@@ -175,3 +177,31 @@ def of_week(games: DataFrame, season: int | None = None, week: int | None = None
         if wanted is not None:
             games = games.where(F.col(column) == wanted)
     return games if limit is None else games.orderBy("kickoff", "game_id").limit(limit)
+
+
+#: What is done about a feed of each class.
+RESOLUTIONS = (("MISSING", "FAILED"), ("STALE", "DEGRADED"), ("AGING", "INVESTIGATING"), ("CONFLICTING", "INVESTIGATING"))
+
+
+def feed_health(records: DataFrame, clock: Column) -> DataFrame:
+    """One row per known feed, also without records: class, last record, records, minutes since, games it fails, resolution.
+
+    ``records``: feed, game_id, at, conflict; those after the clock don't count.  A feed with a record in
+    conflict is CONFLICTING.  A game is impacted if its own latest record of the feed is stale or in conflict.
+    Records are added up per feed and game first, so a feed with most of them is spread.
+    """
+    names = F.explode(F.array(*(F.struct(F.lit(f).alias("feed"), F.lit(float(a)).alias("aging"), F.lit(float(s)).alias("stale")) for f, a, s in times.FEED_THRESHOLDS)))
+    known = records.sparkSession.range(1).select(names.alias("f")).select("f.*")
+    by_game = records.where(F.col("at") <= clock).groupBy("feed", "game_id").agg(F.max("at").alias("at"), F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce("conflict", F.lit(False))).alias("conflict"))
+    stale = F.element_at(F.create_map(*(F.lit(x) for f, _, s in times.FEED_THRESHOLDS for x in (f, float(s)))), F.col("feed"))
+    fails = F.col("game_id").isNotNull() & (F.col("conflict") | (times.age_minutes(F.col("at"), clock) > stale))
+    by_feed = by_game.where(F.col("feed").isin(*(f for f, _, _ in times.FEED_THRESHOLDS))).groupBy("feed").agg(
+        F.max("at").alias("last_success_at"), F.sum("n").alias("records"), F.bool_or("conflict").alias("conflict"), F.count_if(fails).alias("impacted_games")
+    )
+    rows = known.join(by_feed, "feed", "left")
+    rows = rows.withColumn("status", times.classify_freshness(F.col("last_success_at"), clock, F.col("aging"), F.col("stale"), F.coalesce("conflict", F.lit(False))))
+    resolution = F.create_map(*(F.lit(x) for pair in RESOLUTIONS for x in pair))
+    return rows.select(
+        "feed", "status", "last_success_at", F.coalesce("records", F.lit(0)).alias("records"), times.age_minutes(F.col("last_success_at"), clock).alias("freshness_minutes"),
+        F.coalesce("impacted_games", F.lit(0)).alias("impacted_games"), F.coalesce(F.try_element_at(resolution, F.col("status")), F.lit("OK")).alias("resolution"),
+    )

@@ -337,6 +337,19 @@ SELECT part_id, '80% margin ' || mi.lo || ' to ' || mi.hi || ', total ' || ti.lo
             f"SELECT 'manual' AS kind, seq, CASE WHEN {_age('entered_at')} <= 45 THEN 'ok' WHEN {_age('entered_at')} <= 60 THEN 'warn' ELSE 'bad' END AS tier FROM manual UNION ALL "
             f"SELECT 'quote', seq, CASE WHEN {_age('observed_at')} <= 30 THEN 'ok' WHEN {_age('observed_at')} <= 120 THEN 'warn' ELSE 'bad' END FROM latest", "manual", "latest"),
         "kickoff_labels": _sql("SELECT game_id, strftime(kickoff, '%a, %b %-d, %-I:%M %p') AS label, 'game_' || substr(sha256(game_id || '|' || home_team), 1, 16) AS id FROM games", "games"),
+        "feed_health": f"""
+WITH f(feed, event, aging, stale) AS (VALUES ('schedule', 'error', 1440, 4320), ('roster', NULL, 720, 2880), ('depthChart', NULL, 1440, 4320), ('injury', 'signup', 360, 1440),
+  ('weather', 'view', 180, 720), ('odds', 'click', 30, 120), ('manualPrice', 'purchase', 30, 60)
+), r AS (
+  SELECT event_type AS event, user_id, max(ts) AS last_at, count(*) AS n, bool_or(event_type = 'signup' AND event_id % 11 = 0) AS conflict FROM events WHERE ts <= {_NOW} GROUP BY ALL
+), h AS (
+  SELECT feed, aging, stale, max(last_at) AS last_at, coalesce(sum(n), 0)::BIGINT AS records, bool_or(conflict) AS conflict, count(*) FILTER (conflict OR {_age('last_at')} > stale) AS impacted
+  FROM f LEFT JOIN r USING (event) GROUP BY feed, aging, stale
+), s AS (
+  SELECT *, CASE WHEN conflict THEN 'CONFLICTING' WHEN last_at IS NULL THEN 'MISSING' WHEN {_age('last_at')} <= aging THEN 'CURRENT' WHEN {_age('last_at')} <= stale THEN 'AGING' ELSE 'STALE' END AS status FROM h
+)
+SELECT feed, status, last_at AS last_success_at, records, round({_age('last_at')}, 6) AS freshness_minutes, impacted AS impacted_games,
+       CASE status WHEN 'MISSING' THEN 'FAILED' WHEN 'STALE' THEN 'DEGRADED' WHEN 'CURRENT' THEN 'OK' ELSE 'INVESTIGATING' END AS resolution FROM s""",
         "kickoff_in_zones": _sql(
             "SELECT game_id, ['America/Phoenix', 'Asia/Tokyo', 'Mars/Base', NULL][game_id % 4 + 1] AS zone, strftime(kickoff + to_hours([-7, 9, 0, 0][game_id % 4 + 1]), '%a, %b %-d, %-I:%M %p') AS label FROM games", "games"),
         "freshness_of_texts": f"SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'CONFLICTING' WHEN event_id % 11 = 0 THEN 'MISSING' WHEN {_age('ts')} < 0 THEN 'CONFLICTING' WHEN {_age('ts')} <= 1440 THEN 'CURRENT' WHEN {_age('ts')} <= 14400 THEN 'AGING' ELSE 'STALE' END AS status FROM events",
