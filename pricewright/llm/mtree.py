@@ -27,7 +27,7 @@ from pricewright.llm import vectors as vs
 from pricewright.llm.scratch import bound_arrow_batches, staged
 
 #: Entries of a page, and queries of a block.
-PAGE, QUERY_ROWS = 64, 1024
+PAGE, QUERY_ROWS = 128, 1024
 _SLACK = 1e-6
 #: Rows of results that a task gathers before it hands them on.
 _HELD = 200_000
