@@ -28,7 +28,7 @@ from pricewright.llm.scratch import bound_arrow_batches, staged
 LEAF, ANCHOR_ROWS, AT_ONCE = 32, 1024, 8
 #: Rows of results that a task gathers before it hands them on.
 _HELD = 200_000
-_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+_LEAST, _MOST = vs.LEAST, vs.MOST
 
 
 @dataclass
@@ -45,6 +45,7 @@ class BallTree:
     names: list[str]
     label: np.ndarray
     positives: np.ndarray | None = None  # per point: score and id of each positive
+    asks: tuple[int, int] = (vs.LEAST, vs.MOST)  # least and greatest score that any point looks for
 
     @staticmethod
     def of(points: vs.Points, rows: np.ndarray, positives: np.ndarray | None = None) -> BallTree:
@@ -93,12 +94,22 @@ def _label_parts(points: vs.Points, most: int) -> Iterator[np.ndarray]:
         yield np.concatenate(small)
 
 
-def _trees(most: int) -> Callable[[pa.Table], Iterator[tuple[list[str], int, BallTree]]]:
+def _bands(score: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest score that each positive asks for; none below 0."""
+    asks = score >= 0
+    p = np.where(asks, score, 0)
+    return np.where(asks, -(-low * p // 100), _MOST), np.where(asks, high * p // 100, _LEAST)
+
+
+def _trees(most: int, low: int = 0, high: int = 0) -> Callable[[pa.Table], Iterator[tuple[list[str], int, BallTree]]]:
     def pack(table: pa.Table) -> Iterator[tuple[list[str], int, BallTree]]:
         points = vs.points_of(table)
         positives = _positives(table["positives"], len(points.ids)) if "positives" in table.column_names else None
         for rows in _label_parts(points, most):
             tree = BallTree.of(points, rows, positives)
+            if positives is not None:
+                least, greatest = _bands(tree.positives[:, :, 0], low, high)
+                tree.asks = (least.min(initial=_MOST), greatest.max(initial=_LEAST))
             yield tree.names, len(rows), tree
 
     return pack
@@ -139,9 +150,10 @@ def hard_negatives(
     ranked = found.withColumn("slot", nth).where(F.col("slot") <= positives)
     listed = ranked.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("slot", "score", "id"))).alias("positives"))
     asking = staged(anchors.join(listed, anchors["id"] == listed["anchor_id"]).select("id", "label", "v", "positives"), "asking")
-    packed = vs.blocks(asking, _trees(ANCHOR_ROWS), "anchors")
+    packed = vs.blocks(asking, _trees(ANCHOR_ROWS, low, high), "anchors")
     pure = (F.size("left_labels") == 1) & (F.col("left_labels") == F.col("right_labels"))
-    pairs = vs.all_pairs(packed, candidates).where(~pure)
+    # Blocks whose products all lie outside of what the anchors look for are not even sent.
+    pairs = vs.all_pairs(packed, candidates).where(~pure & (F.col("top") >= F.col("least")) & (F.col("bottom") <= F.col("most")))
     found = vs.searched(pairs, packed, candidates, lambda it: _second_search(it, negatives, low, high), "anchor_id long, slot int, positive_id long, positive_score long, negative_id long, negative_score long")
     nth = F.row_number().over(Window.partitionBy("anchor_id", "slot").orderBy(F.col("negative_score").desc(), "negative_id"))
     return found.withColumn("rank", nth).where(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
@@ -189,10 +201,7 @@ class _Bands(_Needs):
     def __init__(self, anchors: BallTree, k: int, low: int, high: int) -> None:
         super().__init__(anchors)
         score = anchors.positives[:, :, 0]
-        asks = score >= 0
-        p = np.where(asks, score, 0)
-        self.low = np.where(asks, -(-low * p // 100), _MOST)
-        self.high = np.where(asks, high * p // 100, _LEAST)
+        self.low, self.high = _bands(score, low, high)
         self.slots = score.shape[1]
         self.best = vs.Best.of(score.size, k)
         self.least, self.most = self.low.min(1, initial=_MOST), self.high.max(1, initial=_LEAST)
@@ -218,18 +227,18 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in columns.items()})
 
 
-def _first_search(pairs: Iterator[tuple[int, BallTree, BallTree]], k: int) -> Iterator[pa.RecordBatch]:
+def _first_search(pairs: Iterator[tuple[int, BallTree, BallTree, None]], k: int) -> Iterator[pa.RecordBatch]:
     return _search(pairs, lambda anchors: _Positives(anchors, k))
 
 
-def _second_search(pairs: Iterator[tuple[int, BallTree, BallTree]], k: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
+def _second_search(pairs: Iterator[tuple[int, BallTree, BallTree, None]], k: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
     return _search(pairs, lambda anchors: _Bands(anchors, k, low, high))
 
 
-def _search(pairs: Iterator[tuple[int, BallTree, BallTree]], needs_of: Callable[[BallTree], _Needs]) -> Iterator[pa.RecordBatch]:
+def _search(pairs: Iterator[tuple[int, BallTree, BallTree, None]], needs_of: Callable[[BallTree], _Needs]) -> Iterator[pa.RecordBatch]:
     """Searches pair after pair; what a task has found for a block of anchors narrows its later searches."""
     held: dict[int, _Needs] = {}
-    for number, anchors, candidates in pairs:
+    for number, anchors, candidates, _ in pairs:
         if number not in held:
             if sum(n.best.score.size for n in held.values()) > _HELD:
                 yield from (n.results() for n in held.values())

@@ -97,9 +97,23 @@ def _query_blocks(table: pa.Table) -> Iterator[tuple[list[str], int, vs.Points]]
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query (id, label, v) the first ``k`` rows of another id, by score, ties to smaller ids."""
+    """query_id, rank, vec_id, score: for each query (id, label, v) the first ``k`` rows of another id, by score, ties to smaller ids.
+
+    Each block of queries first searches the tree nearest to it.  The k-th scores found there are floors for the
+    rest: trees whose greatest possible score is below all floors of the block are not even sent.
+    """
     packed = vs.blocks(queries, _query_blocks, "queries")
-    found = vs.searched(vs.all_pairs(packed, index), packed, index, lambda it: _searched(it, k), "query_id long, vec_id long, score long")
+    nearest = F.row_number().over(Window.partitionBy("left_block").orderBy("apart", "right_block"))
+    pairs = staged(vs.all_pairs(packed, index).select("left_block", "right_block", "top", nearest.alias("nth")), "pairs")
+    schema = "block long, query_id long, vec_id long, score long"
+    first = staged(vs.searched(pairs.where("nth = 1"), packed, index, lambda it: _searched(it, k), schema), "nearest")
+    floor = F.when(F.count(F.lit(1)) >= k, F.min("score"))
+    floors = first.groupBy(F.col("block").alias("left_block"), "query_id").agg(floor.alias("floor")).where("floor IS NOT NULL")
+    floors = floors.groupBy("left_block").agg(F.collect_list(F.struct("query_id", "floor")).alias("more"), F.min("floor").alias("lowest"), F.count(F.lit(1)).alias("known"))
+    whole = F.col("known") == F.col("rows")  # a block has QUERY_ROWS queries at most
+    floors = floors.join(packed.select(F.col("block").alias("left_block"), "rows"), "left_block").withColumn("lowest", F.when(whole, F.col("lowest")))
+    rest = pairs.where("nth > 1").join(floors, "left_block", "left").where(F.col("lowest").isNull() | (F.col("top") >= F.col("lowest")))
+    found = first.unionByName(vs.searched(rest, packed, index, lambda it: _searched(it, k), schema))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
@@ -122,35 +136,38 @@ def top_k(df: DataFrame, query: Callable[[Column], Column], k: int = 5, id_col:
     return search_index(index, queries, k)
 
 
-def _searched(pairs: Iterator[tuple[int, vs.Points, Tree]], k: int) -> Iterator[pa.RecordBatch]:
-    held: dict[int, tuple[np.ndarray, vs.Best]] = {}
+def _searched(pairs: Iterator[tuple[int, vs.Points, Tree, list[dict] | None]], k: int) -> Iterator[pa.RecordBatch]:
+    held: dict[int, tuple[np.ndarray, np.ndarray, vs.Best]] = {}
     size = 0
-    for number, queries, tree in pairs:
+    for number, queries, tree, floors in pairs:
         if number not in held:
             if size > _HELD:
                 yield from _results(held)
                 held, size = {}, 0
-            held[number] = (queries.ids, vs.Best.of(len(queries.ids), k))
+            known = {f["query_id"]: f["floor"] for f in floors or []}
+            floor = np.array([known.get(i, vs.LEAST) for i in queries.ids.tolist()], np.int64)
+            held[number] = (queries.ids, floor, vs.Best.of(len(queries.ids), k))
             size += k * len(queries.ids)
-        best = held[number][1]
-        search = _Search(tree, queries)
+        _, floor, best = held[number]
+        search = _Search(tree, queries, floor)
         for row in range(len(queries.ids)):
             search.run(row, best)
     yield from _results(held)
 
 
-def _results(held: dict[int, tuple[np.ndarray, vs.Best]]) -> Iterator[pa.RecordBatch]:
-    for ids, best in held.values():
-        there = best.score != np.iinfo(np.int64).min
-        columns = (np.repeat(ids, there.sum(1)), best.id[there], best.score[there])
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+def _results(held: dict[int, tuple[np.ndarray, np.ndarray, vs.Best]]) -> Iterator[pa.RecordBatch]:
+    for number, (ids, _, best) in held.items():
+        there = best.score != vs.LEAST
+        owner = np.repeat(ids, there.sum(1))
+        columns = (np.full(len(owner), number), owner, best.id[there], best.score[there])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["block", "query_id", "vec_id", "score"])
 
 
 class _Search:
     """Best-first search of one tree for several queries."""
 
-    def __init__(self, tree: Tree, queries: vs.Points) -> None:
-        self.tree, self.queries = tree, queries
+    def __init__(self, tree: Tree, queries: vs.Points, floor: np.ndarray) -> None:
+        self.tree, self.queries, self.floor = tree, queries, floor
         self.scores = vs.scorer(queries, tree.points)
 
     def run(self, row: int, best: vs.Best) -> None:
@@ -165,7 +182,7 @@ class _Search:
         queue = [(-np.inf, 0, None)]  # greatest score that may be below, page, the query's angle to its routing vector
         while queue:
             bound, number, angle = heapq.heappop(queue)
-            last = best.last[row]
+            last = max(best.last[row], self.floor[row])
             if -bound < last:
                 return
             page = tree.pages[number]

@@ -28,7 +28,9 @@ WIDE_GAP = 0.2
 #: Scores of vectors with a smaller squared norm fit in 64 bits.
 MAX_SQUARED_NORM = float(2**62)
 _EXACT_IN_DOUBLE = float(2**53)
-BLOCK = "block long, labels array<string>, rows int, payload binary"
+#: ``least`` and ``most``: the scores that rows of the block look for, if they look for any in particular.
+BLOCK = "block long, labels array<string>, rows int, centre array<double>, radius double, least long, most long, payload binary"
+LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def whole_numbers(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = None, scale: int = SCALE) -> DataFrame:
@@ -178,40 +180,68 @@ def _packed(key: tuple, table: pa.Table, pack) -> pa.Table:
     region, part = (k.as_py() for k in key)
     found = list(pack(table))
     numbers = [(region << 42) | (part << 12) | k for k in range(len(found))]
+    balls = [_ball(f[2] if isinstance(f[2], Points) else f[2].points) for f in found]
+    asks = [getattr(f[2], "asks", (LEAST, MOST)) for f in found]
     return pa.table({
         "block": pa.array(numbers, pa.int64()),
         "labels": pa.array([f[0] for f in found], pa.list_(pa.string())),
         "rows": pa.array([f[1] for f in found], pa.int32()),
+        "centre": pa.array([b[0] for b in balls], pa.list_(pa.float64())),
+        "radius": pa.array([b[1] for b in balls], pa.float64()),
+        "least": pa.array([int(a[0]) for a in asks], pa.int64()),
+        "most": pa.array([int(a[1]) for a in asks], pa.int64()),
         "payload": pa.array([pickle.dumps(f[2], 5) for f in found], pa.binary()),
     })
 
 
-def all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_block and right_block of every pair of blocks: right blocks are dealt to as many slots as there are, left ones go to each slot."""
-    slots = max(1, right.count())
-    dealt = right.select(F.col("block").alias("right_block"), F.col("labels").alias("right_labels"), F.pmod(F.xxhash64("block"), F.lit(slots)).alias("slot"))
-    sent = left.select(F.col("block").alias("left_block"), F.col("labels").alias("left_labels"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
-    return sent.join(dealt, "slot").drop("slot")
+def _ball(points: Points) -> tuple[np.ndarray, float]:
+    x = points.double(points.x.shape[1])
+    centre = x.mean(0)
+    return centre, float(np.sqrt(((x - centre) ** 2).sum(1).max(initial=0)))
+
 
+def all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every pair of blocks: numbers, labels, what the left one looks for, the interval of all inner products, and the distance of the centres.
 
-def searched(pairs: DataFrame, left: DataFrame, right: DataFrame, search: Callable[[Iterator[tuple[int, object, object]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Runs ``search`` over the pairs of packed blocks (left number, left, right) of each task."""
+    Right blocks are dealt to as many slots as there are, left ones go to each slot; no payload is moved.
+    """
+    slots = max(1, right.count())
+    columns = ("block", "labels", "centre", "radius")
+    dealt = right.select(*(F.col(c).alias(f"right_{c}") for c in columns), F.pmod(F.xxhash64("block"), F.lit(slots)).alias("slot"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot")
+    sent = left.select(*(F.col(c).alias(f"left_{c}") for c in columns), "least", "most", every)
+    a, c, r, s = (F.col(x) for x in ("left_centre", "right_centre", "left_radius", "right_radius"))
+    none = F.lit(0.0)
+    product = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.coalesce(p, none) * F.coalesce(q, none)), none, lambda t, z: t + z)
+    pairs = sent.join(dealt, "slot").withColumns({"_ac": product(a, c), "_aa": product(a, a), "_cc": product(c, c)})
+    spread = F.sqrt("_aa") * s + F.sqrt("_cc") * r + r * s
+    spread = spread + 1e-9 * (F.abs("_ac") + spread) + 1e-3  # more than rounding can take
+    return pairs.select(
+        "left_block", "right_block", "left_labels", "right_labels", "least", "most",
+        (F.col("_ac") - spread).alias("bottom"), (F.col("_ac") + spread).alias("top"), (F.col("_aa") - 2 * F.col("_ac") + F.col("_cc")).alias("apart"),
+    )
+
+
+def searched(pairs: DataFrame, left: DataFrame, right: DataFrame, search: Callable[[Iterator[tuple[int, object, object, object]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Runs ``search`` over the pairs of packed blocks of each task: left number, left, right, and what ``pairs`` has in ``more`` (else None)."""
     one = left.select(F.col("block").alias("left_block"), F.col("payload").alias("left_payload"))
     two = right.select(F.col("block").alias("right_block"), F.col("payload").alias("right_payload"))
-    joined = pairs.select("left_block", "right_block").join(one, "left_block").join(two, "right_block")
+    more = [c for c in pairs.columns if c == "more"]
+    joined = pairs.select("left_block", "right_block", *more).join(one, "left_block").join(two, "right_block")
     return joined.mapInArrow(lambda it: search(_unpacked(it)), schema)
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, object]]:
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, object, object]]:
     """Payloads are pickles that ``_packed`` wrote; the last one on each side is kept, as neighbours often share it."""
     last: list[tuple[bytes, object]] = [(b"", None), (b"", None)]
     for batch in batches:
+        more = batch.column("more") if "more" in batch.schema.names else None
         for k in range(batch.num_rows):
             for side, name in enumerate(("left_payload", "right_payload")):
                 data = batch.column(name)[k].as_py()
                 if data != last[side][0]:
                     last[side] = (data, pickle.loads(data))
-            yield batch.column("left_block")[k].as_py(), last[0][1], last[1][1]
+            yield batch.column("left_block")[k].as_py(), last[0][1], last[1][1], None if more is None else more[k].as_py()
 
 
 @dataclass

@@ -164,3 +164,20 @@ def test_dual_search_prunes_far_groups(monkeypatch):
     full = x @ x.T
     np.fill_diagonal(full, np.iinfo(np.int64).min)
     assert {int(i): sorted(b.tolist()) for i, b in zip(tree.points.ids, needs.best.score, strict=True)} == {i: sorted(full[i].tolist())[-5:] for i in range(512)}
+
+
+def test_far_blocks_are_not_sent(spark, small_blocks, monkeypatch):
+    """Clusters in separate directions: after the nearest trees, only those that may matter are searched."""
+    r = random.Random(8)
+    data = [(i, [1000.0 * (k == i % 8) + r.gauss(0, 5) for k in range(8)], "a") for i in range(640)]
+    sent, searched = [], vectors.searched
+
+    def counted(pairs, *more):
+        sent.append((pairs.count(), "more" in pairs.columns))
+        return searched(pairs, *more)
+
+    monkeypatch.setattr(vectors, "searched", counted)
+    df = spark.createDataFrame(data, SCHEMA)
+    assert got(mtree.top_k(df, lambda i: i % 10 == 0)) == expected_top(data, 10, 5)
+    (near, _), (rest, with_floors) = sent
+    assert with_floors and near >= 4 and rest < 2 * near  # of more than 16 trees each
