@@ -24,8 +24,6 @@ from pyspark.sql.window import Window
 from pricewright.llm import vectors as vs
 from pricewright.llm.scratch import bound_arrow_batches, staged
 
-#: Rows of a leaf, rows of a block of anchors, leaves scored at once.
-LEAF, ANCHOR_ROWS, AT_ONCE = 32, 1024, 8
 #: Rows of results that a task gathers before it hands them on.
 _HELD = 200_000
 _LEAST, _MOST = vs.LEAST, vs.MOST
@@ -48,7 +46,7 @@ class BallTree:
     asks: tuple[int, int] = (vs.LEAST, vs.MOST)  # least and greatest score that any point looks for
 
     @staticmethod
-    def of(points: vs.Points, rows: np.ndarray, positives: np.ndarray | None = None) -> BallTree:
+    def of(points: vs.Points, rows: np.ndarray, positives: np.ndarray | None = None, leaf: int = vs.Sizes.leaf) -> BallTree:
         x = points.double(points.x.shape[1])
         nodes: list[list] = []
         order: list[np.ndarray] = []
@@ -58,7 +56,7 @@ class BallTree:
             centre = x[part].mean(0) if len(part) else np.zeros(x.shape[1])
             radius = np.sqrt(((x[part] - centre) ** 2).sum(1).max(initial=0))
             nodes.append([first, first + len(part), -1, -1, centre, radius * (1 + 1e-9) + 1e-6])
-            if len(part) > LEAF:
+            if len(part) > leaf:
                 second = vs.halves(x[part])
                 nodes[number][2] = node(part[~second], first)
                 nodes[number][3] = node(part[second], first + int((~second).sum()))
@@ -101,12 +99,12 @@ def _bands(score: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarr
     return np.where(asks, -(-low * p // 100), _MOST), np.where(asks, high * p // 100, _LEAST)
 
 
-def _trees(most: int, low: int = 0, high: int = 0) -> Callable[[pa.Table], Iterator[tuple[list[str], int, BallTree]]]:
+def _trees(most: int, leaf: int, low: int = 0, high: int = 0) -> Callable[[pa.Table], Iterator[tuple[list[str], int, BallTree]]]:
     def pack(table: pa.Table) -> Iterator[tuple[list[str], int, BallTree]]:
         points = vs.points_of(table)
         positives = _positives(table["positives"], len(points.ids)) if "positives" in table.column_names else None
         for rows in _label_parts(points, most):
-            tree = BallTree.of(points, rows, positives)
+            tree = BallTree.of(points, rows, positives, leaf)
             if positives is not None:
                 least, greatest = _bands(tree.positives[:, :, 0], low, high)
                 tree.asks = (least.min(initial=_MOST), greatest.max(initial=_LEAST))
@@ -126,7 +124,8 @@ def _positives(column: pa.ChunkedArray, n: int) -> np.ndarray:
 
 
 def hard_negatives(
-    df: DataFrame, anchor: Callable[[Column], Column], positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label"
+    df: DataFrame, anchor: Callable[[Column], Column], positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
+    sizes: vs.Sizes = vs.Sizes(),  # noqa: B008  frozen
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
@@ -143,18 +142,18 @@ def hard_negatives(
     bound_arrow_batches(df.sparkSession)
     rows = staged(vs.whole_numbers(df, id_col, vec_col, label_col), "vectors")
     anchors = rows.where(anchor(F.col("id"))).groupBy("id").agg(F.min(F.struct("label", "v")).alias("row")).select("id", "row.*")
-    candidates = vs.blocks(vs.distinct_points(rows, max(positives, negatives) + 1), _trees(vs.BLOCK_ROWS), "candidates")
-    packed = vs.blocks(anchors, _trees(ANCHOR_ROWS), "anchors")
-    found = vs.searched(_same_label(packed, candidates), packed, candidates, lambda it: _first_search(it, positives), "anchor_id long, id long, score long")
+    candidates = vs.blocks(vs.distinct_points(rows, max(positives, negatives) + 1), _trees(sizes.block, sizes.leaf), "candidates", sizes.group)
+    packed = vs.blocks(anchors, _trees(sizes.queries, sizes.leaf), "anchors", sizes.group)
+    found = vs.searched(_same_label(packed, candidates), packed, candidates, lambda it: _search(it, lambda a: _Positives(a, positives), sizes.at_once), "anchor_id long, id long, score long")
     nth = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.col("score").desc(), "id"))
     ranked = found.withColumn("slot", nth).where(F.col("slot") <= positives)
     listed = ranked.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("slot", "score", "id"))).alias("positives"))
     asking = staged(anchors.join(listed, anchors["id"] == listed["anchor_id"]).select("id", "label", "v", "positives"), "asking")
-    packed = vs.blocks(asking, _trees(ANCHOR_ROWS, low, high), "anchors")
+    packed = vs.blocks(asking, _trees(sizes.queries, sizes.leaf, low, high), "anchors", sizes.group)
     pure = (F.size("left_labels") == 1) & (F.col("left_labels") == F.col("right_labels"))
     # Blocks whose products all lie outside of what the anchors look for are not even sent.
     pairs = vs.all_pairs(packed, candidates).where(~pure & (F.col("top") >= F.col("least")) & (F.col("bottom") <= F.col("most")))
-    found = vs.searched(pairs, packed, candidates, lambda it: _second_search(it, negatives, low, high), "anchor_id long, slot int, positive_id long, positive_score long, negative_id long, negative_score long")
+    found = vs.searched(pairs, packed, candidates, lambda it: _search(it, lambda a: _Bands(a, negatives, low, high), sizes.at_once), "anchor_id long, slot int, positive_id long, positive_score long, negative_id long, negative_score long")
     nth = F.row_number().over(Window.partitionBy("anchor_id", "slot").orderBy(F.col("negative_score").desc(), "negative_id"))
     return found.withColumn("rank", nth).where(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
@@ -227,15 +226,7 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in columns.items()})
 
 
-def _first_search(pairs: Iterator[tuple[int, BallTree, BallTree, None]], k: int) -> Iterator[pa.RecordBatch]:
-    return _search(pairs, lambda anchors: _Positives(anchors, k))
-
-
-def _second_search(pairs: Iterator[tuple[int, BallTree, BallTree, None]], k: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
-    return _search(pairs, lambda anchors: _Bands(anchors, k, low, high))
-
-
-def _search(pairs: Iterator[tuple[int, BallTree, BallTree, None]], needs_of: Callable[[BallTree], _Needs]) -> Iterator[pa.RecordBatch]:
+def _search(pairs: Iterator[tuple[int, BallTree, BallTree, None]], needs_of: Callable[[BallTree], _Needs], at_once: int) -> Iterator[pa.RecordBatch]:
     """Searches pair after pair; what a task has found for a block of anchors narrows its later searches."""
     held: dict[int, _Needs] = {}
     for number, anchors, candidates, _ in pairs:
@@ -244,13 +235,13 @@ def _search(pairs: Iterator[tuple[int, BallTree, BallTree, None]], needs_of: Cal
                 yield from (n.results() for n in held.values())
                 held = {}
             held[number] = needs_of(anchors)
-        _DualSearch(anchors, candidates, held[number]).pair(0, np.zeros(1, np.int64))
+        _DualSearch(anchors, candidates, held[number], at_once).pair(0, np.zeros(1, np.int64))
     yield from (n.results() for n in held.values())
 
 
 class _DualSearch:
-    def __init__(self, anchors: BallTree, candidates: BallTree, needs: _Needs) -> None:
-        self.a, self.c, self.needs = anchors, candidates, needs
+    def __init__(self, anchors: BallTree, candidates: BallTree, needs: _Needs, at_once: int = vs.Sizes.at_once) -> None:
+        self.a, self.c, self.needs, self.at_once = anchors, candidates, needs, at_once
         self.scores = vs.scorer(anchors.points, candidates.points)
         dim = max(anchors.centre.shape[1], candidates.centre.shape[1])
         self.a_centre, self.c_centre = vs.widen(anchors.centre, dim), vs.widen(candidates.centre, dim)
@@ -283,10 +274,10 @@ class _DualSearch:
         """Scores a leaf of anchors with leaves of candidates, highest bounds first."""
         needs, ids = self.needs, self.c.points.ids
         own, label = self.a.points.ids[rows], self.a.label[rows]
-        for k in range(0, len(leaves), AT_ONCE):
+        for k in range(0, len(leaves), self.at_once):
             if top[k] < needs.least[rows].min(initial=_MOST):
                 return
-            at = np.concatenate([np.arange(self.c.first[n], self.c.end[n]) for n in leaves[k : k + AT_ONCE]])
+            at = np.concatenate([np.arange(self.c.first[n], self.c.end[n]) for n in leaves[k : k + self.at_once]])
             score = self.scores(rows, at)
             fits = (score >= needs.least[rows][:, None]) & (score <= needs.most[rows][:, None])
             fits &= ((self.c_label[at] == label[:, None]) == needs.same) & (ids[at] != own[:, None])

@@ -26,8 +26,6 @@ from pyspark.sql.window import Window
 from pricewright.llm import vectors as vs
 from pricewright.llm.scratch import bound_arrow_batches, staged
 
-#: Entries of a page, and queries of a block.
-PAGE, QUERY_ROWS = 128, 1024
 _SLACK = 1e-6
 #: Rows of results that a task gathers before it hands them on.
 _HELD = 200_000
@@ -50,59 +48,55 @@ class Tree:
     pages: list[Page]  # the first is the root
 
     @staticmethod
-    def of(points: vs.Points) -> Tree:
+    def of(points: vs.Points, page: int = vs.Sizes.page) -> Tree:
         longest = float(points.length.max(initial=0)) or 1.0
         x = points.double(points.x.shape[1])
         lifted = np.column_stack((x, np.sqrt(np.maximum(longest**2 - points.length**2, 0)))) / longest
         tree = Tree(points, longest, [])
-        tree._page(lifted, np.arange(len(x)), None)
+        tree._page(lifted, np.arange(len(x)), None, page)
         return tree
 
-    def _page(self, lifted: np.ndarray, rows: np.ndarray, own: int | None) -> int:
+    def _page(self, lifted: np.ndarray, rows: np.ndarray, own: int | None, most: int) -> int:
         number = len(self.pages)
         self.pages.append(None)
         angle = lambda a, r: np.arccos(np.clip(lifted[a] @ lifted[r], -1, 1))
         to_own = lambda a: np.zeros(len(a)) if own is None else angle(a, own)
-        if len(rows) <= PAGE:
+        if len(rows) <= most:
             self.pages[number] = Page(rows, to_own(rows), np.zeros(len(rows)), None)
             return number
-        size = PAGE
-        while size * PAGE < len(rows):
-            size *= PAGE
-        parts = vs.cut(lifted, rows, size)
+        size = most
+        while size * most < len(rows):
+            size *= most
+        parts = [rows]
+        while len(parts) < most and len(parts[0]) > size:  # the largest part stands first
+            second = vs.halves(lifted[parts[0]])
+            parts = sorted([parts[0][~second], parts[0][second], *parts[1:]], key=len, reverse=True)
         heads = np.array([part[(lifted[part] @ lifted[part].mean(0)).argmax()] for part in parts])
         radius = np.array([angle(part, head).max() for part, head in zip(parts, heads, strict=True)])
-        below = np.array([self._page(lifted, part, head) for part, head in zip(parts, heads, strict=True)])
+        below = np.array([self._page(lifted, part, head, most) for part, head in zip(parts, heads, strict=True)])
         self.pages[number] = Page(heads, to_own(heads), radius, below)
         return number
 
 
-def build_index(points: DataFrame) -> DataFrame:
+def build_index(points: DataFrame, sizes: vs.Sizes = vs.Sizes()) -> DataFrame:  # noqa: B008  frozen
     """A written table of M-trees over ``points`` (id, label, v), one tree per block."""
-    return vs.blocks(points, _trees, "mtree")
+    return vs.blocks(points, lambda table: ((labels, n, Tree.of(part, sizes.page)) for labels, n, part in _parts(table, sizes.block)), "mtree", sizes.group)
 
 
-def _trees(table: pa.Table) -> Iterator[tuple[list[str], int, Tree]]:
+def _parts(table: pa.Table, most: int) -> Iterator[tuple[list[str], int, vs.Points]]:
     points = vs.points_of(table)
     x = points.double(points.x.shape[1])
-    for rows in vs.cut(x, np.arange(len(x)), vs.BLOCK_ROWS):
-        yield [], len(rows), Tree.of(vs.Points(points.x[rows], points.ids[rows], points.labels[rows]))
-
-
-def _query_blocks(table: pa.Table) -> Iterator[tuple[list[str], int, vs.Points]]:
-    points = vs.points_of(table)
-    x = points.double(points.x.shape[1])
-    for rows in vs.cut(x, np.arange(len(x)), QUERY_ROWS):
+    for rows in vs.cut(x, np.arange(len(x)), most):
         yield [], len(rows), vs.Points(points.x[rows], points.ids[rows], points.labels[rows])
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, k: int, sizes: vs.Sizes = vs.Sizes()) -> DataFrame:  # noqa: B008
     """query_id, rank, vec_id, score: for each query (id, label, v) the first ``k`` rows of another id, by score, ties to smaller ids.
 
     Each block of queries first searches the tree nearest to it.  The k-th scores found there are floors for the
     rest: trees whose greatest possible score is below all floors of the block are not even sent.
     """
-    packed = vs.blocks(queries, _query_blocks, "queries")
+    packed = vs.blocks(queries, lambda table: _parts(table, sizes.queries), "queries", sizes.group)
     nearest = F.row_number().over(Window.partitionBy("left_block").orderBy("apart", "right_block"))
     pairs = staged(vs.all_pairs(packed, index).select("left_block", "right_block", "top", nearest.alias("nth")), "pairs")
     schema = "block long, query_id long, vec_id long, score long"
@@ -110,7 +104,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     floor = F.when(F.count(F.lit(1)) >= k, F.min("score"))
     floors = first.groupBy(F.col("block").alias("left_block"), "query_id").agg(floor.alias("floor")).where("floor IS NOT NULL")
     floors = floors.groupBy("left_block").agg(F.collect_list(F.struct("query_id", "floor")).alias("more"), F.min("floor").alias("lowest"), F.count(F.lit(1)).alias("known"))
-    whole = F.col("known") == F.col("rows")  # a block has QUERY_ROWS queries at most
+    whole = F.col("known") == F.col("rows")  # a block has a bounded number of queries
     floors = floors.join(packed.select(F.col("block").alias("left_block"), "rows"), "left_block").withColumn("lowest", F.when(whole, F.col("lowest")))
     rest = pairs.where("nth > 1").join(floors, "left_block", "left").where(F.col("lowest").isNull() | (F.col("top") >= F.col("lowest")))
     found = first.unionByName(vs.searched(rest, packed, index, lambda it: _searched(it, k), schema))
@@ -119,7 +113,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def top_k(df: DataFrame, query: Callable[[Column], Column], k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def top_k(df: DataFrame, query: Callable[[Column], Column], k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sizes: vs.Sizes = vs.Sizes()) -> DataFrame:  # noqa: B008
     """query_id, rank (from 1), vec_id, score: the ``k`` highest inner products of each query row with the other rows.
 
     ``query`` tells by the id which rows are queries.  Components count as floor(256 * x).  All rows are
@@ -132,8 +126,8 @@ def top_k(df: DataFrame, query: Callable[[Column], Column], k: int = 5, id_col:
     bound_arrow_batches(df.sparkSession)
     rows = staged(vs.whole_numbers(df, id_col, vec_col), "vectors")
     queries = rows.where(query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")).withColumn("label", F.lit(None).cast("string")).select("id", "label", "v")
-    index = build_index(vs.distinct_points(rows, k + 1))
-    return search_index(index, queries, k)
+    index = build_index(vs.distinct_points(rows, k + 1), sizes)
+    return search_index(index, queries, k, sizes)
 
 
 def _searched(pairs: Iterator[tuple[int, vs.Points, Tree, list[dict] | None]], k: int) -> Iterator[pa.RecordBatch]:

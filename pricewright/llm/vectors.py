@@ -1,8 +1,8 @@
 """Whole-number vectors in blocks of bounded size, and the pairing of blocks.
 
-A block holds near vectors, at most ``BLOCK_ROWS`` of them, as one row of a table.  Rows are first dealt to
+A block holds near vectors, a bounded number of them (``Sizes``), as one row of a table.  Rows are first dealt to
 regions around a bounded sample of pivots; a region with many rows is split by a hash of the id, so no
-group is larger than about ``GROUP_ROWS``.  Searching a set of blocks against another one pairs block
+group is much larger than its size.  Searching a set of blocks against another one pairs block
 numbers, never rows, and joins the packed blocks to the pairs.
 """
 
@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 from pricewright.llm.scratch import staged
 
 SCALE = 256
-#: Rows of a block, rows that one task packs, and pivots of the regions (documented bounds, not caps: more rows make more blocks).
-BLOCK_ROWS, GROUP_ROWS, MAX_PIVOTS = 4096, 32_768, 256
+#: Pivots of the regions.
+MAX_PIVOTS = 256
 #: Share of the extent that a gap must have for a cut there.
 WIDE_GAP = 0.2
 #: Scores of vectors with a smaller squared norm fit in 64 bits.
@@ -82,6 +82,21 @@ def widen(x: np.ndarray, dim: int) -> np.ndarray:
     return x.astype(np.float64)
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Rows of a block, of a block of queries, of the group that one task packs, entries of a page and rows of a leaf; leaves scored at once.
+
+    More rows make more blocks, nothing is capped.
+    """
+
+    block: int = 4096
+    queries: int = 1024
+    group: int = 32_768
+    page: int = 128
+    leaf: int = 32
+    at_once: int = 8
+
+
 class Points:
     """Whole-number vectors (as rows) with their ids and labels."""
 
@@ -146,7 +161,7 @@ def cut(x: np.ndarray, rows: np.ndarray, most: int) -> list[np.ndarray]:
     return cut(x, rows[~second], most) + cut(x, rows[second], most)
 
 
-def blocks(points: DataFrame, pack: Callable[[pa.Table], Iterator[tuple[list[str], int, object]]], name: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def blocks(points: DataFrame, pack: Callable[[pa.Table], Iterator[tuple[list[str], int, object]]], name: str, group_rows: int) -> DataFrame:
     """Packs ``points`` (id, label, v and more) into a written table of blocks.
 
     ``pack`` gets about ``group_rows`` near rows and gives, for each block, its labels, its number of rows and
