@@ -59,7 +59,14 @@ class Tables:
 
     @property
     def game_events(self) -> DataFrame:
-        """Quotes, injury reports and failures of games, told apart by ``kind``, from one scan."""
+        """Quotes, injury reports and failures of games, told apart by ``kind``, from one scan.
+
+        A subclass that changes one of these three views is honoured, at the price of a scan for each.
+        """
+        if any(getattr(type(self), view) is not getattr(Tables, view) for view in ("quotes", "injury_reports", "failures")):
+            reports = self.injury_reports.select("game_id", "observed_at", F.col("report_id").alias("seq"), "practice_fri", "designation", F.lit("injury").alias("kind"))
+            rows = self.quotes.withColumn("kind", F.lit("quote")).unionByName(reports, allowMissingColumns=True)
+            return rows.unionByName(self.failures.select("game_id", F.lit("failure").alias("kind")), allowMissingColumns=True)
         kind = F.when(F.col("event_type") == "signup", "injury").when(F.col("event_type") == "error", "failure").otherwise("quote")
         telling = F.col("event_type").isin(*(kind for kind, _ in MARKET_OF_EVENT), "signup", "error") & ((F.col("event_type") != "error") | (F.col("value") > 200))
         return self.base("events").where(telling).select(kind.alias("kind"), *_quote_columns(), _practice_friday().alias("practice_fri"), _designation().alias("designation"))
