@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,7 +14,7 @@ from pricewright.operators import bitemporal, cube, digests, guards, ledger, loo
 from pricewright.operators import pointintime as pit
 from pricewright.plans import slate as plan
 from pricewright.sources.reference import stadiums, teams
-from pricewright.sources.scratch import folder, shared_folder
+from pricewright.sources.scratch import folder
 from pricewright.sources.state import parsed_state, read_prices, submit_prices
 from pricewright.sources.tables import BANKROLL, Tables, cutoff, now
 
@@ -833,7 +832,7 @@ def price_form(t: Tables) -> DataFrame:
 @query
 def submitted_prices(t: Tables) -> DataFrame:
     """Prices submitted to a new folder of JSON lines, read back from it."""
-    path = f"{shared_folder(t.spark)}/prices-{uuid.uuid4().hex}"
+    path = folder(t.spark, "prices")
     submit_prices(_price_form(t), path)
     return read_prices(t.spark, path).select("seq", "game_id", "market", "line", "american")
 

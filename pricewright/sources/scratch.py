@@ -22,14 +22,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table and reads it back, which cuts the lineage and fixes nondeterministic columns."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _of_application(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/pricewright-tables-{spark.sparkContext.applicationId}"
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses, below one folder per application."""
+    return f"{_of_application(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all that this application has written here; results are lazy, so call it once they are read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_of_application(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrivals(df: DataFrame, name: str, batches: int, *order: Column) -> str:

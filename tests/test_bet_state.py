@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from pricewright.operators import ledger
+from pricewright.sources import scratch
 from pricewright.streaming import bet_state
 
 EVENTS = "bet_id long, seq int, event_type string, result string, user_id long, stake double, american long"
@@ -86,3 +88,11 @@ def test_rows_without_keys_are_left_out(spark, tmp_path):
     stream = bet_state.bet_changes(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")))
     bet_state.append_to(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).count() == 0
+
+
+def test_clean_up_deletes_what_was_written(spark):
+    rows = scratch.written(spark.range(5), "some")
+    path = rows.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    assert rows.count() == 5 and scratch.folder(spark, "x") != scratch.folder(spark, "x")
+    scratch.clean_up(spark)
+    assert not os.path.exists(path)
