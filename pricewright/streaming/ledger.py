@@ -1,7 +1,8 @@
 """Streaming twins of the append-only tables.
 
 The batch operators define the results; these keep them up to date as rows are appended.
-Event time is ``observed_at``, late rows beyond the watermark are dropped from windows only.
+Event time is ``observed_at``, late rows beyond the watermark are dropped from windows only
+(``streaming.lateness`` keeps them).
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pricewright.operators.pointintime import latest_by
-
 
 def windowed_activity(quotes: DataFrame, watermark: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Quotes per market and window of event time, with the last line seen."""
@@ -59,8 +58,3 @@ def invalidations(events: DataFrame, recommendations: DataFrame) -> DataFrame:
     """Stream-static join: recommendations that a stream of feed failures (game_id, reason, at) hits."""
     open_ = recommendations.where(F.col("status").isin("BET", "WATCH"))
     return events.join(open_, "game_id").select("rec_id", "game_id", "reason", "at")
-
-
-def compacted(path_rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Batch view of an appended folder: the latest row per key."""
-    return latest_by(path_rows, keys, order)
