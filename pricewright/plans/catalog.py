@@ -15,7 +15,7 @@ from pricewright.operators import pointintime as pit
 from pricewright.plans import slate as plan
 from pricewright.sources.reference import stadiums, teams
 from pricewright.sources.scratch import folder
-from pricewright.sources.state import parsed_state, read_prices, submit_prices
+from pricewright.sources.state import export_state, parsed_state, read_prices, submit_prices
 from pricewright.sources.tables import BANKROLL, Tables, cutoff, now
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -837,6 +837,18 @@ def submitted_prices(t: Tables) -> DataFrame:
     return read_prices(t.spark, path).select("seq", "game_id", "market", "line", "american")
 
 
+@query
+def exported_state(t: Tables) -> DataFrame:
+    """Bets and prices exported as JSON lines and read back."""
+    path = folder(t.spark, "export")
+    bets, prices = t.positions.select("bet_id", "user_id", "result"), t.manual_prices.select("seq", "market", "american")
+    export_state({"bets": bets, "prices": prices}, path)
+    back = lambda name, rows: t.spark.read.schema(rows.schema).json(f"{path}/{name}")
+    return back("bets", bets).select(F.lit("bet").alias("kind"), F.col("bet_id").alias("key"), F.col("result").alias("value")).unionByName(
+        back("prices", prices).select(F.lit("price").alias("kind"), F.col("seq").alias("key"), F.concat_ws(" ", "market", F.col("american").cast("string")).alias("value"))
+    )
+
+
 @query
 def update_guard(t: Tables) -> DataFrame:
     old = t.positions.select("bet_id", "user_id", "game_id", "market", "american", "stake", "result")

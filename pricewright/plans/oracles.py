@@ -354,6 +354,9 @@ SELECT feed, status, last_at AS last_success_at, records, round({_age('last_at')
             "SELECT game_id, ['America/Phoenix', 'Asia/Tokyo', 'Mars/Base', NULL][game_id % 4 + 1] AS zone, strftime(kickoff + to_hours([-7, 9, 0, 0][game_id % 4 + 1]), '%a, %b %-d, %-I:%M %p') AS label FROM games", "games"),
         "freshness_of_texts": f"SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'CONFLICTING' WHEN event_id % 11 = 0 THEN 'MISSING' WHEN {_age('ts')} < 0 THEN 'CONFLICTING' WHEN {_age('ts')} <= 1440 THEN 'CURRENT' WHEN {_age('ts')} <= 14400 THEN 'AGING' ELSE 'STALE' END AS status FROM events",
         "games_of_week": _sql("SELECT game_id, 2023 + game_id % 2 AS season, (game_id // 2) % 18 + 1 AS week, kickoff FROM games WHERE game_id % 2 = 1 AND (game_id // 2) % 18 = 4 ORDER BY kickoff, game_id LIMIT 20", "games"),
+        "exported_state": _sql(
+            "SELECT 'bet' AS kind, bet_id AS key, result AS value FROM positions UNION ALL SELECT 'price', o_orderkey, ['SPREAD', 'TOTAL', 'MONEYLINE'][o_orderkey % 3 + 1] || ' ' || "
+            "CASE WHEN o_orderkey % 2 = 0 THEN -(100 + o_orderkey % 60) ELSE 100 + o_orderkey % 60 END FROM orders", "positions"),
         "mutation_audit_digests": _sql(
             "SELECT bet_id, CASE WHEN bet_id % 11 = 0 THEN 'deleted' ELSE 'updated' END AS mutation FROM positions WHERE bet_id % 5 = 0 AND (bet_id % 11 = 0 OR bet_id % 13 = 0 AND result <> 'VOID')", "positions"),
         "policy_rows": _sql(
