@@ -494,6 +494,17 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_rules_give_the_verdicts_of_the_contract(spark):
+    """Verdicts are written out here, not taken from the rules of the code."""
+    want = {
+        "http://x.com/en/1": ("com/en/", "block"), "http://a.example.com/en/71": ("example.com/en/7", "allow"), "http://x.net/de/1": ("net/de/", "allow"),
+        "http://example.net/de/7": ("net/de/", "allow"), "http://m.example.net/de/81": ("example.net/de/8", "block"), "http://x.org/es/": ("org/es/", "block"),
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    got = by_id(url_filter.filter_urls(df), "page_id")
+    assert [(got[i]["rule"], got[i]["verdict"]) for i in range(len(want))] == list(want.values())
+
+
 def test_url_rules_on_all_pages(spark):
     pages = spark.read.parquet(f"{DATA}/sf0.001/pages.parquet")
     got = by_id(url_filter.filter_urls(pages), "page_id")
