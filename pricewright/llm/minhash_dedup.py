@@ -32,6 +32,10 @@ SHINGLE, PERCENT = 5, 85
 COORDINATES, MISS = 64, 3e-6
 #: Partners that are confirmed together with their head; documents and shingles of one side of a tile.
 HEAD_PARTNERS, TILE_DOCUMENTS, TILE_SHINGLES = 64, 1024, 500_000
+#: Bytes of a batch sent to Python, which the JVM holds several times outside its heap, and of text whose words are held at once.
+BATCH_BYTES, CHUNK_BYTES = 2 * 1024 * 1024, 512 * 1024
+#: Columns of shingles that are multiplied at once.
+DENSE_SHINGLES = 1024
 #: Parts into which the documents of one component are dealt when they learn its smallest id.
 SALTS = 8
 
@@ -74,7 +78,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     where links reach null ids only, ``component_id`` is null and all those rows are kept.  An
     empty table gives an empty result; other columns are ignored.
     """
-    bound_arrow_batches(df.sparkSession)
+    bound_arrow_batches(df.sparkSession, BATCH_BYTES)
     text = F.col(text_col).cast("string")
     # An id and two hashes of the text name a row up to equal texts, which are one node anyway.
     keys = [F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
@@ -103,7 +107,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Set size, set digest and MinHash signature of every text."""
     for batch in batches:
-        for part in tw.chunks(batch, "text"):
+        for part in tw.chunks(batch, "text", CHUNK_BYTES):
             size, low, high, signatures = [], [], [], []
             for own in shingle_sets(part):
                 size.append(len(own))
@@ -289,7 +293,7 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     """Rows come sorted by tile; the sets of one tile are held at a time."""
     current, sets, partners = None, {}, []
     for batch in batches:
-        for part in tw.chunks(batch, "text"):
+        for part in tw.chunks(batch, "text", CHUNK_BYTES):
             keys = zip(*(part.column(c).to_pylist() for c in _TILE), strict=True)
             rows = zip(keys, part.column("node").to_pylist(), part.column("partners"), shingle_sets(part), strict=True)
             for key, node, others, own in rows:
@@ -311,7 +315,7 @@ def _forest(sets: dict[int, np.ndarray], partners: list[tuple[int, np.ndarray]],
     a = np.searchsorted(ids, np.repeat([n for n, _ in partners], [len(p) for _, p in partners]))
     b = np.searchsorted(ids, np.concatenate([p for _, p in partners]))
     size = np.array([len(s) for s in own], np.int64)
-    both = _overlaps(own, size)[a, b] if len(a) > 4 * len(ids) else None
+    both = _overlaps(own, size)[a, b].astype(np.int64) if len(a) > 4 * len(ids) else None
     if both is None:
         both = np.array([_overlap(own[x], own[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
     linked = 100 * both >= percent * (size[a] + size[b] - both)
@@ -341,7 +345,7 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _overlaps(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
-    """Common values of every pair of sets."""
+    """Common values of every pair of sets, as whole numbers."""
     n = len(sets)
     common = np.zeros((n, n), np.float32)  # whole numbers below 2**24 are exact
     shingle, column = np.unique(np.concatenate(sets), return_inverse=True)
@@ -350,9 +354,9 @@ def _overlaps(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
     column = np.where(often, np.cumsum(often) - 1, -1)[column] if len(shingle) else column
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    for at in range(0, int(often.sum()), 4096):
-        a, b = np.searchsorted(column, [at, at + 4096])
-        dense = np.zeros((n, 4096), np.float32)
+    for at in range(0, int(often.sum()), DENSE_SHINGLES):
+        a, b = np.searchsorted(column, [at, at + DENSE_SHINGLES])
+        dense = np.zeros((n, DENSE_SHINGLES), np.float32)
         dense[row[a:b], column[a:b] - at] = 1
         common += dense @ dense.T
-    return common.astype(np.int64)
+    return common

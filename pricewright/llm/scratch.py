@@ -58,12 +58,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_arrow_batches(spark: SparkSession) -> None:
+def bound_arrow_batches(spark: SparkSession, most: int = _ARROW_BATCH_BYTES) -> None:
     """Limit the bytes of a batch sent to Python workers, so that long texts fit in memory.
 
     Results are lazy, so the setting has to outlast the call; a smaller one of the session is kept.
     """
     given = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
-    if given and given.isdigit() and 0 < int(given) < _ARROW_BATCH_BYTES:
+    if given and given.isdigit() and 0 < int(given) < most:
         return
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_ARROW_BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))

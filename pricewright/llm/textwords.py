@@ -87,7 +87,7 @@ def _powers(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
         base = int(_ODD[200 + salt])
         out = []
         for b in (base, pow(base, -1, 2**64)):
-            p = np.full(max(n, CHUNK_BYTES), b, _U)
+            p = np.full(min(1 << (n - 1).bit_length(), max(n, CHUNK_BYTES)), b, _U)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         _tables[salt] = (out[0], out[1])

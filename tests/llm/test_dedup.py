@@ -194,6 +194,49 @@ def test_substring_texts_of_one_id_whose_hashes_share_32_bits(spark):
     assert got == [(2, 0, sha("135821 tail")), (20, 0, sha(text)), (21, 20, sha("18501"))]
 
 
+def test_near_holds_little_at_a_time():
+    """Of a batch of 8 MB of text, and of a tile of 1,200 near texts, Python holds a bounded part."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    def peak(rows):
+        tracemalloc.start()
+        sizes = sum(b.num_rows for b in rows())
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return sizes, most
+
+    r = random.Random(2)
+    text = [" ".join(str(r.randrange(10**6)) for _ in range(1200)) for _ in range(1000)]
+    ids = pa.array(range(len(text)), pa.int64())
+    part = pa.record_batch([ids, ids, ids, pa.array(text)], names=["doc", "k1", "k2", "text"])
+    list(mh._signed(iter([part.slice(0, 1)])))
+    rows, most = peak(lambda: mh._signed(iter([part])))
+    assert rows == len(text) and most < 50, most
+
+    n = 1200
+    sets = {i: np.arange(i % 3, 300 + i % 3, dtype=np.uint64) for i in range(n)}
+    partners = [(i, np.arange(i + 1, min(i + 10, n))) for i in range(n - 1)]
+    rows, most = peak(lambda: [mh._forest(sets, partners, 85)])
+    assert rows == n - 1 and most < 30, most
+
+
+def test_near_and_the_language_stage_send_small_batches(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        for stage in (lambda d: mh.near_dedup(d), lambda d: corpus_pipeline.identify_language(spark, d, "")):
+            spark.conf.unset(name)
+            stage(documents(spark, ["a b c d e f"] * 2, extra=False).withColumn("lang", F.lit("en")))
+            assert int(spark.conf.get(name)) <= 2 * 1024 * 1024
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def test_substring_runs_stay_inside_their_text():
     import numpy as np
     import pyarrow as pa
