@@ -23,11 +23,11 @@ BATCHES = 3
 LATE_SECONDS = 12 * 3600
 
 
-def _stream(rows: DataFrame, name: str, *order: str, batches: int = BATCHES) -> DataFrame:
-    """A stream that takes the arrivals of ``rows`` one file after the other."""
+def _stream(rows: DataFrame, name: str, *order: str, batches: int = BATCHES, files: int | None = None) -> DataFrame:
+    """A stream that takes the arrivals of ``rows`` one after the other; each is one file, or ``files``."""
     spark = rows.sparkSession
-    path = arrivals(rows, name, batches, *(F.col(c) for c in order))
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path = arrivals(rows, name, batches, *(F.col(c) for c in order), files=files)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files or 1).parquet(path)
 
 
 def bet_events(t: Tables) -> DataFrame:
@@ -46,10 +46,16 @@ def bet_events(t: Tables) -> DataFrame:
     return rows.select("bet_id", "e.*", "user_id", "stake", "american", copies.alias("copy"))
 
 
+def _bet_changes(t: Tables) -> DataFrame:
+    """The stream of changes; its arrivals have as many files together as a shuffle has partitions, so that no task writes one alone."""
+    files = -(-int(t.spark.conf.get("spark.sql.shuffle.partitions")) // BATCHES)
+    return bet_state.bet_changes(_stream(bet_events(t), "bet-events", "bet_id", "seq", "copy", files=files))
+
+
 @query
 def ledger_stream(t: Tables) -> DataFrame:
     """Last state of every bet, kept by a stateful stream."""
-    changes = bet_state.bet_changes(_stream(bet_events(t), "bet-events", "bet_id", "seq", "copy"))
+    changes = _bet_changes(t)
     path = folder(t.spark, "bet-changes")
     bet_state.append_to(changes, path, folder(t.spark, "checkpoint")).awaitTermination()
     rows = bet_state.current_bets(t.spark, path, changes.schema)
@@ -59,7 +65,7 @@ def ledger_stream(t: Tables) -> DataFrame:
 @query
 def ledger_stream_balances(t: Tables) -> DataFrame:
     """Balance of every user: one stream folds the bets, a second one adds up the changes that the first one appends."""
-    changes = bet_state.bet_changes(_stream(bet_events(t), "bet-events", "bet_id", "seq", "copy"))
+    changes = _bet_changes(t)
     path, balances = folder(t.spark, "bet-changes"), folder(t.spark, "balances")
     bet_state.append_to(changes, path, folder(t.spark, "checkpoint")).awaitTermination()
     appended = t.spark.readStream.schema(changes.schema).parquet(path)

@@ -42,12 +42,16 @@ def clean_up(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrivals(df: DataFrame, name: str, batches: int, *order: Column) -> str:
+def arrivals(df: DataFrame, name: str, batches: int, *order: Column, files: int | None = None) -> str:
     """Writes rows as a folder of files, a file for each of ``batches`` arrivals; rows are dealt by a hash of ``order``.
 
-    A stream that takes a file at a time thus sees them in an order that has nothing to do with time.
+    A stream that takes a file at a time thus sees them in an order that has nothing to do with time.  With ``files``,
+    an arrival is so many files, written side by side from one pass over ``df``; the stream takes as many at a time.
     """
     path = folder(df.sparkSession, name)
+    if files is not None:
+        df.repartition(batches * files, *order).write.parquet(path)
+        return path
     arrival = F.pmod(F.xxhash64(*order), F.lit(batches))
     for n in range(batches):
         df.where(arrival == n).coalesce(1).write.mode("append").parquet(path)

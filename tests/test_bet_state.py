@@ -6,6 +6,8 @@ import os
 import random
 
 import pandas as pd
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from pricewright.operators import ledger
@@ -55,6 +57,55 @@ def test_streams_equal_the_batch_fold_over_restarts(spark, tmp_path):
     assert sorted(map(tuple, total.collect())) == sorted(map(tuple, ledger.balances(want, ["user_id"], 100.0).collect()))
 
 
+def test_many_bets_share_a_row_of_state(spark, tmp_path):
+    """A call of the state function costs milliseconds, so there must not be one for every bet."""
+    bets = spark.range(3000).select(F.col("id").alias("bet_id"), F.lit(1).alias("seq"), F.lit("PLACED").alias("event_type"), F.lit(None).cast("string").alias("result"), (F.col("id") % 7).alias("user_id"), F.lit(1.0).alias("stake"), F.lit(100).cast("long").alias("american"))
+    bets.write.parquet(str(tmp_path / "in"))
+    stream = bet_state.bet_changes(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")))
+    query = bet_state.append_to(stream, str(tmp_path / "out"), str(tmp_path / "c"))
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024
+    assert spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).select("bet_id", "seq", "user_id").distinct().count() == 3000
+
+
+def test_parts_equal_the_batch_fold_over_restarts(spark, tmp_path):
+    rows = events(seed=3)
+    arriving = rows + rows[::4]
+    random.Random(4).shuffle(arriving)
+    source, changes, checkpoint = (str(tmp_path / n) for n in ("in", "changes", "c"))
+    for part in (arriving[:70], arriving[70:71], arriving[71:]):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(source)
+        stream = bet_state.bet_changes(spark.readStream.schema(EVENTS).parquet(source), parts=3)
+        bet_state.append_to(stream, changes, checkpoint).awaitTermination()
+    columns = ["bet_id", "user_id", "result", "corrections", "delta", "payout"]
+    got, want = bet_state.current_bets(spark, changes, stream.schema), wanted(spark, rows)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    log = spark.read.schema(stream.schema).parquet(changes)
+    assert log.select("bet_id", "seq").distinct().count() == log.count() == len(rows)
+    spark.createDataFrame(arriving, EVENTS).write.mode("append").parquet(source)
+    again = bet_state.append_to(bet_state.bet_changes(spark.readStream.schema(EVENTS).parquet(source), parts=4), changes, checkpoint)
+    with pytest.raises(StreamingQueryException, match="deals bets to 3 parts"):
+        again.awaitTermination()
+
+
+@pytest.mark.parametrize("parts", [None, 1])
+def test_large_and_missing_numbers_arrive_as_they_are(parts):
+    fold = bet_state._folded(None) if parts is None else bet_state._folded_parts(parts)
+    user = 2**53 + 1
+    rows = [(9, 1, "PLACED", None, str(user), 10.0, "100"), (9, 2, "SETTLED", "WIN", None, float("nan"), None)]
+    rows += [] if parts is None else [(8, 1, "PLACED", None, None, float("nan"), None)]
+    batch = pd.DataFrame(rows, columns=[c.split()[0] for c in EVENTS.split(", ")])
+    got = [tuple(r)[:7] for out in fold((9,), iter([batch]), Memory()) for r in out.itertuples(index=False)]
+    assert got[:2] == [(9, user, 1, "PLACED", 10.0, 100, "PENDING"), (9, user, 2, "SETTLED", 10.0, 100, "WIN")]
+    assert got[2:] == ([] if parts is None else [(8, None, 1, "PLACED", None, None, "PENDING")])
+
+
+def test_arrivals_of_several_files_hold_every_row_once(spark):
+    path = scratch.arrivals(spark.range(500), "some", 3, F.col("id"), files=2)
+    rows = spark.read.schema("id long").parquet(path)
+    assert len(rows.inputFiles()) == 6 and sorted(r.id for r in rows.collect()) == list(range(500))
+
+
 class Memory:
     """A state without a store."""
 
