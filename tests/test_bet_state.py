@@ -11,8 +11,11 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from pricewright.operators import ledger
+from pricewright.plans import live
 from pricewright.sources import scratch
+from pricewright.sources.tables import Tables
 from pricewright.streaming import bet_state
+from tests.conftest import DATA
 
 EVENTS = "bet_id long, seq int, event_type string, result string, user_id long, stake double, american long"
 
@@ -68,6 +71,23 @@ def test_many_bets_share_a_row_of_state(spark, tmp_path):
     assert spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).select("bet_id", "seq", "user_id").distinct().count() == 3000
 
 
+def test_streams_of_the_balance_query_take_parts_and_several_files(spark, tmp_path):
+    """As ``ledger_stream_balances`` runs them: three batches of several files, no state for every bet, right balances."""
+    t = Tables(spark, f"{DATA}/sf0.001")
+    changes = live._bet_changes(t)
+    folding = bet_state.append_to(changes, str(tmp_path / "changes"), str(tmp_path / "c1"))
+    folding.awaitTermination()
+    batches = [p for p in folding.recentProgress if p["numInputRows"]]
+    assert len(batches) == live.BATCHES and sum(p["numInputRows"] for p in batches) == live.bet_events(t).count()
+    assert batches[-1]["stateOperators"][0]["numRowsTotal"] <= 1024 < t.positions.count()
+    appended = spark.readStream.schema(changes.schema).parquet(str(tmp_path / "changes"))
+    bet_state.update_in(bet_state.user_balances(appended), str(tmp_path / "balances"), str(tmp_path / "c2")).awaitTermination()
+    bets = t.positions.select("bet_id", "user_id", F.col("stake").cast("double").alias("stake"), "american", F.lit("PENDING").alias("result"))
+    want = ledger.balances(ledger.fold_results(bets, live.bet_events(t).where("copy = 0")), ["user_id"], 100.0)
+    got = bet_state.current_balances(spark, str(tmp_path / "balances"), 100.0).select("user_id", "balance")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_parts_equal_the_batch_fold_over_restarts(spark, tmp_path):
     rows = events(seed=3)
     arriving = rows + rows[::4]
