@@ -43,67 +43,70 @@ _EVENT = ["bet_id", "seq", "event_type", "result", "user_id", "stake", "american
 _NEW = (None, None, None, "PENDING", None, 0, 0)
 
 
-def _known(x: Any, kind: type) -> Any:
-    return None if x is None or x != x else kind(x)
-
-
-def _taken(bet_id: int, bet: tuple, event: tuple, rows: list[tuple]) -> tuple:
-    """The bet after an event has arrived; ``rows`` gets a row for each event that can be applied now."""
-    user, stake, american, result, before, corrections, applied, waiting = bet
-    seq, kind, new, *of_bet = event
-    if seq <= applied or seq in waiting:
-        return bet
-    if kind == "PLACED":
-        of_bet = [_known(x, of) for x, of in zip(of_bet, (int, float, int), strict=True)]
-    waiting[seq] = [kind, new, *(of_bet if kind == "PLACED" else (None, None, None))]
-    while (next_ := waiting.pop(applied + 1, None)) is not None:
-        applied += 1
-        kind, new, *of_bet = next_
-        previous, valid = result, kind == "PLACED"
-        if valid:
-            user, stake, american = of_bet
-        elif new in SETTLED:
-            valid = kind in ("SETTLED", "VOIDED") if before is None else kind == "CORRECTED" and new != before
-            before = new
+def _bet_functions():
+    """``taken``, ``events`` and ``frame``; functions inside a function travel whole, so executors need no copy of this package."""
+
+    def known(x: Any, kind: type) -> Any:
+        return None if x is None or x != x else kind(x)
+
+    def taken(bet_id: int, bet: tuple, event: tuple, rows: list[tuple]) -> tuple:
+        """The bet after an event has arrived; ``rows`` gets a row for each event that can be applied now."""
+        user, stake, american, result, before, corrections, applied, waiting = bet
+        seq, kind, new, *of_bet = event
+        if seq <= applied or seq in waiting:
+            return bet
+        of_bet = [known(x, of) for x, of in zip(of_bet, (int, float, int), strict=True)] if kind == "PLACED" else [None] * 3
+        waiting[seq] = [kind, new, *of_bet]
+        while (following := waiting.pop(applied + 1, None)) is not None:
+            applied += 1
+            kind, new, *of_bet = following
+            previous, valid = result, kind == "PLACED"
             if valid:
-                result, corrections = new, corrections + (kind == "CORRECTED")
-        rows.append((bet_id, user, applied, kind, stake, american, result, previous, corrections, valid, None))
-    return user, stake, american, result, before, corrections, applied, waiting
+                user, stake, american = of_bet
+            elif new in SETTLED:
+                valid = kind in ("SETTLED", "VOIDED") if before is None else kind == "CORRECTED" and new != before
+                before = new
+                if valid:
+                    result, corrections = new, corrections + (kind == "CORRECTED")
+            rows.append((bet_id, user, applied, kind, stake, american, result, previous, corrections, valid, None))
+        return user, stake, american, result, before, corrections, applied, waiting
 
+    def events(batch: pd.DataFrame) -> Iterator[tuple]:
+        return zip(*(batch[c].tolist() for c in _EVENT), strict=True)
 
-def _events(batch: pd.DataFrame) -> Iterator[tuple]:
-    return zip(*(batch[c].tolist() for c in _EVENT), strict=True)
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=_NAMES, dtype=object)  # whole numbers stay whole beside missing ones
 
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_NAMES, dtype=object)  # whole numbers stay whole beside missing ones
+    return taken, events, frame
 
 
 def _folded(patience_ms: int | None):
     """Applies a bet's events in order of ``seq``; a gap that is still there after ``patience_ms`` is reported once."""
+    taken, events, frame = _bet_functions()
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         *bet, text = state.get if state.exists else (*_NEW, "{}")
         was = bet[-1]
         if state.hasTimedOut:
-            yield _frame([(key[0], bet[0], was, "GAP", None, None, None, None, None, False, was + 1)])
+            yield frame([(key[0], bet[0], was, "GAP", None, None, None, None, None, False, was + 1)])
             return
         bet, rows = (*bet, {int(seq): event for seq, event in json.loads(text).items()}), []
         for batch in batches:
-            for _, *event in _events(batch):
-                bet = _taken(key[0], bet, event, rows)
+            for _, *event in events(batch):
+                bet = taken(key[0], bet, event, rows)
         *known, waiting = bet
         state.update((*known, json.dumps(waiting)))
         if patience_ms is not None and waiting and (known[-1] > was or was == 0):
             state.setTimeoutDuration(patience_ms)
         if rows:
-            yield _frame(rows)
+            yield frame(rows)
 
     return fold
 
 
 def _folded_parts(parts: int):
     """The same for all bets of a part, whose state is packed."""
+    taken, events, frame = _bet_functions()
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         dealt, packed = state.get if state.exists else (parts, None)
@@ -112,10 +115,10 @@ def _folded_parts(parts: int):
         bets = {} if packed is None else pickle.loads(zlib.decompress(packed))
         for batch in batches:
             rows: list[tuple] = []
-            for bet_id, *event in _events(batch):
-                bets[bet_id] = _taken(bet_id, bets.get(bet_id) or (*_NEW, {}), event, rows)
+            for bet_id, *event in events(batch):
+                bets[bet_id] = taken(bet_id, bets.get(bet_id) or (*_NEW, {}), event, rows)
             if rows:
-                yield _frame(rows)
+                yield frame(rows)
         state.update((parts, zlib.compress(pickle.dumps(bets, 5), 1)))
 
     return fold
@@ -133,7 +136,7 @@ def bet_changes(events: DataFrame, patience_ms: int | None = None, parts: int =
     Without it, bets are dealt to ``parts`` parts by a hash, and a batch rewrites the state of each part that it
     touches: more parts suit small batches, fewer suit large ones.  A checkpoint keeps its number of parts.
     """
-    placed = lambda c: F.when(F.col("event_type") == "PLACED", F.col(c).cast("string")).alias(c)  # noqa: E731  as text, numbers arrive exactly
+    placed = lambda c: F.when(F.col("event_type") == "PLACED", F.col(c).cast("long").cast("string")).alias(c)  # noqa: E731  as text, numbers arrive exactly
     known = events.where(F.col("bet_id").isNotNull() & F.col("seq").isNotNull())
     known = known.select("bet_id", "seq", "event_type", "result", placed("user_id"), F.col("stake").cast("double").alias("stake"), placed("american"))
     if patience_ms is None:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import random
+import subprocess
+import sys
 
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
@@ -120,6 +123,13 @@ def test_large_and_missing_numbers_arrive_as_they_are(parts):
     assert got[2:] == ([] if parts is None else [(8, None, 1, "PLACED", None, None, "PENDING")])
 
 
+@pytest.mark.parametrize("fold", [bet_state._folded(None), bet_state._folded_parts(2)])
+def test_executors_need_no_copy_of_the_package(fold, tmp_path):
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = "import pickle, sys; pickle.loads(sys.stdin.buffer.read()); assert 'pricewright' not in sys.modules"
+    assert subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(fold), env=env, cwd=tmp_path).returncode == 0
+
+
 def test_arrivals_of_several_files_hold_every_row_once(spark):
     path = scratch.arrivals(spark.range(500), "some", 3, F.col("id"), files=2)
     rows = spark.read.schema("id long").parquet(path)
